@@ -88,7 +88,7 @@ def _explicit_cells(data: NominalData, fams: list[Family], class_digit: bool) ->
             pidx = pidx * data.n_classes + F.col(data.cls)
         structs.append(F.struct(F.lit(fid).alias("fid"), pidx.cast("int").alias("pidx"),
                                 _child(data, f.att).cast("int").alias("v")))
-    return F.inline(F.array(*structs))
+    return F.inline_outer(F.array(*structs))
 
 
 def _literal_families(fams: list[Family], d: int) -> Column:
@@ -111,7 +111,7 @@ def _hof_cells(data: NominalData, fams: list[Family], class_digit: bool) -> Colu
             pidx = F.when(f["cp"], pidx * k + F.col(data.cls)).otherwise(pidx)
         return F.struct(f["fid"].alias("fid"), pidx.alias("pidx"), F.element_at(x, f["att"] + 1).alias("v"))
 
-    return F.inline(F.transform(_literal_families(fams, data.d), cell))
+    return F.inline_outer(F.transform(_literal_families(fams, data.d), cell))
 
 
 def count_cells(data: NominalData, fams: list[Family], *, keys: tuple[str, ...] = (),

@@ -162,3 +162,74 @@ SELECT [CAST(s AS INTEGER)] AS sp, code, cls, sum(weight) AS n FROM (
 GROUP BY s, code, cls""")
 def _superparent_freq(spark, sf):
     return C.superparent_counts(view(spark, sf, "linst"), 1)
+
+
+# ------------------------------------------------------- Bayes scoring (A-*, B-4..6, G-*)
+from kestrel.operators import bayes as B  # noqa: E402
+
+
+def _spec_for(view_name: str, kind: str, **kw):
+    """The model spec built from the view's declared metadata (no data needed)."""
+    attrs, cards, k = O.meta(view_name)
+    meta = N.NominalData(None, attrs, cards, k)
+    if kind == "ande":
+        return B.ande_spec(meta, **kw)
+    raise ValueError(kind)
+
+
+def _ande_score_q(view_name: str, **kw):
+    def q(spark, sf):
+        data = view(spark, sf, view_name)
+        spec = B.ande_spec(data, **kw)
+        model = B.fit(data, spec)
+        return B.long_probabilities(B.score(data.df, model))
+    return q
+
+
+for _name, _view, _kw in [
+    ("nb_score", "ninst", dict(n_dep=0)),
+    ("a1de_score", "ninst", dict(n_dep=1)),
+    ("a1de_mest_score", "ninst", dict(n_dep=1, m_estimate=True, m=1.0)),
+    ("a2de_score", "linst", dict(n_dep=2)),
+    ("freq_limit_score", "linst", dict(n_dep=1, limit=1500.0)),
+]:
+    register(_name, O.bayes_score_sql(_view, _spec_for(_view, "ande", **_kw)))(_ande_score_q(_view, **_kw))
+
+
+@register("predict_argmax", O.bayes_score_sql(
+    "ninst", _spec_for("ninst", "ande", n_dep=1),
+    final="""SELECT rid, CAST(arg_max(cls, prob) AS INTEGER) AS prediction FROM (
+  SELECT rid, cls, prob, row_number() OVER (PARTITION BY rid ORDER BY prob DESC, cls) AS r FROM probs) t
+WHERE r = 1 GROUP BY rid"""))
+def _predict_argmax(spark, sf):
+    data = view(spark, sf, "ninst")
+    model = B.fit(data, B.ande_spec(data, n_dep=1))
+    return B.score(data.df, model).select("rid", "prediction")
+
+
+def _rbnc_sql(view_name: str, size: int, m: int, alpha: float) -> str:
+    """RBNC oracle: the B-2 structure in SQL, its tables as rows of ``tabs``."""
+    attrs, cards, k = O.meta(view_name)
+    d = len(attrs)
+    tabs = f"""tabs AS (
+  SELECT CAST(row_number() OVER (ORDER BY component, att) - 1 AS INTEGER) AS tid, component, att,
+         list_filter(parents, lambda p: p <> {d}) AS ap,
+         CAST(list_reduce(list_transform(list_filter(parents, lambda p: p <> {d}), lambda p: {O.cards_sql(view_name)}[p + 1]),
+                     lambda a, b: a * b, 1) AS INTEGER) AS S,
+         {O.cards_sql(view_name)}[att + 1] AS card, {alpha!r} AS a0, FALSE AS prior
+  FROM struct WHERE att < {d}
+  UNION ALL SELECT 100000, -1, -1, []::INTEGER[], 1, 1, {alpha!r}, TRUE)"""
+    spec = B.BayesSpec(attrs, cards, k, [], size, B.SOFTMAX_AVG)
+    model = O.bayes_model_ctes(view_name, spec)[1:]   # counting/estimation over ``tabs``
+    return O.with_view(view_name, O.inst_cte(view_name), O.atts_cte(view_name),
+                       *O.structure_shuffled_ctes(d, size, m, SEED), tabs, *model,
+                       O.bayes_terms_cte(view_name, spec), *O.bayes_prob_ctes(spec, k)) + \
+        "\nSELECT rid, CAST(cls AS INTEGER) AS cls, round(prob, 6) AS prob FROM probs"
+
+
+@register("rbnc_score", _rbnc_sql("ninst", RBNC_SIZE, RBNC_PARENTS, 0.5))
+def _rbnc_score(spark, sf):
+    data = view(spark, sf, "ninst")
+    st = S.random_structure_shuffled(attributes(data), data.d, RBNC_SIZE, RBNC_PARENTS, SEED)
+    model = B.fit(data, B.rbnc_spec(data, C.collect_structure(st), alpha=0.5))
+    return B.long_probabilities(B.score(data.df, model))

@@ -112,3 +112,110 @@ def count_ctes(view: str, struct: str = "struct", name: str = "cpt", class_digit
         f"""{name} AS (SELECT {kg}component, att, cls, pidx, v, sum(weight) AS n
   FROM {name}_cells GROUP BY {kg}component, att, cls, pidx, v)""",
     ]
+
+
+# ------------------------------------------------------------------ Bayes scoring
+def tabs_cte(spec, name: str = "tabs") -> str:
+    rows = []
+    for tid, (t, (s, card)) in enumerate(zip(spec.tables, spec.sizes())):
+        ap = "[" + ", ".join(str(p) for p in t.family.parents) + "]::INTEGER[]"
+        rows.append(f"({tid}, {t.component}, {t.family.att}, {ap}, {s}, {card}, {float(t.a0)!r}, "
+                    f"{'TRUE' if t.prior else 'FALSE'})")
+    return (f"{name} AS (SELECT * FROM (VALUES {', '.join(rows)}) "
+            "t(tid, component, att, ap, S, card, a0, prior))")
+
+
+def bayes_model_ctes(view: str, spec, inst: str = "inst", keys: tuple[str, ...] = (),
+                     cnt_source: str | None = None) -> list[str]:
+    """tabs, cnt (per table cell counts), est (log estimates and value frequencies).
+    ``keys`` partition everything (e.g. ``g`` = CV fold model); ``cnt_source`` replaces
+    the counting step with an existing (keys..., tid, cls, pidx, v, n) relation."""
+    _, _, k = meta(view)
+    cards = cards_sql(view)
+    kk = "".join(f"{c}, " for c in keys)
+    kp = ", ".join(keys)
+    pt = f"PARTITION BY {kp + ', ' if keys else ''}"
+    ctes = [tabs_cte(spec)]
+    if cnt_source is None:
+        ctes.append(f"""cnt AS (
+  SELECT {''.join(f'i.{c}, ' for c in keys)}t.tid, i.cls,
+         CAST(list_reduce(t.ap, lambda acc, p: acc * {cards}[p + 1] + i.xs[p + 1], 0) AS INTEGER) AS pidx,
+         CAST(CASE WHEN t.att < 0 THEN 0 ELSE i.xs[t.att + 1] END AS INTEGER) AS v, sum(i.weight) AS n
+  FROM {inst} i CROSS JOIN tabs t GROUP BY ALL)""")
+    else:
+        ctes.append(f"cnt AS (SELECT * FROM {cnt_source})")
+    groups = (f"grp AS (SELECT DISTINCT {kp} FROM cnt)" if keys else "")
+    if groups:
+        ctes.append(groups)
+    src = "tabs CROSS JOIN grp" if keys else "tabs"
+    ctes += [
+        f"""dense AS (SELECT {kk}tid, S, card, a0, prior, CAST(unnest(range(S * card * {k})) AS INTEGER) AS idx
+  FROM {src})""",
+        f"""est0 AS (SELECT d.*, d.idx // (d.S * d.card) AS cls, (d.idx // d.card) % d.S AS pidx, d.idx % d.card AS v
+  FROM dense d)""",
+        f"""est1 AS (SELECT e.*, coalesce(c.n, 0) AS n FROM est0 e LEFT JOIN cnt c
+  USING ({kk}tid, cls, pidx, v))""",
+        f"""est AS (SELECT {kk}tid, cls, pidx, v,
+  ln((n + a0) / CASE WHEN prior THEN sum(n) OVER ({pt}tid) + a0 * S * card * {k}
+                     ELSE sum(n) OVER ({pt}tid, cls, pidx) + a0 * card END) AS logp,
+  sum(n) OVER ({pt}tid, pidx, v) AS freq
+  FROM est1)""",
+    ]
+    return ctes
+
+
+def bayes_terms_cte(view: str, spec, inst: str = "inst", keys: tuple[str, ...] = ()) -> str:
+    _, _, k = meta(view)
+    cards = cards_sql(view)
+    on = "".join(f" AND e.{c} = i.{c}" for c in keys)
+    return f"""terms AS (
+  SELECT i.rid, {''.join(f'i.{c}, ' for c in keys)}t.component, t.prior, cl.c, e.logp, e.freq
+  FROM {inst} i CROSS JOIN tabs t CROSS JOIN (SELECT CAST(range AS INTEGER) AS c FROM range({k})) cl
+  JOIN est e ON e.tid = t.tid AND e.cls = cl.c{on}
+   AND e.pidx = list_reduce(t.ap, lambda acc, p: acc * {cards}[p + 1] + i.xs[p + 1], 0)
+   AND e.v = CASE WHEN t.att < 0 THEN 0 ELSE i.xs[t.att + 1] END)"""
+
+
+def bayes_prob_ctes(spec, k: int, keys: tuple[str, ...] = (), inst: str = "inst") -> list[str]:
+    """probs(rid, keys..., cls, prob) from terms / est."""
+    rk = ", ".join(("rid",) + tuple(keys))
+    kk = "".join(f"{c}, " for c in keys)
+    pk = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    kon = "".join(f" AND x.{c} = y.{c}" for c in keys)
+    ctes = [f"cpt AS (SELECT {''.join(f'e.{c}, ' for c in keys)}e.cls AS c, e.logp FROM est e "
+            f"JOIN tabs t ON e.tid = t.tid WHERE t.component = -1)",
+            f"cpm AS (SELECT {kk}c, exp(logp - max(logp) OVER ({pk})) AS e FROM cpt)",
+            f"cpn AS (SELECT {kk}c, e / sum(e) OVER ({pk}) AS p FROM cpm)"]
+    if spec.combine == "joint_sum":
+        limit = spec.limit if spec.limit is not None else 0.0
+        ctes += [
+            f"""lp AS (SELECT {rk}, component, c, sum(logp) AS lp, max(CASE WHEN prior THEN freq END) AS f
+  FROM terms WHERE component >= 0 GROUP BY {rk}, component, c)""",
+            f"act AS (SELECT * FROM lp WHERE f >= {float(limit)!r})",
+            f"mx AS (SELECT {rk}, max(lp) AS m FROM act GROUP BY {rk})",
+            f"raw AS (SELECT {rk}, c, sum(exp(lp - m)) AS r FROM act JOIN mx USING ({rk}) GROUP BY {rk}, c)",
+        ]
+    else:
+        ctes += [
+            f"""lp0 AS (SELECT {rk}, component, c, sum(logp) AS lp FROM terms WHERE component >= 0
+  GROUP BY {rk}, component, c)""",
+            f"""lp AS (SELECT {', '.join('x.' + c for c in ('rid',) + tuple(keys))}, x.component, x.c, x.lp + y.logp AS lp
+  FROM lp0 x JOIN cpt y ON x.c = y.c{kon})""",
+            f"lm AS (SELECT {rk}, component, max(lp) AS m FROM lp GROUP BY {rk}, component)",
+            f"le AS (SELECT {rk}, component, c, exp(lp - m) AS e FROM lp JOIN lm USING ({rk}, component))",
+            f"lpost AS (SELECT {rk}, component, c, e / sum(e) OVER (PARTITION BY {rk}, component) AS p FROM le)",
+            f"raw AS (SELECT {rk}, c, sum(p) AS r FROM lpost GROUP BY {rk}, c)",
+        ]
+    ctes.append(f"""probs AS (SELECT {rk}, c AS cls, r / sum(r) OVER (PARTITION BY {rk}) AS prob FROM raw
+  UNION ALL
+  SELECT {', '.join('x.' + c for c in ('rid',) + tuple(keys))}, y.c AS cls, y.p AS prob FROM {inst} x JOIN cpn y ON TRUE{kon}
+  WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE {' AND '.join(f'r.{c} = x.{c}' for c in ('rid',) + tuple(keys))}))""")
+    return ctes
+
+
+def bayes_score_sql(view: str, spec, extra_ctes: list[str] | None = None, final: str | None = None) -> str:
+    _, _, k = meta(view)
+    ctes = [inst_cte(view), *(extra_ctes or []), *bayes_model_ctes(view, spec),
+            bayes_terms_cte(view, spec), *bayes_prob_ctes(spec, k)]
+    sel = final or "SELECT rid, CAST(cls AS INTEGER) AS cls, round(prob, 6) AS prob FROM probs"
+    return with_view(view, *ctes) + "\n" + sel
