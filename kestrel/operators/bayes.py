@@ -195,9 +195,9 @@ def _base_index(spec: BayesSpec, tid: int, offs, base: Column) -> Column:
     return (base + offs[tid] + _pidx(spec, t.family.parents) * card + v + 1).cast("int")
 
 
-def score(df: DataFrame, model: FittedBayes, *, group_col: str | None = None,
-          keep: tuple[str, ...] = ("rid",)) -> DataFrame:
-    """(keep..., probability ARRAY<DOUBLE>, prediction INT) for every row of ``df``.
+def score_sql(df: DataFrame, model: FittedBayes, *, group_col: str | None = None,
+              keep: tuple[str, ...] = ("rid",)) -> DataFrame:
+    """Expression twin of :func:`score` (same output), JVM only.
 
     One codegen'd projection computes each table's cell position (integer radix
     arithmetic); the lookups and the log-sum-exp combination are higher-order array
@@ -272,3 +272,92 @@ def long_probabilities(scored: DataFrame, keep: tuple[str, ...] = ("rid",), digi
     """(keep..., cls, prob) with probabilities rounded for cross-engine comparison."""
     return scored.select(*keep, F.posexplode_outer("probability").alias("cls", "prob")).select(
         *keep, F.col("cls").cast("int"), F.round("prob", digits).alias("prob"))
+
+
+# --------------------------------------------------------------- Arrow fast path
+def _batch_scorer(model: FittedBayes, attrs: tuple[str, ...], group_col: str | None,
+                  keep: tuple[str, ...]):
+    """A numpy scorer closed over the (size-checked) model arrays.
+
+    Cell positions of all tables are one integer matrix product ``X @ M`` (radix
+    multipliers), lookups are fancy-indexing gathers, per-component sums are
+    ``np.add.reduceat`` over tables grouped by component."""
+    import pandas as pd
+
+    spec = model.spec
+    k = spec.n_classes
+    d = len(attrs)
+    offs, _ = spec.offsets()
+    sizes = spec.sizes()
+    comp_t = sorted((t.component, tid) for tid, t in enumerate(spec.tables) if t.component >= 0)
+    order = [tid for _, tid in comp_t]
+    comps = sorted({c for c, _ in comp_t})
+    starts = np.searchsorted([c for c, _ in comp_t], comps)
+    mult = np.zeros((d, len(order)), dtype=np.int64)
+    const = np.zeros(len(order), dtype=np.int64)
+    stride = np.zeros(len(order), dtype=np.int64)
+    for j, tid in enumerate(order):
+        t = spec.tables[tid]
+        s, card = sizes[tid]
+        m = card
+        for p in reversed(t.family.parents):
+            mult[p, j] += m
+            m *= spec.cards[p]
+        if t.family.att >= 0:
+            mult[t.family.att, j] += 1
+        const[j] = offs[tid]
+        stride[j] = s * card
+    cp_off, cp_stride = offs[spec.class_prior], sizes[spec.class_prior][0] * sizes[spec.class_prior][1]
+    prior_pos = {tid: j for j, tid in enumerate(order)}
+    prior_cols = np.array([prior_pos[spec.prior_of[c]] for c in comps]) if spec.combine == JOINT_SUM else None
+    logtab, freq, size = model.logtab, model.freq, model.size
+    limit = float(spec.limit or 0.0)
+
+    def run(batches):
+        for pdf in batches:
+            n = len(pdf)
+            x = pdf[list(attrs)].to_numpy(dtype=np.int64)
+            base = (pdf[group_col].to_numpy(dtype=np.int64) * size) if group_col else np.zeros(n, np.int64)
+            ix = x @ mult + const + base[:, None]                       # n x T, class 0
+            lp = np.empty((n, len(comps), k))
+            cpl = np.stack([logtab[base + cp_off + c * cp_stride] for c in range(k)], axis=1)  # n x K
+            with np.errstate(invalid="ignore", over="ignore"):
+                for c in range(k):
+                    vals = logtab[ix + c * stride]
+                    lp[:, :, c] = np.add.reduceat(vals, starts, axis=1)
+                cpe = np.exp(cpl - cpl.max(axis=1, keepdims=True))
+                prior_p = cpe / cpe.sum(axis=1, keepdims=True)
+                if spec.combine == JOINT_SUM:
+                    act = freq[ix[:, prior_cols]] >= limit                 # n x comps
+                    masked = np.where(act[:, :, None], lp, -np.inf)
+                    mx = masked.reshape(n, -1).max(axis=1) if len(comps) else np.full(n, -np.inf)
+                    ok = np.isfinite(mx)
+                    raw = np.where(ok[:, None], np.exp(masked - np.where(ok, mx, 0)[:, None, None]).sum(axis=1), 0.0)
+                else:
+                    lpc = lp + cpl[:, None, :]
+                    e = np.exp(lpc - lpc.max(axis=2, keepdims=True))
+                    post = e / e.sum(axis=2, keepdims=True)
+                    valid = ~np.isnan(post).any(axis=2)
+                    raw = np.where(valid[:, :, None], post, 0.0).sum(axis=1)
+                tot = raw.sum(axis=1)
+                probs = np.where((tot > 0)[:, None], raw / np.where(tot > 0, tot, 1.0)[:, None], prior_p)
+            out = pd.DataFrame({c: pdf[c].to_numpy() for c in keep})
+            out["probability"] = list(probs)
+            out["prediction"] = probs.argmax(axis=1).astype(np.int32)
+            yield out
+
+    return run
+
+
+def score(df: DataFrame, model: FittedBayes, *, group_col: str | None = None,
+          keep: tuple[str, ...] = ("rid",)) -> DataFrame:
+    """(keep..., probability ARRAY<DOUBLE>, prediction INT) for every row of ``df``.
+
+    Narrow ``mapInPandas`` over Arrow batches (no shuffle); the model travels with the
+    task closure and its size was checked when it was fitted.  :func:`score_sql` is
+    the JVM-expression twin."""
+    spec = model.spec
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"{c} {fields[c]}" for c in keep] + ["probability array<double>", "prediction int"])
+    cols = list(dict.fromkeys([*keep, *spec.attrs, *([group_col] if group_col else [])]))
+    return df.select(*cols).mapInPandas(_batch_scorer(model, spec.attrs, group_col, keep), schema)
