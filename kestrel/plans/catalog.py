@@ -233,3 +233,77 @@ def _rbnc_score(spark, sf):
     st = S.random_structure_shuffled(attributes(data), data.d, RBNC_SIZE, RBNC_PARENTS, SEED)
     model = B.fit(data, B.rbnc_spec(data, C.collect_structure(st), alpha=0.5))
     return B.long_probabilities(B.score(data.df, model))
+
+
+# ------------------------------------------------------------- folds and CV (E-*)
+from kestrel.operators import evaluate as E  # noqa: E402
+from kestrel.operators import folds as FO  # noqa: E402
+
+CV_REPEATS, CV_FOLDS, CV_SEED = 10, 10, 1
+
+
+@register("folds_interleaved", O.with_view("ninst", O.inst_cte("ninst"),
+                                           *O.interleaved_folds_ctes("ninst", CV_REPEATS, CV_FOLDS, CV_SEED)) +
+          "\nSELECT rep, rid, cls, fold FROM fi")
+def _folds_interleaved(spark, sf):
+    data = view(spark, sf, "ninst")
+    rows = FO.interleaved_folds(FO.with_repeats(data.df.select("rid", "cls"), CV_REPEATS), CV_FOLDS,
+                                rep="rep", seed=CV_SEED)
+    return rows.select("rep", "rid", "cls", "fold")
+
+
+def _rank_sql(view_name: str, part: str, k: int) -> str:
+    hk = O.h_sql(str(CV_SEED), "rid")
+    return O.with_view(view_name) + f"""
+SELECT rid, CAST(({k} * (r + 1) + n - 1) // n - 1 AS INTEGER) AS fold FROM (
+  SELECT rid, row_number() OVER (PARTITION BY {part} ORDER BY {hk}, rid) - 1 AS r,
+         count(*) OVER (PARTITION BY {part}) AS n FROM {view_name}) t"""
+
+
+@register("folds_proportional", _rank_sql("linst", "cls", 5))
+def _folds_proportional(spark, sf):
+    data = view(spark, sf, "linst")
+    return FO.proportional_folds(data.df.select("rid", "cls"), 5, seed=CV_SEED).select("rid", "fold")
+
+
+@register("folds_plain", _rank_sql("linst", "1", 5))
+def _folds_plain(spark, sf):
+    data = view(spark, sf, "linst")
+    return FO.plain_folds(data.df.select("rid"), 5, seed=CV_SEED).select("rid", "fold")
+
+
+def _cv_q(name: str, n_dep: int):
+    def q(spark, sf):
+        data = view(spark, sf, "ninst")
+        s = E.cv_summary(data, lambda d: B.ande_spec(d, n_dep=n_dep), name,
+                         repeats=CV_REPEATS, folds=CV_FOLDS, seed=CV_SEED)
+        return s.select("model", F.round("acc_mean", 6).alias("acc_mean"), F.round("acc_std", 6).alias("acc_std"))
+    return q
+
+
+register("cv_nb_accuracy", O.cv_sql("ninst", _spec_for("ninst", "ande", n_dep=0), "nb",
+                                    CV_REPEATS, CV_FOLDS, CV_SEED))(_cv_q("nb", 0))
+register("cv_a1de_accuracy", O.cv_sql("ninst", _spec_for("ninst", "ande", n_dep=1), "a1de",
+                                      CV_REPEATS, CV_FOLDS, CV_SEED))(_cv_q("a1de", 1))
+
+
+def _comparison_sql() -> str:
+    parts = []
+    for name, n_dep in (("nb", 0), ("a1de", 1)):
+        q = O.cv_sql("ninst", _spec_for("ninst", "ande", n_dep=n_dep), name, CV_REPEATS, CV_FOLDS, CV_SEED)
+        parts.append(f"{name}_s AS ({q})")
+    cell = ("CAST(round(acc_mean * 100, 2) AS VARCHAR) || ':' || CAST(round(acc_std * 100, 2) AS VARCHAR)")
+    return ("WITH " + ",\n".join(parts) + f"""
+SELECT 'ninst' AS dataset, a.c AS m_nb, b.c AS m_a1de, 'ninst, ' || a.c || ', ' || b.c || ', ' AS report
+FROM (SELECT {cell} AS c FROM nb_s) a, (SELECT {cell} AS c FROM a1de_s) b""")
+
+
+@register("comparison_matrix", _comparison_sql())
+def _comparison_matrix(spark, sf):
+    data = view(spark, sf, "ninst")
+    sums = [E.cv_summary(data, lambda d, n=n: B.ande_spec(d, n_dep=n), name,
+                         repeats=CV_REPEATS, folds=CV_FOLDS, seed=CV_SEED) for name, n in (("nb", 0), ("a1de", 1))]
+    allm = sums[0].unionByName(sums[1]).select(
+        F.lit("ninst").alias("dataset"), "model", F.round("acc_mean", 6).alias("acc_mean"),
+        F.round("acc_std", 6).alias("acc_std"))
+    return E.comparison_matrix(allm, ["nb", "a1de"])

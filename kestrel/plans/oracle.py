@@ -219,3 +219,34 @@ def bayes_score_sql(view: str, spec, extra_ctes: list[str] | None = None, final:
             bayes_terms_cte(view, spec), *bayes_prob_ctes(spec, k)]
     sel = final or "SELECT rid, CAST(cls AS INTEGER) AS cls, round(prob, 6) AS prob FROM probs"
     return with_view(view, *ctes) + "\n" + sel
+
+
+# ------------------------------------------------------------------------- folds / CV
+def interleaved_folds_ctes(view: str, repeats: int, k: int, seed: int, src: str = "inst") -> list[str]:
+    hk = h_sql(f"rep + {seed}", "rid")
+    return [
+        f"reps AS (SELECT CAST(range AS INTEGER) AS rep FROM range({repeats}))",
+        f"ir AS (SELECT r.rep, i.* FROM {src} i CROSS JOIN reps r)",
+        f"rk AS (SELECT *, row_number() OVER (PARTITION BY rep, cls ORDER BY {hk}, rid) - 1 AS r FROM ir)",
+        "cc AS (SELECT rep, cls, count(*) AS n FROM ir GROUP BY rep, cls)",
+        """coff AS (SELECT rep, cls, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY cls
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cc)""",
+        f"fi AS (SELECT rk.*, CAST((r + o) % {k} AS INTEGER) AS fold, "
+        f"CAST(rep * {k} + (r + o) % {k} AS INTEGER) AS g FROM rk JOIN coff USING (rep, cls))",
+    ]
+
+
+def cv_sql(view: str, spec, name: str, repeats: int, k: int, seed: int) -> str:
+    _, _, nk = meta(view)
+    ctes = [inst_cte(view), *interleaved_folds_ctes(view, repeats, k, seed),
+            f"""tr AS (SELECT fi.rep * {k} + f.f AS g, fi.rid, fi.cls, fi.weight, fi.xs FROM fi
+  CROSS JOIN (SELECT CAST(range AS INTEGER) AS f FROM range({k})) f WHERE fi.fold <> f.f)""",
+            *bayes_model_ctes(view, spec, inst="tr", keys=("g",)),
+            bayes_terms_cte(view, spec, inst="fi", keys=("g",)),
+            *bayes_prob_ctes(spec, nk, keys=("g",), inst="fi"),
+            """pred AS (SELECT rid, g, cls AS prediction FROM (
+  SELECT rid, g, cls, row_number() OVER (PARTITION BY rid, g ORDER BY prob DESC, cls) AS rn FROM probs) t WHERE rn = 1)""",
+            """acc AS (SELECT fi.g, sum(CASE WHEN pred.prediction = fi.cls THEN fi.weight ELSE 0 END) / sum(fi.weight) AS a
+  FROM fi JOIN pred ON fi.rid = pred.rid AND fi.g = pred.g GROUP BY fi.g)"""]
+    return with_view(view, *ctes) + \
+        f"\nSELECT '{name}' AS model, round(avg(a), 6) AS acc_mean, round(stddev_samp(a), 6) AS acc_std FROM acc"
