@@ -307,3 +307,170 @@ def _comparison_matrix(spark, sf):
         F.lit("ninst").alias("dataset"), "model", F.round("acc_mean", 6).alias("acc_mean"),
         F.round("acc_std", 6).alias("acc_std"))
     return E.comparison_matrix(allm, ["nb", "a1de"])
+
+
+# ------------------------------------------------------------------ SVM scoring (V-*)
+import numpy as np  # noqa: E402
+
+from kestrel.operators import svm as V  # noqa: E402
+from kestrel.sources import svmlight as L  # noqa: E402
+
+SVM_RHO_ONE_CLASS, SVM_RHO_SVR = 0.01, 0.0
+POLY = dict(degree=3, coef0=1.0)
+SIGM = dict(coef0=0.0)
+PLATT_A, PLATT_B = -2.0, 0.1
+
+
+def emb(spark, sf):
+    return read_table(spark, sf, "embeddings").select(
+        F.col("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("features"))
+
+
+def _model(spark, sf, svm_type="c_svc", kernel="rbf", rho=0.0, **kw):
+    return V.centroid_model(emb(spark, sf), "label", "features", svm_type=svm_type, kernel_type=kernel,
+                            rho=rho, **kw)
+
+
+SVM_BASE_SQL = """ex AS (SELECT vec_id, label, unnest(range(len(embedding))) AS pos,
+                CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+dims AS (SELECT max(pos) + 1 AS dim FROM ex),
+cen AS (SELECT label, pos, avg(x) AS c FROM ex GROUP BY label, pos),
+labs AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS sv,
+                count(*) OVER () AS k, avg(label) OVER () AS mlab FROM (SELECT DISTINCT label FROM embeddings) t),
+raw AS (SELECT e.vec_id, l.sv, sum(e.x * c.c) AS dot, sum((e.x - c.c) * (e.x - c.c)) AS sq
+        FROM ex e JOIN cen c ON e.pos = c.pos JOIN labs l ON c.label = l.label GROUP BY e.vec_id, l.sv)"""
+
+
+def _kernel_sql(kind: str) -> str:
+    g = "(1.0 / (SELECT dim FROM dims))"
+    return {"linear": "dot", "rbf": f"exp(-{g} * sq)",
+            "polynomial": f"pow({g} * dot + {POLY['coef0']}, {POLY['degree']})",
+            "sigmoid": f"tanh({g} * dot + {SIGM['coef0']})"}[kind]
+
+
+def _svm_sql(kind: str, final: str) -> str:
+    return f"WITH {SVM_BASE_SQL},\nkv AS (SELECT vec_id, sv, {_kernel_sql(kind)} AS k FROM raw)\n{final}"
+
+
+def _kernel_q(kind: str, precomputed: bool = False):
+    def q(spark, sf):
+        extra = POLY if kind == "polynomial" else SIGM if kind == "sigmoid" else {}
+        m = _model(spark, sf, kernel=kind, **extra)
+        x = F.col("features")
+        dim = m.sv.shape[1]
+        svs = V.const_doubles(m.sv.reshape(-1))
+        kv = F.transform(F.sequence(F.lit(0), F.lit(m.l - 1)),
+                         lambda j: V.kernel_expr(m, x, F.slice(svs, j * dim + 1, dim)))
+        df = emb(spark, sf)
+        if precomputed:
+            # the kernel row as the precomputed representation: [serial, K(x, sv_1..l)]
+            pre = F.concat(F.array((F.col("vec_id") + 1).cast("double")), kv)
+            mp = V.SvmModel("c_svc", "precomputed", np.arange(1, m.l + 1, dtype=float)[:, None],
+                            m.sv_coef, m.rho, m.labels, m.n_sv)
+            kv = F.transform(F.sequence(F.lit(1), F.lit(m.l)),
+                             lambda j: V.kernel_expr(mp, F.col("_pre"), F.array(j.cast("double"))))
+            df = df.withColumn("_pre", pre)
+        return df.select("vec_id", F.posexplode_outer(kv).alias("sv", "k")).select(
+            "vec_id", F.col("sv").cast("int"), F.round("k", 6).alias("k"))
+    return q
+
+
+for _kind in ("linear", "polynomial", "rbf", "sigmoid"):
+    register(f"kernel_{_kind}", _svm_sql(_kind, "SELECT vec_id, sv, round(k, 6) AS k FROM kv"))(_kernel_q(_kind))
+register("kernel_precomputed", _svm_sql("rbf", "SELECT vec_id, sv, round(k, 6) AS k FROM kv"))(
+    _kernel_q("rbf", precomputed=True))
+
+_ONECLASS_DEC = f"""dec AS (SELECT kv.vec_id, sum((l.label - l.mlab) / l.k * kv.k) - {{rho}} AS d
+  FROM kv JOIN labs l ON kv.sv = l.sv GROUP BY kv.vec_id)"""
+
+
+@register("oneclass_score", _svm_sql("rbf", "," + _ONECLASS_DEC.format(rho=SVM_RHO_ONE_CLASS) +
+                                     "\nSELECT vec_id AS id, CAST(CASE WHEN d > 0 THEN 1.0 ELSE -1.0 END AS DOUBLE) AS prediction FROM dec"))
+def _oneclass_score(spark, sf):
+    m = _model(spark, sf, "one_class", "rbf", SVM_RHO_ONE_CLASS)
+    dec = V.decision_values_sql(emb(spark, sf).withColumnRenamed("vec_id", "id"), m)
+    return dec.select("id", V.predict_from_decisions_sql(F.col("dec"), m).alias("prediction"))
+
+
+@register("score_batch_arrow", ORACLE["oneclass_score"])
+def _score_batch_arrow(spark, sf):
+    m = _model(spark, sf, "one_class", "rbf", SVM_RHO_ONE_CLASS)
+    return V.score_arrow(emb(spark, sf).withColumnRenamed("vec_id", "id"), m)
+
+
+@register("score_counters", _svm_sql("rbf", "," + _ONECLASS_DEC.format(rho=SVM_RHO_ONE_CLASS) + """
+SELECT count(*) AS n_instances, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_positive FROM dec"""))
+def _score_counters(spark, sf):
+    m = _model(spark, sf, "one_class", "rbf", SVM_RHO_ONE_CLASS)
+    return V.score_counters(V.score_arrow(emb(spark, sf).withColumnRenamed("vec_id", "id"), m))
+
+
+@register("svr_score", _svm_sql("linear", "," + _ONECLASS_DEC.format(rho=SVM_RHO_SVR) +
+                                "\nSELECT vec_id AS id, round(d, 6) AS prediction FROM dec"))
+def _svr_score(spark, sf):
+    m = _model(spark, sf, "epsilon_svr", "linear", SVM_RHO_SVR)
+    return V.score_arrow(emb(spark, sf).withColumnRenamed("vec_id", "id"), m).select(
+        "id", F.round("prediction", 6).alias("prediction"))
+
+
+_OVO_DEC = """pairs AS (SELECT a.sv AS i, b.sv AS j,
+    CAST(a.sv * a.k - a.sv * (a.sv + 1) / 2 + (b.sv - a.sv - 1) AS INTEGER) AS pair
+  FROM labs a JOIN labs b ON a.sv < b.sv),
+dec AS (SELECT k1.vec_id, p.pair, p.i, p.j, k1.k - k2.k - 0.0 AS d
+  FROM kv k1 JOIN kv k2 ON k1.vec_id = k2.vec_id JOIN pairs p ON k1.sv = p.i AND k2.sv = p.j)"""
+
+
+@register("ovo_decision", _svm_sql("rbf", "," + _OVO_DEC + "\nSELECT vec_id AS id, pair, round(d, 6) AS dec FROM dec"))
+def _ovo_decision(spark, sf):
+    m = _model(spark, sf)
+    dec = V.decision_values_sql(emb(spark, sf).withColumnRenamed("vec_id", "id"), m)
+    return dec.select("id", F.posexplode_outer("dec").alias("pair", "dec")).select(
+        "id", F.col("pair").cast("int"), F.round("dec", 6).alias("dec"))
+
+
+@register("ovo_vote", _svm_sql("rbf", "," + _OVO_DEC + """,
+votes AS (SELECT vec_id, CASE WHEN d > 0 THEN i ELSE j END AS w, count(*) AS n FROM dec GROUP BY vec_id, w),
+best AS (SELECT vec_id, w, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, w) AS r FROM votes)
+SELECT b.vec_id AS id, CAST(l.label AS DOUBLE) AS prediction FROM best b JOIN labs l ON b.w = l.sv WHERE r = 1"""))
+def _ovo_vote(spark, sf):
+    m = _model(spark, sf)
+    return V.score_arrow(emb(spark, sf).withColumnRenamed("vec_id", "id"), m)
+
+
+@register("platt_prob", _svm_sql("rbf", "," + _OVO_DEC + f""",
+z AS (SELECT vec_id, pair, d * {PLATT_A} + {PLATT_B} AS z FROM dec)
+SELECT vec_id AS id, pair, round(CASE WHEN z >= 0 THEN exp(-z) / (1 + exp(-z)) ELSE 1 / (1 + exp(z)) END, 6) AS prob
+FROM z"""))
+def _platt_prob(spark, sf):
+    m = _model(spark, sf)
+    dec = V.decision_values_sql(emb(spark, sf).withColumnRenamed("vec_id", "id"), m)
+    return dec.select("id", F.posexplode_outer("dec").alias("pair", "d")).select(
+        "id", F.col("pair").cast("int"), F.round(V.platt_probability(F.col("d"), PLATT_A, PLATT_B), 6).alias("prob"))
+
+
+@register("pairwise_prob")
+def _pairwise_prob(spark, sf):
+    """V-12 / V-13: coupled class probabilities (iterative; rows-only check)."""
+    m = _model(spark, sf)
+    npair = len(m.rho)
+    m = V.with_probability(m, [PLATT_A] * npair, [PLATT_B] * npair)
+    out = V.score_arrow(emb(spark, sf).withColumnRenamed("vec_id", "id"), m, probability=True)
+    return out.select("id", "prediction", F.transform("probability", lambda p: F.round(p, 6)).alias("probability"))
+
+
+# ------------------------------------------------------------- svmlight (IO-5/6, P-4)
+@register("svmlight_parse", """
+WITH ex AS (SELECT vec_id, label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x
+            FROM embeddings)
+SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS DOUBLE) AS label,
+       list(CAST(pos + 1 AS INTEGER) ORDER BY pos) FILTER (WHERE x <> 0) AS idx,
+       list(round(x, 6) ORDER BY pos) FILTER (WHERE x <> 0) AS val
+FROM ex GROUP BY vec_id, label""")
+def _svmlight_parse(spark, sf):
+    df = emb(spark, sf)
+    idx, val = L.dense_to_sparse(F.col("features"))
+    sparse = df.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("double").alias("label"),
+                       idx, val)
+    text = L.to_svmlight(sparse, id_col="id").select(F.col("value").alias("line"))
+    parsed = L.parse_svmlight(text, with_id=True)
+    return parsed.select("id", "label", "idx", F.transform("val", lambda v: F.round(v, 6)).alias("val"))
