@@ -474,3 +474,136 @@ def _svmlight_parse(spark, sf):
     text = L.to_svmlight(sparse, id_col="id").select(F.col("value").alias("line"))
     parsed = L.parse_svmlight(text, with_id=True)
     return parsed.select("id", "label", "idx", F.transform("val", lambda v: F.round(v, 6)).alias("val"))
+
+
+# -------------------------------------------------------------- preprocessing (T-*)
+from kestrel.functions.hashing import h_sql  # noqa: E402
+from kestrel.operators import prep as P  # noqa: E402
+
+NOISE_RATE, NOISE_SEED = 0.1, 100
+
+
+def _orders_missing(spark, sf):
+    """orders with missing values injected by key (the driver tables hold none)."""
+    o = read_table(spark, sf, "orders")
+    return o.select("o_orderkey",
+                    F.when(F.col("o_orderkey") % 17 == 0, None).otherwise(F.col("o_totalprice")).alias("price"),
+                    F.when(F.col("o_orderkey") % 13 == 0, None).otherwise(F.col("o_orderpriority")).alias("priority"))
+
+
+_OM_SQL = """om AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS price,
+                 CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders)"""
+
+
+@register("impute", f"""WITH {_OM_SQL},
+mp AS (SELECT avg(price) AS m FROM om),
+md AS (SELECT priority AS m FROM om WHERE priority IS NOT NULL GROUP BY priority ORDER BY count(*) DESC, priority LIMIT 1)
+SELECT o_orderkey, round(coalesce(price, (SELECT m FROM mp)), 6) AS price, coalesce(priority, (SELECT m FROM md)) AS priority
+FROM om""")
+def _impute(spark, sf):
+    out = P.replace_missing(_orders_missing(spark, sf), ["price"], ["priority"])
+    return out.select("o_orderkey", F.round("price", 6).alias("price"), "priority")
+
+
+@register("equal_width", f"""WITH {_OM_SQL},
+mm AS (SELECT min(price) AS mn, max(price) AS mx FROM om)
+SELECT o_orderkey, CAST(CASE WHEN price IS NULL THEN NULL
+  ELSE least(floor((price - mn) / ((mx - mn) / 10)), 9) END AS INTEGER) AS price
+FROM om, mm""")
+def _equal_width(spark, sf):
+    return P.equal_width(_orders_missing(spark, sf).select("o_orderkey", "price"), ["price"], 10)
+
+
+@register("mdl_cuts")
+def _mdl_cuts(spark, sf):
+    """T-2 on lineitem: numeric columns, class = return flag (rows-only check)."""
+    li = read_table(spark, sf, "lineitem")
+    return P.mdl_cuts(li.withColumn("cls", F.when(F.col("l_returnflag") == "A", 0)
+                                   .when(F.col("l_returnflag") == "N", 1).otherwise(2)),
+                      ["l_quantity", "l_discount", "l_tax"], "cls", 3)
+
+
+@register("label_noise", O.with_view("ninst") + f"""
+, rk AS (SELECT rid, cls, row_number() OVER (ORDER BY {h_sql(str(NOISE_SEED), 'rid')}, rid) - 1 AS r,
+              count(*) OVER () AS n,
+              CAST('0x' || substr({h_sql(str(NOISE_SEED), "'c'", 'rid')}, 1, 7) AS BIGINT) AS u FROM ninst)
+SELECT rid, CAST(CASE WHEN r < floor(n * {NOISE_RATE}) THEN (cls + 1 + u % 2) % 3 ELSE cls END AS INTEGER) AS cls
+FROM rk""")
+def _label_noise(spark, sf):
+    data = view(spark, sf, "ninst")
+    return P.label_noise(data.df.select("rid", "cls"), NOISE_RATE, 3, seed=NOISE_SEED)
+
+
+@register("class_groups", """
+SELECT CAST(label AS INTEGER) AS label, CAST(row_number() OVER (ORDER BY min(vec_id)) - 1 AS INTEGER) AS code,
+       count(*) AS count FROM embeddings GROUP BY CAST(label AS INTEGER)""")
+def _class_groups(spark, sf):
+    return P.class_groups(read_table(spark, sf, "embeddings"), "label", "vec_id")
+
+
+def _li_sparse(spark, sf):
+    """lineitem numeric columns as sparse vectors (zeros dropped), label = line number."""
+    from kestrel.sources.svmlight import dense_to_sparse
+    li = read_table(spark, sf, "lineitem")
+    feats = F.array(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"))
+    idx, val = dense_to_sparse(feats)
+    return li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
+                     F.col("l_linenumber").cast("double").alias("label"), idx, val)
+
+
+_LI_SQL = """lrows AS (SELECT row_number() OVER () AS rk, * FROM lineitem),
+ex AS (SELECT rk, l_orderkey || '-' || l_linenumber AS id, CAST(l_linenumber AS DOUBLE) AS label,
+       unnest([1, 2, 3, 4]) AS att, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lrows),
+nrows AS (SELECT count(*) AS n FROM lineitem),
+per AS (SELECT att, min(v) FILTER (WHERE v <> 0) AS mn, max(v) FILTER (WHERE v <> 0) AS mx,
+               count(*) FILTER (WHERE v <> 0) AS cnt FROM ex GROUP BY att),
+params AS (SELECT att, CASE WHEN cnt = 0 THEN 0.0 WHEN cnt < (SELECT n FROM nrows) THEN least(mn, 0.0) ELSE mn END AS fmin,
+                       CASE WHEN cnt = 0 THEN 0.0 WHEN cnt < (SELECT n FROM nrows) THEN greatest(mx, 0.0) ELSE mx END AS fmax
+           FROM per)"""
+
+
+@register("scale_fit", f"WITH {_LI_SQL}\nSELECT CAST(att AS INTEGER) AS att, round(fmin, 6) AS fmin, round(fmax, 6) AS fmax FROM params")
+def _scale_fit(spark, sf):
+    params, _ = P.scale_fit(_li_sparse(spark, sf))
+    return params.select("att", F.round("fmin", 6).alias("fmin"), F.round("fmax", 6).alias("fmax"))
+
+
+_SCALE_APPLY_SQL = f"""WITH {_LI_SQL},
+sc AS (SELECT e.rk, e.id, e.label, e.att, CASE WHEN e.v = p.fmin THEN -1.0 WHEN e.v = p.fmax THEN 1.0
+                 ELSE -1.0 + 2.0 * (e.v - p.fmin) / (p.fmax - p.fmin) END AS s
+       FROM ex e JOIN params p ON e.att = p.att WHERE p.fmin <> p.fmax)
+SELECT id, label, list(CAST(att AS INTEGER) ORDER BY att) FILTER (WHERE s <> 0) AS idx,
+       list(round(s, 6) ORDER BY att) FILTER (WHERE s <> 0) AS val FROM sc GROUP BY rk, id, label"""
+
+
+@register("scale_apply", _SCALE_APPLY_SQL)
+def _scale_apply(spark, sf):
+    df = _li_sparse(spark, sf)
+    params, _ = P.scale_fit(df)
+    out = P.scale_apply(df, params, -1.0, 1.0)
+    return out.select("id", "label", "idx", F.transform("val", lambda v: F.round(v, 6)).alias("val"))
+
+
+@register("scale_restore", _SCALE_APPLY_SQL)
+def _scale_restore(spark, sf):
+    """IO-10: parameters saved to the text form, restored, then applied."""
+    df = _li_sparse(spark, sf)
+    params, _ = P.scale_fit(df)
+    text = P.save_scaling_text(params, -1.0, 1.0)
+    restored, lower, upper, _ = P.restore_scaling_text(spark, text)
+    full = params.select("att").join(restored, "att", "left").fillna(0.0)
+    out = P.scale_apply(df, full, lower, upper)
+    return out.select("id", "label", "idx", F.transform("val", lambda v: F.round(v, 6)).alias("val"))
+
+
+@register("scale_target", """
+WITH mm AS (SELECT min(l_linenumber) AS mn, max(l_linenumber) AS mx FROM lineitem)
+SELECT l_orderkey || '-' || l_linenumber AS id,
+       round(CASE WHEN l_linenumber = mn THEN -1.0 WHEN l_linenumber = mx THEN 1.0
+             ELSE -1.0 + 2.0 * (l_linenumber - mn) / (mx - mn) END, 6) AS label
+FROM lineitem, mm""")
+def _scale_target(spark, sf):
+    df = _li_sparse(spark, sf)
+    _, info = P.scale_fit(df)
+    return df.select("id", F.round(P.scale_target(F.col("label"), info["y_min"], info["y_max"], -1.0, 1.0), 6)
+                     .alias("label"))
