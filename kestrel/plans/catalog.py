@@ -607,3 +607,128 @@ def _scale_target(spark, sf):
     _, info = P.scale_fit(df)
     return df.select("id", F.round(P.scale_target(F.col("label"), info["y_min"], info["y_max"], -1.0, 1.0), 6)
                      .alias("label"))
+
+
+# -------------------------------------------------------------- SVM fitting (W-*)
+from kestrel.operators import svm_fit as W  # noqa: E402
+
+NU = 0.5
+
+
+@register("default_gamma", """
+WITH ex AS (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS att, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v
+            FROM lineitem)
+SELECT 1.0 / max(att) AS gamma FROM ex WHERE v <> 0""")
+def _default_gamma(spark, sf):
+    return W.default_gamma(_li_sparse(spark, sf))
+
+
+@register("param_feasibility", f"""
+WITH cc AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT a.label AS label_i, b.label AS label_j, {NU} * (a.n + b.n) / 2 <= least(a.n, b.n) AS feasible
+FROM cc a JOIN cc b ON a.label < b.label""")
+def _param_feasibility(spark, sf):
+    cc = read_table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+    return W.nu_feasibility(cc, NU)
+
+
+@register("laplace_sigma", _svm_sql("linear", "," + _ONECLASS_DEC.format(rho=SVM_RHO_SVR) + """,
+res AS (SELECT abs(e.label - d.d) AS r FROM dec d JOIN embeddings e ON d.vec_id = e.vec_id),
+m0 AS (SELECT avg(r) AS mae FROM res)
+SELECT round(sum(CASE WHEN r > 5 * sqrt(2) * mae THEN 0 ELSE r END)
+       / sum(CASE WHEN r > 5 * sqrt(2) * mae THEN 0 ELSE 1 END), 6) AS sigma FROM res, m0"""))
+def _laplace_sigma(spark, sf):
+    m = _model(spark, sf, "epsilon_svr", "linear", SVM_RHO_SVR)
+    pred = V.score_arrow(emb(spark, sf), m, keep=("vec_id", "label"))
+    return W.laplace_sigma(pred).select(F.round("sigma", 6).alias("sigma"))
+
+
+def _binary_decisions(spark, sf):
+    """Decision values of the centroid model's first pair for a binary target
+    (label below / above the median class) over all embeddings."""
+    m = _model(spark, sf)
+    dec = V.score_arrow(emb(spark, sf), m, keep=("vec_id", "label"), with_decisions=True)
+    return dec.select("vec_id", F.element_at("dec", 1).alias("dec"),
+                      F.when(F.col("label") < 5, 1).otherwise(-1).alias("label"))
+
+
+@register("platt_fit")
+def _platt_fit(spark, sf):
+    """W-7 (iterative; rows-only check)."""
+    a, b = W.platt_fit(_binary_decisions(spark, sf))
+    return spark.createDataFrame([(float(a), float(b))], "A DOUBLE, B DOUBLE")
+
+
+@register("training_summary", _svm_sql("rbf", "," + _OVO_DEC + """
+SELECT sum(CASE WHEN y * d <= 1 THEN 1 ELSE 0 END) AS n_sv, sum(CASE WHEN y * d < 1 THEN 1 ELSE 0 END) AS n_inside
+FROM (SELECT d.d, CASE WHEN e.label < 5 THEN 1.0 ELSE -1.0 END AS y FROM dec d JOIN embeddings e ON d.vec_id = e.vec_id
+      WHERE d.pair = 0) t"""))
+def _training_summary(spark, sf):
+    return W.training_summary(_binary_decisions(spark, sf)).select(
+        F.col("n_sv").cast("long"), F.col("n_inside").cast("long"))
+
+
+@register("csvc_fit")
+def _csvc_fit(spark, sf):
+    """W-1 (linear C-SVC on label < 5 vs rest; rows-only check)."""
+    df = emb(spark, sf).withColumn("label", F.when(F.col("label") < 5, 1).otherwise(-1))
+    w, b = W.csvc_fit_linear(df, C=1.0)
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(w)] + [(0, b)], "att INT, weight DOUBLE")
+
+
+@register("rff_map")
+def _rff_map(spark, sf):
+    """W-6 (random Fourier features of every embedding; rows-only check)."""
+    df = emb(spark, sf)
+    return W.random_fourier_features(df, "features", 64, 32, gamma=1.0 / 64, seed=0).select("vec_id", "rff")
+
+
+# ------------------------------------------------------------------- metrics (E-5..7)
+@register("metrics_class", O.bayes_score_sql(
+    "ninst", _spec_for("ninst", "ande", n_dep=0),
+    final="""SELECT round(avg(CASE WHEN p.prediction = n.cls THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (
+  SELECT rid, cls AS prediction FROM (
+    SELECT rid, cls, row_number() OVER (PARTITION BY rid ORDER BY prob DESC, cls) AS r FROM probs) t WHERE r = 1) p
+JOIN ninst n USING (rid)"""))
+def _metrics_class(spark, sf):
+    data = view(spark, sf, "ninst")
+    pred = B.score(data.df, B.fit(data, B.ande_spec(data, n_dep=0)), keep=("rid", "cls"))
+    return pred.agg(F.round(E.accuracy(F.col("prediction"), F.col("cls")), 6).alias("accuracy"))
+
+
+@register("metrics_reg", _svm_sql("linear", "," + _ONECLASS_DEC.format(rho=SVM_RHO_SVR) + """,
+vy AS (SELECT d.d AS v, CAST(e.label AS DOUBLE) AS y FROM dec d JOIN embeddings e ON d.vec_id = e.vec_id)
+SELECT round(avg((v - y) * (v - y)), 6) AS mse,
+       round(pow(count(*) * sum(v * y) - sum(v) * sum(y), 2) /
+             ((count(*) * sum(v * v) - sum(v) * sum(v)) * (count(*) * sum(y * y) - sum(y) * sum(y))), 6) AS scc
+FROM vy"""))
+def _metrics_reg(spark, sf):
+    m = _model(spark, sf, "epsilon_svr", "linear", SVM_RHO_SVR)
+    pred = V.score_arrow(emb(spark, sf), m, keep=("vec_id", "label")).withColumn("label", F.col("label").cast("double"))
+    return E.regression_metrics(pred).select(F.round("mse", 6).alias("mse"), F.round("scc", 6).alias("scc"))
+
+
+# ------------------------------------------------------- baselines (G-5, G-6), IO-12
+def _tree_q(kind: str, trees: int = 10):
+    def q(spark, sf):
+        from kestrel.operators.baselines import fit_predict_tree
+        data = view(spark, sf, "ninst")
+        return fit_predict_tree(data, kind, trees)
+    return q
+
+
+register("tree_baseline")(_tree_q("tree"))
+register("forest10")(_tree_q("forest", 10))
+register("forest100")(_tree_q("forest", 100))
+
+
+@register("synth_binary", """
+SELECT CAST(o_orderkey AS BIGINT) AS rid,
+       CAST(('0x' || substr(md5(concat_ws('|', '0', CAST(o_orderkey AS VARCHAR), '0')), 1, 1))::INTEGER % 2 AS INTEGER) AS a0,
+       CAST(('0x' || substr(md5(concat_ws('|', '0', CAST(o_orderkey AS VARCHAR), '1')), 1, 1))::INTEGER % 2 AS INTEGER) AS a1,
+       CAST(('0x' || substr(md5(concat_ws('|', '0', CAST(o_orderkey AS VARCHAR), '2')), 1, 1))::INTEGER % 2 AS INTEGER) AS a2,
+       CAST(('0x' || substr(md5(concat_ws('|', '0', CAST(o_orderkey AS VARCHAR), 'c')), 1, 1))::INTEGER % 2 AS INTEGER) AS cls
+FROM orders""")
+def _synth_binary(spark, sf):
+    """IO-12: one synthetic binary instance per order key."""
+    return N.synth_binary(read_table(spark, sf, "orders"), "o_orderkey", 3, seed=0).df
