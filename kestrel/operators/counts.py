@@ -125,8 +125,9 @@ def count_cells(data: NominalData, fams: list[Family], *, keys: tuple[str, ...]
         w = F.col("_w")
     gen = (_explicit_cells if len(fams) <= EXPLICIT_FAMILY_LIMIT else _hof_cells)(
         data, fams, include_class_digit)
-    exploded = df.select(*keys, F.col(data.cls).cast("int").alias("cls"), w.alias("_w"), gen)
-    return exploded.groupBy(*keys, "fid", "cls", "pidx", "v").agg(F.sum("_w").alias("n"))
+    exploded = df.select(*keys, F.col(data.cls).cast("int").alias("_cls"), w.alias("_w"), gen)
+    return (exploded.groupBy(*keys, "fid", "_cls", "pidx", "v").agg(F.sum("_w").alias("n"))
+            .withColumnRenamed("_cls", "cls"))
 
 
 def count_families(data: NominalData, comp_fams: list[tuple[int, Family]], *,

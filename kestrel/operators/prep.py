@@ -167,27 +167,48 @@ def scale_apply(df: DataFrame, params: DataFrame, lower: float = -1.0, upper: fl
                 idx: str = "idx", val: str = "val", keep: tuple[str, ...] = ("id", "label")) -> DataFrame:
     """T-5 / P-7: scale every feature 1..max_index (absent entries as 0), exact min ->
     lower and max -> upper, single-valued features skipped, zero results dropped.
-    The parameter table is feature-sized; it is shipped as two constant arrays."""
+
+    Work per row is O(entries): present entries are scaled in place; an absent
+    feature contributes its constant scaled zero, so only the features whose scaled
+    zero is non-zero are added (``array_except`` against the row's indices).  The
+    parameter table is feature-sized and shipped as constant arrays."""
     if not upper > lower:
         raise ValueError("inconsistent lower/upper specification")
     p = params.orderBy("att").toPandas()
     dim = len(p)
     if dim > MAX_LITERAL_CELLS:
         raise ValueError("too many features for a constant parameter array")
-    fmin, fmax = const_doubles(p["fmin"].to_numpy()), const_doubles(p["fmax"].to_numpy())
-    dense = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.coalesce(
-        F.element_at(F.map_from_arrays(F.col(idx), F.col(val)), i), F.lit(0.0))) if dim else F.array()
-
-    def scaled(v, i):
-        mn, mx = F.element_at(fmin, i + 1), F.element_at(fmax, i + 1)
-        s = (F.when(v == mn, F.lit(lower)).when(v == mx, F.lit(upper))
-             .otherwise(F.lit(lower) + F.lit(upper - lower) * (v - mn) / (mx - mn)))
-        return F.struct((i + 1).alias("i"), F.when(mn == mx, F.lit(None)).otherwise(s).alias("v"))
-
-    step = df.select(*keep, F.transform(dense, scaled).alias("_s"))
-    kept = F.filter(F.col("_s"), lambda e: e["v"].isNotNull() & (e["v"] != 0))
-    return step.select(*keep, F.transform(kept, lambda e: e["i"]).alias(idx),
-                       F.transform(kept, lambda e: e["v"]).alias(val))
+    mn_np, mx_np = p["fmin"].to_numpy(dtype=float), p["fmax"].to_numpy(dtype=float)
+
+    def scale_np(v, a, b):
+        if a == b:
+            return None
+        if v == a:
+            return lower
+        if v == b:
+            return upper
+        return lower + (upper - lower) * (v - a) / (b - a)
+
+    zero_scaled = [scale_np(0.0, a, b) for a, b in zip(mn_np, mx_np)]
+    zero_idx = [i + 1 for i, z in enumerate(zero_scaled) if z is not None and z != 0]
+    zero_val = const_doubles([0.0 if z is None else z for z in zero_scaled])
+    fmin, fmax = const_doubles(mn_np), const_doubles(mx_np)
+
+    def scaled(e):
+        i, v = e["i"], e["v"]
+        a, b = F.element_at(fmin, i), F.element_at(fmax, i)
+        s = (F.when(v == a, F.lit(lower)).when(v == b, F.lit(upper))
+             .otherwise(F.lit(lower) + F.lit(upper - lower) * (v - a) / (b - a)))
+        return F.struct(i.alias("i"), F.when(a == b, F.lit(None)).otherwise(s).alias("v"))
+
+    present = F.transform(F.filter(F.arrays_zip(F.col(idx).alias("i"), F.col(val).alias("v")),
+                                   lambda e: (e["i"] >= 1) & (e["i"] <= dim)), scaled)
+    absent = F.transform(F.array_except(F.array(*[F.lit(i) for i in zero_idx]).cast("array<int>"), F.col(idx)),
+                         lambda i: F.struct(i.alias("i"), F.element_at(zero_val, i).alias("v")))
+    merged = F.array_sort(F.filter(F.concat(present, absent), lambda e: e["v"].isNotNull() & (e["v"] != 0)))
+    step = df.select(*keep, merged.alias("_s"))
+    return step.select(*keep, F.transform("_s", lambda e: e["i"]).alias(idx),
+                       F.transform("_s", lambda e: e["v"]).alias(val))
 
 
 def scale_target(y: Column, y_min: float, y_max: float, y_lower: float, y_upper: float) -> Column:
