@@ -732,3 +732,24 @@ FROM orders""")
 def _synth_binary(spark, sf):
     """IO-12: one synthetic binary instance per order key."""
     return N.synth_binary(read_table(spark, sf, "orders"), "o_orderkey", 3, seed=0).df
+
+
+# ----------------------------------------------------------- model tables (IO-3, IO-4)
+from kestrel.sources import model_io as MIO  # noqa: E402
+
+
+@register("structure_roundtrip", ORACLE["random_structure_fixed"])
+def _structure_roundtrip(spark, sf):
+    data = view(spark, sf, "ninst")
+    st = S.random_structure_fixed(attributes(data), data.d, size=RBNC_SIZE, max_parents=RBNC_PARENTS, seed=SEED)
+    # stored with parents in a scrambled order: the reader restores the radix order
+    path = MIO.scratch_path(spark, "structure")
+    MIO.write_structure(st.select("component", "att", F.reverse("parents").alias("parents")), path)
+    return MIO.read_structure(spark, path)
+
+
+@register("cpt_sink", ORACLE["rbnc_counts"])
+def _cpt_sink(spark, sf):
+    path = MIO.scratch_path(spark, "cpt")
+    MIO.write_counts(QUERIES["rbnc_counts"](spark, sf), path)
+    return MIO.read_counts(spark, path).select("component", "att", "cls", "pidx", "v", "n")
