@@ -42,6 +42,12 @@ def attributes(data: N.NominalData) -> DataFrame:
     return N.domain_table(data.df, list(data.attrs)).select("att").distinct()
 
 
+def declared_attributes(data: N.NominalData) -> DataFrame:
+    """Attribute list from the declared schema (no pass over the data); used where
+    the structure only feeds a job that reads the data anyway."""
+    return data.df.sparkSession.range(data.d).select(F.col("id").cast("int").alias("att"))
+
+
 # ------------------------------------------------------------------ sources (IO-*)
 register("domain_table", """
 SELECT CAST(att AS INTEGER) AS att, name, value,
@@ -89,7 +95,7 @@ def _rbnc_counts(class_digit: bool):
 
     def q(spark, sf):
         data = view(spark, sf, "ninst")
-        st = S.random_structure_fixed(attributes(data), data.d, DIST_SIZE, DIST_PARENTS, SEED)
+        st = S.random_structure_fixed(declared_attributes(data), data.d, DIST_SIZE, DIST_PARENTS, SEED)
         return C.count_structure(data, st, include_class_digit=class_digit)
 
     sql = O.with_view("ninst", O.inst_cte("ninst"), O.atts_cte("ninst"),
@@ -118,7 +124,7 @@ def _class_counts(spark, sf):
 def _counts_merge(spark, sf):
     """C-2: count two disjoint parts (orders before / from 1998) and merge."""
     data = view(spark, sf, "ninst")
-    st = S.random_structure_fixed(attributes(data), data.d, DIST_SIZE, DIST_PARENTS, SEED)
+    st = S.random_structure_fixed(declared_attributes(data), data.d, DIST_SIZE, DIST_PARENTS, SEED)
     fams = C.families_from_structure(C.collect_structure(st), data.d)
     early = read_table(spark, sf, "orders").where(F.year("o_orderdate") < 1998).select(
         F.col("o_orderkey").alias("rid"))
@@ -230,7 +236,7 @@ def _rbnc_sql(view_name: str, size: int, m: int, alpha: float) -> str:
 @register("rbnc_score", _rbnc_sql("ninst", RBNC_SIZE, RBNC_PARENTS, 0.5))
 def _rbnc_score(spark, sf):
     data = view(spark, sf, "ninst")
-    st = S.random_structure_shuffled(attributes(data), data.d, RBNC_SIZE, RBNC_PARENTS, SEED)
+    st = S.random_structure_shuffled(declared_attributes(data), data.d, RBNC_SIZE, RBNC_PARENTS, SEED)
     model = B.fit(data, B.rbnc_spec(data, C.collect_structure(st), alpha=0.5))
     return B.long_probabilities(B.score(data.df, model))
 
@@ -753,3 +759,52 @@ def _cpt_sink(spark, sf):
     path = MIO.scratch_path(spark, "cpt")
     MIO.write_counts(QUERIES["rbnc_counts"](spark, sf), path)
     return MIO.read_counts(spark, path).select("component", "att", "cls", "pidx", "v", "n")
+
+
+# --------------------------------------------------------------- hidden naive Bayes (G-3)
+from kestrel.operators import hnb as H  # noqa: E402
+
+
+def _hnb_sql(view_name: str) -> str:
+    attrs, cards, k = O.meta(view_name)
+    d = len(attrs)
+    atts = ", ".join(f"({i}, {c})" for i, c in enumerate(cards))
+    return O.with_view(view_name, f"""
+atts AS (SELECT * FROM (VALUES {atts}) t(att, card)),
+cl AS (SELECT CAST(range AS INTEGER) AS c FROM range({k})),
+vals AS (SELECT att, card, CAST(unnest(range(card)) AS INTEGER) AS v FROM atts),
+lng AS (SELECT rid, cls, weight, CAST(unnest(range({d})) AS INTEGER) AS att, unnest([{', '.join(attrs)}]) AS v FROM {view_name}),
+ntot AS (SELECT sum(weight) AS n FROM {view_name}),
+fcx AS (SELECT cl.c, coalesce(sum(i.weight), 0) AS fc FROM cl LEFT JOIN {view_name} i ON i.cls = cl.c GROUP BY cl.c),
+c1 AS (SELECT cls, att, v, sum(weight) AS n FROM lng GROUP BY cls, att, v),
+c2 AS (SELECT x.cls, x.att AS i, x.v AS ai, y.att AS j, y.v AS aj, sum(x.weight) AS n
+       FROM lng x JOIN lng y ON x.rid = y.rid AND x.att <> y.att GROUP BY x.cls, x.att, x.v, y.att, y.v),
+d1 AS (SELECT cl.c, vals.att, vals.card, vals.v, coalesce(c1.n, 0) AS n FROM cl CROSS JOIN vals
+       LEFT JOIN c1 ON c1.cls = cl.c AND c1.att = vals.att AND c1.v = vals.v),
+d2 AS (SELECT cl.c, a.att AS i, a.card AS ci, a.v AS ai, b.att AS j, b.card AS cj, b.v AS aj, coalesce(c2.n, 0) AS n
+       FROM cl CROSS JOIN vals a JOIN vals b ON a.att <> b.att
+       LEFT JOIN c2 ON c2.cls = cl.c AND c2.i = a.att AND c2.ai = a.v AND c2.j = b.att AND c2.aj = b.v),
+cmi AS (SELECT d2.i, d2.j, sum(((d2.n + 1) / (ntot.n + {k} * d2.ci * d2.cj)) *
+          ln(((d2.n + 1) / (fcx.fc + d2.ci * d2.cj)) / (((p1.n + 1) / (fcx.fc + d2.ci)) * ((p2.n + 1) / (fcx.fc + d2.cj))))) AS m
+        FROM d2 JOIN fcx ON fcx.c = d2.c CROSS JOIN ntot
+        JOIN d1 p1 ON p1.c = d2.c AND p1.att = d2.i AND p1.v = d2.ai
+        JOIN d1 p2 ON p2.c = d2.c AND p2.att = d2.j AND p2.v = d2.aj GROUP BY d2.i, d2.j),
+w AS (SELECT i, j, CASE WHEN sum(m) OVER (PARTITION BY i) > 0 THEN m / sum(m) OVER (PARTITION BY i)
+                   ELSE 1.0 / {d - 1} END AS w FROM cmi),
+cond AS (SELECT c, i, ai, j, aj, (n + 1) / (sum(n) OVER (PARTITION BY c, i, j, aj) + ci) AS p FROM d2),
+terms AS (SELECT x.rid, cl.c, x.att AS i, sum(w.w * cond.p) AS s
+          FROM lng x JOIN lng y ON x.rid = y.rid AND x.att <> y.att CROSS JOIN cl
+          JOIN w ON w.i = x.att AND w.j = y.att
+          JOIN cond ON cond.c = cl.c AND cond.i = x.att AND cond.ai = x.v AND cond.j = y.att AND cond.aj = y.v
+          GROUP BY x.rid, cl.c, x.att),
+lp AS (SELECT t.rid, t.c, sum(ln(t.s)) + ln((fcx.fc + 1) / (ntot.n + {k})) AS lp
+       FROM terms t JOIN fcx ON fcx.c = t.c CROSS JOIN ntot GROUP BY t.rid, t.c, fcx.fc, ntot.n),
+mx AS (SELECT rid, max(lp) AS m FROM lp GROUP BY rid),
+pr AS (SELECT lp.rid, lp.c, exp(lp.lp - mx.m) AS e FROM lp JOIN mx USING (rid))""") + """
+SELECT rid, c AS cls, round(e / sum(e) OVER (PARTITION BY rid), 6) AS prob FROM pr"""
+
+
+@register("hnb_score", _hnb_sql("ninst"))
+def _hnb_score(spark, sf):
+    data = view(spark, sf, "ninst")
+    return B.long_probabilities(H.score_hnb(data.df, H.fit_hnb(data)))
