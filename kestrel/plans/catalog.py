@@ -808,3 +808,26 @@ SELECT rid, c AS cls, round(e / sum(e) OVER (PARTITION BY rid), 6) AS prob FROM
 def _hnb_score(spark, sf):
     data = view(spark, sf, "ninst")
     return B.long_probabilities(H.score_hnb(data.df, H.fit_hnb(data)))
+
+
+# ------------------------------------------------------------- streaming counts (C-2)
+from kestrel.streaming import incremental as INC  # noqa: E402
+
+
+@register("stream_counts", _ande_counts_sql("ninst", 0))
+def _stream_counts(spark, sf):
+    """Naive-Bayes counts maintained by a streaming job over instance files that
+    arrive in two drops (orders before / from 1998)."""
+    data = view(spark, sf, "ninst")
+    src = MIO.scratch_path(spark, "stream-src")
+    years = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("rid"),
+                                                   (F.year("o_orderdate") < 1998).alias("early"))
+    rows = data.df.join(years, "rid")
+    rows.where("early").drop("early").write.parquet(f"{src}/drop=0")
+    rows.where("NOT early").drop("early").write.parquet(f"{src}/drop=1")
+    fams = [(c, f) for c, f in C.anDE_families(data.d, 0) if f.att >= 0]
+    sink, ckpt = MIO.scratch_path(spark, "stream-sink"), MIO.scratch_path(spark, "stream-ckpt")
+    schema = "rid BIGINT, a0 INT, a1 INT, a2 INT, a3 INT, a4 INT, cls INT"
+    q = INC.start_count_stream(spark, f"{src}/*", schema, data, fams, sink, ckpt)
+    q.awaitTermination()
+    return INC.current_counts(spark, sink)
