@@ -36,6 +36,7 @@ from kestrel.sources.nominal import NominalData
 
 JOINT_SUM = "joint_sum"          # AnDE: P(c) ∝ Σ_components joint(c, s)
 SOFTMAX_AVG = "softmax_avg"      # RBNC: average of per-component posteriors
+NORM_SUM = "norm_sum"            # AnDE with normalised components (A-4 non-joint)
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,7 @@ class BayesSpec:
 
 # ------------------------------------------------------------------ model specs
 def ande_spec(data: NominalData, n_dep: int = 1, *, m_estimate: bool = False, m: float = 1.0,
-              limit: float | None = 1.0) -> BayesSpec:
+              limit: float | None = 1.0, joint: bool = True) -> BayesSpec:
     """AnDE (n_dep = 1: A1DE/AODE, 2: A2DE, 0: naive Bayes).  Laplace estimates by
     default; ``m_estimate`` uses pseudo-counts m/card (conditionals) and m/(K·S) (prior)."""
     d, k = data.d, data.n_classes
@@ -94,7 +95,7 @@ def ande_spec(data: NominalData, n_dep: int = 1, *, m_estimate: bool = False, m:
                 tables.append(LogTable(comp, Family(a, s), False, (m / data.cards[a]) if m_estimate else 1.0))
     class_prior = len(tables)
     tables.append(LogTable(-1, Family(-1, ()), True, 1.0))
-    return BayesSpec(data.attrs, data.cards, k, tables, len(sets), JOINT_SUM,
+    return BayesSpec(data.attrs, data.cards, k, tables, len(sets), JOINT_SUM if joint else NORM_SUM,
                      limit if n_dep > 0 else None, prior_of, class_prior)
 
 
@@ -235,7 +236,19 @@ def score_sql(df: DataFrame, model: FittedBayes, *, group_col: str | None = None
     cpc = F.col("_cp")
     prior_softmax = F.transform(cpc, lambda v: F.exp(v - F.array_max(cpc)) /
                                 F.aggregate(cpc, F.lit(0.0), lambda a, y: a + F.exp(y - F.array_max(cpc))))
-    if spec.combine == JOINT_SUM:
+    if spec.combine == NORM_SUM:
+        freq = const_doubles(model.freq)
+        prior_tids = const_ints([spec.prior_of[c] for c in comps])
+        limit = F.lit(float(spec.limit or 0.0))
+        act = F.transform(prior_tids, lambda t: F.element_at(freq, F.element_at(ix, t + 1)) >= limit)
+        post = F.transform(lpc, lambda row: F.transform(
+            row, lambda l: F.exp(l - F.array_max(row)) /
+            F.aggregate(row, F.lit(0.0), lambda a, y: a + F.exp(y - F.array_max(row)))))
+        step = step.select(*keep, "_cp", F.zip_with(post, act, lambda p, a: F.when(a, p).otherwise(
+            F.array_repeat(F.lit(0.0), k))).alias("_post"))
+        raw = F.transform(classes, lambda c: F.aggregate(F.col("_post"), F.lit(0.0),
+                                                          lambda acc, p: acc + F.element_at(p, c + 1)))
+    elif spec.combine == JOINT_SUM:
         freq = const_doubles(model.freq)
         prior_tids = const_ints([spec.prior_of[c] for c in comps])
         limit = F.lit(float(spec.limit or 0.0))
@@ -309,7 +322,7 @@ def _batch_scorer(model: FittedBayes, attrs: tuple[str, ...], group_col: str | N
         stride[j] = s * card
     cp_off, cp_stride = offs[spec.class_prior], sizes[spec.class_prior][0] * sizes[spec.class_prior][1]
     prior_pos = {tid: j for j, tid in enumerate(order)}
-    prior_cols = np.array([prior_pos[spec.prior_of[c]] for c in comps]) if spec.combine == JOINT_SUM else None
+    prior_cols = np.array([prior_pos[spec.prior_of[c]] for c in comps]) if spec.combine != SOFTMAX_AVG else None
     logtab, freq, size = model.logtab, model.freq, model.size
     limit = float(spec.limit or 0.0)
 
@@ -327,7 +340,12 @@ def _batch_scorer(model: FittedBayes, attrs: tuple[str, ...], group_col: str | N
                     lp[:, :, c] = np.add.reduceat(vals, starts, axis=1)
                 cpe = np.exp(cpl - cpl.max(axis=1, keepdims=True))
                 prior_p = cpe / cpe.sum(axis=1, keepdims=True)
-                if spec.combine == JOINT_SUM:
+                if spec.combine == NORM_SUM:
+                    act = freq[ix[:, prior_cols]] >= limit
+                    e = np.exp(lp - lp.max(axis=2, keepdims=True))
+                    post = e / e.sum(axis=2, keepdims=True)
+                    raw = np.where(act[:, :, None], post, 0.0).sum(axis=1)
+                elif spec.combine == JOINT_SUM:
                     act = freq[ix[:, prior_cols]] >= limit                 # n x comps
                     masked = np.where(act[:, :, None], lp, -np.inf)
                     mx = masked.reshape(n, -1).max(axis=1) if len(comps) else np.full(n, -np.inf)

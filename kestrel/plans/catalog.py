@@ -198,6 +198,7 @@ for _name, _view, _kw in [
     ("a1de_mest_score", "ninst", dict(n_dep=1, m_estimate=True, m=1.0)),
     ("a2de_score", "linst", dict(n_dep=2)),
     ("freq_limit_score", "linst", dict(n_dep=1, limit=1500.0)),
+    ("spnde_norm_score", "linst", dict(n_dep=1, limit=1500.0, joint=False)),
 ]:
     register(_name, O.bayes_score_sql(_view, _spec_for(_view, "ande", **_kw)))(_ande_score_q(_view, **_kw))
 
@@ -831,3 +832,56 @@ def _stream_counts(spark, sf):
     q = INC.start_count_stream(spark, f"{src}/*", schema, data, fams, sink, ckpt)
     q.awaitTermination()
     return INC.current_counts(spark, sink)
+
+
+# ------------------------------------------------------- primal SVM fits (W-2..W-5)
+def _primal_q(kind: str):
+    def q(spark, sf):
+        df = emb(spark, sf)
+        if kind == "nu_svc":
+            df = df.withColumn("label", F.when(F.col("label") < 5, 1.0).otherwise(-1.0))
+        theta = W.primal_fit(df, kind, max_iter=15, mus=(0.1,))
+        return spark.createDataFrame([(i, float(v)) for i, v in enumerate(theta)], "k INT, theta DOUBLE")
+    return q
+
+
+for _k in ("nu_svc", "one_class", "epsilon_svr", "nu_svr"):
+    register(f"{_k.replace('_svc', 'svc').replace('_svr', 'svr').replace('one_class', 'oneclass')}_fit")(
+        _primal_q(_k))
+
+
+# --------------------------------------------------- T-7, P-5, IO-8, IO-11
+@register("density_report", _SCALE_APPLY_SQL.rsplit("\nSELECT", 1)[0] + """
+SELECT (SELECT count(*) FROM ex WHERE v <> 0) AS nz_before, (SELECT count(*) FROM sc WHERE s <> 0) AS nz_after,
+       (SELECT count(*) FROM sc WHERE s <> 0) > (SELECT count(*) FROM ex WHERE v <> 0) AS grew""")
+def _density_report(spark, sf):
+    df = _li_sparse(spark, sf)
+    params, _ = P.scale_fit(df)
+    return P.density_report(df, P.scale_apply(df, params))
+
+
+@register("drop_single_valued", O.with_view("linst") + "\nSELECT a0, a1, a2, a3, a4, cls FROM linst")
+def _drop_single_valued(spark, sf):
+    data = view(spark, sf, "linst")
+    return P.drop_single_valued(data.df.select(*data.attrs, "cls"), list(data.attrs))
+
+
+@register("prediction_text", _svm_sql("rbf", "," + _OVO_DEC + """,
+votes AS (SELECT vec_id, CASE WHEN d > 0 THEN i ELSE j END AS w, count(*) AS n FROM dec GROUP BY vec_id, w),
+best AS (SELECT vec_id, w, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, w) AS r FROM votes)
+SELECT CAST(b.vec_id AS VARCHAR) || ' ' || CAST(CAST(l.label AS DOUBLE) AS VARCHAR) AS value
+FROM best b JOIN labs l ON b.w = l.sv WHERE r = 1"""))
+def _prediction_text(spark, sf):
+    """IO-8: ``id prediction`` lines of the batch scorer."""
+    m = _model(spark, sf)
+    pred = V.score_arrow(emb(spark, sf).withColumn("id", F.col("vec_id").cast("string")), m)
+    return L.prediction_text(pred)
+
+
+@register("file_range")
+def _file_range(spark, sf):
+    """IO-11: files of the table folder whose name is in [c, m) case-insensitively
+    (listing only; rows-only check)."""
+    files = spark.read.format("binaryFile").load(f"{sf.rstrip('/')}/*.parquet").select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    return N.select_file_range(files, "C", "m")

@@ -195,6 +195,17 @@ def bayes_prob_ctes(spec, k: int, keys: tuple[str, ...] = (), inst: str = "inst"
             f"mx AS (SELECT {rk}, max(lp) AS m FROM act GROUP BY {rk})",
             f"raw AS (SELECT {rk}, c, sum(exp(lp - m)) AS r FROM act JOIN mx USING ({rk}) GROUP BY {rk}, c)",
         ]
+    elif spec.combine == "norm_sum":
+        limit = spec.limit if spec.limit is not None else 0.0
+        ctes += [
+            f"""lp AS (SELECT {rk}, component, c, sum(logp) AS lp, max(CASE WHEN prior THEN freq END) AS f
+  FROM terms WHERE component >= 0 GROUP BY {rk}, component, c)""",
+            f"act AS (SELECT * FROM lp WHERE f >= {float(limit)!r})",
+            f"lm AS (SELECT {rk}, component, max(lp) AS m FROM act GROUP BY {rk}, component)",
+            f"le AS (SELECT {rk}, component, c, exp(lp - m) AS e FROM act JOIN lm USING ({rk}, component))",
+            f"lpost AS (SELECT {rk}, component, c, e / sum(e) OVER (PARTITION BY {rk}, component) AS p FROM le)",
+            f"raw AS (SELECT {rk}, c, sum(p) AS r FROM lpost GROUP BY {rk}, c)",
+        ]
     else:
         ctes += [
             f"""lp0 AS (SELECT {rk}, component, c, sum(logp) AS lp FROM terms WHERE component >= 0
