@@ -158,17 +158,59 @@ def _estimates(counts: DataFrame, spec: BayesSpec, n_groups: int, group_col: str
     return joined.select("g", "tid", "idx", logp.alias("logp"), F.sum("n").over(per_value).alias("freq"))
 
 
+def _estimate_numpy(cnt, spec: BayesSpec, n_groups: int, size: int, offs: list[int]):
+    """Log estimates of every table from the collected sparse counts (model-sized)."""
+    k = spec.n_classes
+    dense = np.zeros(size * n_groups)
+    pos = (cnt["g"].to_numpy(dtype=np.int64) * size + np.asarray(offs, dtype=np.int64)[cnt["tid"].to_numpy()]
+           + (cnt["cls"].to_numpy(dtype=np.int64) * 0))
+    sizes = spec.sizes()
+    s_arr = np.asarray([s for s, _ in sizes], dtype=np.int64)[cnt["tid"].to_numpy()]
+    c_arr = np.asarray([c for _, c in sizes], dtype=np.int64)[cnt["tid"].to_numpy()]
+    pos = pos + (cnt["cls"].to_numpy(dtype=np.int64) * s_arr + cnt["pidx"].to_numpy(dtype=np.int64)) * c_arr \
+        + cnt["v"].to_numpy(dtype=np.int64)
+    np.add.at(dense, pos, cnt["n"].to_numpy(dtype=float))
+    logtab = np.empty_like(dense)
+    freq = np.empty_like(dense)
+    blocks = dense.reshape(n_groups, size)
+    lt, fq = logtab.reshape(n_groups, size), freq.reshape(n_groups, size)
+    for tid, (t, (s, card)) in enumerate(zip(spec.tables, sizes)):
+        a, b = offs[tid], offs[tid] + k * s * card
+        n = blocks[:, a:b].reshape(n_groups, k, s, card)
+        if t.prior:
+            den = n.sum(axis=(1, 2, 3), keepdims=True) + t.a0 * k * s * card
+        else:
+            den = n.sum(axis=3, keepdims=True) + t.a0 * card
+        num = n + t.a0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            val = np.where(num == 0, np.where(den == 0, np.nan, -np.inf), np.log(num / np.where(den == 0, 1, den)))
+        lt[:, a:b] = val.reshape(n_groups, -1)
+        fq[:, a:b] = np.broadcast_to(n.sum(axis=1, keepdims=True), n.shape).reshape(n_groups, -1)
+    return logtab, freq
+
+
 def fit(data: NominalData, spec: BayesSpec, *, group_col: str | None = None, n_groups: int = 1,
-        counts: DataFrame | None = None) -> FittedBayes:
+        counts: DataFrame | None = None, estimate_in_spark: bool = False) -> FittedBayes:
     """Count (one aggregation over the data) and estimate every table.  With
     ``group_col`` one model per group value 0..n_groups-1 is estimated from ``counts``
-    (already keyed by that column, e.g. the training counts of each CV fold)."""
+    (already keyed by that column, e.g. the training counts of each CV fold).
+
+    The sparse count table is model-sized (at most ``size * n_groups`` cells, checked
+    before any job runs); by default it is collected and turned into log estimates
+    with NumPy, as Spark ML estimators do with their aggregated statistics.
+    ``estimate_in_spark`` computes the same estimates as a DataFrame (dense domain
+    from ``sequence``, left join, window sums) before collecting them."""
     offs, size = spec.offsets()
     if size * n_groups > MAX_LITERAL_CELLS:
         raise ValueError(f"model of {size * n_groups} cells exceeds {MAX_LITERAL_CELLS}")
     if counts is None:
         counts = count_families(data, [(tid, t.family) for tid, t in enumerate(spec.tables)],
                                 keys=(group_col,) if group_col else ())
+    if not estimate_in_spark:
+        g = F.col(group_col).cast("int") if group_col else F.lit(0)
+        cnt = counts.select(g.alias("g"), F.col("component").alias("tid"), "cls", "pidx", "v", "n").toPandas()
+        logtab, freq = _estimate_numpy(cnt, spec, n_groups, size, offs)
+        return FittedBayes(spec, logtab, freq, size, n_groups)
     est = _estimates(counts, spec, n_groups, group_col).toPandas()
     logtab = np.empty(size * n_groups)
     freq = np.zeros(size * n_groups)

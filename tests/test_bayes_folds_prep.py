@@ -70,3 +70,11 @@ def test_mdl_cut_on_separable_histogram():
     assert P._mdl_cuts(values, counts) == [4.5]
     mixed = np.array([[10, 10]] * 10, dtype=float)
     assert P._mdl_cuts(values, mixed) == []
+
+
+def test_driver_and_spark_estimates_agree(spark):
+    data = linst(spark, SF001)
+    for spec in (B.ande_spec(data, n_dep=2), B.ande_spec(data, n_dep=1, m_estimate=True, m=2.0)):
+        a = B.fit(data, spec)
+        b = B.fit(data, spec, estimate_in_spark=True)
+        assert np.allclose(a.logtab, b.logtab, atol=1e-12) and np.allclose(a.freq, b.freq)
