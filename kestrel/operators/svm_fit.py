@@ -321,3 +321,44 @@ def primal_fit(df: DataFrame, kind: str, *, features: str = "features", label: s
             if converged:
                 break
     return theta
+
+
+# ------------------------------------------------ W-8 out-of-fold Platt inputs
+def out_of_fold_decisions(df: DataFrame, fit_fn, *, n_folds: int = 5, rid: str = "rid",
+                          features: str = "features", label: str = "label", seed: int = 1) -> DataFrame:
+    """W-8: decision values of every row from the model fitted without its fold
+    (plain shuffled folds, E-3), signs aligned so that positive favours the label
+    > 0 class.  ``fit_fn(train_df) -> SvmModel`` is called once per fold; a fold
+    whose training part holds one class only gets the constant ±1 decision.
+    Returns (rid, label, dec)."""
+    from kestrel.operators import svm as V
+    from kestrel.operators.folds import plain_folds
+
+    rows = plain_folds(df, n_folds, rid=rid, seed=seed)
+    parts = []
+    for f in range(n_folds):
+        train = rows.where(F.col("fold") != f)
+        test = rows.where(F.col("fold") == f)
+        have = {r[0] for r in train.select((F.col(label) > 0).alias("p")).distinct().collect()}
+        if have == {True}:
+            parts.append(test.select(rid, label, F.lit(1.0).alias("dec")))
+            continue
+        if have == {False}:
+            parts.append(test.select(rid, label, F.lit(-1.0).alias("dec")))
+            continue
+        if not have:
+            continue
+        model = fit_fn(train)
+        sign = 1.0 if model.labels and model.labels[0] > 0 else -1.0
+        scored = V.score_arrow(test, model, features=features, keep=(rid, label), with_decisions=True)
+        parts.append(scored.select(rid, label, (F.element_at("dec", 1) * sign).alias("dec")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def probability_fit(df: DataFrame, fit_fn, **kw) -> tuple[float, float]:
+    """W-7 over W-8: Platt parameters from out-of-fold decision values."""
+    dec = out_of_fold_decisions(df, fit_fn, **kw)
+    return platt_fit(dec, dec="dec", label=kw.get("label", "label"))

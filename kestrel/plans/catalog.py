@@ -885,3 +885,16 @@ def _file_range(spark, sf):
     files = spark.read.format("binaryFile").load(f"{sf.rstrip('/')}/*.parquet").select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
     return N.select_file_range(files, "C", "m")
+
+
+@register("oof_platt")
+def _oof_platt(spark, sf):
+    """W-8 + W-7: 5-fold out-of-fold decision values of the (binary) centroid model,
+    then Platt scaling (iterative; rows-only check)."""
+    df = emb(spark, sf).withColumn("label", F.when(F.col("label") < 5, 1).otherwise(-1))
+
+    def fit_fn(train):
+        return V.centroid_model(train, "label", "features", svm_type="c_svc", kernel_type="rbf")
+
+    a, b = W.probability_fit(df, fit_fn, rid="vec_id")
+    return spark.createDataFrame([(float(a), float(b))], "A DOUBLE, B DOUBLE")
