@@ -45,6 +45,7 @@ class LogTable:
     family: Family
     prior: bool                  # normalise over all cells (joint prior) or per parent code
     a0: float                    # pseudo-count added to every cell
+    class_norm: bool = False     # class as the child: normalise over classes per parent code
 
 
 @dataclass
@@ -100,23 +101,32 @@ def ande_spec(data: NominalData, n_dep: int = 1, *, m_estimate: bool = False, m:
 
 
 def rbnc_spec(data: NominalData, structure_rows, alpha: float = 0.5) -> BayesSpec:
-    """Random-network ensemble (B-4): every attribute row of the structure is a
-    conditional table with pseudo-count alpha; the class node is the shared prior
-    (F(c)+alpha)/(N+alpha*K).  Structures with the class as a parent (B-1, B-2)."""
+    """Random-network ensemble (B-4): every node's CPT with pseudo-count alpha.
+
+    B-1 / B-2 structures (class a parent of every attribute): one conditional table
+    per attribute, the class node is the shared prior (F(c)+alpha)/(N+alpha*K).
+    B-3 structures (class anywhere): the class node's table P(c | its parents) is
+    normalised over the classes; attributes with the class among their parents give
+    conditional tables; the others do not depend on the class and cancel in the
+    per-component normalisation, so they are left out."""
     d = data.d
     tables = []
     comps = sorted({int(r[0]) for r in structure_rows})
     index = {c: i for i, c in enumerate(comps)}
+    free = any(int(att) != d and d not in [int(p) for p in parents] for _, att, parents in structure_rows)
     for comp, att, parents in structure_rows:
+        ps = tuple(sorted(int(p) for p in parents if int(p) != d))
         if int(att) == d:
+            if free:
+                tables.append(LogTable(index[int(comp)], Family(-1, ps), False, alpha, class_norm=True))
             continue
-        ps = [int(p) for p in parents]
-        if d not in ps:
-            raise ValueError("rbnc scoring needs the class among every attribute's parents (B-1/B-2)")
-        tables.append(LogTable(index[int(comp)], Family(int(att), tuple(sorted(p for p in ps if p != d))),
-                               False, alpha))
-    class_prior = len(tables)
-    tables.append(LogTable(-1, Family(-1, ()), True, alpha))
+        if d not in [int(p) for p in parents]:
+            continue
+        tables.append(LogTable(index[int(comp)], Family(int(att), ps), False, alpha))
+    class_prior = None
+    if not free:
+        class_prior = len(tables)
+        tables.append(LogTable(-1, Family(-1, ()), True, alpha))
     return BayesSpec(data.attrs, data.cards, data.n_classes, tables, len(comps), SOFTMAX_AVG,
                      None, {}, class_prior)
 
@@ -179,6 +189,8 @@ def _estimate_numpy(cnt, spec: BayesSpec, n_groups: int, size: int, offs: list[i
         n = blocks[:, a:b].reshape(n_groups, k, s, card)
         if t.prior:
             den = n.sum(axis=(1, 2, 3), keepdims=True) + t.a0 * k * s * card
+        elif t.class_norm:
+            den = n.sum(axis=(1, 3), keepdims=True) + t.a0 * k * card
         else:
             den = n.sum(axis=3, keepdims=True) + t.a0 * card
         num = n + t.a0
@@ -206,6 +218,8 @@ def fit(data: NominalData, spec: BayesSpec, *, group_col: str | None = None, n_g
     if counts is None:
         counts = count_families(data, [(tid, t.family) for tid, t in enumerate(spec.tables)],
                                 keys=(group_col,) if group_col else ())
+    if estimate_in_spark and any(t.class_norm for t in spec.tables):
+        raise ValueError("class-normalised tables are estimated on the collected counts only")
     if not estimate_in_spark:
         g = F.col(group_col).cast("int") if group_col else F.lit(0)
         cnt = counts.select(g.alias("g"), F.col("component").alias("tid"), "cls", "pidx", "v", "n").toPandas()
@@ -265,11 +279,12 @@ def score_sql(df: DataFrame, model: FittedBayes, *, group_col: str | None = None
     def cell(t, c):
         return F.element_at(tab, F.element_at(ix, t + 1) + c * F.element_at(strides, t + 1))
 
-    cp_t = F.lit(spec.class_prior)
+    cp_t = F.lit(spec.class_prior if spec.class_prior is not None else 0)
+    has_cp = spec.class_prior is not None
     step = df.select(*keep, F.array(*[_base_index(spec, tid, offs, base) for tid in range(len(spec.tables))])
                      .alias("_ix"))
-    cp = F.transform(classes, lambda c: cell(cp_t, c))
-    init = (lambda c: cell(cp_t, c)) if spec.combine == SOFTMAX_AVG else (lambda c: F.lit(0.0))
+    cp = F.transform(classes, lambda c: cell(cp_t, c)) if has_cp else F.array_repeat(F.lit(0.0), k)
+    init = (lambda c: cell(cp_t, c)) if (spec.combine == SOFTMAX_AVG and has_cp) else (lambda c: F.lit(0.0))
     # log score per component and class: [comp][c]
     lp = F.transform(comp_tabs, lambda ts: F.transform(
         classes, lambda c: F.aggregate(ts, init(c), lambda acc, t: acc + cell(t, c))))
@@ -362,7 +377,9 @@ def _batch_scorer(model: FittedBayes, attrs: tuple[str, ...], group_col: str | N
             mult[t.family.att, j] += 1
         const[j] = offs[tid]
         stride[j] = s * card
-    cp_off, cp_stride = offs[spec.class_prior], sizes[spec.class_prior][0] * sizes[spec.class_prior][1]
+    has_cp = spec.class_prior is not None
+    cp_off = offs[spec.class_prior] if has_cp else 0
+    cp_stride = sizes[spec.class_prior][0] * sizes[spec.class_prior][1] if has_cp else 0
     prior_pos = {tid: j for j, tid in enumerate(order)}
     prior_cols = np.array([prior_pos[spec.prior_of[c]] for c in comps]) if spec.combine != SOFTMAX_AVG else None
     logtab, freq, size = model.logtab, model.freq, model.size
@@ -375,7 +392,8 @@ def _batch_scorer(model: FittedBayes, attrs: tuple[str, ...], group_col: str | N
             base = (pdf[group_col].to_numpy(dtype=np.int64) * size) if group_col else np.zeros(n, np.int64)
             ix = x @ mult + const + base[:, None]                       # n x T, class 0
             lp = np.empty((n, len(comps), k))
-            cpl = np.stack([logtab[base + cp_off + c * cp_stride] for c in range(k)], axis=1)  # n x K
+            cpl = (np.stack([logtab[base + cp_off + c * cp_stride] for c in range(k)], axis=1)  # n x K
+                   if has_cp else np.zeros((n, k)))
             with np.errstate(invalid="ignore", over="ignore"):
                 for c in range(k):
                     vals = logtab[ix + c * stride]

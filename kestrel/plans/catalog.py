@@ -223,10 +223,10 @@ def _rbnc_sql(view_name: str, size: int, m: int, alpha: float) -> str:
          list_filter(parents, lambda p: p <> {d}) AS ap,
          CAST(list_reduce(list_transform(list_filter(parents, lambda p: p <> {d}), lambda p: {O.cards_sql(view_name)}[p + 1]),
                      lambda a, b: a * b, 1) AS INTEGER) AS S,
-         {O.cards_sql(view_name)}[att + 1] AS card, {alpha!r} AS a0, FALSE AS prior
+         {O.cards_sql(view_name)}[att + 1] AS card, {alpha!r} AS a0, FALSE AS prior, FALSE AS cn
   FROM struct WHERE att < {d}
-  UNION ALL SELECT 100000, -1, -1, []::INTEGER[], 1, 1, {alpha!r}, TRUE)"""
-    spec = B.BayesSpec(attrs, cards, k, [], size, B.SOFTMAX_AVG)
+  UNION ALL SELECT 100000, -1, -1, []::INTEGER[], 1, 1, {alpha!r}, TRUE, FALSE)"""
+    spec = B.BayesSpec(attrs, cards, k, [], size, B.SOFTMAX_AVG, class_prior=100000)
     model = O.bayes_model_ctes(view_name, spec)[1:]   # counting/estimation over ``tabs``
     return O.with_view(view_name, O.inst_cte(view_name), O.atts_cte(view_name),
                        *O.structure_shuffled_ctes(d, size, m, SEED), tabs, *model,
@@ -898,3 +898,35 @@ def _oof_platt(spark, sf):
 
     a, b = W.probability_fit(df, fit_fn, rid="vec_id")
     return spark.createDataFrame([(float(a), float(b))], "A DOUBLE, B DOUBLE")
+
+
+def _rbnc_free_sql(view_name: str, size: int, m: int, alpha: float) -> str:
+    """B-3 + B-5 oracle: free structure in SQL; class node normalised over classes,
+    attributes without the class parent left out (constant in c)."""
+    attrs, cards, k = O.meta(view_name)
+    d = len(attrs)
+    cs = O.cards_sql(view_name)
+    tabs = f"""tabs AS (
+  SELECT CAST(row_number() OVER (ORDER BY component, att) - 1 AS INTEGER) AS tid, component,
+         CASE WHEN att = {d} THEN -1 ELSE att END AS att,
+         list_filter(parents, lambda p: p <> {d}) AS ap,
+         CAST(list_reduce(list_transform(list_filter(parents, lambda p: p <> {d}), lambda p: {cs}[p + 1]),
+                     lambda a, b: a * b, 1) AS INTEGER) AS S,
+         CASE WHEN att = {d} THEN 1 ELSE {cs}[att + 1] END AS card, {alpha!r} AS a0, FALSE AS prior,
+         att = {d} AS cn
+  FROM struct WHERE att = {d} OR list_contains(parents, {d}))"""
+    spec = B.BayesSpec(attrs, cards, k, [], size, B.SOFTMAX_AVG, None, {}, None)
+    model = O.bayes_model_ctes(view_name, spec)[1:]
+    return O.with_view(view_name, O.inst_cte(view_name), O.atts_cte(view_name),
+                       *O.structure_free_ctes(d, size, m, SEED), tabs, *model,
+                       O.bayes_terms_cte(view_name, spec), *O.bayes_prob_ctes(spec, k)) + \
+        "\nSELECT rid, CAST(cls AS INTEGER) AS cls, round(prob, 6) AS prob FROM probs"
+
+
+@register("rbnc_free_score", _rbnc_free_sql("ninst", RBNC_SIZE, RBNC_PARENTS, 0.5))
+def _rbnc_free_score(spark, sf):
+    """B-3 structures scored with every class value substituted (B-5, B-6)."""
+    data = view(spark, sf, "ninst")
+    st = S.random_structure_free(declared_attributes(data), data.d, RBNC_SIZE, RBNC_PARENTS, SEED)
+    model = B.fit(data, B.rbnc_spec(data, C.collect_structure(st), alpha=0.5))
+    return B.long_probabilities(B.score(data.df, model))

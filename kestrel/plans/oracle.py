@@ -120,9 +120,9 @@ def tabs_cte(spec, name: str = "tabs") -> str:
     for tid, (t, (s, card)) in enumerate(zip(spec.tables, spec.sizes())):
         ap = "[" + ", ".join(str(p) for p in t.family.parents) + "]::INTEGER[]"
         rows.append(f"({tid}, {t.component}, {t.family.att}, {ap}, {s}, {card}, {float(t.a0)!r}, "
-                    f"{'TRUE' if t.prior else 'FALSE'})")
+                    f"{'TRUE' if t.prior else 'FALSE'}, {'TRUE' if t.class_norm else 'FALSE'})")
     return (f"{name} AS (SELECT * FROM (VALUES {', '.join(rows)}) "
-            "t(tid, component, att, ap, S, card, a0, prior))")
+            "t(tid, component, att, ap, S, card, a0, prior, cn))")
 
 
 def bayes_model_ctes(view: str, spec, inst: str = "inst", keys: tuple[str, ...] = (),
@@ -149,7 +149,7 @@ def bayes_model_ctes(view: str, spec, inst: str = "inst", keys: tuple[str, ...]
         ctes.append(groups)
     src = "tabs CROSS JOIN grp" if keys else "tabs"
     ctes += [
-        f"""dense AS (SELECT {kk}tid, S, card, a0, prior, CAST(unnest(range(S * card * {k})) AS INTEGER) AS idx
+        f"""dense AS (SELECT {kk}tid, S, card, a0, prior, cn, CAST(unnest(range(S * card * {k})) AS INTEGER) AS idx
   FROM {src})""",
         f"""est0 AS (SELECT d.*, d.idx // (d.S * d.card) AS cls, (d.idx // d.card) % d.S AS pidx, d.idx % d.card AS v
   FROM dense d)""",
@@ -157,6 +157,7 @@ def bayes_model_ctes(view: str, spec, inst: str = "inst", keys: tuple[str, ...]
   USING ({kk}tid, cls, pidx, v))""",
         f"""est AS (SELECT {kk}tid, cls, pidx, v,
   ln((n + a0) / CASE WHEN prior THEN sum(n) OVER ({pt}tid) + a0 * S * card * {k}
+                     WHEN cn THEN sum(n) OVER ({pt}tid, pidx) + a0 * {k}
                      ELSE sum(n) OVER ({pt}tid, cls, pidx) + a0 * card END) AS logp,
   sum(n) OVER ({pt}tid, pidx, v) AS freq
   FROM est1)""",
@@ -210,8 +211,8 @@ def bayes_prob_ctes(spec, k: int, keys: tuple[str, ...] = (), inst: str = "inst"
         ctes += [
             f"""lp0 AS (SELECT {rk}, component, c, sum(logp) AS lp FROM terms WHERE component >= 0
   GROUP BY {rk}, component, c)""",
-            f"""lp AS (SELECT {', '.join('x.' + c for c in ('rid',) + tuple(keys))}, x.component, x.c, x.lp + y.logp AS lp
-  FROM lp0 x JOIN cpt y ON x.c = y.c{kon})""",
+            (f"""lp AS (SELECT {', '.join('x.' + c for c in ('rid',) + tuple(keys))}, x.component, x.c, x.lp + y.logp AS lp
+  FROM lp0 x JOIN cpt y ON x.c = y.c{kon})""" if spec.class_prior is not None else "lp AS (SELECT * FROM lp0)"),
             f"lm AS (SELECT {rk}, component, max(lp) AS m FROM lp GROUP BY {rk}, component)",
             f"le AS (SELECT {rk}, component, c, exp(lp - m) AS e FROM lp JOIN lm USING ({rk}, component))",
             f"lpost AS (SELECT {rk}, component, c, e / sum(e) OVER (PARTITION BY {rk}, component) AS p FROM le)",
