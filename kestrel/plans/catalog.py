@@ -930,3 +930,46 @@ def _rbnc_free_score(spark, sf):
     st = S.random_structure_free(declared_attributes(data), data.d, RBNC_SIZE, RBNC_PARENTS, SEED)
     model = B.fit(data, B.rbnc_spec(data, C.collect_structure(st), alpha=0.5))
     return B.long_probabilities(B.score(data.df, model))
+
+
+# ------------------------------------------------ P-1, P-2, IO-9, T-2 apply
+def _ninst_with_missing(spark, sf):
+    """ninst with a missing class (order key % 11 = 0) and a missing attribute
+    (order key % 7 = 0) injected, as the driver tables hold no NULLs."""
+    data = view(spark, sf, "ninst")
+    df = data.df.select("rid", F.when(F.col("rid") % 7 == 0, None).otherwise(F.col("a0")).alias("a0"),
+                        "a1", "a2", "a3", "a4",
+                        F.when(F.col("rid") % 11 == 0, None).otherwise(F.col("cls")).alias("cls"))
+    return data.with_df(df)
+
+
+@register("drop_missing_class", O.with_view("ninst") + """
+SELECT rid, CASE WHEN rid % 7 = 0 THEN NULL ELSE a0 END AS a0, a1, a2, a3, a4, cls FROM ninst WHERE rid % 11 <> 0""")
+def _drop_missing_class(spark, sf):
+    return N.drop_missing_class(_ninst_with_missing(spark, sf)).df
+
+
+@register("reject_missing", O.with_view("ninst") + """
+SELECT rid, a0, a1, a2, a3, a4, CASE WHEN rid % 11 = 0 THEN NULL ELSE cls END AS cls FROM ninst WHERE rid % 7 <> 0""")
+def _reject_missing(spark, sf):
+    return N.reject_missing(_ninst_with_missing(spark, sf), on_missing="drop").df
+
+
+@register("model_text_roundtrip", ORACLE["oneclass_score"])
+def _model_text_roundtrip(spark, sf):
+    """IO-9: the model written in the text format, read back through Spark, scored."""
+    m = _model(spark, sf, "one_class", "rbf", SVM_RHO_ONE_CLASS)
+    path = MIO.scratch_path(spark, "svm-model")
+    spark.createDataFrame([(V.model_to_text(m),)], "value STRING").coalesce(1).write.text(path)
+    back = V.read_model(spark, path)
+    return V.score_arrow(emb(spark, sf).withColumnRenamed("vec_id", "id"), back)
+
+
+@register("mdl_apply")
+def _mdl_apply(spark, sf):
+    """T-2 applied: lineitem numeric columns replaced by their MDL bin (rows-only)."""
+    li = read_table(spark, sf, "lineitem").withColumn(
+        "cls", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    cuts = {r["att"]: list(r["cuts"]) for r in P.mdl_cuts(li, cols, "cls", 3).collect()}
+    return P.mdl_apply(li.select("l_orderkey", "l_linenumber", *cols), cols, cuts)
