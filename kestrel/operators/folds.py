@@ -21,10 +21,7 @@ from kestrel.functions.hashing import h
 BUCKET_HEX_DIGITS = 3
 
 
-def bucketed_rank(df: DataFrame, groups: list[str], key: Column, tiebreak: str,
-                  name: str = "_rank", digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
-    """Adds ``name`` = 0-based rank of each row inside ``groups`` ordered by
-    (key, tiebreak), plus ``_n`` = the size of the row's group."""
+def _bucketed(df: DataFrame, groups: list[str], key: Column, tiebreak: str, name: str, digits: int):
     keyed = df.withColumn("_key", key).withColumn("_b", F.substring("_key", 1, digits))
     sizes = keyed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     run = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,7 +32,16 @@ def bucketed_rank(df: DataFrame, groups: list[str], key: Column, tiebreak: str,
     ranked = keyed.withColumn("_rn", F.row_number().over(inner) - 1)
     # (group, bucket) table: at most groups x 16^digits rows
     out = ranked.join(F.broadcast(offsets), [*groups, "_b"])
-    return out.withColumn(name, (F.col("_off") + F.col("_rn")).cast("long")).drop("_key", "_b", "_rn", "_off")
+    out = out.withColumn(name, (F.col("_off") + F.col("_rn")).cast("long")).drop("_key", "_b", "_rn", "_off")
+    group_sizes = sizes.groupBy(*groups).agg(F.sum("_cnt").alias("_n"))
+    return out, group_sizes
+
+
+def bucketed_rank(df: DataFrame, groups: list[str], key: Column, tiebreak: str,
+                  name: str = "_rank", digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
+    """Adds ``name`` = 0-based rank of each row inside ``groups`` ordered by
+    (key, tiebreak), plus ``_n`` = the size of the row's group."""
+    return _bucketed(df, groups, key, tiebreak, name, digits)[0]
 
 
 def with_repeats(df: DataFrame, repeats: int, name: str = "rep") -> DataFrame:
@@ -49,8 +55,8 @@ def interleaved_folds(df: DataFrame, k: int, *, rid: str = "rid", cls: str = "cl
     uses seed + rep."""
     reps = [rep] if rep else []
     s = (F.col(rep) + F.lit(seed)) if rep else F.lit(seed)
-    ranked = bucketed_rank(df, [*reps, cls], h(s, F.col(rid)), rid)
-    class_sizes = ranked.select(*reps, cls, "_n").distinct()
+    ranked, class_sizes = _bucketed(df, [*reps, cls], h(s, F.col(rid)), rid, "_rank", BUCKET_HEX_DIGITS)
+    # class offsets from the small (group, bucket) count table, not from the rows
     before = Window.partitionBy(*reps).orderBy(cls).rowsBetween(Window.unboundedPreceding, -1)
     offs = class_sizes.select(*reps, cls, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_coff"))
     out = ranked.join(F.broadcast(offs), [*reps, cls])
