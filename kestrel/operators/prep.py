@@ -141,25 +141,37 @@ def drop_single_valued(df: DataFrame, cols: list[str]) -> DataFrame:
 # ------------------------------------------------------------- T-4 .. T-7 scaling
 def scale_fit(df: DataFrame, idx: str = "idx", val: str = "val", label: str | None = "label") -> tuple[DataFrame, dict]:
     """T-4: per feature index min / max over all rows, an absent entry counting as 0.
-    Returns the parameter table (att, fmin, fmax) of every index 1..max_index and the
-    totals {n, max_index, y_min, y_max}."""
-    tot = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(idx)).alias("max_index"),
-                 *([F.min(label).alias("y_min"), F.max(label).alias("y_max")] if label else [])).first()
-    n, max_index = int(tot["n"]), int(tot["max_index"] or 0)
-    ent = df.select(F.inline_outer(F.arrays_zip(F.col(idx).alias("att"), F.col(val).alias("v"))))
-    per = ent.where(F.col("att").isNotNull()).groupBy("att").agg(
-        F.min("v").alias("mn"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("cnt"))
-    spark = df.sparkSession
-    allidx = spark.range(1, max_index + 1).select(F.col("id").cast("int").alias("att"))
-    params = allidx.join(per, "att", "left").select(
-        "att",
-        F.when(F.col("cnt").isNull(), 0.0).when(F.col("cnt") < n, F.least("mn", F.lit(0.0))).otherwise(F.col("mn"))
-        .alias("fmin"),
-        F.when(F.col("cnt").isNull(), 0.0).when(F.col("cnt") < n, F.greatest("mx", F.lit(0.0))).otherwise(F.col("mx"))
-        .alias("fmax"))
+
+    One pass: entries are exploded (an empty vector still yields one row) and grouped
+    by index; each group also counts the rows it saw first (position 0 or empty), so
+    the row total, the largest index and the target range come out of the same
+    feature-sized result.  Returns the parameter table (att, fmin, fmax) of every
+    index 1..max_index and the totals {n, max_index, y_min, y_max}."""
+    ent = df.select((F.col(label).cast("double") if label else F.lit(None).cast("double")).alias("_y"),
+                    F.posexplode_outer(F.arrays_zip(F.col(idx).alias("att"), F.col(val).alias("v"))).alias("_p", "_e"))
+    per = ent.groupBy(F.col("_e.att").alias("att")).agg(
+        F.min("_e.v").alias("mn"), F.max("_e.v").alias("mx"),
+        F.count("_e.v").alias("cnt"),
+        F.sum(F.when(F.col("_p").isNull() | (F.col("_p") == 0), 1).otherwise(0)).alias("first"),
+        F.min("_y").alias("ymn"), F.max("_y").alias("ymx"))
+    stats = per.toPandas()            # one row per feature index (+ one for empty rows)
+    n = int(stats["first"].sum())
+    have = stats[stats["att"].notna()]
+    max_index = int(have["att"].max()) if len(have) else 0
+    rows = {int(r.att): r for r in have.itertuples()}
+    out = []
+    for a in range(1, max_index + 1):
+        r = rows.get(a)
+        if r is None:
+            out.append((a, 0.0, 0.0))
+        elif r.cnt < n:
+            out.append((a, min(float(r.mn), 0.0), max(float(r.mx), 0.0)))
+        else:
+            out.append((a, float(r.mn), float(r.mx)))
+    params = df.sparkSession.createDataFrame(out, "att INT, fmin DOUBLE, fmax DOUBLE")
     info = {"n": n, "max_index": max_index}
     if label:
-        info.update(y_min=tot["y_min"], y_max=tot["y_max"])
+        info.update(y_min=float(stats["ymn"].min()), y_max=float(stats["ymx"].max()))
     return params, info
 
 
