@@ -10,9 +10,10 @@ over the parents in ascending order (mixed-radix parent code, P-3).  Naive Bayes
 A1DE/A2DE super-parent counts and random-network CPTs are different family lists over
 the same aggregation.
 
-Plan shape: scan -> project -> Generate(inline: one struct per distinct family) ->
-partial HashAggregate -> Exchange(hash on the cell key) -> final HashAggregate ->
-broadcast join to the (family -> component) map.  The partial aggregate is the
+Plan shape: scan -> project -> [partial/final HashAggregate of identical tuples, when
+the declared tuple domain is small] -> Generate(inline: one struct per distinct
+family) -> partial HashAggregate -> Exchange(hash on the cell key) -> final
+HashAggregate -> broadcast join to the (family -> component) map.  The partial aggregate is the
 in-mapper combiner: per task the hash table holds at most the number of distinct
 cells, which is bounded by the model (sum over families of K * S * card), not by
 the data; a hot cell is collapsed map-side before the shuffle.
@@ -35,6 +36,9 @@ EXPLICIT_FAMILY_LIMIT = 400
 # Largest (component, family) map that is broadcast; it is model metadata whose
 # size is known on the driver before any job runs.
 BROADCAST_MAP_LIMIT = 1_000_000
+# Tuple domains (product of cardinalities x classes) up to this size are collapsed to
+# weighted distinct tuples before the family explode.
+COLLAPSE_DOMAIN_LIMIT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -114,11 +118,28 @@ def _hof_cells(data: NominalData, fams: list[Family], class_digit: bool) -> Colu
     return F.inline_outer(F.transform(_literal_families(fams, data.d), cell))
 
 
+def _collapse_pays(data: NominalData, keys: tuple[str, ...]) -> bool:
+    """Collapsing identical tuples first is a sure win when the tuple domain — known
+    from the declared cardinalities — is small: the map-side partial aggregate then
+    holds at most that many rows per task, and the family explode runs on distinct
+    tuples only."""
+    if keys:
+        return False
+    size = data.n_classes
+    for c in data.cards:
+        size *= c
+        if size > COLLAPSE_DOMAIN_LIMIT:
+            return False
+    return True
+
+
 def count_cells(data: NominalData, fams: list[Family], *, keys: tuple[str, ...] = (),
-                include_class_digit: bool = False, collapse_duplicates: bool = False) -> DataFrame:
+                include_class_digit: bool = False, collapse_duplicates: bool | str = "auto") -> DataFrame:
     """Cells of the distinct families: (keys..., fid, cls, pidx, v, n)."""
     df = data.df
     w = data.w()
+    if collapse_duplicates == "auto":
+        collapse_duplicates = _collapse_pays(data, keys)
     if collapse_duplicates:
         # identical tuples first (wins when the tuple domain is small); one extra shuffle
         df = df.groupBy(*keys, *data.attrs, data.cls).agg(F.sum(w).alias("_w"))
@@ -132,7 +153,7 @@ def count_cells(data: NominalData, fams: list[Family], *, keys: tuple[str, ...]
 
 def count_families(data: NominalData, comp_fams: list[tuple[int, Family]], *,
                    keys: tuple[str, ...] = (), include_class_digit: bool = False,
-                   collapse_duplicates: bool = False) -> DataFrame:
+                   collapse_duplicates: bool | str = "auto") -> DataFrame:
     """C-1 / C-5: ``(keys..., component, att, cls, pidx, v, n)`` sparse count table.
 
     Families shared by several components are counted once and fanned out after the
