@@ -1,4 +1,4 @@
-"""SVM fitting re-aimed as distributed jobs (W-1, W-6, W-7, W-9 .. W-12).
+"""SVM fitting re-aimed as distributed jobs (W-1 .. W-12).
 
 The reference trains with a single-machine dual solver.  Here every fit is a loop
 on the driver whose iterations are single aggregations over the data (the driver
