@@ -22,6 +22,6 @@ def h_sql(*parts: str) -> str:
     return "md5(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "))"
 
 
-def h_int(*parts, bits: int = 31) -> Column:
+def h_int(*parts) -> Column:
     """A non-negative integer drawn from the md5 key (first 7 hex digits)."""
     return F.conv(F.substring(h(*parts), 1, 7), 16, 10).cast("long")

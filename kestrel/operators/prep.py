@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kestrel.functions.arrays import MAX_LITERAL_CELLS, const_doubles
-from kestrel.functions.hashing import h
+from kestrel.functions.hashing import h, h_int
 from kestrel.operators.folds import bucketed_rank
 
 
@@ -277,7 +277,7 @@ def label_noise(df: DataFrame, rate: float, n_classes: int, *, rid: str = "rid",
     if n_classes < 2:
         raise ValueError("label noise needs at least two classes")
     ranked = bucketed_rank(df.withColumn("_all", F.lit(0)), ["_all"], h(seed, F.col(rid)), rid)
-    u = F.conv(F.substring(h(seed, "c", F.col(rid)), 1, 7), 16, 10).cast("long")
+    u = h_int(seed, "c", F.col(rid))
     flip = F.col("_rank") < F.floor(F.col("_n") * F.lit(rate))
     new = ((F.col(cls) + 1 + u % (n_classes - 1)) % n_classes).cast(df.schema[cls].dataType)
     return ranked.withColumn(cls, F.when(flip, new).otherwise(F.col(cls))).drop("_rank", "_n", "_all")
