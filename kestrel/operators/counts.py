@@ -24,15 +24,19 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.sources.nominal import NominalData
 
 COUNT_COLUMNS = ("component", "att", "cls", "pidx", "v", "n")
-# Above this many distinct families the per-family expressions are replaced by one
-# higher-order expression over a literal family array (keeps generated code small).
+# Above this many distinct families the per-family expressions (generated code grows
+# with the family count) are replaced by vectorised per-batch partial counts.
 EXPLICIT_FAMILY_LIMIT = 400
+ARROW_FAMILY_CHUNK = 256            # families per index matrix inside a batch
+BINCOUNT_LIMIT = 1 << 24            # dense per-batch accumulator size (cells)
 # Largest (component, family) map that is broadcast; it is model metadata whose
 # size is known on the driver before any job runs.
 BROADCAST_MAP_LIMIT = 1_000_000
@@ -101,6 +105,101 @@ def _literal_families(fams: list[Family], d: int) -> Column:
     return F.from_json(F.lit(payload), "array<struct<fid:int,att:int,parents:array<int>,cp:boolean>>")
 
 
+def _arrow_cells(data: NominalData, df: DataFrame, w: Column, fams: list[Family], keys: tuple[str, ...],
+                 class_digit: bool) -> DataFrame:
+    """Per-batch partial counts for wide models (many families): every Arrow batch is
+    reduced to its non-zero cells with one ``np.bincount`` over (family offset + cell)
+    codes — the reference mapper's in-memory combining, vectorised — and Spark sums
+    the partial cells of all batches.  Families are processed in chunks so the
+    per-batch index matrix stays bounded."""
+    import pandas as pd
+
+    d, k = data.d, data.n_classes
+    cards = np.array(list(data.cards) + [k, 1], dtype=np.int64)      # d = class, d+1 = constant
+    att_ix = np.array([f.att if f.att >= 0 else d + 1 for f in fams], dtype=np.int64)
+    card_f = cards[att_ix]
+    digit = np.array([bool(class_digit and f.class_parent and f.att >= 0) for f in fams])
+    s_f = np.array([int(np.prod(cards[list(f.parents)])) if f.parents else 1 for f in fams], dtype=np.int64)
+    s_f = np.where(digit, s_f * k, s_f)
+    size_f = k * s_f * card_f
+    off_f = np.concatenate([[0], np.cumsum(size_f)[:-1]])
+    total = int(size_f.sum())
+    chunks = []
+    by_np: dict[int, list[int]] = {}
+    for i, f in enumerate(fams):
+        by_np.setdefault(len(f.parents), []).append(i)
+    for npar, ids in by_np.items():
+        for a in range(0, len(ids), ARROW_FAMILY_CHUNK):
+            sel = np.array(ids[a:a + ARROW_FAMILY_CHUNK])
+            par = np.array([fams[i].parents for i in sel], dtype=np.int64).reshape(len(sel), npar)
+            mult = np.ones_like(par)
+            for j in range(npar - 2, -1, -1):
+                mult[:, j] = mult[:, j + 1] * cards[par[:, j + 1]]
+            chunks.append((sel, par, mult))
+    attrs = list(data.attrs)
+
+    def run(batches):
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            x = np.zeros((n, d + 2), dtype=np.int64)
+            x[:, :d] = pdf[attrs].to_numpy(dtype=np.int64)
+            x[:, d] = pdf["_cls"].to_numpy(dtype=np.int64)
+            cls = x[:, d]
+            wt = pdf["_w"].to_numpy(dtype=float)
+            if keys:
+                kidx, kuniq = pd.MultiIndex.from_frame(pdf[list(keys)]).factorize()
+            else:
+                kidx, kuniq = np.zeros(n, dtype=np.int64), None
+            nk = int(kidx.max()) + 1
+            acc = {}
+            for sel, par, mult in chunks:
+                pidx = (x[:, par] * mult[None, :, :]).sum(axis=2) if par.shape[1] else np.zeros((n, len(sel)), np.int64)
+                pidx = np.where(digit[sel][None, :], pidx * k + cls[:, None], pidx)
+                code = off_f[sel][None, :] + (cls[:, None] * s_f[sel][None, :] + pidx) * card_f[sel][None, :] \
+                    + x[:, att_ix[sel]]
+                flat = (kidx[:, None] * total + code).ravel()
+                ww = np.repeat(wt, len(sel))
+                if nk * total <= BINCOUNT_LIMIT:
+                    cnt = np.bincount(flat, weights=ww, minlength=nk * total)
+                    nz = np.nonzero(cnt)[0]
+                    for u, c in zip(nz, cnt[nz]):
+                        acc[u] = acc.get(u, 0.0) + c
+                else:
+                    uq, inv = np.unique(flat, return_inverse=True)
+                    cnt = np.bincount(inv, weights=ww)
+                    for u, c in zip(uq, cnt):
+                        acc[u] = acc.get(u, 0.0) + c
+            if not acc:
+                continue
+            u = np.fromiter(acc.keys(), dtype=np.int64, count=len(acc))
+            c = np.fromiter(acc.values(), dtype=float, count=len(acc))
+            kk, local = u // total, u % total
+            fid = np.searchsorted(off_f, local, side="right") - 1
+            rest = local - off_f[fid]
+            v = rest % card_f[fid]
+            t = rest // card_f[fid]
+            out = pd.DataFrame()
+            if keys:
+                kv = kuniq[kk]
+                for j, name in enumerate(keys):
+                    out[name] = [row[j] for row in kv]
+            out["fid"] = fid.astype(np.int32)
+            out["cls"] = (t // s_f[fid]).astype(np.int32)
+            out["pidx"] = (t % s_f[fid]).astype(np.int32)
+            out["v"] = v.astype(np.int32)
+            out["n"] = c
+            yield out
+
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"{c} {fields[c]}" for c in keys] +
+                       ["fid int", "cls int", "pidx int", "v int", "n double"])
+    src = df.select(*keys, *attrs, F.col(data.cls).cast("int").alias("_cls"), w.alias("_w"))
+    part = src.mapInPandas(run, schema)
+    return part.groupBy(*keys, "fid", "cls", "pidx", "v").agg(F.sum("n").alias("n"))
+
+
 def _hof_cells(data: NominalData, fams: list[Family], class_digit: bool) -> Column:
     """One higher-order expression for any number of families: x and cards are arrays,
     the family list is a constant-folded literal."""
@@ -134,8 +233,13 @@ def _collapse_pays(data: NominalData, keys: tuple[str, ...]) -> bool:
 
 
 def count_cells(data: NominalData, fams: list[Family], *, keys: tuple[str, ...] = (),
-                include_class_digit: bool = False, collapse_duplicates: bool | str = "auto") -> DataFrame:
-    """Cells of the distinct families: (keys..., fid, cls, pidx, v, n)."""
+                include_class_digit: bool = False, collapse_duplicates: bool | str = "auto",
+                hof: bool = False) -> DataFrame:
+    """Cells of the distinct families: (keys..., fid, cls, pidx, v, n).
+
+    Up to ``EXPLICIT_FAMILY_LIMIT`` families: codegen'd structs + Generate + hash
+    aggregate.  Above: vectorised per-batch partial counts (``hof=True`` keeps it in
+    the JVM with higher-order functions, much slower per cell)."""
     df = data.df
     w = data.w()
     if collapse_duplicates == "auto":
@@ -144,6 +248,8 @@ def count_cells(data: NominalData, fams: list[Family], *, keys: tuple[str, ...]
         # identical tuples first (wins when the tuple domain is small); one extra shuffle
         df = df.groupBy(*keys, *data.attrs, data.cls).agg(F.sum(w).alias("_w"))
         w = F.col("_w")
+    if len(fams) > EXPLICIT_FAMILY_LIMIT and not hof:
+        return _arrow_cells(data, df, w, fams, keys, include_class_digit)
     gen = (_explicit_cells if len(fams) <= EXPLICIT_FAMILY_LIMIT else _hof_cells)(
         data, fams, include_class_digit)
     exploded = df.select(*keys, F.col(data.cls).cast("int").alias("_cls"), w.alias("_w"), gen)

@@ -68,13 +68,26 @@ def test_cells_sum_to_rows_and_merge_equals_union(spark):
     assert whole.select(*key, "n").exceptAll(merged).count() == 0
 
 
-def test_hof_path_equals_explicit(spark, monkeypatch):
+def test_wide_paths_equal_explicit(spark, monkeypatch):
+    from kestrel.operators.structures import random_structure_fixed
+    from kestrel.plans.catalog import declared_attributes
     data = _ninst(spark)
-    fams = [(c, f) for c, f in C.anDE_families(data.d, 1) if f.att >= 0]
-    explicit = C.count_families(data, fams)
-    monkeypatch.setattr(C, "EXPLICIT_FAMILY_LIMIT", 0)
-    hof = C.count_families(data, fams)
-    assert explicit.exceptAll(hof).count() == 0 and hof.exceptAll(explicit).count() == 0
+    st = random_structure_fixed(declared_attributes(data), data.d, 6, 3, seed=4)
+    fams = C.families_from_structure(C.collect_structure(st), data.d)
+    fams += [(100 + c, f) for c, f in C.anDE_families(data.d, 1)]
+    rows = data.df.withColumn("fold", (F.col("rid") % 3).cast("int"))
+    dk = data.with_df(rows)
+    for keys, digit in (((), False), ((), True), (("fold",), False)):
+        explicit = C.count_families(dk, fams, keys=keys, include_class_digit=digit)
+        monkeypatch.setattr(C, "EXPLICIT_FAMILY_LIMIT", 0)
+        monkeypatch.setattr(C, "ARROW_FAMILY_CHUNK", 7)
+        arrow = C.count_families(dk, fams, keys=keys, include_class_digit=digit)
+        hof = C.count_cells(dk, list(dict.fromkeys(f for _, f in fams)), keys=keys,
+                            include_class_digit=digit, hof=True)
+        monkeypatch.undo()
+        assert explicit.exceptAll(arrow).count() == 0 and arrow.exceptAll(explicit).count() == 0
+        assert hof.count() == C.count_cells(dk, list(dict.fromkeys(f for _, f in fams)), keys=keys,
+                                            include_class_digit=digit).count()
 
 
 def test_complement_counts_is_total_minus_fold(spark):
