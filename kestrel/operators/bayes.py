@@ -345,6 +345,10 @@ def long_probabilities(scored: DataFrame, keep: tuple[str, ...] = ("rid",), digi
 
 
 # --------------------------------------------------------------- Arrow fast path
+DENSE_POSITION_LIMIT = 2_000_000     # d x tables above which positions are gathered
+WIDE_ROWS_PER_SLICE = 20_000_000     # rows x tables per slice of a batch (index memory)
+
+
 def _batch_scorer(model: FittedBayes, attrs: tuple[str, ...], group_col: str | None,
                   keep: tuple[str, ...]):
     """A numpy scorer closed over the (size-checked) model arrays.
@@ -385,12 +389,40 @@ def _batch_scorer(model: FittedBayes, attrs: tuple[str, ...], group_col: str | N
     logtab, freq, size = model.logtab, model.freq, model.size
     limit = float(spec.limit or 0.0)
 
+    # Cell positions: one dense product for narrow models; for wide ones (many
+    # attributes x many tables) a gather of each table's few parents instead.
+    wide = d * len(order) > DENSE_POSITION_LIMIT
+    groups = []
+    if wide:
+        by_np: dict[int, list[int]] = {}
+        for j, tid in enumerate(order):
+            by_np.setdefault(len(spec.tables[tid].family.parents), []).append(j)
+        for npar, js in by_np.items():
+            sel = np.array(js)
+            par = np.array([spec.tables[order[j]].family.parents for j in js], dtype=np.int64).reshape(len(js), npar)
+            pm = np.array([[mult[p, j] for p in spec.tables[order[j]].family.parents] for j in js],
+                          dtype=np.int64).reshape(len(js), npar)
+            att = np.array([spec.tables[order[j]].family.att for j in js], dtype=np.int64)
+            groups.append((sel, par, pm, att))
+
+    def positions(x: np.ndarray) -> np.ndarray:
+        if not wide:
+            return x @ mult + const
+        out = np.empty((x.shape[0], len(order)), dtype=np.int64)
+        for sel, par, pm, att in groups:
+            v = np.where(att[None, :] >= 0, x[:, np.maximum(att, 0)], 0)
+            out[:, sel] = (x[:, par] * pm[None, :, :]).sum(axis=2) + v + const[sel][None, :]
+        return out
+
     def run(batches):
-        for pdf in batches:
+        for whole in batches:
+          step = max(1, WIDE_ROWS_PER_SLICE // max(1, len(order))) if wide else max(1, len(whole))
+          for lo in range(0, len(whole), step):
+            pdf = whole.iloc[lo:lo + step]
             n = len(pdf)
             x = pdf[list(attrs)].to_numpy(dtype=np.int64)
             base = (pdf[group_col].to_numpy(dtype=np.int64) * size) if group_col else np.zeros(n, np.int64)
-            ix = x @ mult + const + base[:, None]                       # n x T, class 0
+            ix = positions(x) + base[:, None]                           # n x T, class 0
             lp = np.empty((n, len(comps), k))
             cpl = (np.stack([logtab[base + cp_off + c * cp_stride] for c in range(k)], axis=1)  # n x K
                    if has_cp else np.zeros((n, k)))

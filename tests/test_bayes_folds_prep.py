@@ -78,3 +78,18 @@ def test_driver_and_spark_estimates_agree(spark):
         a = B.fit(data, spec)
         b = B.fit(data, spec, estimate_in_spark=True)
         assert np.allclose(a.logtab, b.logtab, atol=1e-12) and np.allclose(a.freq, b.freq)
+
+
+def test_wide_position_gather_equals_dense(spark, monkeypatch):
+    from kestrel.operators import counts as C
+    from kestrel.operators.structures import random_structure_shuffled
+    from kestrel.plans.catalog import declared_attributes
+    data = ninst(spark, SF001)
+    st = random_structure_shuffled(declared_attributes(data), data.d, 4, 2, seed=9)
+    model = B.fit(data, B.rbnc_spec(data, C.collect_structure(st), alpha=0.5))
+    dense = {r.rid: list(r.probability) for r in B.score(data.df, model).collect()}
+    monkeypatch.setattr(B, "DENSE_POSITION_LIMIT", 0)
+    monkeypatch.setattr(B, "WIDE_ROWS_PER_SLICE", 50)
+    wide = {r.rid: list(r.probability) for r in B.score(data.df, model).collect()}
+    assert dense.keys() == wide.keys()
+    assert all(np.allclose(dense[k], wide[k], atol=1e-12) for k in dense)
