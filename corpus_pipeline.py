@@ -12,9 +12,9 @@ from kestrel.llm.common import table, written
 
 STAGES = [
     ("language_id", stages.language_id),
-    # ("near_dedup", stages.near_dedup),
+    ("near_dedup", stages.near_dedup),
     ("decontaminate", stages.decontaminate),
-    # ("pii", stages.pii),
+    ("pii", stages.pii),
     ("packing", stages.packing),
 ]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kestrel.llm import decontaminate, langid, lm, packing, tokencount
+from kestrel.llm import decontaminate, langid, licenses, lm, neardup, packing, pii, repeats, tokencount, topk
 from kestrel.llm.common import table
 
 
@@ -23,10 +23,31 @@ def op3_language_id(spark, sf_dir):
     return langid.apply(model, docs.select("doc_id", "held_out", "text")).drop("text")
 
 
+def op4_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_lm_scoring(spark, sf_dir):
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_array_dedup(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,10 +56,18 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_pii": op7_pii,
+    "op8_license_scan": op8_license_scan,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
 }
 ORACLE = {
     "op1_benchmark_decontamination": decontaminate.CONTAMINATED_SQL,
+    "op4_minhash_near_dedup": neardup.NEAR_SQL,
+    "op5_exact_top_k": topk.TOPK_SQL,
+    "op8_license_scan": licenses.LICENSE_SQL,
     "op10_packing": packing.PACK_SQL,
 }

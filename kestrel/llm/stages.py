@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.llm import decontaminate as decon
-from kestrel.llm import langid
+from kestrel.llm import langid, neardup
 from kestrel.llm import packing as packs
+from kestrel.llm import pii as personal
 from kestrel.llm.common import table
 
 #: a text whose best language value is lower is rejected
@@ -20,11 +21,22 @@ def language_id(spark, docs, sf_dir):
     return got.where((F.col("__lang") != langid.UNDECIDED) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).drop("__lang", "__score")
 
 
+def near_dedup(spark, docs, sf_dir):
+    """Keeps one document of each group of near-duplicates (five words a shingle, 0.8)."""
+    got = neardup.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(got, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+
+
 def decontaminate(spark, docs, sf_dir):
     """Drops documents that hold a passage of a benchmark item."""
     return decon.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def pii(spark, docs, sf_dir):
+    """Replaces personal data by its kind in brackets; every document stays."""
+    return personal.mask(docs, personal.fit(docs), n_chars="n_chars")
+
+
 def packing(spark, docs, sf_dir):
     """One row per sequence of the kept documents."""
     return packs.pack(docs)
