@@ -141,9 +141,11 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no benchmark item contaminates, with all their columns."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents that no benchmark item contaminates, with all their columns.  Rows are
+    judged by their own text, also where they share a doc_id."""
+    key = F.xxhash64("doc_id", "text")
+    bad = contaminated(docs.select(key.alias("__key"), "text"), items, doc_id="__key").select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__own", key).join(bad, F.col("__own") == F.col("__key"), "left_anti").drop("__own")
 
 
 #: the same rule by joining equal words: a window holds 10 of 12 places exactly where some

@@ -66,14 +66,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_len: i
          n_buckets: int = N_BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, seq, n_tokens, bucket_len, batch, slot): one row per sequence; ``batch``
     counts from 0 in each bucket, ``slot`` from 0 in each batch."""
-    spark = docs.sparkSession
     seqs = docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("n")).select(
         "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / max_len) - 1, F.lit(0)))).alias("seq"))
     seqs = seqs.select("doc_id", "seq", F.least(F.lit(max_len), F.col("n") - F.col("seq") * max_len).cast("bigint").alias("n_tokens"))
     seqs = written(seqs, "lengths")  # the texts are measured once
     hist = seqs.groupBy("n_tokens").count().collect()  # at most max_len + 1 rows
     bounds = bucket_lengths(np.array([r.n_tokens for r in hist]), np.array([r["count"] for r in hist]), n_buckets)
-    buckets = spark.createDataFrame([(a, b) for a, b in zip([-1, *bounds[:-1]], bounds, strict=True)] if bounds else [], "lo bigint, bucket_len bigint")
     at = F.lit(None).cast("bigint")
     for b in reversed(bounds):
         at = F.when(F.col("n_tokens") <= b, F.lit(b).cast("bigint")).otherwise(at)
