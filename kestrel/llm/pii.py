@@ -9,7 +9,8 @@ number) or that repeats in a form they do not know.  The field labels each candi
 (a run without white space that holds a digit or ``@``) as nothing or one of the kinds:
 
 * token potentials: the token's shape (digits as d, letters as a, runs counted) and checks;
-* chain potentials between neighbouring tokens that are both candidates;
+* chain potentials between neighbouring tokens that are both candidates, one for each label that
+  both have;
 * skip potentials between distant tokens of one document that repeat or are similar (the same
   digits, or the same address in lower case): each occurrence is linked with the next, so a
   token that occurs n times gives n - 1 links.
@@ -313,7 +314,7 @@ def learn(rows, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Fi
         d = target - p
         tok = np.stack([np.bincount(ids, d[:, j], len(shapes) + 1) for j in range(k)], 1)
         sk = like.T @ d
-        grads = [tok - 0.05 * (field.token - prior), pb.T @ d + (pa_.T @ d).T - ridge * field.chain, (sk + sk.T) / 2 - ridge * field.skip]
+        grads = [tok - 0.05 * (field.token - prior), np.eye(k) * (pb.T @ d + pa_.T @ d - ridge * field.chain), (sk + sk.T) / 2 - ridge * field.skip]
         for name, g, s in zip(("token", "chain", "skip"), grads, g2, strict=True):
             s += g * g
             setattr(field, name, getattr(field, name) + rate * g / np.sqrt(s))

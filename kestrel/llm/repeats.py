@@ -83,8 +83,8 @@ def _runs(data: np.ndarray, off: np.ndarray, length: int, q: int):
 def _pieces(data: np.ndarray, off: np.ndarray, length: int):
     """(first text, buffer, offsets, place of the buffer in its text): whole texts, or pieces
     of a long one that overlap so that each start position is in exactly one."""
-    for i, j in slices(off):
-        if off[j] - off[i] <= PIECE:
+    for i, j in slices(off, PIECE // 2):
+        if j > i + 1 or off[j] - off[i] <= PIECE:
             yield i, data[off[i] : off[j]], off[i : j + 1] - off[i], 0
         else:  # one long text
             n = int(off[j] - off[i])

@@ -81,6 +81,7 @@ def best(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int,
     exact = len(q) * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) < 2**52
     kind = np.float64 if exact else np.int64  # doubles hold the sums exactly below 2**53
     q, x = q.astype(kind), x.astype(kind)
+    floor = floor if exact else np.full(len(floor), -np.inf)
     rest_q, rest_x = _suffix(q), _suffix(x)
     out = []
     for at in range(0, q.shape[1], GROUP):
@@ -91,8 +92,8 @@ def best(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int,
         own = qid[g][:, None] == xid[None, :]
         for s, d in enumerate(range(0, len(q), STEP)):
             part = part + q[d : d + STEP, g].T @ x[d : d + STEP][:, live]
-            if s == len(rest_q) - 1:
-                break
+            if not exact or s == len(rest_q) - 1:
+                continue  # beyond doubles nothing is pruned
             slack = rest_q[s, g][:, None] * rest_x[s][live][None, :] * (1 + 1e-9) + 1e-6
             if len(live) > k:
                 least = np.where(own[:, live], -np.inf, part - slack)

@@ -1,5 +1,7 @@
 """Helpers of the tests in this folder."""
 
+import pandas as pd
+
 
 def lower(t: str) -> str:
     """A-Z to lower case, nothing else."""
@@ -12,7 +14,7 @@ def rows(df, cols=None):
     cols = cols or sorted(p.columns)
 
     def fix(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(float(v), 6) if isinstance(v, float) and not float(v).is_integer() else int(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
