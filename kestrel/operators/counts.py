@@ -73,8 +73,8 @@ def collect_structure(structure: DataFrame, limit: int = BROADCAST_MAP_LIMIT) ->
 
 def _radix(data: NominalData, parents: tuple[int, ...]) -> Column:
     if not parents:
-        return F.lit(0)
-    code = data.x(parents[0])
+        return F.lit(0).cast("bigint")
+    code = data.x(parents[0]).cast("bigint")
     for p in parents[1:]:
         code = code * data.cards[p] + data.x(p)
     return code
@@ -94,7 +94,7 @@ def _explicit_cells(data: NominalData, fams: list[Family], class_digit: bool) ->
         pidx = _radix(data, f.parents)
         if class_digit and f.class_parent and f.att >= 0:
             pidx = pidx * data.n_classes + F.col(data.cls)
-        structs.append(F.struct(F.lit(fid).alias("fid"), pidx.cast("int").alias("pidx"),
+        structs.append(F.struct(F.lit(fid).alias("fid"), pidx.alias("pidx"),
                                 _child(data, f.att).cast("int").alias("v")))
     return F.inline_outer(F.array(*structs))
 
@@ -187,14 +187,14 @@ def _arrow_cells(data: NominalData, df: DataFrame, w: Column, fams: list[Family]
                     out[name] = [row[j] for row in kv]
             out["fid"] = fid.astype(np.int32)
             out["cls"] = (t // s_f[fid]).astype(np.int32)
-            out["pidx"] = (t % s_f[fid]).astype(np.int32)
+            out["pidx"] = t % s_f[fid]
             out["v"] = v.astype(np.int32)
             out["n"] = c
             yield out
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"{c} {fields[c]}" for c in keys] +
-                       ["fid int", "cls int", "pidx int", "v int", "n double"])
+                       ["fid int", "cls int", "pidx bigint", "v int", "n double"])
     src = df.select(*keys, *attrs, F.col(data.cls).cast("int").alias("_cls"), w.alias("_w"))
     part = src.mapInPandas(run, schema)
     return part.groupBy(*keys, "fid", "cls", "pidx", "v").agg(F.sum("n").alias("n"))
@@ -208,7 +208,7 @@ def _hof_cells(data: NominalData, fams: list[Family], class_digit: bool) -> Colu
     k = data.n_classes
 
     def cell(f):
-        pidx = F.aggregate(f["parents"], F.lit(0), lambda acc, p: acc * F.element_at(cards, p + 1)
+        pidx = F.aggregate(f["parents"], F.lit(0).cast("bigint"), lambda acc, p: acc * F.element_at(cards, p + 1)
                            + F.element_at(x, p + 1))
         if class_digit:
             pidx = F.when(f["cp"], pidx * k + F.col(data.cls)).otherwise(pidx)
@@ -232,6 +232,30 @@ def _collapse_pays(data: NominalData, keys: tuple[str, ...]) -> bool:
     return True
 
 
+def valid_codes(data: NominalData) -> Column:
+    """True for a row whose codes all lie in their declared domains; fails the job at any
+    other row (a NULL or an out-of-range code), alike for every counting path."""
+    bad = F.lit(None).cast("string")
+    for name, card in [(data.cls, data.n_classes), *zip(data.attrs, data.cards, strict=True)]:
+        c = F.col(name)
+        bad = F.when(c.isNull(), F.lit(f"missing value is unsupported: {name}")).when(
+            (c < 0) | (c >= card), F.concat(F.lit(f"code out of range: {name} = "), c.cast("string"))).otherwise(bad)
+    return F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(True)
+
+
+def _check_radix(data: NominalData, fams: list[Family], class_digit: bool) -> None:
+    """Parent codes are BIGINT; a family whose codes (times class and child, as the batch
+    counter numbers its cells) do not fit is refused before any job runs."""
+    total = 0
+    for f in fams:
+        size = data.n_classes * max(data.n_classes, *data.cards, 1)
+        for p in f.parents:
+            size *= data.cards[p]
+        total += size * (data.n_classes if class_digit else 1)
+    if total >= 2**62:
+        raise ValueError("parent codes exceed 64 bits")
+
+
 def count_cells(data: NominalData, fams: list[Family], *, keys: tuple[str, ...] = (),
                 include_class_digit: bool = False, collapse_duplicates: bool | str = "auto",
                 hof: bool = False) -> DataFrame:
@@ -240,7 +264,8 @@ def count_cells(data: NominalData, fams: list[Family], *, keys: tuple[str, ...]
     Up to ``EXPLICIT_FAMILY_LIMIT`` families: codegen'd structs + Generate + hash
     aggregate.  Above: vectorised per-batch partial counts (``hof=True`` keeps it in
     the JVM with higher-order functions, much slower per cell)."""
-    df = data.df
+    _check_radix(data, fams, include_class_digit)
+    df = data.df.where(valid_codes(data))
     w = data.w()
     if collapse_duplicates == "auto":
         collapse_duplicates = _collapse_pays(data, keys)

@@ -17,17 +17,28 @@ from pyspark.sql import functions as F
 from kestrel.operators import bayes as B
 from kestrel.operators.counts import complement_counts, count_families
 from kestrel.operators.folds import interleaved_folds, with_repeats
+from kestrel.sources.model_io import scratch_path
 from kestrel.sources.nominal import NominalData
 
 
-def cv_predictions(data: NominalData, spec_fn: Callable[[NominalData], B.BayesSpec], *,
-                   repeats: int = 10, folds: int = 10, seed: int = 1) -> DataFrame:
-    """E-4: (rep, fold, rid, cls, weight, prediction) — every row predicted, in every
-    repeat, by the model fitted without its fold."""
-    spec = spec_fn(data)
+def cv_rows(data: NominalData, repeats: int = 10, folds: int = 10, seed: int = 1) -> DataFrame:
+    """The rows of every repeat with their fold, written once to the shared folder: counting
+    and scoring of every model read it, and the folds are not assigned again."""
     rows = interleaved_folds(with_repeats(data.df, repeats), folds, rid=data.rid, cls=data.cls,
                              rep="rep", seed=seed)
     rows = rows.withColumn("g", (F.col("rep") * folds + F.col("fold")).cast("int"))
+    path = scratch_path(rows.sparkSession, "cv-rows")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def cv_predictions(data: NominalData, spec_fn: Callable[[NominalData], B.BayesSpec], *,
+                   repeats: int = 10, folds: int = 10, seed: int = 1, rows: DataFrame | None = None) -> DataFrame:
+    """E-4: (rep, fold, rid, cls, weight, prediction) — every row predicted, in every
+    repeat, by the model fitted without its fold.  ``rows`` takes the result of
+    :func:`cv_rows`, for several models over the same folds."""
+    spec = spec_fn(data)
+    rows = cv_rows(data, repeats, folds, seed) if rows is None else rows
     rd = data.with_df(rows)
     part = count_families(rd, [(tid, t.family) for tid, t in enumerate(spec.tables)], keys=("rep", "fold"))
     train = complement_counts(part, "fold", folds, keys=("rep",)).withColumn(

@@ -11,6 +11,8 @@ prefix of the sort key, the result equals one global ``row_number``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +46,27 @@ def bucketed_rank(df: DataFrame, groups: list[str], key: Column, tiebreak: str,
     return _bucketed(df, groups, key, tiebreak, name, digits)[0]
 
 
+def range_assign(df: DataFrame, groups: list[str], key: Column, tiebreak: str, assign: Callable[[Column, Column], Column],
+                 name: str, digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
+    """Adds ``name`` = assign(rank in the group, size of the group), for an ``assign`` that never
+    falls as the rank grows.  A bucket whose first and last rank are assigned alike needs no
+    ranks; only rows of the few buckets that hold a cut are shuffled and ranked."""
+    keyed = df.withColumn("_key", key).withColumn("_b", F.substring("_key", 1, digits))
+    sizes = keyed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    run = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    table = sizes.select(*groups, "_b", "_cnt", F.coalesce(F.sum("_cnt").over(run), F.lit(0)).alias("_off"),
+                         F.sum("_cnt").over(Window.partitionBy(*groups)).alias("_n"))
+    table = table.select(*groups, "_b", "_off", "_n", assign(F.col("_off"), F.col("_n")).alias("_first"),
+                         assign(F.col("_off") + F.col("_cnt") - 1, F.col("_n")).alias("_last"))
+    # (group, bucket) table: at most groups x 16^digits rows
+    rows = keyed.join(F.broadcast(table), [*groups, "_b"])
+    whole = rows.where("_first = _last").withColumn(name, F.col("_first"))
+    inner = Window.partitionBy(*groups, "_b").orderBy("_key", tiebreak)
+    rank = F.col("_off") + F.row_number().over(inner) - 1
+    cut = rows.where("_first <> _last").withColumn("_rank", rank).withColumn(name, assign(F.col("_rank"), F.col("_n")))
+    return whole.select(*df.columns, name).union(cut.select(*df.columns, name))
+
+
 def with_repeats(df: DataFrame, repeats: int, name: str = "rep") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
@@ -63,16 +86,16 @@ def interleaved_folds(df: DataFrame, k: int, *, rid: str = "rid", cls: str = "cl
     return out.withColumn("fold", ((F.col("_rank") + F.col("_coff")) % k).cast("int")).drop("_rank", "_n", "_coff")
 
 
+def _range_fold(k: int) -> Callable[[Column, Column], Column]:
+    """fold = ceil(k (rank + 1) / n) - 1, in integers."""
+    return lambda rank, n: (F.floor((k * (rank + 1) + n - 1) / n) - 1).cast("int")
+
+
 def proportional_folds(df: DataFrame, k: int, *, rid: str = "rid", cls: str = "cls", seed: int = 1) -> DataFrame:
-    """E-2: per class, shuffled ranks r = 0..n_c-1 are cut into k near-equal ranges:
-    fold = ceil(k (r+1) / n_c) - 1 (integer arithmetic)."""
-    ranked = bucketed_rank(df, [cls], h(seed, F.col(rid)), rid)
-    fold = F.expr(f"CAST(({k} * (_rank + 1) + _n - 1) div _n - 1 AS INT)")
-    return ranked.withColumn("fold", fold).drop("_rank", "_n")
+    """E-2: per class, shuffled ranks r = 0..n_c-1 are cut into k near-equal ranges."""
+    return range_assign(df, [cls], h(seed, F.col(rid)), rid, _range_fold(k), "fold")
 
 
 def plain_folds(df: DataFrame, k: int, *, rid: str = "rid", seed: int = 1) -> DataFrame:
     """E-3: one shuffled order cut into k ranges [i l / k, (i+1) l / k)."""
-    ranked = bucketed_rank(df.withColumn("_all", F.lit(0)), ["_all"], h(seed, F.col(rid)), rid)
-    fold = F.expr(f"CAST(({k} * (_rank + 1) + _n - 1) div _n - 1 AS INT)")
-    return ranked.withColumn("fold", fold).drop("_rank", "_n", "_all")
+    return range_assign(df.withColumn("_all", F.lit(0)), ["_all"], h(seed, F.col(rid)), rid, _range_fold(k), "fold").drop("_all")

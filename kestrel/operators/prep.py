@@ -14,17 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kestrel.functions.arrays import MAX_LITERAL_CELLS, const_doubles
+from kestrel.functions.arrays import MAX_LITERAL_CELLS
 from kestrel.functions.hashing import h, h_int
-from kestrel.operators.folds import bucketed_rank
+from kestrel.operators.folds import range_assign
+from kestrel.sources.model_io import scratch_path
 
 
 # ----------------------------------------------------------------- T-1 imputation
 def impute_fit(df: DataFrame, numeric: list[str], nominal: list[str]) -> dict:
     """Mean of every numeric column, mode (lowest value on ties) of every nominal one."""
-    aggs = [F.avg(c).alias(c) for c in numeric] + [F.mode(c, True).alias(c) for c in nominal]
-    row = df.agg(*aggs).first()
-    return {c: row[c] for c in numeric + nominal}
+    out = {c: None for c in nominal}
+    if numeric:
+        out |= df.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict()
+    for c in nominal:  # values are counted in parallel; only each partial best moves on
+        top = df.where(F.col(c).isNotNull()).groupBy(c).count().agg(F.min(F.struct(-F.col("count"), c)).alias("top")).first().top
+        out[c] = top[1] if top else None
+    return out
 
 
 def impute_apply(df: DataFrame, values: dict) -> DataFrame:
@@ -134,8 +139,9 @@ def mdl_apply(df: DataFrame, cols: list[str], cuts: dict[int, list[float]]) -> D
 # ------------------------------------------------------------------ P-5 remove
 def drop_single_valued(df: DataFrame, cols: list[str]) -> DataFrame:
     """P-5: remove attributes with one distinct value (one aggregation)."""
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    return df.drop(*[c for c in cols if row[c] <= 1])
+    one = [F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in cols]
+    row = df.agg(*one).first()
+    return df.drop(*[c for c in cols if row[c]])
 
 
 # ------------------------------------------------------------- T-4 .. T-7 scaling
@@ -145,8 +151,9 @@ def scale_fit(df: DataFrame, idx: str = "idx", val: str = "val", label: str | No
     One pass: entries are exploded (an empty vector still yields one row) and grouped
     by index; each group also counts the rows it saw first (position 0 or empty), so
     the row total, the largest index and the target range come out of the same
-    feature-sized result.  Returns the parameter table (att, fmin, fmax) of every
-    index 1..max_index and the totals {n, max_index, y_min, y_max}."""
+    feature-sized result, which is written once and read as a table.  Returns the
+    parameter table (att, fmin, fmax) of every index that occurs (any other feature is
+    constantly 0, which scaling skips) and the totals {n, max_index, y_min, y_max}."""
     ent = df.select((F.col(label).cast("double") if label else F.lit(None).cast("double")).alias("_y"),
                     F.posexplode_outer(F.arrays_zip(F.col(idx).alias("att"), F.col(val).alias("v"))).alias("_p", "_e"))
     per = ent.groupBy(F.col("_e.att").alias("att")).agg(
@@ -154,73 +161,78 @@ def scale_fit(df: DataFrame, idx: str = "idx", val: str = "val", label: str | No
         F.count("_e.v").alias("cnt"),
         F.sum(F.when(F.col("_p").isNull() | (F.col("_p") == 0), 1).otherwise(0)).alias("first"),
         F.min("_y").alias("ymn"), F.max("_y").alias("ymx"))
-    stats = per.toPandas()            # one row per feature index (+ one for empty rows)
-    n = int(stats["first"].sum())
-    have = stats[stats["att"].notna()]
-    max_index = int(have["att"].max()) if len(have) else 0
-    rows = {int(r.att): r for r in have.itertuples()}
-    out = []
-    for a in range(1, max_index + 1):
-        r = rows.get(a)
-        if r is None:
-            out.append((a, 0.0, 0.0))
-        elif r.cnt < n:
-            out.append((a, min(float(r.mn), 0.0), max(float(r.mx), 0.0)))
-        else:
-            out.append((a, float(r.mn), float(r.mx)))
-    params = df.sparkSession.createDataFrame(out, "att INT, fmin DOUBLE, fmax DOUBLE")
-    info = {"n": n, "max_index": max_index}
-    if label:
-        info.update(y_min=float(stats["ymn"].min()), y_max=float(stats["ymx"].max()))
+    path = scratch_path(df.sparkSession, "scale-stats")
+    per.write.parquet(path)
+    per = df.sparkSession.read.schema(per.schema).parquet(path)
+    total = per.agg(F.sum("first").alias("n"), F.max("att").alias("top"), F.min("ymn").alias("lo"), F.max("ymx").alias("hi")).first()
+    n = int(total.n or 0)
+    sparse = F.col("cnt") < n  # some row has no entry: that row's value is 0
+    params = per.where("att is not null").select(
+        F.col("att").cast("int").alias("att"),
+        F.when(sparse, F.least("mn", F.lit(0.0))).otherwise(F.col("mn")).cast("double").alias("fmin"),
+        F.when(sparse, F.greatest("mx", F.lit(0.0))).otherwise(F.col("mx")).cast("double").alias("fmax"))
+    info = {"n": n, "max_index": int(total.top or 0)}
+    if label and n:
+        info.update(y_min=float(total.lo), y_max=float(total.hi))
     return params, info
 
 
 def scale_apply(df: DataFrame, params: DataFrame, lower: float = -1.0, upper: float = 1.0,
                 idx: str = "idx", val: str = "val", keep: tuple[str, ...] = ("id", "label")) -> DataFrame:
-    """T-5 / P-7: scale every feature 1..max_index (absent entries as 0), exact min ->
+    """T-5 / P-7: scale every feature of ``params`` (absent entries as 0), exact min ->
     lower and max -> upper, single-valued features skipped, zero results dropped.
 
-    Work per row is O(entries): present entries are scaled in place; an absent
-    feature contributes its constant scaled zero, so only the features whose scaled
-    zero is non-zero are added (``array_except`` against the row's indices).  The
-    parameter table is feature-sized and shipped as constant arrays."""
+    One vectorised pass over the flat index and value buffers of each batch.  Present
+    entries are scaled in place; an absent feature contributes its scaled zero, so only
+    the features whose scaled zero is not 0 are added.  The parameters are feature-sized
+    and broadcast."""
+    import pyarrow as pa
+
     if not upper > lower:
         raise ValueError("inconsistent lower/upper specification")
-    p = params.orderBy("att").toPandas()
-    dim = len(p)
-    if dim > MAX_LITERAL_CELLS:
-        raise ValueError("too many features for a constant parameter array")
-    mn_np, mx_np = p["fmin"].to_numpy(dtype=float), p["fmax"].to_numpy(dtype=float)
-
-    def scale_np(v, a, b):
-        if a == b:
-            return None
-        if v == a:
-            return lower
-        if v == b:
-            return upper
-        return lower + (upper - lower) * (v - a) / (b - a)
-
-    zero_scaled = [scale_np(0.0, a, b) for a, b in zip(mn_np, mx_np)]
-    zero_idx = [i + 1 for i, z in enumerate(zero_scaled) if z is not None and z != 0]
-    zero_val = const_doubles([0.0 if z is None else z for z in zero_scaled])
-    fmin, fmax = const_doubles(mn_np), const_doubles(mx_np)
-
-    def scaled(e):
-        i, v = e["i"], e["v"]
-        a, b = F.element_at(fmin, i), F.element_at(fmax, i)
-        s = (F.when(v == a, F.lit(lower)).when(v == b, F.lit(upper))
-             .otherwise(F.lit(lower) + F.lit(upper - lower) * (v - a) / (b - a)))
-        return F.struct(i.alias("i"), F.when(a == b, F.lit(None)).otherwise(s).alias("v"))
-
-    present = F.transform(F.filter(F.arrays_zip(F.col(idx).alias("i"), F.col(val).alias("v")),
-                                   lambda e: (e["i"] >= 1) & (e["i"] <= dim)), scaled)
-    absent = F.transform(F.array_except(F.array(*[F.lit(i) for i in zero_idx]).cast("array<int>"), F.col(idx)),
-                         lambda i: F.struct(i.alias("i"), F.element_at(zero_val, i).alias("v")))
-    merged = F.array_sort(F.filter(F.concat(present, absent), lambda e: e["v"].isNotNull() & (e["v"] != 0)))
-    step = df.select(*keep, merged.alias("_s"))
-    return step.select(*keep, F.transform("_s", lambda e: e["i"]).alias(idx),
-                       F.transform("_s", lambda e: e["v"]).alias(val))
+    p = params.limit(MAX_LITERAL_CELLS + 1).toPandas().sort_values("att")
+    if len(p) > MAX_LITERAL_CELLS:
+        raise ValueError("too many features for broadcast parameters")
+    att, lo, hi = p["att"].to_numpy(np.int64), p["fmin"].to_numpy(float), p["fmax"].to_numpy(float)
+
+    def scaled(v, a, b):
+        width = np.where(b > a, b - a, 1.0)
+        out = lower + (upper - lower) * (v - a) / width
+        return np.where(v == a, lower, np.where(v == b, upper, out))
+
+    zero = np.where(hi > lo, scaled(np.zeros(len(att)), lo, hi), 0.0)
+    dense = zero != 0
+    sent = df.sparkSession.sparkContext.broadcast((att, lo, hi, att[dense], zero[dense]))
+
+    def run(batches):
+        att, lo, hi, z_att, z_val = sent.value
+        for b in batches:
+            size = b.column(idx).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            i = b.column(idx).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            v = b.column(val).flatten().cast("double").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(att, i), max(0, len(att) - 1))
+            known = att[at] == i if len(att) else np.zeros(len(i), bool)
+            lacks = np.ones((len(size), len(z_att)), bool)
+            if len(z_att) and len(i):
+                z = np.minimum(np.searchsorted(z_att, i), len(z_att) - 1)
+                hit = z_att[z] == i
+                lacks[row[hit], z[hit]] = False
+            extra_row, extra = np.nonzero(lacks)
+            use = known & (hi[at] > lo[at]) if len(att) else known
+            rows_ = np.concatenate([row[use], extra_row])
+            ids = np.concatenate([i[use], z_att[extra]])
+            vals = np.concatenate([scaled(v[use], lo[at[use]], hi[at[use]]), z_val[extra]])
+            rows_, ids, vals = (x[vals != 0] for x in (rows_, ids, vals))
+            order = np.lexsort((ids, rows_))
+            off = pa.array(np.searchsorted(rows_[order], np.arange(len(size) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in keep), pa.ListArray.from_arrays(off, pa.array(ids[order], pa.int32())),
+                 pa.ListArray.from_arrays(off, pa.array(vals[order], pa.float64()))], names=[*keep, idx, val])
+
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"{c} {fields[c]}" for c in keep] + [f"{idx} array<int>", f"{val} array<double>"])
+    return df.select(*keep, idx, val).mapInArrow(run, schema)
 
 
 def scale_target(y: Column, y_min: float, y_max: float, y_lower: float, y_upper: float) -> Column:
@@ -276,11 +288,11 @@ def label_noise(df: DataFrame, rate: float, n_classes: int, *, rid: str = "rid",
         return df
     if n_classes < 2:
         raise ValueError("label noise needs at least two classes")
-    ranked = bucketed_rank(df.withColumn("_all", F.lit(0)), ["_all"], h(seed, F.col(rid)), rid)
+    marked = range_assign(df.withColumn("_all", F.lit(0)), ["_all"], h(seed, F.col(rid)), rid,
+                          lambda rank, n: rank >= F.floor(n * F.lit(rate)), "_keep")
     u = h_int(seed, "c", F.col(rid))
-    flip = F.col("_rank") < F.floor(F.col("_n") * F.lit(rate))
     new = ((F.col(cls) + 1 + u % (n_classes - 1)) % n_classes).cast(df.schema[cls].dataType)
-    return ranked.withColumn(cls, F.when(flip, new).otherwise(F.col(cls))).drop("_rank", "_n", "_all")
+    return marked.withColumn(cls, F.when(F.col("_keep"), F.col(cls)).otherwise(new)).drop("_keep", "_all")
 
 
 # --------------------------------------------------------------- P-8 class groups

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Defaults of the training parameters (fixed values).
+# Defaults of the training parameters and the messages of ``check_parameter`` (fixed values).
 DEFAULTS = dict(svm_type="c_svc", kernel_type="rbf", degree=3, gamma=0.0, coef0=0.0, C=1.0, nu=0.5,
                 p=0.1, eps=1e-3, cache_size=100.0, shrinking=1, probability=0)
 
@@ -70,49 +70,46 @@ def nu_feasibility(class_counts: DataFrame, nu: float, label: str = "label", cou
 
 # --------------------------------------------------------------------- W-7 Platt
 def platt_fit(df: DataFrame, dec: str = "dec", label: str = "label", max_iter: int = 100,
-              min_step: float = 1e-10, sigma: float = 1e-12, eps: float = 1e-5) -> tuple[float, float]:
-    """W-7: Newton's method with backtracking for P(y=1|f) = 1/(1+exp(A f + B)).
-    Every Newton step is one aggregation (gradient + Hessian); the line search
-    evaluates all candidate step sizes in one more aggregation."""
-    cnt = df.agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p1"),
-                 F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("p0")).first()
-    prior1, prior0 = float(cnt["p1"]), float(cnt["p0"])
-    hi, lo = (prior1 + 1.0) / (prior1 + 2.0), 1.0 / (prior0 + 2.0)
-    data = df.select(F.col(dec).cast("double").alias("f"),
-                     F.when(F.col(label) > 0, hi).otherwise(lo).alias("t"))
-
-    def fval_expr(a, b):
-        z = F.col("f") * a + b
-        return F.when(z >= 0, F.col("t") * z + F.log1p(F.exp(-z))).otherwise(
-            (F.col("t") - 1) * z + F.log1p(F.exp(z)))
-
-    A, B = 0.0, math.log((prior0 + 1.0) / (prior1 + 1.0))
-    fval = data.agg(F.sum(fval_expr(F.lit(A), F.lit(B)))).first()[0]
-    steps = [2.0 ** -i for i in range(int(-math.log2(min_step)) + 1)]
-    for _ in range(max_iter):
-        z = F.col("f") * A + B
-        p = F.when(z >= 0, F.exp(-z) / (1 + F.exp(-z))).otherwise(1 / (1 + F.exp(z)))
-        q = F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
-        d2, d1 = p * q, F.col("t") - p
-        r = data.agg(F.sum(F.col("f") ** 2 * d2).alias("h11"), F.sum(d2).alias("h22"),
-                     F.sum(F.col("f") * d2).alias("h21"), F.sum(F.col("f") * d1).alias("g1"),
-                     F.sum(d1).alias("g2")).first()
-        h11, h22, h21, g1, g2 = r["h11"] + sigma, r["h22"] + sigma, r["h21"], r["g1"], r["g2"]
-        if abs(g1) < eps and abs(g2) < eps:
-            break
-        det = h11 * h22 - h21 * h21
-        dA = -(h22 * g1 - h21 * g2) / det
-        dB = -(-h21 * g1 + h11 * g2) / det
-        gd = g1 * dA + g2 * dB
-        vals = data.agg(*[F.sum(fval_expr(F.lit(A + s * dA), F.lit(B + s * dB))).alias(f"s{i}")
-                          for i, s in enumerate(steps)]).first()
-        for i, s in enumerate(steps):
-            if vals[f"s{i}"] < fval + 0.0001 * s * gd:
-                A, B, fval = A + s * dA, B + s * dB, vals[f"s{i}"]
+              min_step: float = 1e-10, ridge: float = 1e-12, eps: float = 1e-5) -> tuple[float, float]:
+    """W-7: P(y = 1 | f) = 1 / (1 + exp(A f + B)) by damped Newton steps on the
+    cross-entropy with smoothed targets (Platt; Lin, Lin and Weng).
+
+    The state is the vector (A, B).  One aggregation over the persisted (f, t) gives
+    gradient and Hessian, one more the loss at every step length 1, 1/2, 1/4, ..."""
+    positive = F.col(label) > 0
+    n = df.agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")).first()
+    target = F.when(positive, (n.pos + 1) / (n.pos + 2)).otherwise(1 / (n.neg + 2))
+    data = df.select(F.col(dec).cast("double").alias("f"), target.alias("t")).persist()
+    basis = (F.col("f"), F.lit(1.0))
+
+    def z_at(theta):
+        return F.col("f") * float(theta[0]) + float(theta[1])
+
+    def loss_at(theta):
+        z = z_at(theta)
+        return F.sum(F.log1p(F.exp(-F.abs(z))) + F.col("t") * z + F.greatest(-z, F.lit(0.0)))
+
+    theta = np.array([0.0, math.log((n.neg + 1) / (n.pos + 1))])
+    lengths = 0.5 ** np.arange(int(-math.log2(min_step)) + 1)
+    try:
+        loss = data.agg(loss_at(theta)).first()[0]
+        for _ in range(max_iter):
+            p = 1 / (1 + F.exp(z_at(theta)))
+            curve = p * (1 - p)
+            moments = [F.sum(u * (F.col("t") - p)) for u in basis] + [F.sum(u * v * curve) for u in basis for v in basis]
+            m = np.array(data.agg(*moments).first(), dtype=float)
+            gradient, hessian = m[:2], m[2:].reshape(2, 2) + ridge * np.eye(2)
+            if np.abs(gradient).max() < eps:
                 break
-        else:
-            break       # line search fails
-    return A, B
+            step = -np.linalg.solve(hessian, gradient)
+            losses = np.array(data.agg(*[loss_at(theta + a * step).alias(f"l{i}") for i, a in enumerate(lengths)]).first())
+            better = np.flatnonzero(losses < loss + 1e-4 * lengths * (gradient @ step))
+            if not len(better):
+                break
+            theta, loss = theta + lengths[better[0]] * step, losses[better[0]]
+    finally:
+        data.unpersist()
+    return float(theta[0]), float(theta[1])
 
 
 # ----------------------------------------------------------------- W-9 SVR noise
@@ -128,7 +125,7 @@ def laplace_sigma(df: DataFrame, pred: str = "prediction", label: str = "label")
 
 # ----------------------------------------------------------- W-1 C-SVC (linear)
 def csvc_fit_linear(df: DataFrame, C: float = 1.0, features: str = "features", label: str = "label",
-                    weight: str | None = None, max_iter: int = 30):
+                    weight: str | None = None, max_iter: int = 1000, tol: float = 1e-6):
     """W-1 for the linear kernel on a binary problem (label > 0 vs not): Spark ML
     ``LinearSVC`` with the hinge loss and regParam = 1 / (C · Σw) (same objective
     as C·Σ max(0, 1 − y f) + ½‖w‖²)."""
@@ -140,8 +137,10 @@ def csvc_fit_linear(df: DataFrame, C: float = 1.0, features: str = "features", l
                      (F.col(weight) if weight else F.lit(1.0)).alias("w"))
     n = data.agg(F.sum("w")).first()[0]
     svc = LinearSVC(featuresCol="fv", labelCol="y", weightCol="w", regParam=1.0 / (C * n),
-                    standardization=False, maxIter=max_iter)
+                    standardization=False, maxIter=max_iter, tol=tol)
     model = svc.fit(data)
+    if model.summary().totalIterations >= max_iter:
+        raise RuntimeError(f"no convergence in {max_iter} iterations")
     return np.asarray(model.coefficients.toArray()), float(model.intercept)
 
 
@@ -220,20 +219,19 @@ def _objective_parts(kind: str, x: np.ndarray, y: np.ndarray, theta: np.ndarray,
         g[:d] = -C * (dr @ x)
         g[d] = -C * dr.sum()
         return C * (v1 + v2).sum(), g
-    if kind == "nu_svr":               # C (ν ε + (1/n) Σ max(0, |y − f − b| − ε));  θ = (w, b, ε)
+    if kind == "nu_svr":               # C (ν n ε + Σ max(0, |y − f − b| − ε));  θ = (w, b, ε)
         b, e = theta[d], theta[d + 1]
         r = y - f - b
         v1, d1 = _smooth_hinge(r - e, mu)
         v2, d2 = _smooth_hinge(-r - e, mu)
-        s = C / n
-        g[:d] = -s * ((d1 - d2) @ x)
-        g[d] = -s * (d1 - d2).sum()
-        g[d + 1] = -s * (d1 + d2).sum()
-        return s * (v1 + v2).sum(), g
+        g[:d] = -C * ((d1 - d2) @ x)
+        g[d] = -C * (d1 - d2).sum()
+        g[d + 1] = -C * (d1 + d2).sum()
+        return C * (v1 + v2).sum(), g
     raise ValueError(kind)
 
 
-def _regulariser(kind: str, theta: np.ndarray, d: int, C: float, nu: float) -> tuple[float, np.ndarray]:
+def _regulariser(kind: str, theta: np.ndarray, d: int, C: float, nu: float, n: float) -> tuple[float, np.ndarray]:
     w = theta[:d]
     val = 0.5 * float(w @ w)
     g = np.zeros_like(theta)
@@ -245,84 +243,110 @@ def _regulariser(kind: str, theta: np.ndarray, d: int, C: float, nu: float) -> t
         val -= nu * theta[d + 1]
         g[d + 1] -= nu
     elif kind == "nu_svr":
-        val += C * nu * theta[d + 1]
-        g[d + 1] += C * nu
+        val += C * nu * n * theta[d + 1]
+        g[d + 1] += C * nu * n
     return val, g
 
 
 def primal_fit(df: DataFrame, kind: str, *, features: str = "features", label: str = "label",
-               C: float = 1.0, nu: float = 0.5, eps: float = 0.1, max_iter: int = 50,
+               C: float = 1.0, nu: float = 0.5, eps: float = 0.1, max_iter: int = 500,
                mus: tuple[float, ...] = (1.0, 0.1, 0.01), tol: float = 1e-6) -> np.ndarray:
     """W-2 (nu_svc), W-3 (one_class), W-4 (epsilon_svr), W-5 (nu_svr) in the primal,
     linear in ``features`` (use :func:`random_fourier_features` for RBF).
 
     L-BFGS on the driver over a smoothed objective with decreasing smoothing; every
-    function evaluation is one pass: each partition returns its partial loss and
-    gradient (``mapInPandas``), and only those per-partition rows reach the driver.
+    function evaluation is one aggregation over the persisted rows: tasks reduce their
+    rows to one gradient (``mapInArrow``), Spark sums the gradients by position, and only
+    that sum reaches the driver.  Runs until the objective changes by less than ``tol``
+    relative to itself; raises if ``max_iter`` does not suffice.  Rows shorter than the
+    longest are padded with 0.
     Returns θ: (w, ρ) one-class, (w, b, ρ) ν-SVC, (w, b) ε-SVR, (w, b, ε) ν-SVR."""
-    import pandas as pd
+    import pyarrow as pa
+
+    from kestrel.operators.svm import dense_batch
 
     data = df.select(F.col(features).cast("array<double>").alias("x"),
-                     F.col(label).cast("double").alias("y"))
-    first = data.first()
-    d = len(first["x"])
-    n = float(data.count())
+                     F.col(label).cast("double").alias("y")).persist()
+    size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
+    if not size.n:
+        raise ValueError("no rows to fit")
+    n, d = float(size.n), int(size.d)
     extra = {"one_class": 1, "nu_svc": 2, "epsilon_svr": 1, "nu_svr": 2}[kind]
     theta = np.zeros(d + extra)
 
     def evaluate(th: np.ndarray, mu: float) -> tuple[float, np.ndarray]:
         def part(batches):
-            tot, grad = 0.0, np.zeros_like(th)
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                x = np.stack([np.asarray(v, dtype=float) for v in pdf["x"]])
-                y = pdf["y"].to_numpy(dtype=float)
-                v, g = _objective_parts(kind, x, y, th, mu, C, nu, eps, n)
-                tot += v
-                grad += g
-            yield pd.DataFrame({"loss": [tot], "grad": [grad]})
-
-        parts = data.mapInPandas(part, "loss double, grad array<double>").toPandas()
-        val = float(parts["loss"].sum())
-        grad = np.sum(np.stack(parts["grad"].to_numpy()), axis=0) if len(parts) else np.zeros_like(th)
-        rv, rg = _regulariser(kind, th, d, C, nu)
-        return val + rv, grad + rg
-
-    for mu in mus:
-        s_hist, y_hist = [], []
-        fval, grad = evaluate(theta, mu)
-        for _ in range(max_iter):
-            q = grad.copy()
-            alphas = []
-            for s, yv in reversed(list(zip(s_hist, y_hist))):
-                a = (s @ q) / (yv @ s)
-                alphas.append(a)
-                q -= a * yv
-            if s_hist:
-                q *= (s_hist[-1] @ y_hist[-1]) / (y_hist[-1] @ y_hist[-1])
-            for (s, yv), a in zip(zip(s_hist, y_hist), reversed(alphas)):
-                q += s * (a - (yv @ q) / (yv @ s))
-            direction = -q
-            step = 1.0
-            while True:
-                cand = theta + step * direction
-                fc, gc = evaluate(cand, mu)
-                if fc <= fval + 1e-4 * step * (grad @ direction) or step < 1e-8:
-                    break
-                step *= 0.5
-            s_vec, y_vec = cand - theta, gc - grad
-            if y_vec @ s_vec > 1e-12:
-                s_hist.append(s_vec)
-                y_hist.append(y_vec)
-                s_hist, y_hist = s_hist[-8:], y_hist[-8:]
-            converged = abs(fval - fc) <= tol * max(1.0, abs(fval))
-            theta, fval, grad = cand, fc, gc
-            if converged:
-                break
+            total = np.zeros(len(th) + 1)  # gradient, then loss
+            for batch in batches:
+                x, _, _ = dense_batch(batch.column("x"), d)
+                v, g = _objective_parts(kind, x, batch.column("y").to_numpy(zero_copy_only=False), th, mu, C, nu, eps, n)
+                total[:-1] += g
+                total[-1] += v
+            yield pa.RecordBatch.from_pydict({"i": np.arange(len(total)), "g": total})
+
+        sums = data.mapInArrow(part, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g"))
+        got = np.zeros(len(th) + 1)
+        for r in sums.collect():  # one row per parameter
+            got[r.i] = r.g
+        rv, rg = _regulariser(kind, th, d, C, nu, n)
+        return got[-1] + rv, got[:-1] + rg
+
+    try:
+        for mu in mus:
+            theta = _lbfgs(lambda th, mu=mu: evaluate(th, mu), theta, max_iter, tol)
+    finally:
+        data.unpersist()
     return theta
 
 
+def _lbfgs(evaluate, theta: np.ndarray, max_iter: int, tol: float, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with step halving.  A step that does not lower the objective is
+    never taken: after a failed search along the quasi-Newton direction the curvature pairs
+    are dropped and steepest descent is tried once; if that fails too, the point stands."""
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    value, grad = evaluate(theta)
+    for _ in range(max_iter):
+        direction = _two_loop(pairs, grad)
+        slope = grad @ direction
+        if slope >= 0:
+            pairs, direction, slope = [], -grad, -(grad @ grad)
+        step, moved = (1.0 if pairs else min(1.0, 1.0 / max(1e-12, np.abs(grad).sum()))), None
+        while step >= 1e-10:
+            v, g = evaluate(theta + step * direction)
+            if v <= value + 1e-4 * step * slope:
+                moved = (theta + step * direction, v, g)
+                break
+            step *= 0.5
+        if moved is None:
+            if not pairs:
+                return theta
+            pairs = []
+            continue
+        s, y = moved[0] - theta, moved[2] - grad
+        if y @ s > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+        done = value - moved[1] <= tol * max(1.0, abs(value))
+        theta, value, grad = moved
+        if done:
+            return theta
+    raise RuntimeError(f"no convergence in {max_iter} iterations")
+
+
+def _two_loop(pairs, grad: np.ndarray) -> np.ndarray:
+    """The quasi-Newton direction of the curvature pairs."""
+    q, used = -grad, []
+    for s, y in reversed(pairs):
+        a = (s @ q) / (y @ s)
+        used.append(a)
+        q = q - a * y
+    if pairs:
+        s, y = pairs[-1]
+        q = q * (s @ y) / (y @ y)
+    for (s, y), a in zip(pairs, reversed(used), strict=True):
+        q = q + s * (a - (y @ q) / (y @ s))
+    return q
+
+
 # ------------------------------------------------ W-8 out-of-fold Platt inputs
 def out_of_fold_decisions(df: DataFrame, fit_fn, *, n_folds: int = 5, rid: str = "rid",
                           features: str = "features", label: str = "label", seed: int = 1) -> DataFrame:

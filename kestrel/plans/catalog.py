@@ -8,6 +8,7 @@ directly) and runs over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from kestrel.operators import counts as C
 from kestrel.operators import structures as S
 from kestrel.plans import oracle as O
 from kestrel.sources import nominal as N
-from kestrel.sources.tables import read_table, view
+from kestrel.sources.tables import TABLES, read_table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -308,7 +309,8 @@ FROM (SELECT {cell} AS c FROM nb_s) a, (SELECT {cell} AS c FROM a1de_s) b""")
 @register("comparison_matrix", _comparison_sql())
 def _comparison_matrix(spark, sf):
     data = view(spark, sf, "ninst")
-    sums = [E.cv_summary(data, lambda d, n=n: B.ande_spec(d, n_dep=n), name,
+    rows = E.cv_rows(data, CV_REPEATS, CV_FOLDS, CV_SEED)  # one set of folds for all models
+    sums = [E.cv_summary(data, lambda d, n=n: B.ande_spec(d, n_dep=n), name, rows=rows,
                          repeats=CV_REPEATS, folds=CV_FOLDS, seed=CV_SEED) for name, n in (("nb", 0), ("a1de", 1))]
     allm = sums[0].unionByName(sums[1]).select(
         F.lit("ninst").alias("dataset"), "model", F.round("acc_mean", 6).alias("acc_mean"),
@@ -840,7 +842,7 @@ def _primal_q(kind: str):
         df = emb(spark, sf)
         if kind == "nu_svc":
             df = df.withColumn("label", F.when(F.col("label") < 5, 1.0).otherwise(-1.0))
-        theta = W.primal_fit(df, kind, max_iter=15, mus=(0.1,))
+        theta = W.primal_fit(df, kind)
         return spark.createDataFrame([(i, float(v)) for i, v in enumerate(theta)], "k INT, theta DOUBLE")
     return q
 
@@ -862,8 +864,10 @@ def _density_report(spark, sf):
 
 @register("drop_single_valued", O.with_view("linst") + "\nSELECT a0, a1, a2, a3, a4, cls FROM linst")
 def _drop_single_valued(spark, sf):
+    """With a constant and an all-missing column added, which must go."""
     data = view(spark, sf, "linst")
-    return P.drop_single_valued(data.df.select(*data.attrs, "cls"), list(data.attrs))
+    df = data.df.select(*data.attrs, "cls", (F.col("a0") * 0 + 7).alias("same"), F.when(F.col("a0") < 0, 1).alias("none"))
+    return P.drop_single_valued(df, [*data.attrs, "same", "none"])
 
 
 @register("prediction_text", _svm_sql("rbf", "," + _OVO_DEC + """,
@@ -878,13 +882,16 @@ def _prediction_text(spark, sf):
     return L.prediction_text(pred)
 
 
-@register("file_range")
+_RANGE = ("C", "m")
+
+
+@register("file_range", " UNION ALL ".join(
+    f"SELECT '{t}' AS dataset, count(*) AS n_rows FROM {t}" for t in sorted(TABLES) if "c" <= t < "m"))
 def _file_range(spark, sf):
-    """IO-11: files of the table folder whose name is in [c, m) case-insensitively
-    (listing only; rows-only check)."""
-    files = spark.read.format("binaryFile").load(f"{sf.rstrip('/')}/*.parquet").select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
-    return N.select_file_range(files, "C", "m")
+    """IO-11: the data sets whose name is in [C, m), case-insensitively, each read."""
+    names = N.in_name_range(sorted(TABLES), *_RANGE)
+    parts = [read_table(spark, sf, t).agg(F.lit(t).alias("dataset"), F.count(F.lit(1)).alias("n_rows")) for t in names]
+    return reduce(DataFrame.union, parts)
 
 
 @register("oof_platt")

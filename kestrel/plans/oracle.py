@@ -106,7 +106,7 @@ def count_ctes(view: str, struct: str = "struct", name: str = "cpt", class_digit
         f"fam AS (SELECT component, att, list_filter(parents, lambda p: p <> {d}) AS ap FROM {struct})",
         f"""{name}_cells AS (
   SELECT {kk}f.component, f.att, i.cls,
-         CAST(list_reduce(f.ap, lambda acc, p: acc * {cards}[p + 1] + i.xs[p + 1], 0){digit} AS INTEGER) AS pidx,
+         CAST(list_reduce(f.ap, lambda acc, p: acc * {cards}[p + 1] + i.xs[p + 1], 0){digit} AS BIGINT) AS pidx,
          CAST(i.xs[f.att + 1] AS INTEGER) AS v, i.weight
   FROM {inst} i CROSS JOIN fam f)""",
         f"""{name} AS (SELECT {kg}component, att, cls, pidx, v, sum(weight) AS n

@@ -25,7 +25,7 @@ def get_spark(master: str | None = None, app: str = "kestrel",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("KESTREL_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("KESTREL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
     )
     spark = builder.getOrCreate()
@@ -37,8 +37,9 @@ def get_spark(master: str | None = None, app: str = "kestrel",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset (a local
-    test session) is a scratch folder created and registered.
+    ``spark.checkpoint.dir`` is read from the session; only a local session (one
+    machine) that has none gets a scratch folder.  On a cluster an unset folder is an
+    error: a folder of the driver's machine is not seen by the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="kestrel-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

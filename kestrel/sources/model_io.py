@@ -32,8 +32,8 @@ def read_structure(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_counts(counts: DataFrame, path: str) -> None:
-    """IO-4 writer: one folder per component."""
-    counts.write.mode("overwrite").partitionBy("component").parquet(path)
+    """IO-4 writer: one folder per component, one file in it."""
+    counts.repartition("component").write.mode("overwrite").partitionBy("component").parquet(path)
 
 
 def read_counts(spark: SparkSession, path: str, components: list[int] | None = None) -> DataFrame:
@@ -42,4 +42,4 @@ def read_counts(spark: SparkSession, path: str, components: list[int] | None = N
     if components is not None:
         df = df.where(F.col("component").isin(components))
     return df.select(F.col("component").cast("int"), F.col("att").cast("int"), F.col("cls").cast("int"),
-                     F.col("pidx").cast("int"), F.col("v").cast("int"), F.col("n").cast("double"))
+                     F.col("pidx").cast("bigint"), F.col("v").cast("int"), F.col("n").cast("double"))

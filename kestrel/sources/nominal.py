@@ -46,16 +46,6 @@ class NominalData:
         return F.col(self.attrs[i])
 
 
-def domain_codes(df: DataFrame, column: str, code_name: str) -> DataFrame:
-    """Dictionary of one nominal column: distinct values numbered in sort order.
-
-    The window runs over the distinct values only (the attribute's domain), never
-    over rows.
-    """
-    return (df.select(column).distinct()
-            .select(column, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int").alias(code_name)))
-
-
 def domain_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """IO-2: (att, name, value, code) for every attribute, codes 0-based in sort order."""
     pairs = F.array(*[F.struct(F.lit(i).alias("att"), F.lit(c).alias("name"),
@@ -108,12 +98,17 @@ def parse_nominal_text(lines: DataFrame, n_attrs: int, *, line_col: str = "line"
 def read_nominal_text(spark: SparkSession, path: str, cards: tuple[int, ...], n_classes: int,
                       pattern: str = DEFAULT_SPLIT_PATTERN) -> NominalData:
     """IO-1 on files: ``spark.read.text`` -> parsed rows.  Blank lines are skipped; the
-    row id is ``monotonically_increasing_id`` (stable for an unchanged input split)."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    row id is a hash of the file name, the line and its number among equal lines of the
+    file, so it does not change with the input split (folds and noise order by it)."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
     lines = lines.where(F.length(F.trim("line")) > 0)
-    parsed = parse_nominal_text(lines, len(cards), pattern=pattern)
+    # equal lines are interchangeable: number them without bringing them to one task
+    counts = lines.groupBy("file", "line").count()
+    lines = counts.select("line", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))).alias("copy"), "file")
+    lines = lines.select("line", F.xxhash64("file", "line", "copy").alias("rid"))
+    parsed = parse_nominal_text(lines, len(cards), pattern=pattern, keep=("rid",))
     attrs = tuple(f"a{i}" for i in range(len(cards)))
-    df = parsed.select(F.monotonically_increasing_id().alias("rid"), *attrs, "cls")
+    df = parsed.select("rid", *attrs, "cls")
     return NominalData(df, attrs, tuple(cards), n_classes)
 
 
@@ -135,8 +130,8 @@ def reject_missing(data: NominalData, on_missing: str = "error") -> NominalData:
         return data.with_df(data.df.where(~any_null))
     if on_missing != "error":
         raise ValueError("on_missing must be 'error' or 'drop'")
-    guarded = F.when(any_null, F.raise_error(F.lit("missing value is unsupported")))
-    return data.with_df(data.df.withColumn("_chk", guarded).drop("_chk"))
+    # in a filter, which no column pruning removes
+    return data.with_df(data.df.where(F.when(any_null, F.raise_error(F.lit("missing value is unsupported"))).otherwise(True)))
 
 
 # ----------------------------------------------------------------- IO-12 synthetic rows
@@ -151,22 +146,6 @@ def synth_binary(keys: DataFrame, key: str, n_attrs: int, seed: int = 0) -> Nomi
 
 
 # ------------------------------------------------------------- IO-11 file-name range
-def select_file_range(df: DataFrame, begin: str | None, end: str | None,
-                      name_col: str = "file_name") -> DataFrame:
-    """IO-11: keep rows whose file name satisfies, case-insensitively,
-    ``begin <= name < end``; either bound may be None."""
-    name = F.lower(F.col(name_col))
-    cond = F.lit(True)
-    if begin is not None:
-        cond = cond & (name >= F.lit(begin.lower()))
-    if end is not None:
-        cond = cond & (name < F.lit(end.lower()))
-    return df.where(cond)
-
-
-def read_datasets(spark: SparkSession, pattern: str, begin: str | None = None,
-                  end: str | None = None) -> DataFrame:
-    """IO-11 on files: read every parquet file under ``pattern`` with its file name
-    (``dataset``), keeping the files in the name range."""
-    df = spark.read.parquet(pattern).withColumn("file_name", F.col("_metadata.file_name"))
-    return select_file_range(df, begin, end).withColumnRenamed("file_name", "dataset")
+def in_name_range(names: list[str], begin: str | None = None, end: str | None = None) -> list[str]:
+    """IO-11: the data set names with, case-insensitively, ``begin <= name < end``."""
+    return [n for n in names if (begin is None or n.lower() >= begin.lower()) and (end is None or n.lower() < end.lower())]
