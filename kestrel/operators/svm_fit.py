@@ -8,6 +8,7 @@ holds only a handful of numbers), or a Spark ML estimator.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -123,25 +124,124 @@ def laplace_sigma(df: DataFrame, pred: str = "prediction", label: str = "label")
                    F.sum(F.when(r > cut, 0).otherwise(1))).alias("sigma"))
 
 
-# ----------------------------------------------------------- W-1 C-SVC (linear)
-def csvc_fit_linear(df: DataFrame, C: float = 1.0, features: str = "features", label: str = "label",
-                    weight: str | None = None, max_iter: int = 1000, tol: float = 1e-6):
-    """W-1 for the linear kernel on a binary problem (label > 0 vs not): Spark ML
-    ``LinearSVC`` with the hinge loss and regParam = 1 / (C · Σw) (same objective
-    as C·Σ max(0, 1 − y f) + ½‖w‖²)."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
+# --------------------------------------------------------------------- W-1 C-SVC
+def _summed(data: DataFrame, fn: Callable, size: int) -> np.ndarray:
+    """The sum over all rows of ``fn(batch) -> vector of length size``: tasks add up their
+    batches, Spark adds by position, ``size`` numbers reach the driver."""
+    import pyarrow as pa
+
+    def part(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            total += fn(batch)
+        yield pa.RecordBatch.from_pydict({"i": np.arange(size), "g": total})
+
+    got = np.zeros(size)
+    for r in data.mapInArrow(part, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():
+        got[r.i] = r.g
+    return got
+
+
+def csvc_fit_groups(df: DataFrame, labels: list[int], *, n_groups: int = 1, features: str = "features", label: str = "label",
+                    group: str | None = None, C: float = 1.0, weights: dict[int, float] | None = None,
+                    mus: tuple[float, ...] = (1.0, 0.1, 0.01), max_iter: int = 2000, tol: float = 1e-6) -> np.ndarray:
+    """Linear C-SVCs of every pair of labels, for every group, in one descent:
+    (groups x pairs x (d + 1)) coefficients, the bias last.
+
+    A pair (i, j) takes the rows of its two labels, i as +1; with ``group``, group g is
+    fitted on the rows whose group is *not* g (cross-validation), else on all rows.  Each
+    problem is 1/2 |w|^2 + C sum_rows weight(label) max(0, 1 - y (w.x + b)), smoothed; the
+    sum over problems falls apart into them, so one aggregation per evaluation serves all."""
+    from kestrel.operators.svm import dense_batch
+
+    pairs = [(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels))]
+    cost = np.array([C * (weights or {}).get(lb, 1.0) for lb in labels])
+    index = F.array_position(F.array(*[F.lit(lb) for lb in labels]), F.col(label).cast("int")).cast("int") - 1
+    data = df.select(F.col(features).cast("array<double>").alias("x"), index.alias("c"),
+                     (F.col(group) if group else F.lit(-1)).cast("int").alias("g")).where("c >= 0").persist()
+    d = int(data.agg(F.max(F.size("x"))).first()[0] or 0)
+    side = np.zeros((len(labels), len(pairs)))
+    for p, (i, j) in enumerate(pairs):
+        side[i, p], side[j, p] = 1.0, -1.0
+    shape = (n_groups, len(pairs), d + 1)
+
+    def evaluate(theta, mu):
+        w = theta.reshape(-1, d + 1)
+
+        def batch_sum(batch):
+            x, _, _ = dense_batch(batch.column("x"), d)
+            c, g = batch.column("c").to_numpy(), batch.column("g").to_numpy()
+            y = np.where(g[:, None, None] == np.arange(n_groups)[None, :, None], 0.0, side[c][:, None, :]).reshape(len(x), -1)
+            v, dv = _smooth_hinge(1 - y * (x @ w[:, :-1].T + w[:, -1]), mu)
+            share = np.abs(y) * cost[c][:, None]
+            pull = -(share * dv * y)
+            return np.concatenate([np.hstack([pull.T @ x, pull.sum(0)[:, None]]).ravel(), [(share * v).sum()]])
+
+        s = _summed(data, batch_sum, len(theta) + 1)
+        flat = w.copy()
+        flat[:, -1] = 0.0
+        return s[-1] + 0.5 * float((flat * flat).sum()), s[:-1] + flat.ravel()
+
+    theta = np.zeros(int(np.prod(shape)))
+    try:
+        for mu in mus:
+            theta = _lbfgs(lambda th, mu=mu: evaluate(th, mu), theta, max_iter, tol, memory=20)
+    finally:
+        data.unpersist()
+    return theta.reshape(shape)
+
+
+def linear_model(coef: np.ndarray, labels: list[int]):
+    """A scorable, writable model of pair coefficients (pairs x (d + 1)): the weight vector of
+    pair (i, j) stands as one support vector of label i with coefficient 1 against j."""
+    from kestrel.operators.svm import SvmModel
 
-    data = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("fv"),
-                     F.when(F.col(label) > 0, 1.0).otherwise(0.0).alias("y"),
-                     (F.col(weight) if weight else F.lit(1.0)).alias("w"))
-    n = data.agg(F.sum("w")).first()[0]
-    svc = LinearSVC(featuresCol="fv", labelCol="y", weightCol="w", regParam=1.0 / (C * n),
-                    standardization=False, maxIter=max_iter, tol=tol)
-    model = svc.fit(data)
-    if model.summary().totalIterations >= max_iter:
-        raise RuntimeError(f"no convergence in {max_iter} iterations")
-    return np.asarray(model.coefficients.toArray()), float(model.intercept)
+    k = len(labels)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    sv_coef = np.zeros((k - 1, len(pairs)))
+    for p, (_, j) in enumerate(pairs):
+        sv_coef[j - 1, p] = 1.0
+    return SvmModel(svm_type="c_svc", kernel_type="linear", sv=coef[:, :-1].copy(), sv_coef=sv_coef, rho=(-coef[:, -1]).tolist(),
+                    labels=list(labels), n_sv=[sum(1 for p in pairs if p[0] == i) for i in range(k)])
+
+
+def csvc_fit(df: DataFrame, *, label: str = "label", **kw):
+    """W-1: one-against-one linear C-SVC over all labels; a kernel is fitted on a feature map
+    (:func:`random_fourier_features`).  Returns an ``SvmModel`` that scores and saves."""
+    labels = sorted(r[0] for r in df.select(F.col(label).cast("int")).where(F.col(label).isNotNull()).distinct().collect())
+    if len(labels) < 2:
+        raise ValueError("a classifier needs two labels")
+    return linear_model(csvc_fit_groups(df, labels, label=label, **kw)[0], labels)
+
+
+def csvc_cross_validate(df: DataFrame, folds: int = 5, *, rid: str = "rid", features: str = "features", label: str = "label",
+                        seed: int = 1, **kw) -> DataFrame:
+    """E-4 for C-SVC: (rid, label, fold, prediction), every row predicted by the model that was
+    fitted without its stratified fold.  All folds are fitted in one descent."""
+    import pyarrow as pa
+
+    from kestrel.operators.folds import interleaved_folds
+    from kestrel.operators.svm import _predict_np, dense_batch
+    from kestrel.sources.model_io import scratch_path
+
+    rows = interleaved_folds(df.select(rid, label, features), folds, rid=rid, cls=label, seed=seed)
+    path = scratch_path(df.sparkSession, "svm-folds")
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    labels = sorted(r[0] for r in rows.select(F.col(label).cast("int")).distinct().collect())
+    coef = csvc_fit_groups(rows, labels, n_groups=folds, features=features, label=label, group="fold", **kw)
+    model = linear_model(coef[0], labels)
+
+    def run(batches):
+        for b in batches:
+            x, _, _ = dense_batch(b.column(features), coef.shape[2] - 1)
+            own = coef[b.column("fold").to_numpy()]
+            dec = np.einsum("npd,nd->np", own[:, :, :-1], x) + own[:, :, -1]
+            pred, _ = _predict_np(model, dec, False)
+            yield pa.RecordBatch.from_arrays([b.column(rid), b.column(label), b.column("fold"), pa.array(pred)], names=[rid, label, "fold", "prediction"])
+
+    t = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"{rid} {t[rid]}, {label} {t[label]}, fold int, prediction double")
 
 
 def training_summary(df: DataFrame, dec: str = "dec", label: str = "label") -> DataFrame:
@@ -261,8 +361,6 @@ def primal_fit(df: DataFrame, kind: str, *, features: str = "features", label: s
     relative to itself; raises if ``max_iter`` does not suffice.  Rows shorter than the
     longest are padded with 0.
     Returns θ: (w, ρ) one-class, (w, b, ρ) ν-SVC, (w, b) ε-SVR, (w, b, ε) ν-SVR."""
-    import pyarrow as pa
-
     from kestrel.operators.svm import dense_batch
 
     data = df.select(F.col(features).cast("array<double>").alias("x"),
@@ -275,19 +373,12 @@ def primal_fit(df: DataFrame, kind: str, *, features: str = "features", label: s
     theta = np.zeros(d + extra)
 
     def evaluate(th: np.ndarray, mu: float) -> tuple[float, np.ndarray]:
-        def part(batches):
-            total = np.zeros(len(th) + 1)  # gradient, then loss
-            for batch in batches:
-                x, _, _ = dense_batch(batch.column("x"), d)
-                v, g = _objective_parts(kind, x, batch.column("y").to_numpy(zero_copy_only=False), th, mu, C, nu, eps, n)
-                total[:-1] += g
-                total[-1] += v
-            yield pa.RecordBatch.from_pydict({"i": np.arange(len(total)), "g": total})
-
-        sums = data.mapInArrow(part, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g"))
-        got = np.zeros(len(th) + 1)
-        for r in sums.collect():  # one row per parameter
-            got[r.i] = r.g
+        def batch_sum(batch):
+            x, _, _ = dense_batch(batch.column("x"), d)
+            v, g = _objective_parts(kind, x, batch.column("y").to_numpy(zero_copy_only=False), th, mu, C, nu, eps, n)
+            return np.append(g, v)
+
+        got = _summed(data, batch_sum, len(th) + 1)
         rv, rg = _regulariser(kind, th, d, C, nu, n)
         return got[-1] + rv, got[:-1] + rg
 

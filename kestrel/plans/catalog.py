@@ -677,12 +677,32 @@ def _training_summary(spark, sf):
         F.col("n_sv").cast("long"), F.col("n_inside").cast("long"))
 
 
+def _fitted(spark, sf):
+    return W.csvc_fit(emb(spark, sf), C=1.0)
+
+
 @register("csvc_fit")
 def _csvc_fit(spark, sf):
-    """W-1 (linear C-SVC on label < 5 vs rest; rows-only check)."""
-    df = emb(spark, sf).withColumn("label", F.when(F.col("label") < 5, 1).otherwise(-1))
-    w, b = W.csvc_fit_linear(df, C=1.0)
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(w)] + [(0, b)], "att INT, weight DOUBLE")
+    """W-1: one-against-one linear C-SVC over all labels (iterative; rows-only check)."""
+    m = _fitted(spark, sf)
+    pairs = [(i, j) for i in range(m.nr_class) for j in range(i + 1, m.nr_class)]
+    rows = [(m.labels[i], m.labels[j], a + 1, float(v)) for p, (i, j) in enumerate(pairs) for a, v in enumerate([*m.sv[p], -m.rho[p]])]
+    return spark.createDataFrame(rows, "label_i INT, label_j INT, att INT, weight DOUBLE")
+
+
+@register("csvc_score")
+def _csvc_score(spark, sf):
+    """W-1 + IO-9 + V-9: the fitted model written as text, read back, every row scored."""
+    path = MIO.scratch_path(spark, "csvc-model")
+    spark.createDataFrame([(V.model_to_text(_fitted(spark, sf)),)], "value STRING").coalesce(1).write.text(path)
+    return V.score_arrow(emb(spark, sf), V.read_model(spark, path), keep=("vec_id", "label"))
+
+
+@register("cv_csvc_accuracy")
+def _cv_csvc_accuracy(spark, sf):
+    """E-4: stratified 5-fold cross-validation of the C-SVC, all folds in one descent."""
+    pred = W.csvc_cross_validate(emb(spark, sf), 5, rid="vec_id")
+    return pred.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 6).alias("accuracy"))
 
 
 @register("rff_map")
@@ -896,12 +916,12 @@ def _file_range(spark, sf):
 
 @register("oof_platt")
 def _oof_platt(spark, sf):
-    """W-8 + W-7: 5-fold out-of-fold decision values of the (binary) centroid model,
-    then Platt scaling (iterative; rows-only check)."""
+    """W-8 + W-7: 5-fold out-of-fold decision values of a fitted (binary) C-SVC, then
+    Platt scaling (iterative; rows-only check)."""
     df = emb(spark, sf).withColumn("label", F.when(F.col("label") < 5, 1).otherwise(-1))
 
     def fit_fn(train):
-        return V.centroid_model(train, "label", "features", svm_type="c_svc", kernel_type="rbf")
+        return W.csvc_fit(train, C=1.0)
 
     a, b = W.probability_fit(df, fit_fn, rid="vec_id")
     return spark.createDataFrame([(float(a), float(b))], "A DOUBLE, B DOUBLE")
