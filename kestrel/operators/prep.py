@@ -7,6 +7,7 @@ column, per feature index or per class) and is applied by a narrow projection.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -59,68 +60,100 @@ def equal_width(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
 
 
 # ------------------------------------------------------ T-2 supervised MDL cuts
-def _ent(counts: np.ndarray) -> float:
-    tot = counts.sum()
-    if tot <= 0:
-        return 0.0
-    p = counts[counts > 0] / tot
-    return float(-(p * np.log2(p)).sum())
-
-
-def _ent_rows(m: np.ndarray) -> np.ndarray:
-    tot = m.sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(m > 0, m / np.where(tot > 0, tot, 1.0), 1.0)
-        return -(np.where(m > 0, p * np.log2(p), 0.0)).sum(axis=1)
-
-
-def _mdl_cuts(values: np.ndarray, counts: np.ndarray) -> list[float]:
-    """Fayyad-Irani recursion over a sorted value histogram (values x classes)."""
-    cuts: list[float] = []
-
-    def rec(lo: int, hi: int) -> None:
-        sub = counts[lo:hi]
-        if hi - lo < 2:
-            return
-        tot = sub.sum(axis=0)
-        n = tot.sum()
-        prior = _ent(tot)
-        left = np.cumsum(sub, axis=0)[:-1]
-        right = tot[None, :] - left
-        nl, nr = left.sum(axis=1), right.sum(axis=1)
-        e = (nl * _ent_rows(left) + nr * _ent_rows(right)) / n
-        best_i = int(np.argmin(e))          # first minimum, as a strict '<' scan
-        best_e = float(e[best_i])
-        best = (left[best_i], right[best_i])
-        gain = prior - best_e
-        k = int((tot > 0).sum())
-        k1, k2 = int((best[0] > 0).sum()), int((best[1] > 0).sum())
-        delta = math.log2(3 ** k - 2) - (k * prior - k1 * _ent(best[0]) - k2 * _ent(best[1]))
-        if gain > (math.log2(n - 1) + delta) / n:
-            rec(lo, lo + best_i + 1)
-            cuts.append((values[lo + best_i] + values[lo + best_i + 1]) / 2.0)
-            rec(lo + best_i + 1, hi)
-
-    rec(0, len(values))
-    return sorted(cuts)
-
-
-def mdl_cuts(df: DataFrame, cols: list[str], cls: str, n_classes: int) -> DataFrame:
-    """T-2: (att, cuts ARRAY<DOUBLE>).  The data is first reduced by one distributed
-    aggregation to the (attribute, value, class) histogram; the recursion then runs
-    per attribute in ``applyInPandas`` over that histogram (its size is the number of
-    distinct values of the attribute, never the number of rows)."""
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Entropy in bits of each row of class counts."""
+    total = counts.sum(axis=-1, keepdims=True)
+    p = counts / np.where(total > 0, total, 1.0)
+    return -(p * np.log2(np.where(p > 0, p, 1.0))).sum(axis=-1)
+
+
+def _accepts(left: np.ndarray, right: np.ndarray) -> bool:
+    """The MDL criterion of Fayyad and Irani for the split of a segment."""
+    both = left + right
+    n, parts = both.sum(), np.stack([both, left, right])
+    h, k = _entropy(parts), (parts > 0).sum(axis=1)
+    gain = h[0] - (left.sum() * h[1] + right.sum() * h[2]) / n
+    delta = math.log2(3.0 ** k[0] - 2) - (k[0] * h[0] - k[1] * h[1] - k[2] * h[2])
+    return gain > (math.log2(n - 1) + delta) / n
+
+
+def _running_counts(df: DataFrame, cols: list[str], cls: str, n_classes: int) -> tuple[DataFrame, dict]:
+    """(att, x, next_x, upto): every distinct value of every attribute, the value after it and
+    the class counts of all rows up to it, written once.  Values are range-partitioned;
+    each partition adds its running sums to the totals of the partitions before it, so no
+    attribute is held by one task.  A value with no other after it is left out.  Also the
+    class counts of each attribute."""
+    spark = df.sparkSession
     pairs = F.array(*[F.struct(F.lit(i).alias("att"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])
-    hist = (df.select(F.col(cls).cast("int").alias("cls"), F.inline_outer(pairs)).where(F.col("x").isNotNull())
-            .groupBy("att", "x", "cls").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    c = F.col(cls).cast("int")
+    hist = (df.select(c.alias("c"), F.inline_outer(pairs)).where("x is not null").groupBy("att", "x")
+            .agg(F.array(*[F.sum((F.col("c") == k).cast("bigint")) for k in range(n_classes)]).alias("n")))
+    path = scratch_path(spark, "mdl-histogram")
+    hist.repartitionByRange("att", "x").sortWithinPartitions("att", "x").select(
+        F.spark_partition_id().alias("part"), "att", "x", "n").write.parquet(path)
+    hist = spark.read.parquet(path)
+    sums = hist.groupBy("part", "att").agg(F.min("x").alias("first"), F.array(*[F.sum(F.col("n")[k]) for k in range(n_classes)]).alias("n")).collect()
+    before, after, run = {}, {}, {}
+    ordered = sorted(sums, key=lambda r: (r.att, r.first))  # a row per partition and attribute in it
+    for r, later in zip(ordered, [*ordered[1:], None], strict=True):
+        before[r.part, r.att] = run.get(r.att, np.zeros(n_classes, np.int64))
+        run[r.att] = before[r.part, r.att] + np.array(r.n)
+        after[r.part, r.att] = later.first if later is not None and later.att == r.att else None
+    sent = spark.sparkContext.broadcast((before, after))
+
+    def run_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, after = sent.value
+        pdf = pdf.sort_values("x")
+        key = (int(pdf["part"].iloc[0]), int(pdf["att"].iloc[0]))
+        upto = np.cumsum(np.stack(pdf["n"].to_numpy()), axis=0) + before[key]
+        nxt = [*pdf["x"].to_numpy()[1:], after[key]]
+        out = pd.DataFrame({"att": pdf["att"].to_numpy(), "x": pdf["x"].to_numpy(), "next_x": pd.array(nxt, "Float64"), "upto": list(upto)})
+        return out[out["next_x"].notna()].astype({"next_x": float})
+
+    # a group is the part of one attribute in one range partition
+    cum = hist.groupBy("part", "att").applyInPandas(run_sums, "att int, x double, next_x double, upto array<bigint>")
+    path = scratch_path(spark, "mdl-running")
+    cum.write.parquet(path)
+    return spark.read.parquet(path), run
 
-    def per_att(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="x", columns="cls", values="n", aggfunc="sum", fill_value=0.0)
-        wide = wide.reindex(columns=range(n_classes), fill_value=0.0).sort_index()
-        cuts = _mdl_cuts(wide.index.to_numpy(dtype=float), wide.to_numpy(dtype=float))
-        return pd.DataFrame({"att": [int(pdf["att"].iloc[0])], "cuts": [cuts]})
 
-    return hist.groupBy("att").applyInPandas(per_att, "att int, cuts array<double>")
+def mdl_cuts(df: DataFrame, cols: list[str], cls: str, n_classes: int) -> DataFrame:
+    """T-2: (att, cuts ARRAY<DOUBLE>), supervised cuts by the MDL criterion.
+
+    The recursion goes level by level over all attributes: one aggregation finds, for every
+    open segment (a few numbers each, on the driver), the candidate value of smallest class
+    entropy (the smallest value among equals); accepted cuts open two segments each."""
+    spark = df.sparkSession
+    cum, totals = _running_counts(df, cols, cls, n_classes)
+    cuts: dict[int, list[float]] = {i: [] for i in range(len(cols))}
+    # attribute, values in (lo, hi], class counts up to lo and up to hi
+    open_ = [(att, -math.inf, math.inf, np.zeros(n_classes, np.int64), n) for att, n in totals.items()]
+    while open_:
+        table = spark.createDataFrame([(i, a, float(lo), float(hi), c0.tolist(), c1.tolist()) for i, (a, lo, hi, c0, c1) in enumerate(open_)],
+                                      "seg int, att int, lo double, hi double, below array<bigint>, all array<bigint>")
+        rows = cum.join(F.broadcast(table), "att").where("x > lo and next_x <= hi")  # as many rows as open segments
+
+        def bits(counts):
+            total = sum_cols(counts)
+            return sum_cols([F.when(c > 0, -c * F.log2(c / total)).otherwise(0.0) for c in counts])
+
+        left = [F.col("upto")[k] - F.col("below")[k] for k in range(n_classes)]
+        right = [F.col("all")[k] - F.col("upto")[k] for k in range(n_classes)]
+        # rounded, so that equal entropies tie whatever the order of the additions
+        best = rows.withColumn("e", F.round(bits(left) + bits(right), 9)).groupBy("seg").agg(F.min(F.struct("e", "x", "next_x", "upto")).alias("b"))
+        nxt = []
+        for r in best.collect():
+            att, lo, hi, c0, c1 = open_[r.seg]
+            mid = np.array(r.b.upto)
+            if _accepts((mid - c0).astype(float), (c1 - mid).astype(float)):
+                cuts[att].append((r.b.x + r.b.next_x) / 2.0)
+                nxt += [(att, lo, r.b.x, c0, mid), (att, r.b.x, hi, mid, c1)]
+        open_ = nxt
+    return spark.createDataFrame([(a, sorted(c)) for a, c in cuts.items()], "att int, cuts array<double>")
+
+
+def sum_cols(cols: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, cols)
 
 
 def mdl_apply(df: DataFrame, cols: list[str], cuts: dict[int, list[float]]) -> DataFrame:

@@ -529,7 +529,7 @@ def _mdl_cuts(spark, sf):
     li = read_table(spark, sf, "lineitem")
     return P.mdl_cuts(li.withColumn("cls", F.when(F.col("l_returnflag") == "A", 0)
                                    .when(F.col("l_returnflag") == "N", 1).otherwise(2)),
-                      ["l_quantity", "l_discount", "l_tax"], "cls", 3)
+                      ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "cls", 3)
 
 
 @register("label_noise", O.with_view("ninst") + f"""
@@ -997,6 +997,6 @@ def _mdl_apply(spark, sf):
     """T-2 applied: lineitem numeric columns replaced by their MDL bin (rows-only)."""
     li = read_table(spark, sf, "lineitem").withColumn(
         "cls", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
-    cols = ["l_quantity", "l_discount", "l_tax"]
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     cuts = {r["att"]: list(r["cuts"]) for r in P.mdl_cuts(li, cols, "cls", 3).collect()}
     return P.mdl_apply(li.select("l_orderkey", "l_linenumber", *cols), cols, cuts)

@@ -1,6 +1,7 @@
 """Bayes scoring, folds and preprocessing properties."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,12 +65,34 @@ def test_label_noise_flips_exactly(spark):
     assert changed == int(n * 0.1)
 
 
-def test_mdl_cut_on_separable_histogram():
-    values = np.arange(10, dtype=float)
-    counts = np.array([[20, 0]] * 5 + [[0, 20]] * 5, dtype=float)
-    assert P._mdl_cuts(values, counts) == [4.5]
-    mixed = np.array([[10, 10]] * 10, dtype=float)
-    assert P._mdl_cuts(values, mixed) == []
+def brute_mdl(x, y, k):
+    """Recursive supervised cuts by the same criterion, on sorted rows."""
+    x, y = np.asarray(x), np.asarray(y)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    bits = lambda v: -sum(n * np.log2(n / len(v)) for n in np.bincount(v, minlength=k) if n)
+    ends = [i for i in range(1, len(x)) if x[i] != x[i - 1]]
+    if not ends:
+        return []
+    at = min(ends, key=lambda i: round(bits(y[:i]) + bits(y[i:]), 9))
+    count = lambda v: np.bincount(v, minlength=k).astype(float)
+    if not P._accepts(count(y[:at]), count(y[at:])):
+        return []
+    return [*brute_mdl(x[:at], y[:at], k), (x[at - 1] + x[at]) / 2, *brute_mdl(x[at:], y[at:], k)]
+
+
+def test_mdl_cuts_equal_the_recursion(spark):
+    rng = np.random.default_rng(6)
+    n = 600
+    a = rng.normal(0, 1, n).round(2)
+    b = rng.integers(0, 12, n).astype(float)
+    cls = ((a > 0.3).astype(int) + (b > 7)) % 3
+    cls = np.where(rng.random(n) < 0.05, rng.integers(0, 3, n), cls)
+    rows = [(float(u), float(v), 1.0, None, int(c)) for u, v, c in zip(a, b, cls)] + [(None, None, None, None, 0)]
+    df = spark.createDataFrame(rows, "a double, b double, same double, missing double, cls int")
+    got = {r.att: r.cuts for r in P.mdl_cuts(df, ["a", "b", "same", "missing"], "cls", 3).collect()}
+    assert got[0] == pytest.approx(brute_mdl(a, cls, 3)) and got[1] == pytest.approx(brute_mdl(b, cls, 3))
+    assert len(got[0]) > 0 and len(got[1]) > 0 and got[2] == [] and got[3] == []
 
 
 def test_driver_and_spark_estimates_agree(spark):
