@@ -135,17 +135,10 @@ def _counts_merge(spark, sf):
 
 
 def _ande_counts_sql(view_name: str, n_dep: int) -> str:
-    attrs, _, _ = O.meta(view_name)
-    d = len(attrs)
-    rows = []
-    for comp, f in C.anDE_families(d, n_dep):
-        if f.att < 0:
-            continue
-        rows.append(f"({comp}, {f.att}, [{', '.join(str(p) for p in (*f.parents, d))}])")
-    struct = ("struct AS (SELECT CAST(component AS INTEGER) AS component, CAST(att AS INTEGER) AS att, "
-              "CAST(parents AS INTEGER[]) AS parents FROM (VALUES " + ", ".join(rows) +
-              ") t(component, att, parents))")
-    return O.with_view(view_name, O.inst_cte(view_name), struct, *O.count_ctes(view_name)) + \
+    d = len(O.meta(view_name)[0])
+    struct = (f"struct AS (SELECT component, att, list_append(ap, {d})::INTEGER[] AS parents FROM tabs "
+              "WHERE component >= 0 AND att >= 0)")
+    return O.with_view(view_name, O.inst_cte(view_name), O.Ande(n_dep).tabs(view_name), struct, *O.count_ctes(view_name)) + \
         "\nSELECT component, att, cls, pidx, v, n FROM cpt"
 
 
@@ -175,13 +168,9 @@ def _superparent_freq(spark, sf):
 from kestrel.operators import bayes as B  # noqa: E402
 
 
-def _spec_for(view_name: str, kind: str, **kw):
-    """The model spec built from the view's declared metadata (no data needed)."""
-    attrs, cards, k = O.meta(view_name)
-    meta = N.NominalData(None, attrs, cards, k)
-    if kind == "ande":
-        return B.ande_spec(meta, **kw)
-    raise ValueError(kind)
+def _sql_spec(n_dep: int, m_estimate: bool = False, m: float = 1.0, limit: float | None = 1.0, joint: bool = True) -> O.Ande:
+    """The model of the same parameters as the oracle states it."""
+    return O.Ande(n_dep, m if m_estimate else None, limit if n_dep else None, joint)
 
 
 def _ande_score_q(view_name: str, **kw):
@@ -201,11 +190,11 @@ for _name, _view, _kw in [
     ("freq_limit_score", "linst", dict(n_dep=1, limit=1500.0)),
     ("spnde_norm_score", "linst", dict(n_dep=1, limit=1500.0, joint=False)),
 ]:
-    register(_name, O.bayes_score_sql(_view, _spec_for(_view, "ande", **_kw)))(_ande_score_q(_view, **_kw))
+    register(_name, O.bayes_score_sql(_view, _sql_spec(**_kw)))(_ande_score_q(_view, **_kw))
 
 
 @register("predict_argmax", O.bayes_score_sql(
-    "ninst", _spec_for("ninst", "ande", n_dep=1),
+    "ninst", _sql_spec(n_dep=1),
     final="""SELECT rid, CAST(arg_max(cls, prob) AS INTEGER) AS prediction FROM (
   SELECT rid, cls, prob, row_number() OVER (PARTITION BY rid ORDER BY prob DESC, cls) AS r FROM probs) t
 WHERE r = 1 GROUP BY rid"""))
@@ -289,16 +278,16 @@ def _cv_q(name: str, n_dep: int):
     return q
 
 
-register("cv_nb_accuracy", O.cv_sql("ninst", _spec_for("ninst", "ande", n_dep=0), "nb",
+register("cv_nb_accuracy", O.cv_sql("ninst", _sql_spec(n_dep=0), "nb",
                                     CV_REPEATS, CV_FOLDS, CV_SEED))(_cv_q("nb", 0))
-register("cv_a1de_accuracy", O.cv_sql("ninst", _spec_for("ninst", "ande", n_dep=1), "a1de",
+register("cv_a1de_accuracy", O.cv_sql("ninst", _sql_spec(n_dep=1), "a1de",
                                       CV_REPEATS, CV_FOLDS, CV_SEED))(_cv_q("a1de", 1))
 
 
 def _comparison_sql() -> str:
     parts = []
     for name, n_dep in (("nb", 0), ("a1de", 1)):
-        q = O.cv_sql("ninst", _spec_for("ninst", "ande", n_dep=n_dep), name, CV_REPEATS, CV_FOLDS, CV_SEED)
+        q = O.cv_sql("ninst", _sql_spec(n_dep=n_dep), name, CV_REPEATS, CV_FOLDS, CV_SEED)
         parts.append(f"{name}_s AS ({q})")
     cell = ("CAST(round(acc_mean * 100, 2) AS VARCHAR) || ':' || CAST(round(acc_std * 100, 2) AS VARCHAR)")
     return ("WITH " + ",\n".join(parts) + f"""
@@ -714,7 +703,7 @@ def _rff_map(spark, sf):
 
 # ------------------------------------------------------------------- metrics (E-5..7)
 @register("metrics_class", O.bayes_score_sql(
-    "ninst", _spec_for("ninst", "ande", n_dep=0),
+    "ninst", _sql_spec(n_dep=0),
     final="""SELECT round(avg(CASE WHEN p.prediction = n.cls THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (
   SELECT rid, cls AS prediction FROM (
     SELECT rid, cls, row_number() OVER (PARTITION BY rid ORDER BY prob DESC, cls) AS r FROM probs) t WHERE r = 1) p

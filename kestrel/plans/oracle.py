@@ -7,6 +7,8 @@ Spark implementations.  Nothing here runs on Spark.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from kestrel.functions.hashing import h_sql
 from kestrel.sources.tables import VIEW_META, VIEW_SQL
 
@@ -115,14 +117,43 @@ def count_ctes(view: str, struct: str = "struct", name: str = "cpt", class_digit
 
 
 # ------------------------------------------------------------------ Bayes scoring
-def tabs_cte(spec, name: str = "tabs") -> str:
-    rows = []
-    for tid, (t, (s, card)) in enumerate(zip(spec.tables, spec.sizes())):
-        ap = "[" + ", ".join(str(p) for p in t.family.parents) + "]::INTEGER[]"
-        rows.append(f"({tid}, {t.component}, {t.family.att}, {ap}, {s}, {card}, {float(t.a0)!r}, "
-                    f"{'TRUE' if t.prior else 'FALSE'}, {'TRUE' if t.class_norm else 'FALSE'})")
-    return (f"{name} AS (SELECT * FROM (VALUES {', '.join(rows)}) "
-            "t(tid, component, att, ap, S, card, a0, prior, cn))")
+@dataclass(frozen=True)
+class Ande:
+    """An AnDE model as SQL states it: super-parent sets of ``n_dep`` attributes in
+    lexicographic order; per set one joint prior table of class and set, and one
+    conditional table for each other attribute; one class prior.  Pseudo-counts are 1, or
+    with ``m`` are m over the cells of a prior and m over an attribute's cardinality."""
+
+    n_dep: int
+    m: float | None = None
+    limit: float | None = 1.0
+    joint: bool = True
+    class_prior = True
+
+    @property
+    def combine(self) -> str:
+        return "joint_sum" if self.joint else "norm_sum"
+
+    def tabs(self, view: str) -> str:
+        attrs, _, k = meta(view)
+        d, cards = len(attrs), cards_sql(view)
+        sets = {0: "SELECT 0 AS component, []::INTEGER[] AS s",
+                1: f"SELECT CAST(range AS INTEGER) AS component, [CAST(range AS INTEGER)] AS s FROM range({d})",
+                2: f"""SELECT CAST(row_number() OVER (ORDER BY a.range, b.range) - 1 AS INTEGER) AS component,
+    [CAST(a.range AS INTEGER), CAST(b.range AS INTEGER)] AS s FROM range({d}) a JOIN range({d}) b ON a.range < b.range"""}[self.n_dep]
+
+        def size(x):
+            return f"CAST(list_reduce(list_transform({x}, lambda p: {cards}[p + 1]), lambda a, b: a * b, 1) AS INTEGER)"
+
+        prior_a0 = "1.0" if self.m is None else f"{self.m!r} / ({k} * {size('s')})"
+        cond_a0 = "1.0" if self.m is None else f"{self.m!r} / {cards}[a + 1]"
+        return f"""tabs AS (SELECT row_number() OVER (ORDER BY component, prior DESC, att) - 1 AS tid, * FROM (
+  WITH sets AS ({sets}), atts_of AS (SELECT component, s, CAST(range AS INTEGER) AS a FROM sets, range({d}))
+  SELECT component, CASE WHEN len(s) = 0 THEN -1 ELSE s[len(s)] END AS att, s[1:len(s) - 1] AS ap, {size('s[1:len(s) - 1]')} AS S,
+    CASE WHEN len(s) = 0 THEN 1 ELSE {cards}[s[len(s)] + 1] END AS card, CAST({prior_a0} AS DOUBLE) AS a0, TRUE AS prior, FALSE AS cn FROM sets
+  UNION ALL
+  SELECT component, a, s, {size('s')}, {cards}[a + 1], CAST({cond_a0} AS DOUBLE), FALSE, FALSE FROM atts_of WHERE NOT list_contains(s, a)
+  UNION ALL SELECT -1, -1, []::INTEGER[], 1, 1, 1.0, TRUE, FALSE) u)"""
 
 
 def bayes_model_ctes(view: str, spec, inst: str = "inst", keys: tuple[str, ...] = (),
@@ -135,7 +166,7 @@ def bayes_model_ctes(view: str, spec, inst: str = "inst", keys: tuple[str, ...]
     kk = "".join(f"{c}, " for c in keys)
     kp = ", ".join(keys)
     pt = f"PARTITION BY {kp + ', ' if keys else ''}"
-    ctes = [tabs_cte(spec)]
+    ctes = [spec.tabs(view) if isinstance(spec, Ande) else ""]  # other models bring their own ``tabs``
     if cnt_source is None:
         ctes.append(f"""cnt AS (
   SELECT {''.join(f'i.{c}, ' for c in keys)}t.tid, i.cls,
