@@ -125,9 +125,18 @@ def laplace_sigma(df: DataFrame, pred: str = "prediction", label: str = "label")
 
 
 # --------------------------------------------------------------------- W-1 C-SVC
-def _summed(data: DataFrame, fn: Callable, size: int) -> np.ndarray:
+#: up to so many tasks, their partial sums are added on the driver (one stage fewer)
+FEW_TASKS = 64
+
+
+def _tasks(data: DataFrame) -> int:
+    return data.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def _summed(data: DataFrame, fn: Callable, size: int, tasks: int) -> np.ndarray:
     """The sum over all rows of ``fn(batch) -> vector of length size``: tasks add up their
-    batches, Spark adds by position, ``size`` numbers reach the driver."""
+    batches, Spark adds by position, ``size`` numbers reach the driver (from at most
+    ``FEW_TASKS`` tasks, their partial sums do)."""
     import pyarrow as pa
 
     def part(batches):
@@ -136,10 +145,11 @@ def _summed(data: DataFrame, fn: Callable, size: int) -> np.ndarray:
             total += fn(batch)
         yield pa.RecordBatch.from_pydict({"i": np.arange(size), "g": total})
 
-    got = np.zeros(size)
-    for r in data.mapInArrow(part, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():
-        got[r.i] = r.g
-    return got
+    sums = data.mapInArrow(part, "i bigint, g double")
+    if tasks > FEW_TASKS:
+        sums = sums.groupBy("i").agg(F.sum("g").alias("g"))
+    got = sums.toArrow()
+    return np.bincount(got["i"].to_numpy(), got["g"].to_numpy(), size)
 
 
 def csvc_fit_groups(df: DataFrame, labels: list[int], *, n_groups: int = 1, features: str = "features", label: str = "label",
@@ -160,6 +170,7 @@ def csvc_fit_groups(df: DataFrame, labels: list[int], *, n_groups: int = 1, feat
     data = df.select(F.col(features).cast("array<double>").alias("x"), index.alias("c"),
                      (F.col(group) if group else F.lit(-1)).cast("int").alias("g")).where("c >= 0").persist()
     d = int(data.agg(F.max(F.size("x"))).first()[0] or 0)
+    tasks = _tasks(data)
     side = np.zeros((len(labels), len(pairs)))
     for p, (i, j) in enumerate(pairs):
         side[i, p], side[j, p] = 1.0, -1.0
@@ -177,7 +188,7 @@ def csvc_fit_groups(df: DataFrame, labels: list[int], *, n_groups: int = 1, feat
             pull = -(share * dv * y)
             return np.concatenate([np.hstack([pull.T @ x, pull.sum(0)[:, None]]).ravel(), [(share * v).sum()]])
 
-        s = _summed(data, batch_sum, len(theta) + 1)
+        s = _summed(data, batch_sum, len(theta) + 1, tasks)
         flat = w.copy()
         flat[:, -1] = 0.0
         return s[-1] + 0.5 * float((flat * flat).sum()), s[:-1] + flat.ravel()
@@ -370,7 +381,7 @@ def primal_fit(df: DataFrame, kind: str, *, features: str = "features", label: s
         raise ValueError("no rows to fit")
     n, d = float(size.n), int(size.d)
     extra = {"one_class": 1, "nu_svc": 2, "epsilon_svr": 1, "nu_svr": 2}[kind]
-    theta = np.zeros(d + extra)
+    theta, tasks = np.zeros(d + extra), _tasks(data)
 
     def evaluate(th: np.ndarray, mu: float) -> tuple[float, np.ndarray]:
         def batch_sum(batch):
@@ -378,7 +389,7 @@ def primal_fit(df: DataFrame, kind: str, *, features: str = "features", label: s
             v, g = _objective_parts(kind, x, batch.column("y").to_numpy(zero_copy_only=False), th, mu, C, nu, eps, n)
             return np.append(g, v)
 
-        got = _summed(data, batch_sum, len(th) + 1)
+        got = _summed(data, batch_sum, len(th) + 1, tasks)
         rv, rg = _regulariser(kind, th, d, C, nu, n)
         return got[-1] + rv, got[:-1] + rg
 

@@ -53,7 +53,9 @@ def test_cross_validation_equals_fold_by_fold_fits(spark):
     assert same >= 58  # both stop within their tolerance
 
 
-def test_nu_svr_scales_as_c_per_row(spark):
+@pytest.mark.parametrize("few", [64, 0])
+def test_nu_svr_scales_as_c_per_row(spark, monkeypatch, few):
+    monkeypatch.setattr(W, "FEW_TASKS", few)  # both ways of adding partial sums
     rng = np.random.default_rng(3)
     x = rng.uniform(-1, 1, 200)
     df = spark.createDataFrame([([float(a)], float(2 * a + 1 + e)) for a, e in zip(x, rng.normal(0, 0.05, 200))], "features array<double>, label double")
