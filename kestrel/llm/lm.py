@@ -22,7 +22,7 @@ matrices; a text's log-probability is then a sum of look-ups.  A token under the
 symbol is further scored by add-one counts within the others, with one place for all
 unseen words, so that the outcomes of each position sum to 1.
 
-The ``HEAD`` most frequent tokens are broadcast (16 bytes each, a fixed bound); the counts of
+The most frequent tokens, at most ``HEAD``, are broadcast (16 bytes each, a fixed bound); the counts of
 rarer words reach the texts by a join.
 
 Defined cases: null texts are empty (one end token); with no training text every count is 0
@@ -121,11 +121,25 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, symbols: int = SYMBOLS, head: int = HEAD) -> Vocabulary:
-    sums = counts.agg(F.sum("n").alias("total"), F.count("n").alias("distinct")).first()
-    total, distinct = int(sums.total or 0), int(sums.distinct)
-    top = counts.orderBy(F.desc("n"), "h").limit(head).toArrow() if distinct else None
-    h = top["h"].to_numpy().view(np.uint64) if distinct else np.zeros(0, np.uint64)
-    n = top["n"].to_numpy() if distinct else np.zeros(0, np.int64)
+    """The head is every token of the highest count classes (eighths of a power of two) that
+    together hold at most ``head`` tokens, so no task ranks all tokens."""
+    level = F.floor(F.log2("n") * 8)
+    classes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    classes = sorted(((r.level, r.size, r.total) for r in classes.collect()), reverse=True)  # at most 8 * 63 rows
+    total, distinct = sum(c[2] for c in classes), sum(c[1] for c in classes)
+    size, lowest = 0, None
+    for c in classes:
+        if size + c[1] > head:
+            break
+        size, lowest = size + c[1], c[0]
+    if size >= min(symbols - 1, distinct):
+        top = counts.where(level >= lowest) if size else counts.limit(0)
+    else:  # the symbols themselves need tokens of a class that is larger than the head
+        top = counts.orderBy(F.desc("n"), "h").limit(head)
+    top = top.toArrow()
+    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    best = np.lexsort((h.view(np.int64), -n))
+    h, n = h[best], n[best]
     known = min(symbols - 1, len(h))
     symbol = np.zeros(len(h), np.int64)
     symbol[:known] = np.arange(1, known + 1)
