@@ -119,13 +119,16 @@ def _matrix(col: pa.Array, width: int, kind) -> np.ndarray:
 # -- connected components ----------------------------------------------------------------
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node in ``links`` (a, b): comp is the smallest node reachable."""
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """(node, comp) of every node in ``links`` (a, b): comp is the smallest node reachable.
+
+    Each step deals its edges once by ``a``: the smallest neighbour and the join with it need
+    no further shuffle."""
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     mark = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").repartition("a")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = written(small.where("a != b").distinct(), "edges")
@@ -250,7 +253,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         ok = possible((x > y).sum(1), (x < y).sum(1), b.column("n").to_numpy().astype(float), b.column("n2").to_numpy().astype(float), least)
         return {"leader": b.column("leader").filter(pa.array(ok)), "node": b.column("node").filter(pa.array(ok))}
 
-    pairs = written(map_batches(pairs, likely, "leader bigint, node bigint"), "star-pairs")
+    pairs = map_batches(pairs, likely, "leader bigint, node bigint")
     whole = full_sets.select("node", "set")
     pairs = pairs.join(whole, "node").join(whole.toDF("leader", "set2"), "leader")
 
@@ -259,8 +262,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
               for x, y in zip(b.column("set").to_pylist(), b.column("set2").to_pylist(), strict=True)]
         return {"a": b.column("node").filter(pa.array(ok, pa.bool_())), "b": b.column("leader").filter(pa.array(ok, pa.bool_()))}
 
-    stars = written(map_batches(pairs, confirm, "a bigint, b bigint"), "star-links")
-    comp = components(stars)
+    comp = components(map_batches(pairs, confirm, "a bigint, b bigint"))
 
     # crossings
     rows_in = shared.select("band", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -288,7 +290,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.RecordBatch.from_pydict({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     crossed = _cross(left.join(full_sets, "node"), SET_BLOCK, ["n", "sketch", "set"], links, "a bigint, b bigint")
-    comp = components(stars.union(crossed))
+    known = comp.where("node != comp").toDF("a", "b")  # stars already, so this closes in few steps
+    comp = components(known.union(crossed))
 
     # names
     named = nodes.select("k1", "k2", "node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
