@@ -34,6 +34,7 @@ from kestrel.llm.common import map_batches
 SPACE = "▁"
 VOCAB = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
+INF = float("inf")
 CACHE_WORDS = 500_000
 
 
@@ -65,28 +66,36 @@ class Counter:
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in names)
 
     def solve(self, s: str) -> tuple[int, float]:
-        """(pieces, score) of the best path over an escaped string."""
-        n = len(s)
-        score, count, known = [0.0] * (n + 1), [0] * (n + 1), [True] * (n + 1)
-        ends: dict[int, list] = {}
-        if len(self.trie):
-            for end, (size, val) in self.trie.iter(s):
-                ends.setdefault(end + 1, []).append((size, val))
-        for e in range(1, n + 1):
-            best, at, real, single = None, 0, True, False
-            for size, val in sorted(ends.get(e, ()), reverse=True):  # earliest start first
-                single |= size == 1
-                if best is None or score[e - size] + val > best:
-                    best, at = score[e - size] + val, e - size
-            if not single and (best is None or score[e - 1] + self.unknown > best):
-                best, at, real = score[e - 1] + self.unknown, e - 1, False
-            score[e], known[e] = best, real
-            if real:
-                count[e] = count[at] + 1
-            elif self.bytes:
-                count[e] = count[at] + len(s[at].encode())
-            else:  # a run of unknown characters is one piece
-                count[e] = count[at] + (1 if at == 0 or known[at] else 0)
+        """(pieces, score) of the best path over an escaped string.  The automaton gives matches
+        by end, longest first, so a strictly larger score is all that may replace a path."""
+        n, unknown = len(s), self.unknown
+        score, count = [-INF] * (n + 1), [0] * (n + 1)
+        score[0] = 0.0
+        single, known = [False] * (n + 1), [True] * (n + 1)
+
+        def offer_unknown(e):
+            v = score[e - 1] + unknown
+            if v > score[e]:
+                score[e], known[e] = v, False
+                # unknown characters are their bytes, or a run of them is one piece
+                count[e] = count[e - 1] + (len(s[e - 1].encode()) if self.bytes else known[e - 1])
+
+        f = 1  # ends before f are final
+        for e, (size, val) in self.trie.iter(s) if self.vocab else ():
+            e += 1
+            while f < e:
+                if not single[f]:
+                    offer_unknown(f)
+                f += 1
+            v = score[e - size] + val
+            if v > score[e]:
+                score[e], count[e] = v, count[e - size] + 1
+            if size == 1:
+                single[e] = True
+        while f <= n:
+            if not single[f]:
+                offer_unknown(f)
+            f += 1
         return count[n], score[n]
 
     def count(self, text: str | None) -> tuple[int, float]:
