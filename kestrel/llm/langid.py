@@ -124,13 +124,19 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     docs = docs.where("label is not null and text is not null")
-    labels = sorted(r.label for r in docs.select("label").distinct().limit(sample).collect())
+    sizes = {r.label: r["count"] for r in docs.groupBy("label").count().limit(sample).collect()}
+    labels = sorted(sizes)
     empty = LanguageModel([], np.zeros(0x110000, np.uint8), np.full(_GRAMS, -1, np.int32), np.zeros((1, 1), np.float32), np.zeros((1, 0)), np.zeros(0))
     if not labels:
         return _with_letters(empty, {})
     each = max(2, sample // len(labels))
     near = lambda df, by, k: df.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*by))).where(F.col("r") <= k).drop("r")
-    ids = near(docs.select("id", "label"), [F.xxhash64("id"), "id"], each).select("id").distinct().collect()  # at most ``sample``
+    # of a large label only the rows below a hash bound (four times as many as wanted) are ranked
+    bound = F.lit(2**63 - 1)
+    for lab, n in sizes.items():
+        bound = F.when(F.col("label") == lab, F.lit(min(2**63 - 1, 2**63 * 4 * each // n))).otherwise(bound)
+    few = docs.select("id", "label").where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= bound)
+    ids = near(few, [F.shiftrightunsigned(F.xxhash64("id"), 1), "id"], each).select("id").distinct().collect()  # at most ``sample``
     rows = docs.where(F.col("id").isin([r.id for r in ids])) if ids else docs.limit(0)
     rows = near(rows, [F.xxhash64("id", "text"), "id", "text"], each).persist()
 
