@@ -8,7 +8,7 @@ from kestrel.llm import decontaminate as decon
 from kestrel.llm import langid, neardup
 from kestrel.llm import packing as packs
 from kestrel.llm import pii as personal
-from kestrel.llm.common import table
+from kestrel.llm.common import table, written
 
 #: a text whose best language value is lower is rejected
 MIN_LANGUAGE_SCORE = 0.3
@@ -22,9 +22,18 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keeps one document of each group of near-duplicates (five words a shingle, 0.8)."""
-    got = neardup.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(got, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """Keeps one row of each group of near-duplicates (five words a shingle, 0.8): that of the
+    smallest doc_id, null last.  The operator runs on written row ids, so rows that share a
+    doc_id, or have none, are judged each by its own text.  Texts without words are copies of
+    nothing, but rows of one doc_id without words are one."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")  # written: the ids stay
+    got = neardup.near_duplicates(rows, doc_id="__row", k=5).select(F.col("doc_id").alias("__row"), "component_id", "n_shingles")
+    got = got.join(rows.select("__row", "doc_id"), "__row")
+    wordless = F.col("n_shingles") == 0
+    group = [F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")), F.when(wordless, F.col("doc_id"))]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = got.groupBy(*group).agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark, docs, sf_dir):

@@ -317,3 +317,23 @@ def test_pipeline_stages(spark, sf, odd):
     assert kept["near_dedup"] & set(ids) == {d for d, _, _, keep in sets if keep}
     assert kept["pii"] == kept["decontaminate"] == kept["packing"]
     assert sum(1 for _ in corpus_pipeline.run(spark, sf).collect()) > 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Repeated, shared and null doc_ids: every row is judged by its own text."""
+    from kestrel.llm import stages
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    data = [(3, a), (3, a), (3, a),  # one id and text
+            (1, b), (2, b + " more"), (2, c),  # a copy of another document shares its id with a text of its own
+            (None, a), (None, d), (None, d), (None, e),  # copies of a document with an id, and of each other
+            (7, ""), (7, ""), (8, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(data)], "doc_id bigint, text string, n int").repartition(3)
+    got = stages.near_dedup(spark, docs, None)
+    assert got.columns == docs.columns
+    want = [(3, a), (1, b), (2, c), (None, d), (None, e), (7, ""), (8, None), (None, ""), (None, "")]
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=repr) == sorted(want, key=repr)
+    ids = near_docs(2)
+    docs = spark.createDataFrame(ids, "doc_id bigint, text string")
+    kept = {r.doc_id for r in stages.near_dedup(spark, docs, None).collect()}
+    assert kept == {i for i, _, _, keep in brute_components(ids, 5) if keep}
