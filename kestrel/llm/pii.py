@@ -6,7 +6,8 @@ per kind; a match that fails its check is dropped and not retried.
 
 The rules miss data that they swallow into a failing match (a phone number followed by a card
 number) or that repeats in a form they do not know.  The field labels each candidate token
-(a run without white space that holds a digit or ``@``) as nothing or one of the kinds:
+(a run without white space that holds a digit or ``@``; groups of digits, one space apart, that
+together write a card number are one token, see ``units``) as nothing or one of the kinds:
 
 * token potentials: the token's shape (digits as d, letters as a, runs counted) and checks;
 * chain potentials between neighbouring tokens that are both candidates, one for each label that
@@ -21,7 +22,8 @@ base rules, leaving out tokens of failing matches, in a sample of at most ``SAMP
 (those of smallest hash that have candidates; at most ``SAMPLE_TOKENS`` tokens each).
 
 A run of neighbouring tokens of one kind, each with a marginal of at least ``SURE``, becomes a
-span if its text passes the kind's own check and meets no base span.  Base spans stay.
+span (a phone's run as a whole; of a card's run, parts that pass; else each token) if its text
+passes the kind's own check and meets no base span.  Base spans stay.
 
 Defined cases: a null or empty text has no spans; every text is read whole; repeated rows give
 equal rows; with no training token the field adds nothing.
@@ -55,6 +57,8 @@ LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK = re.compile(r"[\x20\x09-\x0D]|\Z")
 DIGITS = re.compile(r"[^0-9]+")
+GROUPED = re.compile(r"[0-9]+(-[0-9]+)*")
+_LEAD, _TRAIL = "\"'([{<", ",.;:!?\"')]}>"
 
 
 def luhn(digits: str) -> bool:
@@ -131,6 +135,8 @@ def shape(token: str) -> str:
     s = "".join("d" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in t[:64])
     s = _RUN.sub(lambda m: f"d{len(m.group())}" if m.group()[0] == "d" else "a", s)
     d = DIGITS.sub("", t)
+    if 14 <= len(d) <= 19 and CARD.fullmatch(t.lstrip(_LEAD).rstrip(_TRAIL)):
+        s = "d14+"  # a number that may be a card's: grouped or not, the same shape
     if 13 <= len(d) <= 19:
         s += " luhn" if luhn(d) else " plain"
     elif t.count(".") == 3 and "a" not in s:
@@ -146,6 +152,44 @@ def key(token: str) -> str:
     return d if len(d) >= 4 else ""
 
 
+def units(text: str, where: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The candidates, with those that together write one card number as one: neighbours of
+    digits, one space apart, in groups of four or more (the last of two or more), whose 14 to 19
+    digits pass Luhn.  Of those that overlap, the ones that cover most digits; among equals the
+    earlier, or the later if the run follows a phone number's beginning."""
+    n = len(where)
+    groups, opens, ends, late = [], [], [], []
+    for i, (s, e) in enumerate(where):
+        body = text[s:e].lstrip(_LEAD)
+        core = body.rstrip(_TRAIL)
+        groups.append([len(x) for x in core.split("-")] if GROUPED.fullmatch(core) else None)
+        opens.append(len(body) == e - s)
+        ends.append(len(core) == len(body))
+        near = i > 0 and text[where[i - 1][1] : s] == " "
+        late.append(near and (late[-1] if groups[i - 1] else any(c in text[slice(*where[i - 1])] for c in "+(")))
+    best, take = [0] * (n + 1), [0] * n
+    for i in range(n - 1, -1, -1):
+        best[i] = best[i + 1]
+        j, sizes = i, []
+        while groups[j]:
+            sizes += groups[j]
+            if sum(sizes) > 19 or min(sizes[:-1], default=4) < 4:
+                break
+            if j > i and sum(sizes) >= 14 and sizes[-1] >= 2:
+                got = sum(sizes) + best[j + 1]
+                if (got > best[i] or got == best[i] and not late[i]) and luhn(DIGITS.sub("", text[where[i][0] : where[j][1]])):
+                    best[i], take[i] = got, j
+            if not ends[j] or j + 1 == n or not opens[j + 1] or text[where[j][1] : where[j + 1][0]] != " ":
+                break
+            j += 1
+    out, i = [], 0
+    while i < n:
+        j = max(i, take[i])
+        out.append((where[i][0], where[j][1]))
+        i = j + 1
+    return out
+
+
 def edges(tokens: list[str], spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(chain links, skip links) of a document's candidate tokens."""
     chain = [(i, i + 1) for i in range(len(tokens) - 1) if spans[i + 1][0] - spans[i][1] == 1]
@@ -206,8 +250,14 @@ def _check(kind: int, s: str) -> bool:
     return re.fullmatch(r"\+?[0-9(][0-9 ().-]*[0-9]", s) is not None and 7 <= len(d) <= 15
 
 
+def _free(taken, starts, s: int, e: int) -> bool:
+    """Whether the span meets none of the sorted spans."""
+    k = np.searchsorted(starts, e) - 1 if len(taken) else -1
+    return all(taken[x][1] <= s for x in range(max(0, k - 3), k + 1))
+
+
 def added_spans(text: str, base, field: Field) -> list[tuple[int, int, int]]:
-    where = candidates(text)
+    where = units(text, candidates(text))
     if not where:
         return []
     tokens = [text[s:e] for s, e in where]
@@ -222,18 +272,24 @@ def added_spans(text: str, base, field: Field) -> list[tuple[int, int, int]]:
         j = i
         while label[i] and (j, j + 1) in near and label[j + 1] == label[i]:
             j += 1
-        if label[i]:
-            groups = [(i, j)] if label[i] == 4 else [(x, x) for x in range(i, j + 1)]  # only phones have several tokens
-            for a, b in groups:
+        kind = int(label[i]) - 1
+        before, after = (_LEAD + ",.;:!?", _TRAIL) if kind == 2 else (",.;:!?\"'", ",.;:!?\"')")
+        a = i
+        while kind >= 0 and a <= j:
+            # phones have several tokens, and cards may: the longest part of the run from here that passes
+            ends = [j] if kind == 3 else range(min(j, a + 18), a - 1, -1) if kind == 2 else [a]
+            done = a
+            for b in ends:
                 s, e = where[a][0], where[b][1]
-                while s < e and text[s] in ",.;:!?\"'":
+                while s < e and text[s] in before:
                     s += 1
-                while e > s and text[e - 1] in ",.;:!?\"')":
+                while e > s and text[e - 1] in after:
                     e -= 1
-                k = np.searchsorted(starts, e) - 1 if len(taken) else -1
-                free = all(taken[x][1] <= s for x in range(max(0, k - 3), k + 1))
-                if free and _check(label[i] - 1, text[s:e]):
-                    out.append((s, int(label[i]) - 1, e))
+                if _free(taken, starts, s, e) and _check(kind, text[s:e]):
+                    out.append((s, kind, e))
+                    done = b
+                    break
+            a = j + 1 if kind == 3 else done + 1
         i = j + 1
     return out
 
@@ -246,7 +302,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
         for n, t in enumerate(b.column("text").to_pylist()):
             if not t or not DIGIT_OR_AT.search(t):
                 continue
-            where = candidates(t)[:SAMPLE_TOKENS]
+            where = units(t, candidates(t)[:SAMPLE_TOKENS])
             spans, failed = base_spans(t)
             tokens = [t[s:e] for s, e in where]
             lab = [0] * len(where)
@@ -324,6 +380,8 @@ def learn(rows, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Fi
             setattr(field, name, getattr(field, name) + rate * g / np.sqrt(s))
     field.token[-1] = 0
     field.token[-1, 0] = 3.0
+    # the rules swallow neighbouring cards, so that the sample holds none is no evidence against them
+    field.chain[3, 3] = max(0.0, field.chain[3, 3])
     # similar tokens agree at least this strongly, however few pairs the sample holds
     field.skip = (field.skip + field.skip.T) / 2 + 2.0 * np.eye(k) - np.diag([2.0] + [0.0] * (k - 1))
     return field

@@ -206,6 +206,22 @@ def test_pii_odd_input(spark, odd, none):
     assert hidden.schema == odd.schema and rows(hidden) == rows(odd)
 
 
+def test_pii_grouped_cards(spark):
+    """Card numbers in groups that the base patterns swallow into a failing match."""
+    field = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    card, other, amex = "4532 0151 1283 0366", "4111 1111 1111 1111", "3782 822463 10005"
+    for text, want in [(f"call +1 (269) 555-3296 {card} now", "call [PHONE] [CARD] now"),
+                       (f"both {card} {other} end", "both [CARD] [CARD] end"),
+                       (f"three ({card} {other} {amex}).", "three ([CARD] [CARD] [CARD])."),
+                       (f"hyphens {card.replace(' ', '-')} {other.replace(' ', '-')}", "hyphens [CARD] [CARD]"),
+                       (f"mixed {card} 4111111111111111, {other.replace(' ', '-')}.", "mixed [CARD] [CARD], [CARD]."),
+                       (f"no card: {card[:-1]}7 {other[:-1]}2", f"no card: {card[:-1]}7 {other[:-1]}2")]:
+        base, spans = pii.text_spans(text, field)
+        assert base == brute_base(text) and set(base) <= set(spans)
+        assert pii.masked(text, spans) == want
+    assert pii.units(f"+49 30 1234 5678 {card}", pii.candidates(f"+49 30 1234 5678 {card}"))[-1] == (17, 36)
+
+
 # -- licenses ----------------------------------------------------------------------------
 
 def test_license_sql(spark, sf, duck, odd):
