@@ -4,26 +4,33 @@ Tokens are ``SPACE`` words (A-Z lower-cased), then one end per text.  Corpus cou
 exact and cover every training text: words are counted by a 64-bit hash, partial counts
 first in the task, then in the aggregate.
 
-Model.  The ``SYMBOLS - 1`` most frequent tokens and one symbol for all others.  With r and q
-the context and target vectors of symbols, c1 and c2 the weights of the last and the last
-but one position and b a bias (log-bilinear, diagonal context weights):
-
-    s(w | u, v) = (c1 * r_u + c2 * r_v) . q_w + b_w
-
-It is trained in NumPy by noise-contrastive estimation: each minibatch is contrasted with
-words drawn from the unigram distribution, the normaliser taken as 1.  Training is data
-parallel over all training texts: every task starts from the broadcast parameters, passes
-over its own texts, and the parameters are averaged by tokens in an aggregate whose rows are
-parameter rows, for ``ROUNDS`` rounds.
-
-Scores are normalised exactly.  exp(s) is a product of a factor of (u, w) and one of
-(v, w), so the normalisers of all contexts are one matrix product of two SYMBOLS x SYMBOLS
-matrices; a text's log-probability is then a sum of look-ups.  A token under the "other"
-symbol is further scored by add-one counts within the others, with one place for all
+Model.  Symbols are all tokens that occur at least ``LEAST`` times (and, in small corpora, the
+``SYMBOLS - 1`` most frequent ones in any case), and one symbol for all others: the modelled
+vocabulary grows with the corpus.  Symbols in order of frequency are cut into classes of equal
+sums of square roots of counts, about half as many as the root of the number of symbols.  With r
+and q the context and target vectors of symbols, d the target vectors of classes, c1 and c2 the
+weights of the last and the last but one position and a, b biases (log-bilinear, diagonal context
+weights, factored by classes):
+
+    h(u, v) = c1 * r_u + c2 * r_v
+    p(w | u, v) = p(k | u, v) * p(w | k, u, v)      k the class of w
+    p(k | u, v) ~ exp(h . d_k + a_k),  p(w | k, u, v) ~ exp(h . q_w + b_w) over the words of k
+
+It is trained in NumPy by noise-contrastive estimation: each class is contrasted with
+classes drawn from the unigram distribution, each word with words of its class, the normalisers
+taken as 1.  Training is data parallel over all training texts: every task starts from the
+broadcast parameters and passes over its own texts; the changes of the parameter rows that a
+task has touched (16-bit floats) are averaged by touches, block by block, for ``ROUNDS`` rounds.
+
+Scores are normalised exactly: the normalisers of classes by one matrix product a batch of contexts,
+of words by one matrix product for each class and slice.  Where both context symbols are
+among the ``SYMBOLS`` most frequent, exp of the class score is a product of a factor of (u, k) and one of
+(v, k), so those class normalisers are look-ups in one product of matrices.  A token under the
+"other" symbol is further scored by add-one counts within the others, with one place for all
 unseen words, so that the outcomes of each position sum to 1.
 
-The most frequent tokens, at most ``HEAD``, are broadcast (16 bytes each, a fixed bound); the counts of
-rarer words reach the texts by a join.
+The most frequent tokens (at most ``HEAD``, and all symbols) and the parameters (200 bytes a
+symbol) are broadcast; the counts of rarer words reach the texts by a join.
 
 Defined cases: null texts are empty (one end token); with no training text every count is 0
 and the model is uniform; repeated rows are scored each; a null doc_id is not held out.
@@ -44,11 +51,16 @@ from kestrel.llm.langid import held_out
 from kestrel.llm.text import buffers, slices, word_hashes
 
 SYMBOLS = 1024
+LEAST = 10
 HEAD = 1 << 18
 DIM = 24
 NOISE = 32
+WORD_NOISE = 5
 BATCH = 4096
+#: parameter rows of a record of changes
+BLOCK = 1024
 RATE = 0.1
+SMOOTH = 1.0
 ROUNDS = 2
 END = np.uint64(0x1CE4E5B9D1342543)  # stands for the end token among word hashes
 OTHER = 0  # its symbol
@@ -103,7 +115,7 @@ class Vocabulary:
     distinct: int
     h: np.ndarray  # sorted hashes of the head
     n: np.ndarray  # their counts
-    symbol: np.ndarray  # their symbols; OTHER beyond the most frequent
+    symbol: np.ndarray  # their symbols; OTHER for the rare ones
     unigram: np.ndarray  # counts of the symbols
     others: int  # different tokens under OTHER
 
@@ -120,9 +132,10 @@ class Vocabulary:
         return float(np.log10(self.unigram[OTHER] + self.others + 1))
 
 
-def vocabulary(counts: DataFrame, symbols: int = SYMBOLS, head: int = HEAD) -> Vocabulary:
+def vocabulary(counts: DataFrame, symbols: int = SYMBOLS, head: int = HEAD, least: int = LEAST) -> Vocabulary:
     """The head is every token of the highest count classes (eighths of a power of two) that
-    together hold at most ``head`` tokens, so no task ranks all tokens."""
+    together hold at most ``head`` tokens, so no task ranks all tokens, and every token that
+    occurs ``least`` times."""
     level = F.floor(F.log2("n") * 8)
     classes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     classes = sorted(((r.level, r.size, r.total) for r in classes.collect()), reverse=True)  # at most 8 * 63 rows
@@ -132,15 +145,16 @@ def vocabulary(counts: DataFrame, symbols: int = SYMBOLS, head: int = HEAD) -> V
         if size + c[1] > head:
             break
         size, lowest = size + c[1], c[0]
+    often = F.col("n") >= least
     if size >= min(symbols - 1, distinct):
-        top = counts.where(level >= lowest) if size else counts.limit(0)
+        top = counts.where((level >= lowest) | often) if size else counts.limit(0)
     else:  # the symbols themselves need tokens of a class that is larger than the head
-        top = counts.orderBy(F.desc("n"), "h").limit(head)
+        top = counts.orderBy(F.desc("n"), "h").limit(head).union(counts.where(often)).distinct()
     top = top.toArrow()
     h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     best = np.lexsort((h.view(np.int64), -n))
     h, n = h[best], n[best]
-    known = min(symbols - 1, len(h))
+    known = max(min(symbols - 1, len(h)), int((n >= least).sum()))
     symbol = np.zeros(len(h), np.int64)
     symbol[:known] = np.arange(1, known + 1)
     unigram = np.concatenate(([total - n[:known].sum()], n[:known])).astype(np.int64)
@@ -148,65 +162,155 @@ def vocabulary(counts: DataFrame, symbols: int = SYMBOLS, head: int = HEAD) -> V
     return Vocabulary(total, distinct, h[order], n[order], symbol[order], unigram, distinct - known)
 
 
+def classes_of(unigram: np.ndarray) -> np.ndarray:
+    """First symbol of each class, and the end.  OTHER is a class of its own; the words behind it
+    stand in order of frequency, so frequent words have small classes."""
+    k = len(unigram)
+    root = np.cumsum(np.sqrt(unigram[1:] + 1.0))
+    if not len(root):
+        return np.array([0, k])
+    n = int(np.ceil(0.6 * np.sqrt(k)))
+    part = np.minimum((root - root[0]) / root[-1] * n, n - 1).astype(np.int64)
+    return np.concatenate(([0], 1 + np.flatnonzero(np.diff(part, prepend=-1)), [k]))
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(1, keepdims=True)
+    s -= top
+    return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
+
+
 @dataclass
 class LogBilinear:
-    r: np.ndarray
-    q: np.ndarray
-    c: np.ndarray
-    b: np.ndarray
-
-    @classmethod
-    def start(cls, unigram: np.ndarray, dim: int = DIM, seed: int = 7) -> LogBilinear:
-        rng, k = np.random.default_rng(seed), len(unigram)
-        p = (unigram + 1) / (unigram.sum() + k)
-        return cls(rng.normal(0, 0.1, (k, dim)), rng.normal(0, 0.1, (k, dim)), np.full((2, dim), 0.7), np.log(p))
+    """Rows of ``m``: context vectors of the symbols, target vectors of the symbols, target vectors
+    of the classes (their biases in the last column), the two position weights."""
 
-    def rows(self) -> np.ndarray:
-        """All parameters as rows of one width."""
-        d = self.r.shape[1]
-        pad = np.zeros(-len(self.b) % d)
-        return np.vstack([self.r, self.q, self.c, np.concatenate([self.b, pad]).reshape(-1, d)])
+    m: np.ndarray
+    first: np.ndarray  # first symbol of each class, and the end
 
     @classmethod
-    def of(cls, m: np.ndarray, k: int) -> LogBilinear:
-        return cls(m[:k].copy(), m[k : 2 * k].copy(), m[2 * k : 2 * k + 2].copy(), m[2 * k + 2 :].ravel()[:k].copy())
+    def start(cls, unigram: np.ndarray, dim: int = DIM, seed: int = 7) -> LogBilinear:
+        rng, k, first = np.random.default_rng(seed), len(unigram), classes_of(unigram)
+        mass = np.add.reduceat(unigram + 1.0, first[:-1])
+        m = rng.normal(0, 0.1, (2 * k + len(mass) + 2, dim + 1)).astype(np.float32)
+        m[:k, -1] = 0
+        m[k : 2 * k, -1] = np.log((unigram + 1) / np.repeat(mass, np.diff(first)))
+        m[2 * k : -2, -1] = np.log(mass / mass.sum())
+        m[-2:] = 0.7
+        return cls(m, first)
 
-    def train(self, u, v, w, noise: np.ndarray, rng, g2: np.ndarray, rate: float = RATE) -> None:
+    @property
+    def k(self) -> int:
+        return int(self.first[-1])
+
+    def parts(self):
+        """(r, q, b, d, a, c) as views of the rows."""
+        k, m = self.k, self.m
+        return m[:k, :-1], m[k : 2 * k, :-1], m[k : 2 * k, -1], m[2 * k : -2, :-1], m[2 * k : -2, -1], m[-2:, :-1]
+
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def noise(self, unigram: np.ndarray):
+        """What the training draws noise from, by ``unigram``."""
+        cum = np.cumsum(unigram + 1.0)
+        edge = np.concatenate(([0.0], cum))[self.first]
+        mass, kinds = np.diff(edge), self.class_of()
+        log_class = (np.log(mass / mass.sum()) + np.log(NOISE)).astype(np.float32)
+        log_word = (np.log((unigram + 1) / mass[kinds]) + np.log(WORD_NOISE)).astype(np.float32)
+        return cum, edge, mass, kinds, log_class, log_word
+
+    def _step(self, idx, val, tokens, g2, touched, rate) -> None:
+        """AdaGrad with one running square a row; ``val`` are gradients of rows ``idx``, each the
+        sum over ``tokens``."""
+        rows, inv = np.unique(idx, return_inverse=True)
+        times = np.bincount(inv, tokens).astype(np.int64)
+        g = np.stack([np.bincount(inv, x, len(rows)) for x in np.ascontiguousarray(val.T)], 1).astype(np.float32)
+        g2[rows] += (g * g).mean(1)
+        touched[rows] += times
+        self.m[rows] += (rate / np.sqrt(g2[rows] + SMOOTH))[:, None] * g
+
+    def train(self, u, v, w, noise, rng, g2: np.ndarray, touched: np.ndarray, rate: float = RATE) -> None:
         """One pass of noise-contrastive estimation over tokens w with contexts (u, v);
-        ``noise`` is the noise distribution, ``g2`` the running squares (AdaGrad)."""
-        k, d = self.r.shape
-        cum = np.cumsum(noise)
-        log_noise = np.log(noise) + np.log(NOISE)
+        ``noise`` as above, ``g2`` the running squares of the rows, ``touched`` how often each was used."""
+        k, first, size = self.k, self.first, np.diff(self.first)
+        r, q, b, d, a, c = self.parts()
+        cum, edge, mass, kinds, log_class, log_word = noise
+        rise = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        wide = lambda x, bias: np.concatenate([x, bias[:, None]], 1)
         for at in range(0, len(w), BATCH):
-            uu, vv, ww = u[at : at + BATCH], v[at : at + BATCH], w[at : at + BATCH]
-            neg = np.minimum(np.searchsorted(cum, rng.random(NOISE) * cum[-1], "right"), k - 1)
-            ru, rv = self.r[uu], self.r[vv]
-            ctx = ru * self.c[0] + rv * self.c[1]
-            qw, qn = self.q[ww], self.q[neg]
-            pos = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", ctx, qw) + self.b[ww] - log_noise[ww], -30, 30)))
-            fake = -1 / (1 + np.exp(-np.clip(ctx @ qn.T + self.b[neg] - log_noise[neg], -30, 30)))
-            g_ctx = pos[:, None] * qw + fake @ qn
-            add = lambda idx, val: np.stack([np.bincount(idx, val[:, j], k) for j in range(d)], 1)
-            grad = LogBilinear(
-                add(np.concatenate([uu, vv]), np.concatenate([g_ctx * self.c[0], g_ctx * self.c[1]])),
-                add(np.concatenate([ww, neg]), np.concatenate([pos[:, None] * ctx, fake.T @ ctx])),
-                np.stack([(g_ctx * ru).sum(0), (g_ctx * rv).sum(0)]),
-                np.bincount(np.concatenate([ww, neg]), np.concatenate([pos, fake.sum(0)]), k),
-            ).rows() / len(ww) ** 0.5
-            g2 += grad * grad
-            step = LogBilinear.of(rate * grad / np.sqrt(g2 + 1.0), k)
-            self.r += step.r
-            self.q += step.q
-            self.c += step.c
-            self.b += step.b
-
-    def tables(self):
-        """(first, second, log normaliser), natural logs: s(w|u,v) = first[u,w] + second[v,w]."""
-        first = ((self.r * self.c[0]) @ self.q.T + self.b).astype(np.float32)
-        second = ((self.r * self.c[1]) @ self.q.T).astype(np.float32)
-        a, b = first.max(1, keepdims=True), second.max(1, keepdims=True)
-        z = np.exp(first - a) @ np.exp(second - b).T
-        return first, second, (np.log(z) + a + b.T).astype(np.float32)
+            by_word = at + np.argsort(w[at : at + BATCH])  # so classes stand together as well
+            uu, vv, ww = u[by_word], v[by_word], w[by_word]
+            ru, rv, kk = r[uu], r[vv], kinds[ww]
+            ctx = ru * c[0] + rv * c[1]
+            # classes: noise shared by the batch
+            neg = np.minimum(np.searchsorted(edge[1:], rng.random(NOISE) * edge[-1], "right"), len(mass) - 1)
+            dk, dn = d[kk], d[neg]
+            pos = 1 - rise(np.einsum("ij,ij->i", ctx, dk) + a[kk] - log_class[kk])
+            fake = -rise(ctx @ dn.T + a[neg] - log_class[neg])
+            g_ctx = pos[:, None] * dk + fake @ dn
+            rows = [(2 * k + np.concatenate([kk, neg]), np.concatenate([wide(pos[:, None] * ctx, pos), wide(fake.T @ ctx, fake.sum(0))]), np.repeat([1, len(ww)], [len(kk), NOISE]))]
+            # words: noise shared by the words of a class
+            i = np.flatnonzero(size[kk] > 1)
+            if len(i):
+                x, t = ctx[i], ww[i]
+                own, of = np.unique(kk[i], return_inverse=True)
+                place = edge[own][:, None] + rng.random((len(own), WORD_NOISE)) * mass[own][:, None]
+                no = np.clip(np.searchsorted(cum, place, "right"), first[own][:, None], first[own + 1][:, None] - 1)
+                qt, qn = q[t], q[no.ravel()].reshape(len(own), -1).take(of, 0).reshape(len(i), WORD_NOISE, -1)
+                p1 = 1 - rise(np.einsum("ij,ij->i", x, qt) + b[t] - log_word[t])
+                p0 = -rise(np.einsum("ijk,ik->ij", qn, x) + (b[no] - log_word[no])[of])
+                g_ctx[i] += p1[:, None] * qt + np.einsum("ij,ijk->ik", p0, qn)
+                x1 = wide(x, np.ones(len(i), np.float32))
+                cut = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+                away = np.concatenate([p0[lo:hi].T @ x1[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)])
+                tokens = np.concatenate([np.ones(len(i)), np.repeat(np.bincount(of), WORD_NOISE)])
+                rows.append((k + np.concatenate([t, no.ravel()]), np.concatenate([wide(p1[:, None] * x, p1), away]), tokens))
+            zero = np.zeros(len(uu), np.float32)
+            rows.append((np.concatenate([uu, vv]), np.concatenate([wide(g_ctx * c[0], zero), wide(g_ctx * c[1], zero)]), np.ones(2 * len(uu))))
+            weights = np.stack([(g_ctx * ru).sum(0), (g_ctx * rv).sum(0)])
+            rows.append((np.arange(len(self.m) - 2, len(self.m)), wide(weights, np.zeros(2, np.float32)), np.full(2, len(uu))))
+            for idx, val, tokens in rows:
+                self._step(idx, val, tokens, g2, touched, rate)
+
+    def tables(self, most: int = SYMBOLS):
+        """(first, second, log normaliser) of the classes, natural logs, for the contexts of the
+        ``most`` most frequent symbols: s(k|u,v) = first[u,k] + second[v,k]."""
+        r, _, _, d, a, c = self.parts()
+        first = (r[:most] * c[0]) @ d.T + a
+        second = (r[:most] * c[1]) @ d.T
+        x, y = first.max(1, keepdims=True), second.max(1, keepdims=True)
+        z = np.exp(first - x) @ np.exp(second - y).T
+        return first, second, np.log(z) + x + y.T
+
+    def log_probabilities(self, u, v, w, norm: np.ndarray) -> np.ndarray:
+        """Natural logs of p(w | u, v); ``norm`` is the last of ``tables()``."""
+        r, q, b, d, a, c = self.parts()
+        kinds, size, out = self.class_of()[w], np.diff(self.first), np.empty(len(w))
+        for at in range(0, len(w), 1 << 18):  # bounds the contexts held at once
+            uu, vv, ww, kk = (x[at : at + (1 << 18)] for x in (u, v, w, kinds))
+            ctx = r[uu] * c[0] + r[vv] * c[1]
+            s = np.einsum("ij,ij->i", ctx, d[kk]) + a[kk]
+            known = (uu < len(norm)) & (vv < len(norm))
+            s[known] -= norm[uu[known], vv[known]]
+            far = np.flatnonzero(~known)
+            step = max(1, (1 << 20) // len(a))
+            for i in range(0, len(far), step):
+                j = far[i : i + step]
+                s[j] -= _log_sum(ctx[j] @ d.T + a)
+            order = np.argsort(kk, kind="stable")
+            cut = np.flatnonzero(np.diff(kk[order], prepend=-1, append=-1))
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                kind = kk[order[lo]]
+                if size[kind] == 1:
+                    continue
+                x, y = self.first[kind : kind + 2]
+                step = max(1, (1 << 20) // (y - x))
+                for i in range(lo, hi, step):
+                    j = order[i : min(hi, i + step)]
+                    s[j] += np.einsum("ij,ij->i", ctx[j], q[ww[j]]) + b[ww[j]] - _log_sum(ctx[j] @ q[x:y].T + b[x:y])
+            out[at : at + (1 << 18)] = s
+        return out
 
 
 def _contexts(sym: np.ndarray, first: np.ndarray, end: int):
@@ -222,36 +326,47 @@ def _contexts(sym: np.ndarray, first: np.ndarray, end: int):
 
 def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> LogBilinear:
     spark = docs.sparkSession
-    k = len(vocab.unigram)
     model = LogBilinear.start(vocab.unigram)
-    noise = (vocab.unigram + 1) / (vocab.unigram.sum() + k)
     end = int(vocab.look(np.array([END]))[1][0])
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((vocab, model, noise))
+        sent = spark.sparkContext.broadcast((vocab, model))
 
         def run(batches):
-            voc, start, pn = sent.value
-            mine = LogBilinear.of(start.rows(), k)
-            rng, g2, seen = np.random.default_rng(turn), np.zeros_like(start.rows()), 0
+            voc, start = sent.value
+            mine = LogBilinear(start.m.copy(), start.first)
+            noise = mine.noise(voc.unigram)
+            rng, g2, touched = np.random.default_rng(turn), np.zeros(len(mine.m), np.float32), np.zeros(len(mine.m), np.int64)
             for b in batches:
                 for _, w, first in _tokens(b.column(0)):
                     if not len(w):
                         continue
                     sym = voc.look(w)[1]
                     u, v = _contexts(sym, first, end)
-                    mine.train(u, v, sym, pn, rng, g2)
-                    seen += len(w)
-            if seen:
-                rows = mine.rows()
-                yield pa.RecordBatch.from_pydict({"i": np.arange(len(rows)), "n": np.full(len(rows), float(seen))}
-                                                 | {f"p{j}": rows[:, j] * seen for j in range(DIM)})
-
-        cols = [f"p{j}" for j in range(DIM)]
-        sums = docs.select(text).mapInArrow(run, "i bigint, n double, " + ", ".join(f"{c} double" for c in cols))
-        got = sums.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols]).orderBy("i").collect()  # parameter rows
-        if not got:
-            return model
-        model = LogBilinear.of(np.array([[r[c] / r.n for c in cols] for r in got]), k)
+                    mine.train(u, v, sym, noise, rng, g2, touched)
+            used = np.flatnonzero(touched)
+            change = (mine.m[used] - start.m[used]).astype(np.float16)
+            cut = np.flatnonzero(np.diff(used // BLOCK, prepend=-1, append=-1))
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                part = [(used[lo:hi] % BLOCK).astype(np.uint16), touched[used[lo:hi]].astype(np.float32), change[lo:hi]]
+                yield pa.RecordBatch.from_pydict({"block": [used[lo] // BLOCK], **{c: [x.tobytes()] for c, x in zip("inp", part, strict=True)}})
+
+        def mean(batches):
+            sums = {}
+            for b in batches:
+                for block, i, n, p in zip(*(b.column(x).to_pylist() for x in ("block", "i", "n", "p")), strict=True):
+                    total = sums.setdefault(block, np.zeros((BLOCK, DIM + 2)))
+                    i, n = np.frombuffer(i, np.uint16), np.frombuffer(n, np.float32)[:, None]
+                    total[i] += np.concatenate([np.frombuffer(p, np.float16).reshape(len(i), -1) * n, n], 1)
+            for block, total in sums.items():
+                p = (total[:, :-1] / np.maximum(total[:, -1:], 1)).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"block": [block], "p": [p.tobytes()]})
+
+        parts = docs.select(text).mapInArrow(run, "block bigint, i binary, n binary, p binary")
+        got = parts.repartition("block").mapInArrow(mean, "block bigint, p binary").toArrow()  # the parameters
+        m = np.zeros((-(-len(model.m) // BLOCK) * BLOCK, DIM + 1), np.float32)
+        for block, p in zip(got["block"].to_pylist(), got["p"].to_pylist(), strict=True):
+            m[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(p, np.float32).reshape(BLOCK, -1)
+        model = LogBilinear(model.m + m[: len(model.m)], model.first)
     return model
 
 
@@ -265,13 +380,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", of: i
     counts = written(count_tokens(training), "token-counts")
     vocab = vocabulary(counts)
     model = train(training, vocab, rounds=rounds)
-    first, second, norm = model.tables()
-    sent = spark.sparkContext.broadcast((vocab, first, second, norm))
+    sent = spark.sparkContext.broadcast((vocab, model, model.tables()[2]))
     end = int(vocab.look(np.array([END]))[1][0])
     log10e = float(np.log10(np.e))
 
     def run(batches):
-        voc, f1, f2, z = sent.value
+        voc, lbl, norm = sent.value
         part, serial = TaskContext.get().partitionId(), 0
         for b in batches:
             for i, w, at in _tokens(b.column("text")):
@@ -279,7 +393,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", of: i
                 n, sym, head = voc.look(w)
                 u, v = _contexts(sym, at, end)
                 logs = np.log10(n + 1.0)
-                lp = (f1[u, sym].astype(float) + f2[v, sym] - z[u, v]) * log10e
+                lp = lbl.log_probabilities(u, v, sym, norm) * log10e
                 add = lambda x: np.add.reduceat(x, at[:-1]) if m else x[:0]  # noqa: E731  every text has its end
                 other = sym == OTHER
                 lp = np.where(other, lp + logs - voc.other_log, lp)

@@ -177,6 +177,43 @@ def test_lm_is_normalised_and_beats_counts(spark):
     assert got["sum(score)"] > got["sum(base_score)"]
 
 
+def test_lm_vocabulary_grows_with_the_corpus(spark, sf):
+    """Every token that occurs LEAST times has vectors; each context sums to 1 over all symbols."""
+    size = {}
+    for folder in (sf, "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        train = docs.where(~lm.held_out("doc_id", 7))
+        vocab = lm.vocabulary(lm.count_tokens(train))
+        size[folder] = len(vocab.unigram)
+    c = collections.Counter(w for r in train.collect() for w in [*SPACE.findall(lower(r.text or "")), None])
+    often = sum(n >= lm.LEAST for n in c.values())
+    assert size["/root/testdata/sf0.01"] == often + 1 > 3 * size[sf] > 3000
+    model = lm.LogBilinear.start(vocab.unigram)
+    model.m += np.random.default_rng(1).normal(0, 0.5, model.m.shape).astype(np.float32)
+    k, norm = model.k, model.tables()[2]
+    for u, v in [(0, 0), (5, 9), (1500, 3), (k - 1, 2000), (k - 1, k - 1)]:
+        p = np.exp(model.log_probabilities(np.full(k, u), np.full(k, v), np.arange(k), norm))
+        assert abs(p.sum() - 1) < 1e-4
+    got = lm.lm_scores(docs, rounds=1).where("not held_out").agg({"model_tokens": "sum"}).first()
+    assert got["sum(model_tokens)"] == sum(n for n in c.values() if n >= lm.LEAST)
+
+
+def test_lm_learns_rare_words_from_their_context():
+    """Pairs of words that are all beyond the SYMBOLS most frequent."""
+    rng, pairs = np.random.default_rng(3), 2000
+    unigram = np.concatenate(([5], np.full(2 * pairs, 40)))
+    first = rng.permutation(np.repeat(1 + 2 * np.arange(pairs), 40))
+    sym = np.stack([first, first + 1], 1).ravel()
+    u, v = np.concatenate(([0], sym[:-1])), np.concatenate(([0, 0], sym[:-2]))
+    model = lm.LogBilinear.start(unigram)
+    noise, g2, touched = model.noise(unigram), np.zeros(len(model.m), np.float32), np.zeros(len(model.m), np.int64)
+    score = lambda: model.log_probabilities(u[1::2], v[1::2], sym[1::2], model.tables()[2]).mean()
+    before = score()
+    for _ in range(8):
+        model.train(u, v, sym, noise, rng, g2, touched)
+    assert score() > before + 1 and (touched > 0).sum() > 4 * pairs
+
+
 def test_lm_empty(spark, none, odd):
     assert lm.lm_scores(none).collect() == []
     held = odd.where(lm.held_out("doc_id", 7))
