@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kestrel.llm import decontaminate, langid, licenses, lm, neardup, packing, pii, repeats, tokencount, topk
+from kestrel.llm import decontaminate, filteraudit, langid, licenses, lm, neardup, packing, pii, repeats, tokencount, topk
 from kestrel.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark, sf_dir):
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE = {
     "op1_benchmark_decontamination": decontaminate.CONTAMINATED_SQL,
@@ -70,4 +75,5 @@ ORACLE = {
     "op5_exact_top_k": topk.TOPK_SQL,
     "op8_license_scan": licenses.LICENSE_SQL,
     "op10_packing": packing.PACK_SQL,
+    "op13_filter_audit": filteraudit.AUDIT_SQL,
 }
