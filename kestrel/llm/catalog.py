@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kestrel.llm import decontaminate, filteraudit, langid, licenses, lm, neardup, packing, pii, repeats, tokencount, topk
+from kestrel.llm import conversations, decontaminate, filteraudit, langid, licenses, lm, neardup, packing, pii, repeats, tokencount, topk
 from kestrel.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE = {
@@ -75,5 +80,6 @@ ORACLE = {
     "op5_exact_top_k": topk.TOPK_SQL,
     "op8_license_scan": licenses.LICENSE_SQL,
     "op10_packing": packing.PACK_SQL,
+    "op11_conversation_repair": conversations.REPAIR_SQL,
     "op13_filter_audit": filteraudit.AUDIT_SQL,
 }
