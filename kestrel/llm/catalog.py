@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kestrel.llm import conversations, decontaminate, filteraudit, langid, licenses, lm, neardup, packing, pii, repeats, tokencount, topk
+from kestrel.llm import conversations, decontaminate, filteraudit, langid, licenses, lm, neardup, packing, pii, repeats, tokencount, topk, toxicity
 from kestrel.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op11_conversation_repair(spark, sf_dir):
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE = {
