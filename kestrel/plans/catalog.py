@@ -989,3 +989,155 @@ def _mdl_apply(spark, sf):
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     cuts = {r["att"]: list(r["cuts"]) for r in P.mdl_cuts(li, cols, "cls", 3).collect()}
     return P.mdl_apply(li.select("l_orderkey", "l_linenumber", *cols), cols, cuts)
+
+
+# ------------------------------------- training jobs (W-1 .. W-12), exact quantiles
+from kestrel.operators import svm_train as T  # noqa: E402
+from kestrel.operators.quantile import exact_quantiles  # noqa: E402
+
+
+@register("weighted_median", """
+WITH r AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
+c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v) AS run, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM r)
+SELECT l_returnflag, min(v) FILTER (run >= 0.5 * total) AS lower, min(v) FILTER (run > 0.5 * total) AS upper, any_value(total) AS total
+FROM c GROUP BY l_returnflag""")
+def _weighted_median(spark, sf):
+    """Price that half of the quantity of a return flag lies below, exact and without a sort."""
+    q = exact_quantiles(read_table(spark, sf, "lineitem"), F.col("l_extendedprice"), 0.5, ["l_returnflag"], F.col("l_quantity"))
+    return q.select("l_returnflag", "lower", "upper", "total")
+
+
+#: kernels of the feature-map queries
+MAP_KERNELS = {"rbf": {}, "polynomial": POLY, "sigmoid": SIGM}
+_MAP_COEF = (1.0, -0.5, 0.25)
+
+
+@register("kernel_map_score", f"""
+WITH ex AS (SELECT vec_id, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+g AS (SELECT 1.0 / (max(pos) + 1) AS g FROM ex),
+z AS (SELECT row_number() OVER (ORDER BY vec_id) AS lid, vec_id FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 3) t),
+raw AS (SELECT e.vec_id, z.lid, any_value(g) AS g, sum(e.x * c.x) AS dot, sum((e.x - c.x) * (e.x - c.x)) AS sq
+        FROM ex e JOIN ex c ON e.pos = c.pos JOIN z ON c.vec_id = z.vec_id, g GROUP BY e.vec_id, z.lid),
+k AS (SELECT vec_id, lid, unnest(['rbf', 'polynomial', 'sigmoid']) AS kernel,
+        unnest([exp(-g * sq), pow(g * dot + {POLY['coef0']}, {POLY['degree']}), tanh(g * dot + {SIGM['coef0']})]) AS k FROM raw)
+SELECT vec_id, kernel, round(sum(CASE lid WHEN 1 THEN {_MAP_COEF[0]} WHEN 2 THEN {_MAP_COEF[1]} ELSE {_MAP_COEF[2]} END * k), 6) AS score
+FROM k GROUP BY vec_id, kernel""")
+def _kernel_map_score(spark, sf):
+    """W-6: a function w . phi(x) with w = sum c_j phi(z_j) over three fixed landmarks equals
+    sum c_j k(x, z_j): mapped, made a model, written, read back and scored, for each kernel."""
+    df = emb(spark, sf)
+    marks = np.array([r.features for r in df.orderBy("vec_id").limit(3).collect()])
+    parts = []
+    for kernel, par in MAP_KERNELS.items():
+        kmap = T.map_of_landmarks(marks, kernel, gamma=1.0 / marks.shape[1], **par)
+        phi = np.array([r.features for r in kmap.transform(spark.createDataFrame([(m.tolist(),) for m in marks], "features array<double>")).collect()])
+        w = np.asarray(_MAP_COEF) @ phi
+        base = kmap.base
+        m = V.SvmModel("epsilon_svr", kernel, base.sv, (kmap.root @ w)[None, :], [0.0], [], [], base.degree, base.gamma, base.coef0)
+        path = MIO.scratch_path(spark, f"map-{kernel}")
+        spark.createDataFrame([(V.model_to_text(m),)], "value STRING").coalesce(1).write.text(path)
+        scored = V.score_arrow(df, V.read_model(spark, path), keep=("vec_id",))
+        parts.append(scored.select("vec_id", F.lit(kernel).alias("kernel"), F.round("prediction", 6).alias("score")))
+    return reduce(DataFrame.union, parts)
+
+
+@register("kernel_csvc_score")
+def _kernel_csvc_score(spark, sf):
+    """W-1 + W-6 + IO-9: a C-SVC of all label pairs for each kernel on its map, written, read back,
+    every row scored (iterative; rows-only check)."""
+    df, parts = emb(spark, sf), []
+    for kernel, par in MAP_KERNELS.items():
+        m, _ = T.train(df, "c_svc", kernel, rid="vec_id", landmarks=64, gamma=1.0, **par)
+        path = MIO.scratch_path(spark, f"csvc-{kernel}")
+        spark.createDataFrame([(V.model_to_text(m),)], "value STRING").coalesce(1).write.text(path)
+        parts.append(V.score_arrow(df, V.read_model(spark, path), keep=("vec_id", "label")).withColumn("kernel", F.lit(kernel)))
+    return reduce(DataFrame.union, parts)
+
+
+@register("oneclass_exact", f"""
+WITH o AS (SELECT CAST(l_quantity AS DOUBLE) AS x, row_number() OVER (ORDER BY l_quantity) AS r, count(*) OVER () AS n FROM lineitem),
+a AS (SELECT *, greatest(0, least(1, {NU} * n - (r - 1))) AS alpha FROM o),
+s AS (SELECT sum(alpha * x) / ({NU} * any_value(n)) AS w, sum(alpha) AS alphas,
+        (min(x) FILTER (r >= {NU} * n) + min(x) FILTER (r > {NU} * n)) / 2 AS t FROM a)
+SELECT round(w, 6) AS w, round(w * t, 6) AS rho, CAST(round(alphas, 6) AS DOUBLE) AS alphas FROM s""")
+def _oneclass_exact(spark, sf):
+    """W-3 on one feature, where the optimum is known: w is the mean of the nu n smallest values."""
+    df = read_table(spark, sf, "lineitem").select(F.array(F.col("l_quantity").cast("double")).alias("features"))
+    m, f = T.train(df, "one_class", nu=NU)
+    n = float(f.job.rows.sum()) * NU  # the model is scaled by the sum of its dual weights
+    return spark.createDataFrame([(round(float(m.sv[0, 0]) / n, 6), round(m.rho[0] / n, 6), round(n, 6))], "w double, rho double, alphas double")
+
+
+#: a nu that the two overlapping classes of the one-feature problem can meet with a margin
+NU_PAIR = 0.8
+
+
+@register("nusvc_exact", f"""
+WITH o AS (SELECT CAST(l_quantity + 100 * l_discount AS DOUBLE) AS x, l_quantity > 25 AS hi FROM lineitem),
+m AS (SELECT CASE WHEN hi THEN x ELSE -x END AS m, hi, count(*) OVER () AS n FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY hi ORDER BY m) AS r, {NU_PAIR} * n / 2 AS goal FROM m),
+s AS (SELECT hi, any_value(n) AS n, sum(greatest(0, least(1, goal - (r - 1))) * m) / any_value(n) AS part,
+        (min(m) FILTER (r >= goal) + min(m) FILTER (r > goal)) / 2 AS t FROM r GROUP BY hi),
+f AS (SELECT -sum(part) AS w, any_value(n) AS n, sum(part) * any_value(t) FILTER (NOT hi) AS t0, sum(part) * any_value(t) FILTER (hi) AS t1 FROM s)
+SELECT round(w / ((t0 + t1) / 2), 5) AS w, round((t1 - t0) / 2 / ((t0 + t1) / 2), 5) AS b, round(n * (t0 + t1) / 2, 5) AS inverse_c FROM f""")
+def _nusvc_exact(spark, sf):
+    """W-2 on one feature, where the optimum is known (the feature is smaller for label 0): the model after
+    its rescaling by 1 / rho, and 1 / C."""
+    df = read_table(spark, sf, "lineitem").select(F.array((F.col("l_quantity") + 100 * F.col("l_discount")).cast("double")).alias("features"),
+                                                  (F.col("l_quantity") > 25).cast("int").alias("label"))
+    m, f = T.train(df, "nu_svc", nu=NU_PAIR)
+    return spark.createDataFrame([(round(float(m.sv[0, 0]), 5), round(-m.rho[0], 5), round(1 / float(f.reported[0, 0]), 5))], "w double, b double, inverse_c double")
+
+
+@register("nusvc_pairs")
+def _nusvc_pairs(spark, sf):
+    """W-2 of all label pairs in one descent, with the reported C (iterative; rows-only check)."""
+    m, f = T.train(emb(spark, sf), "nu_svc", rid="vec_id", nu=NU)
+    rows = [(f.job.labels[i], f.job.labels[j], float(f.reported[0, p]), float(m.rho[p])) for p, (i, j) in enumerate(f.job.pairs)]
+    return spark.createDataFrame(rows, "label_i INT, label_j INT, C DOUBLE, rho DOUBLE")
+
+
+@register("csvc_probability")
+def _csvc_probability(spark, sf):
+    """W-7, W-8, IO-8: Platt parameters of every label pair from 5-fold decisions, predictions written
+    with their ``labels`` line and read back (iterative; rows-only check)."""
+    df = emb(spark, sf)
+    m, _ = T.train(df, "c_svc", rid="vec_id", probability=1)
+    pred = V.score_arrow(df.withColumn("id", F.col("vec_id").cast("string")), m, probability=True)
+    path = MIO.scratch_path(spark, "probabilities")
+    L.write_predictions(pred, path, probability="probability", labels=m.labels)
+    labels, back = L.read_predictions(spark, path)
+    return back.select("id", "prediction", F.explode(F.map_from_arrays(F.array(*[F.lit(lab) for lab in labels]), "probability")).alias("label", "probability"))
+
+
+@register("svr_cv")
+def _svr_cv(spark, sf):
+    """E-4, E-6, E-7, W-9 for both regressions: held-out error, squared correlation and noise scale
+    (iterative; rows-only check)."""
+    df = emb(spark, sf)
+    return reduce(DataFrame.union, [T.regression_cv(df, kind, rid="vec_id").withColumn("svm_type", F.lit(kind)) for kind in ("epsilon_svr", "nu_svr")])
+
+
+@register("svr_fit_score")
+def _svr_fit_score(spark, sf):
+    """W-4, W-5 + IO-9: both regressions fitted with an RBF map, written, read back, every row scored
+    (iterative; rows-only check)."""
+    df, parts = emb(spark, sf), []
+    for kind in ("epsilon_svr", "nu_svr"):
+        m, _ = T.train(df, kind, "rbf", rid="vec_id", landmarks=64, gamma=1.0)
+        path = MIO.scratch_path(spark, kind)
+        spark.createDataFrame([(V.model_to_text(m),)], "value STRING").coalesce(1).write.text(path)
+        parts.append(V.score_arrow(df, V.read_model(spark, path), keep=("vec_id",)).withColumn("svm_type", F.lit(kind)))
+    return reduce(DataFrame.union, parts)
+
+
+@register("training_summary_pairs", _svm_sql("rbf", "," + _OVO_DEC + """
+SELECT li.label AS label_i, lj.label AS label_j, count(*) FILTER (m <= 1) AS n_sv, count(*) FILTER (m < 1) AS n_inside
+FROM (SELECT d.i, d.j, CASE WHEN e.label = a.label THEN d.d WHEN e.label = b.label THEN -d.d END * 60 AS m
+      FROM dec d JOIN embeddings e ON d.vec_id = e.vec_id JOIN labs a ON d.i = a.sv JOIN labs b ON d.j = b.sv) t
+JOIN labs li ON t.i = li.sv JOIN labs lj ON t.j = lj.sv WHERE m IS NOT NULL GROUP BY ALL"""))
+def _training_summary_pairs(spark, sf):
+    """W-12 of every label pair, for the centroid model's decisions times 60 (margins of about 1)."""
+    m = _model(spark, sf)
+    dec = V.score_arrow(emb(spark, sf), m, keep=("label",), with_decisions=True)
+    return T.summary(dec.withColumn("dec", F.transform("dec", lambda v: v * 60)), m.labels)

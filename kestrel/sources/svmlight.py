@@ -67,3 +67,29 @@ def prediction_text(df: DataFrame, id_col: str = "id", pred: str = "prediction",
     if probability:
         parts.append(F.array_join(F.transform(F.col(probability), lambda p: p.cast("string")), " "))
     return df.select(F.concat_ws(" ", *parts).alias("value"))
+
+
+def write_predictions(pred: DataFrame, path: str, id_col: str = "id", pred_col: str = "prediction",
+                      probability: str | None = None, labels: list[int] | None = None) -> None:
+    """IO-8 sink: text lines ``id prediction [p1 ... pk]``; with ``labels`` the first file holds the one
+    line ``labels l1 l2 ...`` that names the order of the probabilities."""
+    lines = prediction_text(pred, id_col, pred_col, probability)
+    if labels is not None:
+        head = lines.sparkSession.createDataFrame([("labels " + " ".join(map(str, labels)),)], "value STRING").coalesce(1)
+        lines = head.union(lines)
+    lines.write.mode("errorifexists").text(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> tuple[list[int] | None, DataFrame]:
+    """IO-8 read back: (labels or None, (id, prediction, probability))."""
+    toks = spark.read.text(path).select(F.split("value", " ").alias("t")).where(F.size("t") >= 2)
+    head = toks.where("t[0] = 'labels'").first()
+    rows = toks.where("t[0] <> 'labels'").select(
+        F.col("t")[0].alias("id"), F.col("t")[1].cast("double").alias("prediction"),
+        F.transform(F.slice("t", 3, 1 << 30), lambda p: p.cast("double")).alias("probability"))
+    return [int(x) for x in head.t[1:]] if head else None, rows
+
+
+def write_svmlight(df: DataFrame, path: str, **kw) -> None:
+    """IO-6 sink: one text line per row."""
+    to_svmlight(df, **kw).write.mode("errorifexists").text(path)
