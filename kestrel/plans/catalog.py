@@ -1141,3 +1141,84 @@ def _training_summary_pairs(spark, sf):
     m = _model(spark, sf)
     dec = V.score_arrow(emb(spark, sf), m, keep=("label",), with_decisions=True)
     return T.summary(dec.withColumn("dec", F.transform("dec", lambda v: v * 60)), m.labels)
+
+
+# ------------------------- fold vectors, noise in training folds, models of any size
+from kestrel.operators import bayes_join as BJ  # noqa: E402
+from kestrel.operators import crossval as CV  # noqa: E402
+
+NOISE_RATE = 0.1
+
+
+@register("fold_vectors", O.with_view("ninst", O.inst_cte("ninst"), *O.interleaved_folds_ctes("ninst", CV_REPEATS, CV_FOLDS, CV_SEED)) +
+          "\nSELECT rid, CAST(list(fold ORDER BY rep) AS INTEGER[]) AS folds FROM fi GROUP BY rid")
+def _fold_vectors(spark, sf):
+    """E-1: every row once, with its fold of all repeats."""
+    return CV.fold_vectors(view(spark, sf, "ninst"), CV_REPEATS, CV_FOLDS, CV_SEED).data.df.select("rid", "folds")
+
+
+def _cv_noise_sql(n_dep: int, name: str, rate: float) -> str:
+    """As ``O.cv_sql``, the training sets with their first int(n rate) rows relabelled."""
+    _, _, nk = O.meta("ninst")
+    key = O.h_sql(f"rep + {CV.NOISE_SEED}", "rid")
+    u = f"CAST(('0x' || substr({O.h_sql(f'rep + {CV.NOISE_SEED}', chr(39) + 'c' + chr(39), 'rid')}, 1, 7)) AS BIGINT)"
+    spec = _sql_spec(n_dep=n_dep)
+    ctes = [O.inst_cte("ninst"), *O.interleaved_folds_ctes("ninst", CV_REPEATS, CV_FOLDS, CV_SEED),
+            f"""tr0 AS (SELECT fi.rep, fi.rep * {CV_FOLDS} + f.f AS g, fi.rid, fi.cls, fi.weight, fi.xs FROM fi
+  CROSS JOIN (SELECT CAST(range AS INTEGER) AS f FROM range({CV_FOLDS})) f WHERE fi.fold <> f.f)""",
+            f"tr1 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {key}, rid) AS r, count(*) OVER (PARTITION BY g) AS n FROM tr0)",
+            f"""tr AS (SELECT g, rid, CAST(CASE WHEN r <= floor(n * {rate}) THEN (cls + 1 + {u} % {nk - 1}) % {nk} ELSE cls END AS INTEGER) AS cls, weight, xs FROM tr1)""",
+            *O.bayes_model_ctes("ninst", spec, inst="tr", keys=("g",)), O.bayes_terms_cte("ninst", spec, inst="fi", keys=("g",)),
+            *O.bayes_prob_ctes(spec, nk, keys=("g",), inst="fi"),
+            """pred AS (SELECT rid, g, cls AS prediction FROM (
+  SELECT rid, g, cls, row_number() OVER (PARTITION BY rid, g ORDER BY prob DESC, cls) AS rn FROM probs) t WHERE rn = 1)""",
+            """acc AS (SELECT fi.g, sum(CASE WHEN pred.prediction = fi.cls THEN fi.weight ELSE 0 END) / sum(fi.weight) AS a
+  FROM fi JOIN pred ON fi.rid = pred.rid AND fi.g = pred.g GROUP BY fi.g)"""]
+    return O.with_view("ninst", *ctes) + f"\nSELECT '{name}' AS model, round(avg(a), 6) AS acc_mean, round(stddev_samp(a), 6) AS acc_std FROM acc"
+
+
+def _rounded(s: DataFrame) -> DataFrame:
+    return s.select("model", F.round("acc_mean", 6).alias("acc_mean"), F.round("acc_std", 6).alias("acc_std"))
+
+
+@register("cv_noise_accuracy", _cv_noise_sql(0, "nb", NOISE_RATE))
+def _cv_noise_accuracy(spark, sf):
+    """E-4 + T-8: 10 x 10 cross-validation of naive Bayes with label noise in the training folds."""
+    fv = CV.fold_vectors(view(spark, sf, "ninst"), CV_REPEATS, CV_FOLDS, CV_SEED)
+    return _rounded(CV.cv_summary(fv, lambda d: B.ande_spec(d, n_dep=0), "nb", noise=NOISE_RATE))
+
+
+@register("cv_a1de_by_groups", ORACLE["cv_a1de_accuracy"])
+def _cv_a1de_by_groups(spark, sf):
+    """E-4 of a model whose hundred fold models together exceed the driver's bound: taken in runs of folds."""
+    fv = CV.fold_vectors(view(spark, sf, "ninst"), CV_REPEATS, CV_FOLDS, CV_SEED)
+    spec = B.ande_spec(fv.data, n_dep=1)
+    return _rounded(CV.cv_summary(fv, lambda d: B.ande_spec(d, n_dep=1), "a1de", limit=30 * spec.offsets()[1]))
+
+
+def _join_score(view_name, spec_fn):
+    def q(spark, sf):
+        """The bound is set to one cell, so rows and model meet in a shuffle join."""
+        data = view(spark, sf, view_name)
+        spec = spec_fn(spark, data)
+        return B.long_probabilities(BJ.predict(data.df, data, spec, BJ.family_counts(data, spec), limit=1))
+    return q
+
+
+def _rbnc_join_spec(spark, data):
+    return B.rbnc_spec(data, C.collect_structure(S.random_structure_shuffled(declared_attributes(data), data.d, RBNC_SIZE, RBNC_PARENTS, SEED)), alpha=0.5)
+
+
+def _rbnc_free_join_spec(spark, data):
+    return B.rbnc_spec(data, C.collect_structure(S.random_structure_free(declared_attributes(data), data.d, RBNC_SIZE, RBNC_PARENTS, SEED)), alpha=0.5)
+
+
+for _name, _view, _spec in [
+    ("a1de_score", "ninst", lambda spark, d: B.ande_spec(d, n_dep=1)),
+    ("a2de_score", "linst", lambda spark, d: B.ande_spec(d, n_dep=2)),
+    ("freq_limit_score", "linst", lambda spark, d: B.ande_spec(d, n_dep=1, limit=1500.0)),
+    ("spnde_norm_score", "linst", lambda spark, d: B.ande_spec(d, n_dep=1, limit=1500.0, joint=False)),
+    ("rbnc_score", "ninst", _rbnc_join_spec),
+    ("rbnc_free_score", "ninst", _rbnc_free_join_spec),
+]:
+    register(f"{_name}_join", ORACLE[_name])(_join_score(_view, _spec))
