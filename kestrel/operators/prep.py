@@ -117,38 +117,57 @@ def _running_counts(df: DataFrame, cols: list[str], cls: str, n_classes: int) ->
     return spark.read.parquet(path), run
 
 
+#: levels of the descent after which the values' segment ids are written anew
+MDL_LEVELS = 8
+
+
 def mdl_cuts(df: DataFrame, cols: list[str], cls: str, n_classes: int) -> DataFrame:
     """T-2: (att, cuts ARRAY<DOUBLE>), supervised cuts by the MDL criterion.
 
-    The recursion goes level by level over all attributes: one aggregation finds, for every
-    open segment (a few numbers each, on the driver), the candidate value of smallest class
-    entropy (the smallest value among equals); accepted cuts open two segments each."""
+    The recursion goes level by level over all attributes.  Every value carries the number of its
+    segment; a level joins values and open segments on it (one segment a value), one
+    aggregation finds the candidate of smallest class entropy in each segment (the smallest value
+    among equals), and accepted cuts renumber the values of their two halves.  Values of
+    segments that are not cut drop out.  What the driver holds is a few numbers a segment."""
     spark = df.sparkSession
-    cum, totals = _running_counts(df, cols, cls, n_classes)
+    values, totals = _running_counts(df, cols, cls, n_classes)
+    values = values.withColumn("seg", F.col("att"))
     cuts: dict[int, list[float]] = {i: [] for i in range(len(cols))}
-    # attribute, values in (lo, hi], class counts up to lo and up to hi
-    open_ = [(att, -math.inf, math.inf, np.zeros(n_classes, np.int64), n) for att, n in totals.items()]
-    while open_:
-        table = spark.createDataFrame([(i, a, float(lo), float(hi), c0.tolist(), c1.tolist()) for i, (a, lo, hi, c0, c1) in enumerate(open_)],
-                                      "seg int, att int, lo double, hi double, below array<bigint>, all array<bigint>")
-        rows = cum.join(F.broadcast(table), "att").where("x > lo and next_x <= hi")  # as many rows as open segments
+    # number -> (attribute, class counts up to the segment, class counts up to its end)
+    open_ = {att: (att, np.zeros(n_classes, np.int64), n) for att, n in totals.items()}
+    count, level = len(cols), 0
 
-        def bits(counts):
-            total = sum_cols(counts)
-            return sum_cols([F.when(c > 0, -c * F.log2(c / total)).otherwise(0.0) for c in counts])
+    def bits(counts):
+        total = sum_cols(counts)
+        return sum_cols([F.when(c > 0, -c * F.log2(c / total)).otherwise(0.0) for c in counts])
 
+    while open_:
+        table = spark.createDataFrame([(i, c0.tolist(), c1.tolist()) for i, (_, c0, c1) in open_.items()], "seg int, below array<bigint>, all array<bigint>")
+        rows = values.join(F.broadcast(table), "seg")
         left = [F.col("upto")[k] - F.col("below")[k] for k in range(n_classes)]
         right = [F.col("all")[k] - F.col("upto")[k] for k in range(n_classes)]
         # rounded, so that equal entropies tie whatever the order of the additions
         best = rows.withColumn("e", F.round(bits(left) + bits(right), 9)).groupBy("seg").agg(F.min(F.struct("e", "x", "next_x", "upto")).alias("b"))
-        nxt = []
+        nxt, split = {}, []
         for r in best.collect():
-            att, lo, hi, c0, c1 = open_[r.seg]
+            att, c0, c1 = open_[r.seg]
             mid = np.array(r.b.upto)
             if _accepts((mid - c0).astype(float), (c1 - mid).astype(float)):
                 cuts[att].append((r.b.x + r.b.next_x) / 2.0)
-                nxt += [(att, lo, r.b.x, c0, mid), (att, r.b.x, hi, mid, c1)]
+                nxt[count], nxt[count + 1] = (att, c0, mid), (att, mid, c1)
+                split.append((r.seg, r.b.x, count, count + 1))
+                count += 2
         open_ = nxt
+        if split:
+            halves = spark.createDataFrame(split, "seg int, cut double, lower int, upper int")
+            # the value at the cut is a candidate of neither half
+            values = values.join(F.broadcast(halves), "seg").where("x <> cut").select(
+                "att", "x", "next_x", "upto", F.when(F.col("x") < F.col("cut"), F.col("lower")).otherwise(F.col("upper")).alias("seg"))
+            level += 1
+            if level % MDL_LEVELS == 0:
+                path = scratch_path(spark, "mdl-segments")
+                values.write.parquet(path)
+                values = spark.read.parquet(path)
     return spark.createDataFrame([(a, sorted(c)) for a, c in cuts.items()], "att int, cuts array<double>")
 
 

@@ -512,9 +512,56 @@ def _equal_width(spark, sf):
     return P.equal_width(_orders_missing(spark, sf).select("o_orderkey", "price"), ["price"], 10)
 
 
-@register("mdl_cuts")
+_MDL_SQL = """
+WITH RECURSIVE v AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c, unnest([0, 1, 2, 3]) AS att,
+    CAST(unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS DOUBLE) AS x FROM lineitem),
+h AS (SELECT att, x, count(*) FILTER (c = 0) AS n0, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2 FROM v GROUP BY att, x),
+r AS (SELECT att, x, lead(x) OVER w AS nx, CAST(sum(n0) OVER w AS DOUBLE) AS u0, CAST(sum(n1) OVER w AS DOUBLE) AS u1, CAST(sum(n2) OVER w AS DOUBLE) AS u2
+      FROM h WINDOW w AS (PARTITION BY att ORDER BY x)),
+seg AS (
+  SELECT att, CAST('-inf' AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2,
+    CAST(sum(n0) AS DOUBLE) AS a0, CAST(sum(n1) AS DOUBLE) AS a1, CAST(sum(n2) AS DOUBLE) AS a2, CAST(NULL AS DOUBLE) AS cut FROM h GROUP BY att
+  UNION ALL
+  SELECT att, unnest([lo, m.x]), unnest([m.x, hi]), unnest([b0, m.u0]), unnest([b1, m.u1]), unnest([b2, m.u2]),
+    unnest([m.u0, a0]), unnest([m.u1, a1]), unnest([m.u2, a2]), (m.x + m.nx) / 2
+  FROM (
+    SELECT *, ln(pow(3, kb) - 2) / ln(2) - (kb * hb - kl * hl - kr * hr) AS delta, hb - (nl * hl + nr * hr) / (nl + nr) AS gain
+    FROM (
+      SELECT *, {ent_b} AS hb, {ent_l} AS hl, {ent_r} AS hr, {k_b} AS kb, {k_l} AS kl, {k_r} AS kr,
+        m.u0 - b0 + m.u1 - b1 + m.u2 - b2 AS nl, a0 - m.u0 + a1 - m.u1 + a2 - m.u2 AS nr
+      FROM (
+        SELECT att, lo, hi, b0, b1, b2, a0, a1, a2, min({{'e': e, 'x': x, 'nx': nx, 'u0': u0, 'u1': u1, 'u2': u2}}) AS m
+        FROM (SELECT seg.*, r.x, r.nx, r.u0, r.u1, r.u2, round({bits_l} + {bits_r}, 9) AS e
+              FROM seg JOIN r ON r.att = seg.att AND r.x > seg.lo AND r.nx <= seg.hi) c
+        GROUP BY att, lo, hi, b0, b1, b2, a0, a1, a2) g) s) t
+  WHERE gain > (ln(nl + nr - 1) / ln(2) + delta) / (nl + nr))
+"""
+
+
+def _mdl_sql(final: str) -> str:
+    """T-2 by recursion over segments (lo, hi] with their class counts up to lo (b) and to hi (a)."""
+    def bits(parts):
+        total = " + ".join(f"({p})" for p in parts)
+        return "(" + " + ".join(f"CASE WHEN ({p}) > 0 THEN -({p}) * log2(({p}) / ({total})) ELSE 0 END" for p in parts) + ")"
+
+    def entropy(parts):
+        return f"({bits(parts)} / ({' + '.join(f'({p})' for p in parts)}))"
+
+    def kinds(parts):
+        return "(" + " + ".join(f"CAST(({p}) > 0 AS INTEGER)" for p in parts) + ")"
+
+    both = [f"a{i} - b{i}" for i in range(3)]
+    left, right = [f"m.u{i} - b{i}" for i in range(3)], [f"a{i} - m.u{i}" for i in range(3)]
+    return _MDL_SQL.format(ent_b=entropy(both), ent_l=entropy(left), ent_r=entropy(right), k_b=kinds(both), k_l=kinds(left), k_r=kinds(right),
+                           bits_l=bits([f"r.u{i} - seg.b{i}" for i in range(3)]), bits_r=bits([f"seg.a{i} - r.u{i}" for i in range(3)])) + final
+
+
+_MDL_CUTS_SQL = "SELECT CAST(att AS INTEGER) AS att, list_sort(list_filter(list(DISTINCT cut), lambda c: c IS NOT NULL)) AS cuts FROM seg GROUP BY att"
+
+
+@register("mdl_cuts", _mdl_sql(_MDL_CUTS_SQL))
 def _mdl_cuts(spark, sf):
-    """T-2 on lineitem: numeric columns, class = return flag (rows-only check)."""
+    """T-2 on lineitem: numeric columns, class = return flag."""
     li = read_table(spark, sf, "lineitem")
     return P.mdl_cuts(li.withColumn("cls", F.when(F.col("l_returnflag") == "A", 0)
                                    .when(F.col("l_returnflag") == "N", 1).otherwise(2)),
@@ -981,9 +1028,14 @@ def _model_text_roundtrip(spark, sf):
     return V.score_arrow(emb(spark, sf).withColumnRenamed("vec_id", "id"), back)
 
 
-@register("mdl_apply")
+def _bin_sql(att: int, col: str) -> str:
+    return f"CAST((SELECT len(list_filter(cuts, lambda t: CAST({col} AS DOUBLE) > t)) FROM k WHERE att = {att}) AS INTEGER) AS {col}"
+
+
+@register("mdl_apply", _mdl_sql(", k AS (" + _MDL_CUTS_SQL + ")\nSELECT l_orderkey, l_linenumber, " + ", ".join(
+    _bin_sql(i, c) for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])) + " FROM lineitem"))
 def _mdl_apply(spark, sf):
-    """T-2 applied: lineitem numeric columns replaced by their MDL bin (rows-only)."""
+    """T-2 applied: lineitem numeric columns replaced by their MDL bin."""
     li = read_table(spark, sf, "lineitem").withColumn(
         "cls", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -1222,3 +1274,31 @@ for _name, _view, _spec in [
     ("rbnc_free_score", "ninst", _rbnc_free_join_spec),
 ]:
     register(f"{_name}_join", ORACLE[_name])(_join_score(_view, _spec))
+
+
+# -------------------------------------------------- IO-1 and IO-2 at any size
+@register("nominal_file", O.with_view("ninst") + "\nSELECT a0, a1, a2, a3, a4, cls FROM ninst")
+def _nominal_file(spark, sf):
+    """IO-1: the nominal view written as text, read from the files with the place of each line as its id."""
+    data = view(spark, sf, "ninst")
+    path = MIO.scratch_path(spark, "nominal-text")
+    N.to_nominal_text(data).select("line").write.text(path)
+    return N.read_nominal_text(spark, path, data.cards, data.n_classes).df.select(*data.attrs, "cls")
+
+
+@register("file_lines", """
+SELECT count(*) AS n_lines, count(*) AS n_ids, true AS without_gaps FROM lineitem""")
+def _file_lines(spark, sf):
+    """IO-1: line numbers of the files run from 0 without gaps, and no id occurs twice."""
+    path = MIO.scratch_path(spark, "line-text")
+    read_table(spark, sf, "lineitem").select(F.concat_ws(",", "l_orderkey", "l_linenumber", "l_quantity").alias("value")).write.text(path)
+    lines = N.numbered_lines(spark, path)
+    per_file = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("last"), F.countDistinct("rid").alias("ids"))
+    return per_file.agg(F.sum("n").alias("n_lines"), F.sum("ids").alias("n_ids"), F.bool_and(F.col("last") + 1 == F.col("n")).alias("without_gaps"))
+
+
+@register("domain_ranks", "SELECT att, name, value, CAST(dense_rank() OVER (PARTITION BY att ORDER BY value) - 1 AS BIGINT) AS code FROM (" + " UNION ".join(
+    f"SELECT DISTINCT {i} AS att, '{c}' AS name, CAST(c{i} AS VARCHAR) AS value FROM (SELECT {c} AS c{i} FROM orders)" for i, c in enumerate(("o_custkey", "o_orderkey", "o_orderdate"))) + ") t")
+def _domain_ranks(spark, sf):
+    """IO-2: domains of high cardinality, ranked by range partitions."""
+    return N.domain_ranks(read_table(spark, sf, "orders"), ["o_custkey", "o_orderkey", "o_orderdate"])

@@ -55,6 +55,16 @@ def domain_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return dist.select("att", "name", "value", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
 
 
+def domain_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """IO-2 for domains of any size: as :func:`domain_table`, but no attribute's values are ranked
+    by one task."""
+    from kestrel.operators.ranks import dense_ranks
+
+    pairs = F.array(*[F.struct(F.lit(i).alias("att"), F.lit(c).alias("name"),
+                               F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
+    return dense_ranks(df.select(F.inline(pairs)).distinct(), ["att", "name"], "value", "code")
+
+
 def cardinalities(domain: DataFrame) -> DataFrame:
     """(att, name, card) from a domain table."""
     return domain.groupBy("att", "name").agg(F.count(F.lit(1)).cast("int").alias("card"))
@@ -95,21 +105,52 @@ def parse_nominal_text(lines: DataFrame, n_attrs: int, *, line_col: str = "line"
     return out.where(arity_ok).select(*keep, *fields)
 
 
+#: bits of a row id that hold the line number
+LINE_BITS = 40
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, file_no, line_no, rid, line): every line with its place, whatever the input splits are.
+
+    A split of a file is read by one task in order, so a task numbers the lines of each split as
+    they pass; a first pass counts the lines of every split, and running sums of these counts (one row
+    a split) move the numbers on.  ``file_no`` numbers the files by name, ``rid`` holds file and line number."""
+    import pyarrow as pa
+
+    text = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    # a line that a split takes over from the one before still carries its own split's start
+    counts = text.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    names = counts.select("file").distinct()
+    files = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("file_no"))
+    offsets = counts.select("file", "start", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")).join(files, "file")
+
+    def number(batches):
+        place, at = None, 0
+        for b in batches:
+            local = []
+            for here in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
+                if here != place:
+                    place, at = here, 0
+                local.append(at)
+                at += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local, pa.int64())], names=["line", "file", "start", "local"])
+
+    lines = text.mapInArrow(number, "line string, file string, start bigint, local bigint").join(offsets, ["file", "start"])
+    line_no = F.col("local") + F.col("before")
+    rid = F.shiftleft(F.col("file_no").cast("bigint"), LINE_BITS).bitwiseOR(line_no)
+    return lines.select("file", F.col("file_no").cast("bigint"), line_no.alias("line_no"), rid.alias("rid"), "line")
+
+
 def read_nominal_text(spark: SparkSession, path: str, cards: tuple[int, ...], n_classes: int,
                       pattern: str = DEFAULT_SPLIT_PATTERN) -> NominalData:
-    """IO-1 on files: ``spark.read.text`` -> parsed rows.  Blank lines are skipped; the
-    row id is a hash of the file name, the line and its number among equal lines of the
-    file, so it does not change with the input split (folds and noise order by it)."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    lines = lines.where(F.length(F.trim("line")) > 0)
-    # equal lines are interchangeable: number them without bringing them to one task
-    counts = lines.groupBy("file", "line").count()
-    lines = counts.select("line", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))).alias("copy"), "file")
-    lines = lines.select("line", F.xxhash64("file", "line", "copy").alias("rid"))
+    """IO-1 on files: numbered lines -> parsed rows.  Blank lines are skipped but counted; the row
+    id is the place of the line, so folds and noise, which order by it, do not change with
+    the input splits."""
+    lines = numbered_lines(spark, path).where(F.length(F.trim("line")) > 0)
     parsed = parse_nominal_text(lines, len(cards), pattern=pattern, keep=("rid",))
     attrs = tuple(f"a{i}" for i in range(len(cards)))
-    df = parsed.select("rid", *attrs, "cls")
-    return NominalData(df, attrs, tuple(cards), n_classes)
+    return NominalData(parsed.select("rid", *attrs, "cls"), attrs, tuple(cards), n_classes)
 
 
 # ----------------------------------------------------------- P-1 / P-2 missing values
