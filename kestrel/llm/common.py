@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what is planned inside: for wide rows, whose
+    default batches would not fit a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def lists(values, offsets, kind: pa.DataType) -> pa.Array:
     """List array from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import lists, map_batches, written
+from kestrel.llm.common import map_batches, rows_per_batch, written
 from kestrel.llm.text import buffers, mix, shingle_hashes, slices, word_hashes
 
 REGISTERS = 128
@@ -48,6 +48,10 @@ LIMIT = 2**16 - 2
 SURE = 8.0
 #: members of a block: of registers, of full sets
 BLOCK, SET_BLOCK = 256, 64
+#: pairs of blocks that a worker holds at a time: of registers, of full sets
+BATCH, SET_BATCH = 32, 4
+#: edges of a task in the component steps
+EDGES = 200_000
 
 _MULT = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -116,22 +120,33 @@ def _matrix(col: pa.Array, width: int, kind) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind).reshape(len(col), width)
 
 
+def _sets(col: pa.Array):
+    """The sets of a binary column, as views of its buffer."""
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    off = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)
+    for i in range(len(col)):
+        yield data[off[i] : off[i + 1]].view(np.uint64)
+
+
 # -- connected components ----------------------------------------------------------------
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``links`` (a, b): comp is the smallest node reachable.
 
     Each step deals its edges once by ``a``: the smallest neighbour and the join with it need
-    no further shuffle."""
+    no further shuffle.  The number of tasks follows the number of edges, however many
+    partitions a shuffle of the session has."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    mark = None
+    mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
+        tasks = max(1, -(-2 * mark[0] // EDGES))
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks).repartition("a")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").repartition("a")
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").coalesce(tasks).repartition("a")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a != b").distinct(), "edges")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).union(
+            low.select("a", F.col("m").alias("b")).coalesce(tasks))
+        edges = written(small.where("a != b").distinct().coalesce(tasks), "edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break
@@ -154,7 +169,9 @@ def _blocks(rows: DataFrame, size: int, payload: list[str]) -> tuple[DataFrame,
 
 def _cross(rows: DataFrame, size: int, payload: list[str], fn, schema: str) -> DataFrame:
     few, everyone = _blocks(rows, size, payload)
-    joined = few.join(everyone, "band")
+    # rows are wide, so a skewed band may be split into far more tasks than there is work for
+    most = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = few.join(everyone, "band").coalesce(most)
 
     def run(batches):
         for b in batches:
@@ -258,8 +275,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = pairs.join(whole, "node").join(whole.toDF("leader", "set2"), "leader")
 
     def confirm(b):
-        ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-              for x, y in zip(b.column("set").to_pylist(), b.column("set2").to_pylist(), strict=True)]
+        ok = [_linked(x, y, percent) for x, y in zip(_sets(b.column("set")), _sets(b.column("set2")), strict=True)]
         return {"a": b.column("node").filter(pa.array(ok, pa.bool_())), "b": b.column("leader").filter(pa.array(ok, pa.bool_()))}
 
     comp = components(map_batches(pairs, confirm, "a bigint, b bigint"))
@@ -276,11 +292,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         node = np.unique(np.concatenate([x.field("node").to_numpy()[p[:, 0]], y.field("node").to_numpy()[p[:, 1]]]))
         return pa.RecordBatch.from_pydict({"band": np.full(len(node), band), "node": node})
 
-    left = _cross(mixed.join(small, "node"), BLOCK, ["n", "sketch"], candidates, "band bigint, node bigint").distinct()
+    with rows_per_batch(docs.sparkSession, BATCH):
+        left = written(_cross(mixed.join(small, "node"), BLOCK, ["n", "sketch"], candidates, "band bigint, node bigint").distinct(), "crossing")
     left = mixed.join(left, ["band", "node"])
 
     def links(x, y, band):
-        sx, sy = ([np.frombuffer(v, np.uint64) for v in s.field("set").to_pylist()] for s in (x, y))
+        sx, sy = (list(_sets(s.field("set"))) for s in (x, y))
         vx, vy, cy = x.field("node").to_numpy(), y.field("node").to_numpy(), y.field("comp").to_numpy()
         out, done = [], set()
         for i, j in pairs_of(x, y, band).tolist():
@@ -289,7 +306,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 out.append((vx[i], vy[j]))
         return pa.RecordBatch.from_pydict({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    crossed = _cross(left.join(full_sets, "node"), SET_BLOCK, ["n", "sketch", "set"], links, "a bigint, b bigint")
+    with rows_per_batch(docs.sparkSession, SET_BATCH):
+        crossed = written(_cross(left.join(full_sets, "node"), SET_BLOCK, ["n", "sketch", "set"], links, "a bigint, b bigint"), "crossed")
     known = comp.where("node != comp").toDF("a", "b")  # stars already, so this closes in few steps
     comp = components(known.union(crossed))
 
