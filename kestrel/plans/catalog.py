@@ -1302,3 +1302,55 @@ def _file_lines(spark, sf):
 def _domain_ranks(spark, sf):
     """IO-2: domains of high cardinality, ranked by range partitions."""
     return N.domain_ranks(read_table(spark, sf, "orders"), ["o_custkey", "o_orderkey", "o_orderdate"])
+
+
+# ------------------------------------------------------------ E-9: the evaluation job
+from kestrel.operators import evaluation_job as EJ  # noqa: E402
+
+JOB_REPEATS, JOB_FOLDS = 2, 5
+
+
+def _datasets(spark, sf) -> str:
+    """CSV datasets with headers in one folder: two views of the orders, one whose class has a single
+    value, and one that the name range leaves out."""
+    folder = MIO.scratch_path(spark, "datasets")
+    data = view(spark, sf, "ninst")
+    text = [F.concat(F.lit("v"), F.lpad(F.col(a).cast("string"), 2, "0")).alias(a) for a in data.attrs]
+    status = F.element_at(F.array(*[F.lit(x) for x in ("F", "O", "P")]), F.col("cls") + 1).alias("status")
+    rows = data.df.select("rid", *text, status).persist()
+    rows.write.csv(f"{folder}/a_orders.csv", header=True)
+    rows.select("rid", "a0", "a1", "a2", "status").write.csv(f"{folder}/B_few.csv", header=True)
+    rows.select("rid", "a0", F.lit("same").alias("status")).write.csv(f"{folder}/c_single.csv", header=True)
+    rows.select("rid", "a0", "status").write.csv(f"{folder}/z_other.csv", header=True)
+    rows.unpersist()
+    return folder
+
+
+def _job_sql() -> str:
+    parts, lines = [], []
+    for name, view_name in (("B_few.csv", "ninst3"), ("a_orders.csv", "ninst")):
+        cells = []
+        for model, n_dep in (("nb", 0), ("aode", 1)):
+            key = f"{model}_{view_name}"
+            parts.append(f"{key} AS ({O.cv_sql(view_name, _sql_spec(n_dep=n_dep), model, JOB_REPEATS, JOB_FOLDS, CV_SEED)})")
+            cells.append(f"(SELECT CAST(round(acc_mean * 100, 2) AS VARCHAR) || ':' || CAST(round(acc_std * 100, 2) AS VARCHAR) FROM {key})")
+        lines.append(f"SELECT '{name}' AS dataset, '{name}, ' || {cells[0]} || ', ' || {cells[1]} || ', ' AS report, false AS failed")
+    lines.append("SELECT 'c_single.csv', 'c_single.csv, failed: the class has fewer than two values', true")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(lines)
+
+
+@register("evaluation_job", _job_sql())
+def _evaluation_job(spark, sf):
+    """IO-11, T-1, T-2, P-5, E-1, E-4, E-9, IO-13: datasets [A, D) of a folder, one of which fails."""
+    return EJ.evaluate_folder(spark, _datasets(spark, sf), MIO.scratch_path(spark, "report"), ["nb", "aode"], begin="A", end="D",
+                              repeats=JOB_REPEATS, folds=JOB_FOLDS, seed=CV_SEED, id_col="rid")
+
+
+@register("evaluation_noise_models")
+def _evaluation_noise_models(spark, sf):
+    """The job with all count models and label noise in the training folds, on a dataset with numeric
+    columns (rows-only check)."""
+    folder = MIO.scratch_path(spark, "datasets")
+    read_table(spark, sf, "customer").select("c_mktsegment", F.round("c_acctbal", 0).alias("c_acctbal"), (F.col("c_nationkey") % 5).alias("zone"),
+                                             F.when(F.col("c_acctbal") > 4000, "high").otherwise("low").alias("level")).write.csv(f"{folder}/customer.csv", header=True)
+    return EJ.evaluate_folder(spark, folder, MIO.scratch_path(spark, "report"), list(EJ.MODELS), repeats=2, folds=3, noise=0.1)

@@ -130,10 +130,15 @@ linst AS (
          a0, a1, a2, a3, a4, cls, CAST(count(*) AS DOUBLE) AS weight
   FROM lcoded GROUP BY a0, a1, a2, a3, a4, cls)"""
 
-VIEW_SQL = {"ninst": NINST_SQL, "linst": LINST_SQL}
+# The first three attributes of ``ninst`` alone (a second dataset of the evaluation job).
+NINST3_SQL = NINST_SQL + """,
+ninst3 AS (SELECT rid, a0, a1, a2, cls, weight FROM ninst)"""
+
+VIEW_SQL = {"ninst": NINST_SQL, "linst": LINST_SQL, "ninst3": NINST3_SQL}
 VIEW_META = {
     "ninst": (NINST_ATTRS, NINST_CARDS, NINST_CLASSES),
     "linst": (LINST_ATTRS, LINST_CARDS, LINST_CLASSES),
+    "ninst3": (NINST_ATTRS[:3], NINST_CARDS[:3], NINST_CLASSES),
 }
 
 
