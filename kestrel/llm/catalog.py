@@ -45,7 +45,7 @@ def op8_license_scan(spark, sf_dir):
 
 
 def op9_suffix_array_dedup(spark, sf_dir):
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), passage=repeats.WORDS)
 
 
 def op10_packing(spark, sf_dir):

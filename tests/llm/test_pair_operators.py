@@ -293,6 +293,53 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot, seed):
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(want))
 
 
+def brute_passages(texts, n):
+    """(runs, words) covered by n words that also start anywhere else."""
+    words = [re.split(r"[\x20\x09-\x0D]+", lower(t or "").strip(" \t\n\x0b\x0c\r")) if (t or "").strip(" \t\n\x0b\x0c\r") else [] for t in texts]
+    seen = {}
+    for w in words:
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])] = seen.get(tuple(w[i : i + n]), 0) + 1
+    out = []
+    for w in words:
+        on = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                on[i : i + n] = [True] * n
+        out.append((sum(on[i] and (i == 0 or not on[i - 1]) for i in range(len(on))), sum(on)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_repeated_passages_of_words_equal_brute_force(spark, monkeypatch, hot):
+    rng = random.Random(hot)
+    shared = [" ".join(rng.choice("ab cd ef gh ij kl".split()) + str(rng.randint(0, 30)) for _ in range(14)) for _ in range(4)]
+    texts = [None, "", " \n", "one two"]
+    for _ in range(40):
+        parts = [" ".join("w" + str(rng.randint(0, 400)) for _ in range(rng.randint(0, 25))) for _ in range(3)]
+        if rng.random() < 0.6:
+            parts.insert(rng.randint(0, 3), rng.choice(shared).upper() if rng.random() < 0.2 else rng.choice(shared))
+        texts.append(("\n" if rng.random() < 0.5 else "  ").join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, texts[7])], "doc_id bigint, text string")
+    monkeypatch.setattr(repeats, "PIECE", 64)
+    monkeypatch.setattr(repeats, "WORD_Q", 3)
+    got = {r.doc_id: (r.n_passages, r.passage_words) for r in repeats.remove_repeats(df, length=4000, q=16, hot=hot, passage=10).collect()}
+    want = brute_passages([*texts, texts[7]], 10)
+    assert [got[i] for i in [*range(len(texts)), 99]] == want and sum(w[1] > 0 for w in want) > 10
+
+
+def test_refined_buckets_name_equal_strings(monkeypatch):
+    rng = np.random.default_rng(2)
+    for kind in (np.uint8, np.uint64):
+        data = rng.integers(0, 2, 3000).astype(kind)
+        at = np.arange(3000 - 23)
+        b = repeats._refined(data, at, 23, 4)
+        names = {}
+        for p in at:
+            names.setdefault(data[p : p + 23].tobytes(), set()).add(int(b[p]))
+        assert all(len(v) == 1 for v in names.values()) and len({next(iter(v)) for v in names.values()}) == len(names)
+
+
 def test_repeats_odd_input(spark, odd, none):
     got = repeats.remove_repeats(odd, keep_bytes=True).collect()
     want = brute_repeats([r.text for r in odd.collect()], 400)
