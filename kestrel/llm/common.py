@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
+def shipped(spark: SparkSession, value) -> Callable:
+    """A broadcast of ``value`` and a function that gives it in a task.  The classes of this package
+    travel with it by value, so executors need no copy of the package."""
+    sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not held:
+            held.append(cloudpickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 @contextmanager
 def rows_per_batch(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for what is planned inside: for wide rows, whose

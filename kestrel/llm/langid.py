@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from kestrel.llm.common import lists, map_batches
+from kestrel.llm.common import lists, map_batches, shipped
 
 ALPHABET = 96
 ORDERS = 3
@@ -152,13 +152,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
     found = map_batches(rows, letter_counts, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
     alphabet = [r.c for r in found.orderBy(F.desc("n"), "c").limit(ALPHABET - 2).collect()]
     empty = _with_letters(empty, {c: i + 1 for i, c in enumerate(sorted(alphabet))})
-    letters = spark.sparkContext.broadcast(empty.letters)
+    letters = shipped(spark, empty.letters)
 
     def grams(b):
         texts = b.column("text").to_pylist()
         sets: list[list] = [[] for _ in texts]
         for run in _groups(texts):
-            doc, code, _ = _codes(letters.value, run)
+            doc, code, _ = _codes(letters(), run)
             both = np.unique(doc.astype(np.int64) * _GRAMS + code)
             for i in np.unique(both // _GRAMS):
                 sets[i].append(both[both // _GRAMS == i] % _GRAMS)
@@ -210,11 +210,11 @@ def _with_letters(model: LanguageModel, alphabet: dict[str, int]) -> LanguageMod
 
 def apply(model: LanguageModel, docs: DataFrame, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the two columns appended; every other column passes unread."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def run(batches):
         for b in batches:
-            lab, sc = shared.value.predict(b.column(text).to_pylist())
+            lab, sc = shared().predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lab, pa.string()), pa.array(sc, pa.float64())], names=[*b.schema.names, label, score])
 
     return docs.mapInArrow(run, StructType([*docs.schema, StructField(label, StringType()), StructField(score, DoubleType())]))

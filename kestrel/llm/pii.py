@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import map_batches, written
+from kestrel.llm.common import map_batches, shipped, written
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
@@ -397,12 +397,12 @@ def text_spans(text: str | None, field: Field):
 
 def find(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = shipped(docs.sparkSession, field)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     joined = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
     def run(b):
-        got = [text_spans(t, sent.value) for t in b.column("text").to_pylist()]
+        got = [text_spans(t, sent()) for t in b.column("text").to_pylist()]
         out = {"doc_id": b.column("doc_id")}
         for i, kind in enumerate(KINDS):
             out[f"n_{kind}"] = pa.array([sum(k == i for _, k, _ in base) for base, _ in got], pa.int64())
@@ -427,12 +427,12 @@ def masked(text: str, spans) -> str:
 def mask(docs: DataFrame, field: Field, text: str = "text", n_chars: str | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; other texts and all other
     columns pass unchanged (``n_chars``, if named, follows the text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = shipped(docs.sparkSession, field)
 
     def run(batches):
         for b in batches:
             texts = b.column(text).to_pylist()
-            new = [masked(t, spans) if (spans := text_spans(t, sent.value)[1]) else t for t in texts]
+            new = [masked(t, spans) if (spans := text_spans(t, sent())[1]) else t for t in texts]
             cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             if n_chars in cols:
                 old = cols[n_chars].to_pylist()
