@@ -4,33 +4,41 @@ Tokens are ``SPACE`` words (A-Z lower-cased), then one end per text.  Corpus cou
 exact and cover every training text: words are counted by a 64-bit hash, partial counts
 first in the task, then in the aggregate.
 
-Model.  Symbols are all tokens that occur at least ``LEAST`` times (and, in small corpora, the
-``SYMBOLS - 1`` most frequent ones in any case), and one symbol for all others: the modelled
-vocabulary grows with the corpus.  Symbols in order of frequency are cut into classes of equal
-sums of square roots of counts, about half as many as the root of the number of symbols.  With r
-and q the context and target vectors of symbols, d the target vectors of classes, c1 and c2 the
-weights of the last and the last but one position and a, b biases (log-bilinear, diagonal context
-weights, factored by classes):
+Model.  Symbols are the most frequent tokens (at most ``HEAD``, each at least ``LEAST`` times) and
+tail classes: every other token belongs to the class of the first bits of its hash.  There are
+about twice as many tail classes as the root of the number of tail tokens, ``KINDS`` at most.
+Symbols in order are cut into groups of equal sums of square roots of counts.  With r and q the
+context and target vectors of symbols, d the target vectors of groups, c1 and c2 the weights of the
+last and the last but one position and a, b biases (log-bilinear, diagonal context weights,
+factored):
 
     h(u, v) = c1 * r_u + c2 * r_v
-    p(w | u, v) = p(k | u, v) * p(w | k, u, v)      k the class of w
-    p(k | u, v) ~ exp(h . d_k + a_k),  p(w | k, u, v) ~ exp(h . q_w + b_w) over the words of k
+    p(s | u, v) = p(g | u, v) * p(s | g, u, v)      g the group of symbol s
+    p(g | u, v) ~ exp(h . d_g + a_g),  p(s | g, u, v) ~ exp(h . q_s + b_s) over the symbols of g
 
-It is trained in NumPy by noise-contrastive estimation: each class is contrasted with
-classes drawn from the unigram distribution, each word with words of its class, the normalisers
-taken as 1.  Training is data parallel over all training texts: every task starts from the
-broadcast parameters and passes over its own texts; the changes of the parameter rows that a
-task has touched (16-bit floats) are averaged by touches, block by block, for ``ROUNDS`` rounds.
+and every tail token w that occurs ``LEAST`` times has a target vector of its own within its class t:
 
-Scores are normalised exactly: the normalisers of classes by one matrix product a batch of contexts,
-of words by one matrix product for each class and slice.  Where both context symbols are
-among the ``SYMBOLS`` most frequent, exp of the class score is a product of a factor of (u, k) and one of
-(v, k), so those class normalisers are look-ups in one product of matrices.  A token under the
-"other" symbol is further scored by add-one counts within the others, with one place for all
-unseen words, so that the outcomes of each position sum to 1.
+    p(w | u, v) = p(t | u, v) * p(w | t, u, v),     p(w | t, u, v) ~ exp(h . q_w + b_w) over the words of t
 
-The most frequent tokens (at most ``HEAD``, and all symbols) and the parameters (200 bytes a
-symbol) are broadcast; the counts of rarer words reach the texts by a join.
+So the vectors grow with the corpus, but what is broadcast does not: the symbols' parameters are
+200 bytes each, 10 MB at most, and the words of a tail class live only in the task that holds the class.
+
+Training is NumPy noise-contrastive estimation, the normalisers taken as 1.  Symbols: training
+texts fall by a hash of (doc_id, text) into groups of about ``GROUP_TOKENS`` tokens; a task passes
+over one group in the order of the hash, in steps that do not depend on Arrow batches, and the changes of
+the parameter rows it touched (16-bit floats) are averaged by touches in the order of the groups.  Rows
+that repeat are counted first and dealt evenly over the groups.  Tail words: the occurrences of
+all tail tokens, with their contexts, go to the part that holds their class; it trains the words
+of each class on the training occurrences in a fixed order, and scores all.  A tail token holds
+less than one ``HEAD``-th of all tokens, so no class is hot.  The scores are therefore a function
+of the table, not of its splits (up to the rounding of 32-bit matrix products).
+
+Scores are normalised exactly: the normalisers of groups by one matrix product a batch of contexts,
+of symbols and tail words by one matrix product for each group or class and slice.  Where both context
+symbols are among the ``SYMBOLS`` most frequent, exp of the group score is a product of a factor of
+(u, g) and one of (v, g), so those normalisers are look-ups in one product of matrices.  Tail tokens that occur
+less often share one word of their class and are scored inside it by add-one counts, with
+one place for all unseen words, so that the outcomes of each position sum to 1.
 
 Defined cases: null texts are empty (one end token); with no training text every count is 0
 and the model is uniform; repeated rows are scored each; a null doc_id is not held out.
@@ -46,24 +54,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import lists, map_batches, written
+from kestrel.llm.common import shipped, written
 from kestrel.llm.langid import held_out
 from kestrel.llm.text import buffers, slices, word_hashes
 
 SYMBOLS = 1024
 LEAST = 10
-HEAD = 1 << 18
+HEAD = 1 << 15
+#: most tail classes; with ``HEAD`` they fit 16-bit symbols
+KINDS = 1 << 14
+#: training tokens of one task, and tail occurrences of one part
+GROUP_TOKENS = 1 << 21
+PART_TOKENS = 1 << 21
+#: tokens of one call of the trainer
+CHUNK = 1 << 17
+#: repeated rows that are joined by a broadcast; more take a shuffle join
+FEW = 1 << 18
 DIM = 24
 NOISE = 32
 WORD_NOISE = 5
+#: occurrences of one step within a tail class
+WORD_BATCH = 512
 BATCH = 4096
 #: parameter rows of a record of changes
 BLOCK = 1024
 RATE = 0.1
 SMOOTH = 1.0
-ROUNDS = 2
+ROUNDS = 1
 END = np.uint64(0x1CE4E5B9D1342543)  # stands for the end token among word hashes
-OTHER = 0  # its symbol
 _MERGE = 1 << 21
 
 
@@ -107,64 +125,66 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def _kinds(distinct: int) -> int:
+    """Bits of the number of a tail class."""
+    return int(min(np.log2(KINDS), max(4, np.ceil(np.log2(2 * np.sqrt(distinct + 1))))))
+
+
 @dataclass
 class Vocabulary:
-    """The head of the counts, and totals of all."""
+    """The head of the counts, sums of the tail classes, and totals of all."""
 
     total: int
     distinct: int
     h: np.ndarray  # sorted hashes of the head
     n: np.ndarray  # their counts
-    symbol: np.ndarray  # their symbols; OTHER for the rare ones
-    unigram: np.ndarray  # counts of the symbols
-    others: int  # different tokens under OTHER
+    symbol: np.ndarray  # their symbols, in order of frequency
+    unigram: np.ndarray  # counts of the symbols: the head's, then the tail classes'
+    bits: int  # of the number of a tail class
 
     def look(self, w: np.ndarray):
-        """(count, symbol, in head) of token hashes."""
+        """(count or 0, symbol, in head) of token hashes."""
+        symbol = len(self.h) + self.kind(w)
         if not len(self.h):
-            return np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+            return np.zeros(len(w), np.int64), symbol, np.zeros(len(w), bool)
         at = np.minimum(np.searchsorted(self.h, w), len(self.h) - 1)
         ok = self.h[at] == w
-        return np.where(ok, self.n[at], 0), np.where(ok, self.symbol[at], OTHER), ok
-
-    @property
-    def other_log(self) -> float:
-        return float(np.log10(self.unigram[OTHER] + self.others + 1))
-
-
-def vocabulary(counts: DataFrame, symbols: int = SYMBOLS, head: int = HEAD, least: int = LEAST) -> Vocabulary:
-    """The head is every token of the highest count classes (eighths of a power of two) that
-    together hold at most ``head`` tokens, so no task ranks all tokens, and every token that
-    occurs ``least`` times."""
-    level = F.floor(F.log2("n") * 8)
-    classes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    classes = sorted(((r.level, r.size, r.total) for r in classes.collect()), reverse=True)  # at most 8 * 63 rows
-    total, distinct = sum(c[2] for c in classes), sum(c[1] for c in classes)
-    size, lowest = 0, None
-    for c in classes:
-        if size + c[1] > head:
+        return np.where(ok, self.n[at], 0), np.where(ok, self.symbol[at], symbol), ok
+
+    def kind(self, w: np.ndarray) -> np.ndarray:
+        return (w >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+def vocabulary(counts: DataFrame, head: int = HEAD, least: int = LEAST) -> Vocabulary:
+    """The head is every token of the highest count classes (eighths of a power of two, ``least`` and
+    more) that together hold at most ``head`` tokens, so no task ranks all tokens."""
+    level, often = F.floor(F.log2("n") * 8), F.col("n") >= least
+    sums = counts.groupBy(often.alias("often"), level.alias("level")).agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    sums = sorted(((r.often, r.level, r.size, r.total) for r in sums.collect()), reverse=True)  # at most 8 * 63 + 1 rows
+    total, distinct = sum(c[3] for c in sums), sum(c[2] for c in sums)
+    size, lowest = 0, 8 * 64
+    for oft, lev, more, _ in sums:
+        if not oft or size + more > head:
             break
-        size, lowest = size + c[1], c[0]
-    often = F.col("n") >= least
-    if size >= min(symbols - 1, distinct):
-        top = counts.where((level >= lowest) | often) if size else counts.limit(0)
-    else:  # the symbols themselves need tokens of a class that is larger than the head
-        top = counts.orderBy(F.desc("n"), "h").limit(head).union(counts.where(often)).distinct()
-    top = top.toArrow()
+        size, lowest = size + more, lev
+    inside = often & (level >= lowest)
+    top = counts.where(inside).toArrow()  # at most ``head`` rows
     h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     best = np.lexsort((h.view(np.int64), -n))
-    h, n = h[best], n[best]
-    known = max(min(symbols - 1, len(h)), int((n >= least).sum()))
-    symbol = np.zeros(len(h), np.int64)
-    symbol[:known] = np.arange(1, known + 1)
-    unigram = np.concatenate(([total - n[:known].sum()], n[:known])).astype(np.int64)
+    symbol = np.empty(len(h), np.int64)
+    symbol[best] = np.arange(len(h))
     order = np.argsort(h)
-    return Vocabulary(total, distinct, h[order], n[order], symbol[order], unigram, distinct - known)
+    bits = _kinds(distinct - size)
+    mass = np.zeros(1 << bits, np.int64)
+    tail = counts.where(~inside).groupBy(F.shiftrightunsigned("h", 64 - bits).alias("kind")).agg(F.sum("n").alias("n"))
+    for r in tail.collect():  # at most ``KINDS`` rows
+        mass[r.kind] = r.n
+    return Vocabulary(total, distinct, h[order], n[order], symbol[order], np.concatenate((n[best], mass)).astype(np.int64), bits)
 
 
 def classes_of(unigram: np.ndarray) -> np.ndarray:
-    """First symbol of each class, and the end.  OTHER is a class of its own; the words behind it
-    stand in order of frequency, so frequent words have small classes."""
+    """First symbol of each class, and the end.  The first symbol is a class of its own; the words behind
+    it stand in order of frequency, so frequent words have small classes."""
     k = len(unigram)
     root = np.cumsum(np.sqrt(unigram[1:] + 1.0))
     if not len(root):
@@ -324,31 +344,141 @@ def _contexts(sym: np.ndarray, first: np.ndarray, end: int):
     return u, v
 
 
-def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> LogBilinear:
-    spark = docs.sparkSession
+def fit_words(x: np.ndarray, t: np.ndarray, mass: np.ndarray, rng) -> np.ndarray:
+    """Target vectors (biases in the last column) of the words of one tail class, by noise-contrastive
+    estimation on the contexts ``x`` of occurrences of words ``t``; ``mass`` are the words' counts."""
+    p = (mass + 1.0) / (mass.sum() + len(mass))
+    q = np.zeros((len(mass), x.shape[1] + 1), np.float32)
+    q[:, -1] = np.log(p)
+    cum, log_noise, g2 = np.cumsum(p), (np.log(p) + np.log(WORD_NOISE)).astype(np.float32), np.zeros(len(mass), np.float32)
+    rise = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    perm = rng.permutation(len(t))
+    for at in range(0, len(t), WORD_BATCH):
+        i = perm[at : at + WORD_BATCH]
+        x1 = np.concatenate([x[i], np.ones((len(i), 1), np.float32)], 1)
+        no = np.minimum(np.searchsorted(cum, rng.random(WORD_NOISE) * cum[-1], "right"), len(mass) - 1)
+        pos = 1 - rise(np.einsum("ij,ij->i", x1, q[t[i]]) - log_noise[t[i]])
+        fake = -rise(x1 @ q[no].T - log_noise[no])
+        g = np.zeros_like(q)
+        np.add.at(g, t[i], pos[:, None] * x1)
+        np.add.at(g, no, fake.T @ x1)
+        g2 += (g * g).mean(1)
+        q += (RATE / np.sqrt(g2 + SMOOTH))[:, None] * g
+    return q
+
+
+def class_scores(x: np.ndarray, w: np.ndarray, held: np.ndarray, seed: int, least: int = LEAST):
+    """For the occurrences of one tail class, sorted by word: (training count, has a vector, natural
+    log of p(word | class, context)) of each."""
+    inv = np.cumsum(np.diff(w, prepend=w[:1]) != 0) if len(w) else np.zeros(0, np.int64)
+    n = np.bincount(inv, ~held).astype(np.int64)
+    own = n >= least
+    rest, kinds = int(n[~own].sum()), int(((n > 0) & ~own).sum())
+    place = np.where(own, np.cumsum(own), 0)  # 0: all words without a vector
+    t, lp = place[inv], np.zeros(len(w))
+    if own.any():
+        learn = np.flatnonzero(~held)
+        q = fit_words(x[learn], t[learn], np.concatenate(([rest], n[own])), np.random.default_rng(seed))
+        step = max(1, (1 << 20) // len(q))
+        for at in range(0, len(w), step):
+            s = x[at : at + step] @ q[:, :-1].T + q[:, -1]
+            lp[at : at + step] = s[np.arange(len(s)), t[at : at + step]] - _log_sum(s)
+    lp += np.where(own[inv], 0, np.log(n[inv] + 1.0) - np.log(rest + kinds + 1.0))
+    return n[inv], own[inv], lp
+
+
+def _binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Binary array whose i-th value is data[off[i]:off[i + 1]]."""
+    data = np.ascontiguousarray(data)
+    off = (np.asarray(off) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _values(col, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all, offsets) of a binary column."""
+    data, off = [np.frombuffer(x, kind) for x in col.to_pylist()], [0]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
+    return (np.concatenate(data) if data else np.zeros(0, kind)), off
+
+
+def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(rid, doc_id, held_out, order, sym, tail) of docs (doc_id, text, held_out): the symbols of a text
+    as 16-bit numbers, the hashes of its tail tokens."""
+    voc = shipped(docs.sparkSession, vocab)
+
+    def run(batches):
+        part, serial = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for i, w, at in _tokens(b.column("text")):
+                m = len(at) - 1
+                _, sym, head = voc().look(w)
+                far = np.flatnonzero(~head)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((np.int64(part) << np.int64(33)) + serial + np.arange(m)),
+                    b.column("doc_id").slice(i, m), b.column("held_out").slice(i, m), b.column("order").slice(i, m),
+                    _binary(sym.astype(np.uint16), at), _binary(w[far], np.searchsorted(far, at))],
+                    names=["rid", "doc_id", "held_out", "order", "sym", "tail"])
+                serial += m
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.withColumn("order", F.xxhash64("doc_id", "text"))
+    return docs.mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, order bigint, sym binary, tail binary")
+
+
+def _grouped(rows: DataFrame, groups: int) -> DataFrame:
+    """(g, order, copies, sym): the training rows dealt over groups.  The copies of a row that
+    repeats are spread evenly, whatever their number."""
+    again = written(rows.groupBy("order").count().where("count > 1").select("order"), "lm-repeated")
+    if again.count() <= FEW:
+        again = F.broadcast(again)
+    once = rows.join(again, "order", "left_anti").select("order", F.lit(1).cast("bigint").alias("copies"), "sym", F.lit(0).cast("bigint").alias("i"))
+    more = rows.join(again, "order", "left_semi").groupBy("order", "sym").count()
+    more = more.select("order", "count", "sym", F.explode(F.sequence(F.lit(0), F.least("count", F.lit(groups)) - 1)).alias("i"))
+    share = F.floor(F.col("count") / groups) + F.when(F.col("i") < F.col("count") % groups, 1).otherwise(0)
+    both = once.unionByName(more.select("order", share.alias("copies"), "sym", "i"))
+    return both.select(F.pmod(F.pmod("order", F.lit(groups)) + F.col("i"), F.lit(groups)).cast("int").alias("g"), "order", "copies", "sym")
+
+
+def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
+    """The symbols' parameters from training rows (order, sym) of ``encode``."""
+    spark = rows.sparkSession
     model = LogBilinear.start(vocab.unigram)
     end = int(vocab.look(np.array([END]))[1][0])
+    groups = max(1, -(-vocab.total // GROUP_TOKENS))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((vocab, model))
+        sent = shipped(spark, (vocab.unigram, model))
 
         def run(batches):
-            voc, start = sent.value
+            unigram, start = sent()
             mine = LogBilinear(start.m.copy(), start.first)
-            noise = mine.noise(voc.unigram)
-            rng, g2, touched = np.random.default_rng(turn), np.zeros(len(mine.m), np.float32), np.zeros(len(mine.m), np.int64)
+            noise = mine.noise(unigram)
+            g2, touched = np.zeros(len(mine.m), np.float32), np.zeros(len(mine.m), np.int64)
+            rng, held, size, g = None, [], 0, 0
+
+            def learn():
+                sym = np.concatenate(held).astype(np.int64)
+                first = np.concatenate(([0], np.cumsum([len(x) for x in held])))
+                u, v = _contexts(sym, first, end)
+                mine.train(u, v, sym, noise, rng, g2, touched)
+
             for b in batches:
-                for _, w, first in _tokens(b.column(0)):
-                    if not len(w):
-                        continue
-                    sym = voc.look(w)[1]
-                    u, v = _contexts(sym, first, end)
-                    mine.train(u, v, sym, noise, rng, g2, touched)
+                for g, n, x in zip(*(b.column(c).to_pylist() for c in ("g", "copies", "sym")), strict=True):
+                    rng = rng or np.random.default_rng((turn, g))
+                    x = np.frombuffer(x, np.uint16)
+                    for _ in range(n):
+                        held.append(x)
+                        size += len(x)
+                        if size >= CHUNK:
+                            learn()
+                            held, size = [], 0
+            if held:
+                learn()
             used = np.flatnonzero(touched)
             change = (mine.m[used] - start.m[used]).astype(np.float16)
             cut = np.flatnonzero(np.diff(used // BLOCK, prepend=-1, append=-1))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 part = [(used[lo:hi] % BLOCK).astype(np.uint16), touched[used[lo:hi]].astype(np.float32), change[lo:hi]]
-                yield pa.RecordBatch.from_pydict({"block": [used[lo] // BLOCK], **{c: [x.tobytes()] for c, x in zip("inp", part, strict=True)}})
+                yield pa.RecordBatch.from_pydict({"block": [used[lo] // BLOCK], "g": pa.array([g], pa.int32()), **{c: [x.tobytes()] for c, x in zip("inp", part, strict=True)}})
 
         def mean(batches):
             sums = {}
@@ -361,8 +491,9 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int =
                 p = (total[:, :-1] / np.maximum(total[:, -1:], 1)).astype(np.float32)
                 yield pa.RecordBatch.from_pydict({"block": [block], "p": [p.tobytes()]})
 
-        parts = docs.select(text).mapInArrow(run, "block bigint, i binary, n binary, p binary")
-        got = parts.repartition("block").mapInArrow(mean, "block bigint, p binary").toArrow()  # the parameters
+        dealt = _grouped(rows, groups).repartitionById(groups, F.col("g")).sortWithinPartitions("order", "sym")
+        parts = dealt.mapInArrow(run, "block bigint, g int, i binary, n binary, p binary")
+        got = parts.repartition("block").sortWithinPartitions("block", "g").mapInArrow(mean, "block bigint, p binary").toArrow()  # the parameters
         m = np.zeros((-(-len(model.m) // BLOCK) * BLOCK, DIM + 1), np.float32)
         for block, p in zip(got["block"].to_pylist(), got["p"].to_pylist(), strict=True):
             m[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(p, np.float32).reshape(BLOCK, -1)
@@ -370,49 +501,98 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int =
     return model
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", of: int = 7, rounds: int = ROUNDS) -> DataFrame:
+def _tail_sums(rows: DataFrame, vocab: Vocabulary, model: LogBilinear, least: int) -> DataFrame:
+    """(rid, known, logs, lp, own): of the tail tokens of each text, how many are known, the sums of
+    log10(count + 1) and of log10 p(word | class, context), and how many have vectors."""
+    head, bits, n_kinds = len(vocab.h), vocab.bits, 1 << vocab.bits
+    r, _, _, _, _, c = model.parts()
+    sent = shipped(rows.sparkSession, (r.copy(), c.copy()))
+    end = int(vocab.look(np.array([END]))[1][0])
+    # both held-out and training texts; their number is not known, but training texts are most of them
+    parts = int(min(n_kinds, max(1, -(-int(vocab.unigram[head:].sum()) // PART_TOKENS))))
+
+    def deal(batches):
+        for b in batches:
+            sym, at = _values(b.column("sym"), np.uint16)
+            w, _ = _values(b.column("tail"), np.uint64)
+            if not len(w):
+                continue
+            u, v = _contexts(sym.astype(np.int64), at, end)
+            place = np.flatnonzero(sym >= head)
+            doc = np.searchsorted(at, place, "right") - 1
+            part = (sym[place].astype(np.int64) - head) % parts
+            name = b.column("rid").to_numpy() * 2 + b.column("held_out").to_numpy(zero_copy_only=False)
+            order = np.argsort(part, kind="stable")
+            cut = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                j = order[lo:hi]
+                ids, of = np.unique(doc[j], return_inverse=True)
+                cols = [name[ids], of.astype(np.uint32), u[place[j]].astype(np.uint16), v[place[j]].astype(np.uint16), w[j]]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part[j[0]]], pa.int32()), **{k: [x.tobytes()] for k, x in zip(("ids", "of", "u", "v", "w"), cols, strict=True)}})
+
+    def score(table: pa.Table) -> pa.Table:
+        r, c = sent()
+        ids, at = _values(table["ids"], np.int64)
+        of, each = _values(table["of"], np.uint32)
+        of = of + np.repeat(at[:-1], np.diff(each))
+        (u, _), (v, _), (w, _) = (_values(table[k], t) for k, t in (("u", np.uint16), ("v", np.uint16), ("w", np.uint64)))
+        held = (ids % 2 == 1)[of]
+        order = np.lexsort(((u.astype(np.uint32) << np.uint32(16)) | v, held, w))  # by class, since its number leads the hash
+        of, u, v, w, held = of[order], u[order], v[order], w[order], held[order]
+        kind = (w >> np.uint64(64 - bits)).astype(np.int64)
+        sums = np.zeros((4, len(ids)))
+        cut = np.flatnonzero(np.diff(kind, prepend=-1, append=-1))
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            x = r[u[lo:hi]] * c[0] + r[v[lo:hi]] * c[1]
+            n, own, lp = class_scores(x, w[lo:hi], held[lo:hi], int(kind[lo]), least)
+            for k, value in enumerate((n > 0, np.log10(n + 1.0), lp * np.log10(np.e), own)):
+                sums[k] += np.bincount(of[lo:hi], value, len(ids)) if hi - lo > len(ids) // 64 else 0
+                if hi - lo <= len(ids) // 64:
+                    np.add.at(sums[k], of[lo:hi], value)
+        return pa.table({"rid": ids >> 1, "known": sums[0].astype(np.int64), "logs": sums[1], "lp": sums[2], "own": sums[3].astype(np.int64)})
+
+    dealt = rows.select("rid", "held_out", "sym", "tail").mapInArrow(deal, "part int, ids binary, of binary, u binary, v binary, w binary")
+    sums = dealt.groupBy("part").applyInArrow(score, "rid bigint, known bigint, logs double, lp double, own bigint")
+    return sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("known", "logs", "lp", "own")))
+
+
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", of: int = 7, rounds: int = ROUNDS, head: int = HEAD, least: int = LEAST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, model_tokens)
     of every row; rows whose crc32(doc_id) mod ``of`` is 2 are not learned from."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", held_out("doc_id", of))
-    training = docs.where(~F.col("held_out"))
-    counts = written(count_tokens(training), "token-counts")
-    vocab = vocabulary(counts)
-    model = train(training, vocab, rounds=rounds)
-    sent = spark.sparkContext.broadcast((vocab, model, model.tables()[2]))
+    counts = written(count_tokens(docs.where(~F.col("held_out"))), "token-counts")
+    vocab = vocabulary(counts, head, least)
+    rows = written(encode(docs, vocab), "lm-texts")
+    model = train(rows.where(~F.col("held_out")).select("order", "sym"), vocab, rounds)
+    sent = shipped(spark, (vocab.unigram, len(vocab.h), model, model.tables()[2]))
     end = int(vocab.look(np.array([END]))[1][0])
     log10e = float(np.log10(np.e))
 
     def run(batches):
-        voc, lbl, norm = sent.value
-        part, serial = TaskContext.get().partitionId(), 0
+        unigram, n_head, lbl, norm = sent()
         for b in batches:
-            for i, w, at in _tokens(b.column("text")):
-                m = len(at) - 1
-                n, sym, head = voc.look(w)
-                u, v = _contexts(sym, at, end)
-                logs = np.log10(n + 1.0)
-                lp = lbl.log_probabilities(u, v, sym, norm) * log10e
-                add = lambda x: np.add.reduceat(x, at[:-1]) if m else x[:0]  # noqa: E731  every text has its end
-                other = sym == OTHER
-                lp = np.where(other, lp + logs - voc.other_log, lp)
-                rare = np.flatnonzero(~head)
-                off = np.searchsorted(rare, at)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((np.int64(part) << np.int64(33)) + serial + np.arange(m)),
-                    b.column("doc_id").slice(i, m), b.column("held_out").slice(i, m),
-                    pa.array(np.diff(at)), pa.array(add((n > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(lp)),
-                    pa.array(add((~other).astype(np.int64))), lists(w[rare].view(np.int64), off, pa.int64())],
-                    names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "model_tokens", "rare"])
-                serial += m
+            sym, at = _values(b.column("sym"), np.uint16)
+            sym = sym.astype(np.int64)
+            if not len(sym):
+                continue
+            u, v = _contexts(sym, at, end)
+            inside = sym < n_head
+            lp = lbl.log_probabilities(u, v, sym, norm) * log10e
+            logs = np.where(inside, np.log10(unigram[sym] + 1.0), 0)
+            add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has its end
+            yield pa.RecordBatch.from_arrays([
+                b.column("rid"), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at)),
+                pa.array(add(inside.astype(np.int64))), pa.array(add(logs)), pa.array(add(lp))],
+                names=["rid", "doc_id", "held_out", "n_tokens", "near", "base", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = written(docs.mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, model_tokens bigint, rare array<bigint>"), "lm-texts")
-    rare = scored.select("rid", F.explode("rare").alias("h")).join(counts, "h")
-    rare = rare.groupBy("rid").agg(F.count("n").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
-    logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
+    scored = rows.select("rid", "doc_id", "held_out", "sym").mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, near bigint, base double, score double")
+    tail = _tail_sums(rows, vocab, model, least)
+    none = lambda c: F.coalesce(c, F.lit(0))  # noqa: E731  texts without tail tokens
     each = float(np.log10(vocab.total + vocab.distinct + 1))
-    return scored.join(rare, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(vocab.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * each).alias("base_score"), (F.col("score") + logs).alias("score"), "model_tokens")
+    return scored.join(tail, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("near") + none("known")).alias("n_known"), F.lit(vocab.total).cast("bigint").alias("train_tokens"),
+        (F.col("base") + none("logs") - F.col("n_tokens") * each).alias("base_score"), (F.col("score") + none("lp")).alias("score"),
+        (F.col("near") + none("own")).alias("model_tokens"))
