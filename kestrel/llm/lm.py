@@ -76,6 +76,8 @@ WORD_NOISE = 5
 #: occurrences of one step within a tail class
 WORD_BATCH = 512
 BATCH = 4096
+#: cells of one product of contexts and targets; small enough for a core's cache
+CELLS = 1 << 17
 #: parameter rows of a record of changes
 BLOCK = 1024
 RATE = 0.1
@@ -195,11 +197,23 @@ def classes_of(unigram: np.ndarray) -> np.ndarray:
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
+    if s.size and s.max() < 60:
+        z = np.exp(s).sum(1)
+        if z.min() > 1e-20:  # neither overflowed nor vanished
+            return np.log(z)
     top = s.max(1, keepdims=True)
     s -= top
     return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
 
 
+def _row_sums(idx: np.ndarray, val: np.ndarray, *more):
+    """Different ``idx``, and the sums of ``val`` and of ``more`` over each."""
+    order = np.argsort(idx, kind="stable")
+    idx = idx[order]
+    at = np.flatnonzero(np.diff(idx, prepend=-1))
+    return idx[at], *(np.add.reduceat(x[order], at, axis=0) for x in (val, *more))
+
+
 @dataclass
 class LogBilinear:
     """Rows of ``m``: context vectors of the symbols, target vectors of the symbols, target vectors
@@ -243,11 +257,9 @@ class LogBilinear:
     def _step(self, idx, val, tokens, g2, touched, rate) -> None:
         """AdaGrad with one running square a row; ``val`` are gradients of rows ``idx``, each the
         sum over ``tokens``."""
-        rows, inv = np.unique(idx, return_inverse=True)
-        times = np.bincount(inv, tokens).astype(np.int64)
-        g = np.stack([np.bincount(inv, x, len(rows)) for x in np.ascontiguousarray(val.T)], 1).astype(np.float32)
+        rows, g, times = _row_sums(idx, val, tokens)
         g2[rows] += (g * g).mean(1)
-        touched[rows] += times
+        touched[rows] += times.astype(np.int64)
         self.m[rows] += (rate / np.sqrt(g2[rows] + SMOOTH))[:, None] * g
 
     def train(self, u, v, w, noise, rng, g2: np.ndarray, touched: np.ndarray, rate: float = RATE) -> None:
@@ -307,14 +319,14 @@ class LogBilinear:
         """Natural logs of p(w | u, v); ``norm`` is the last of ``tables()``."""
         r, q, b, d, a, c = self.parts()
         kinds, size, out = self.class_of()[w], np.diff(self.first), np.empty(len(w))
-        for at in range(0, len(w), 1 << 18):  # bounds the contexts held at once
-            uu, vv, ww, kk = (x[at : at + (1 << 18)] for x in (u, v, w, kinds))
+        for at in range(0, len(w), 1 << 16):  # bounds the contexts held at once
+            uu, vv, ww, kk = (x[at : at + (1 << 16)] for x in (u, v, w, kinds))
             ctx = r[uu] * c[0] + r[vv] * c[1]
             s = np.einsum("ij,ij->i", ctx, d[kk]) + a[kk]
             known = (uu < len(norm)) & (vv < len(norm))
             s[known] -= norm[uu[known], vv[known]]
             far = np.flatnonzero(~known)
-            step = max(1, (1 << 20) // len(a))
+            step = max(1, CELLS // len(a))
             for i in range(0, len(far), step):
                 j = far[i : i + step]
                 s[j] -= _log_sum(ctx[j] @ d.T + a)
@@ -325,11 +337,11 @@ class LogBilinear:
                 if size[kind] == 1:
                     continue
                 x, y = self.first[kind : kind + 2]
-                step = max(1, (1 << 20) // (y - x))
+                step = max(1, CELLS // (y - x))
                 for i in range(lo, hi, step):
                     j = order[i : min(hi, i + step)]
                     s[j] += np.einsum("ij,ij->i", ctx[j], q[ww[j]]) + b[ww[j]] - _log_sum(ctx[j] @ q[x:y].T + b[x:y])
-            out[at : at + (1 << 18)] = s
+            out[at : at + (1 << 16)] = s
         return out
 
 
@@ -359,11 +371,9 @@ def fit_words(x: np.ndarray, t: np.ndarray, mass: np.ndarray, rng) -> np.ndarray
         no = np.minimum(np.searchsorted(cum, rng.random(WORD_NOISE) * cum[-1], "right"), len(mass) - 1)
         pos = 1 - rise(np.einsum("ij,ij->i", x1, q[t[i]]) - log_noise[t[i]])
         fake = -rise(x1 @ q[no].T - log_noise[no])
-        g = np.zeros_like(q)
-        np.add.at(g, t[i], pos[:, None] * x1)
-        np.add.at(g, no, fake.T @ x1)
-        g2 += (g * g).mean(1)
-        q += (RATE / np.sqrt(g2 + SMOOTH))[:, None] * g
+        rows, g = _row_sums(np.concatenate([t[i], no]), np.concatenate([pos[:, None] * x1, fake.T @ x1]))[:2]
+        g2[rows] += (g * g).mean(1)
+        q[rows] += (RATE / np.sqrt(g2[rows] + SMOOTH))[:, None] * g
     return q
 
 
@@ -503,7 +513,9 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBiline
 
 def _tail_sums(rows: DataFrame, vocab: Vocabulary, model: LogBilinear, least: int) -> DataFrame:
     """(rid, known, logs, lp, own): of the tail tokens of each text, how many are known, the sums of
-    log10(count + 1) and of log10 p(word | class, context), and how many have vectors."""
+    log10(count + 1) and of log10 p(word | class, context), and how many have vectors.  What one
+    batch of texts sends to a part is one row, and what the part gives back; sums are added by block,
+    that is by batch of texts."""
     head, bits, n_kinds = len(vocab.h), vocab.bits, 1 << vocab.bits
     r, _, _, _, _, c = model.parts()
     sent = shipped(rows.sparkSession, (r.copy(), c.copy()))
@@ -528,7 +540,7 @@ def _tail_sums(rows: DataFrame, vocab: Vocabulary, model: LogBilinear, least: in
                 j = order[lo:hi]
                 ids, of = np.unique(doc[j], return_inverse=True)
                 cols = [name[ids], of.astype(np.uint32), u[place[j]].astype(np.uint16), v[place[j]].astype(np.uint16), w[j]]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part[j[0]]], pa.int32()), **{k: [x.tobytes()] for k, x in zip(("ids", "of", "u", "v", "w"), cols, strict=True)}})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part[j[0]]], pa.int32()), "block": [name[0] >> 1], **{k: [x.tobytes()] for k, x in zip(("ids", "of", "u", "v", "w"), cols, strict=True)}})
 
     def score(table: pa.Table) -> pa.Table:
         r, c = sent()
@@ -540,20 +552,25 @@ def _tail_sums(rows: DataFrame, vocab: Vocabulary, model: LogBilinear, least: in
         order = np.lexsort(((u.astype(np.uint32) << np.uint32(16)) | v, held, w))  # by class, since its number leads the hash
         of, u, v, w, held = of[order], u[order], v[order], w[order], held[order]
         kind = (w >> np.uint64(64 - bits)).astype(np.int64)
-        sums = np.zeros((4, len(ids)))
+        got = np.zeros((4, len(w)))
         cut = np.flatnonzero(np.diff(kind, prepend=-1, append=-1))
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             x = r[u[lo:hi]] * c[0] + r[v[lo:hi]] * c[1]
             n, own, lp = class_scores(x, w[lo:hi], held[lo:hi], int(kind[lo]), least)
-            for k, value in enumerate((n > 0, np.log10(n + 1.0), lp * np.log10(np.e), own)):
-                sums[k] += np.bincount(of[lo:hi], value, len(ids)) if hi - lo > len(ids) // 64 else 0
-                if hi - lo <= len(ids) // 64:
-                    np.add.at(sums[k], of[lo:hi], value)
-        return pa.table({"rid": ids >> 1, "known": sums[0].astype(np.int64), "logs": sums[1], "lp": sums[2], "own": sums[3].astype(np.int64)})
-
-    dealt = rows.select("rid", "held_out", "sym", "tail").mapInArrow(deal, "part int, ids binary, of binary, u binary, v binary, w binary")
-    sums = dealt.groupBy("part").applyInArrow(score, "rid bigint, known bigint, logs double, lp double, own bigint")
-    return sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("known", "logs", "lp", "own")))
+            got[:, lo:hi] = n > 0, np.log10(n + 1.0), lp * np.log10(np.e), own
+        sums = np.stack([np.bincount(of, x, len(ids)) for x in got], 1)
+        return pa.table({"block": table["block"], "ids": _binary(ids >> 1, at), "sums": _binary(sums.ravel(), 4 * at)})
+
+    def total(table: pa.Table) -> pa.Table:
+        ids, _ = _values(table["ids"], np.int64)
+        sums, _ = _values(table["sums"], np.float64)
+        rid, of = np.unique(ids, return_inverse=True)
+        known, logs, lp, own = (np.bincount(of, x, len(rid)) for x in sums.reshape(-1, 4).T)
+        return pa.table({"rid": rid, "known": known.astype(np.int64), "logs": logs, "lp": lp, "own": own.astype(np.int64)})
+
+    dealt = rows.select("rid", "held_out", "sym", "tail").mapInArrow(deal, "part int, block bigint, ids binary, of binary, u binary, v binary, w binary")
+    sums = dealt.groupBy("part").applyInArrow(score, "block bigint, ids binary, sums binary")
+    return sums.groupBy("block").applyInArrow(total, "rid bigint, known bigint, logs double, lp double, own bigint")
 
 
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", of: int = 7, rounds: int = ROUNDS, head: int = HEAD, least: int = LEAST) -> DataFrame:
