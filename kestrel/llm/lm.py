@@ -317,19 +317,22 @@ class LogBilinear:
 
     def log_probabilities(self, u, v, w, norm: np.ndarray) -> np.ndarray:
         """Natural logs of p(w | u, v); ``norm`` is the last of ``tables()``."""
-        r, q, b, d, a, c = self.parts()
+        r, _, _, _, _, c = self.parts()
+        k, m = self.k, self.m
+        words_of, kinds_of = m[k : 2 * k], m[2 * k : -2]
         kinds, size, out = self.class_of()[w], np.diff(self.first), np.empty(len(w))
         for at in range(0, len(w), 1 << 16):  # bounds the contexts held at once
             uu, vv, ww, kk = (x[at : at + (1 << 16)] for x in (u, v, w, kinds))
-            ctx = r[uu] * c[0] + r[vv] * c[1]
-            s = np.einsum("ij,ij->i", ctx, d[kk]) + a[kk]
+            ctx = np.ones((len(ww), m.shape[1]), np.float32)  # the last column meets the biases
+            ctx[:, :-1] = r[uu] * c[0] + r[vv] * c[1]
+            s = np.einsum("ij,ij->i", ctx, kinds_of[kk])
             known = (uu < len(norm)) & (vv < len(norm))
             s[known] -= norm[uu[known], vv[known]]
             far = np.flatnonzero(~known)
-            step = max(1, CELLS // len(a))
+            step = max(1, CELLS // len(kinds_of))
             for i in range(0, len(far), step):
                 j = far[i : i + step]
-                s[j] -= _log_sum(ctx[j] @ d.T + a)
+                s[j] -= _log_sum(ctx[j] @ kinds_of.T)
             order = np.argsort(kk, kind="stable")
             cut = np.flatnonzero(np.diff(kk[order], prepend=-1, append=-1))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -340,7 +343,8 @@ class LogBilinear:
                 step = max(1, CELLS // (y - x))
                 for i in range(lo, hi, step):
                     j = order[i : min(hi, i + step)]
-                    s[j] += np.einsum("ij,ij->i", ctx[j], q[ww[j]]) + b[ww[j]] - _log_sum(ctx[j] @ q[x:y].T + b[x:y])
+                    mine = ctx[j]
+                    s[j] += np.einsum("ij,ij->i", mine, words_of[ww[j]]) - _log_sum(mine @ words_of[x:y].T)
             out[at : at + (1 << 16)] = s
         return out
 
