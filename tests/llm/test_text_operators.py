@@ -2,13 +2,19 @@
 
 import collections
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import lower, rows
+from pyspark.sql import functions as F
 
 from kestrel.llm import decontaminate, langid, lm, packing, tokencount
 
@@ -165,11 +171,15 @@ def test_lm_counts_equal_brute_force(spark, sf, odd):
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def _training_rows(docs, vocab):
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lm.held_out("doc_id", 7).alias("held_out"))
+    return lm.encode(docs, vocab).where("not held_out").select("order", "sym")
+
+
 def test_lm_is_normalised_and_beats_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    train = docs.where(~lm.held_out("doc_id", 7))
-    vocab = lm.vocabulary(lm.count_tokens(train))
-    model = lm.train(train, vocab, rounds=1)
+    vocab = lm.vocabulary(lm.count_tokens(docs.where(~lm.held_out("doc_id", 7))))
+    model = lm.train(_training_rows(docs, vocab), vocab, rounds=1)
     first, second, z = model.tables()
     p = np.exp(first[3] + second[9] - z[3, 9])  # context (3, 9)
     assert abs(p.sum() - 1) < 1e-3
@@ -177,25 +187,95 @@ def test_lm_is_normalised_and_beats_counts(spark):
     assert got["sum(score)"] > got["sum(base_score)"]
 
 
-def test_lm_vocabulary_grows_with_the_corpus(spark, sf):
+def test_lm_score_does_not_depend_on_the_splits(spark, monkeypatch):
+    """Some training groups and many parts; each input split gives the same scores, better than the counts."""
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 1 << 18)
+    monkeypatch.setattr(lm, "PART_TOKENS", 1 << 15)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.where("doc_id < 3")).union(docs.where("doc_id < 2"))  # rows that repeat
+    runs = []
+    for parts in (2, 16, 64):
+        got = lm.lm_scores(docs.repartition(parts), rounds=3, head=2000).collect()
+        held = [r for r in got if r.held_out]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+        runs.append(np.array([r.score for r in sorted(got, key=lambda r: (r.doc_id, r.score))]))
+    for other in runs[1:]:
+        np.testing.assert_allclose(other, runs[0], rtol=1e-6)
+
+
+def test_lm_vectors_grow_with_the_corpus(spark, sf):
     """Every token that occurs LEAST times has vectors; each context sums to 1 over all symbols."""
-    size = {}
+    own = {}
     for folder in (sf, "/root/testdata/sf0.01"):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
         train = docs.where(~lm.held_out("doc_id", 7))
-        vocab = lm.vocabulary(lm.count_tokens(train))
-        size[folder] = len(vocab.unigram)
-    c = collections.Counter(w for r in train.collect() for w in [*SPACE.findall(lower(r.text or "")), None])
-    often = sum(n >= lm.LEAST for n in c.values())
-    assert size["/root/testdata/sf0.01"] == often + 1 > 3 * size[sf] > 3000
+        vocab = lm.vocabulary(lm.count_tokens(train), head=300)
+        c = collections.Counter(w for r in train.collect() for w in [*SPACE.findall(lower(r.text or "")), None])
+        got = lm.lm_scores(docs, rounds=1, head=300).where("not held_out").agg({"model_tokens": "sum"}).first()
+        own[folder] = sum(n >= lm.LEAST for n in c.values())
+        assert got["sum(model_tokens)"] == sum(n for n in c.values() if n >= lm.LEAST)
+        assert len(vocab.h) <= 300 and len(vocab.unigram) - len(vocab.h) <= lm.KINDS and vocab.unigram.sum() == sum(c.values())
+    assert own["/root/testdata/sf0.01"] > 3 * own[sf]
     model = lm.LogBilinear.start(vocab.unigram)
     model.m += np.random.default_rng(1).normal(0, 0.5, model.m.shape).astype(np.float32)
-    k, norm = model.k, model.tables()[2]
-    for u, v in [(0, 0), (5, 9), (1500, 3), (k - 1, 2000), (k - 1, k - 1)]:
+    k, norm = model.k, model.tables(64)[2]
+    for u, v in [(0, 0), (5, 9), (150, 3), (k - 1, 200), (k - 1, k - 1)]:
         p = np.exp(model.log_probabilities(np.full(k, u), np.full(k, v), np.arange(k), norm))
         assert abs(p.sum() - 1) < 1e-4
-    got = lm.lm_scores(docs, rounds=1).where("not held_out").agg({"model_tokens": "sum"}).first()
-    assert got["sum(model_tokens)"] == sum(n for n in c.values() if n >= lm.LEAST)
+
+
+def test_lm_score_equals_a_naive_one(spark, sf):
+    """Each text's score from its tokens one by one: group, symbol, word of the tail class, count."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    vocab = lm.vocabulary(lm.count_tokens(docs.where(~lm.held_out("doc_id", 7))), head=100)
+    model = lm.train(_training_rows(docs, vocab), vocab)
+    r, q, b, d, a, c = (x.astype(float) for x in model.parts())
+    seq, where = {}, collections.defaultdict(list)
+    for row in docs.collect():
+        w = next(lm._tokens(pa.array([row.text or ""])))[1]
+        sym, held = vocab.look(w)[1], row.doc_id is not None and zlib.crc32(str(row.doc_id).encode()) % 7 == 2
+        end = int(vocab.look(np.array([lm.END]))[1][0])
+        before = [end, end, *sym.tolist()]
+        seq[row.doc_id] = 0.0
+        for i, s in enumerate(sym.tolist()):
+            u, v = before[i + 1], before[i]
+            h = r[u] * c[0] + r[v] * c[1]
+            g = int(np.searchsorted(model.first, s, "right")) - 1
+            lo, hi = model.first[g], model.first[g + 1]
+            z = d @ h + a
+            y = q[lo:hi] @ h + b[lo:hi]
+            seq[row.doc_id] += z[g] - np.log(np.exp(z).sum()) + y[s - lo] - np.log(np.exp(y).sum())
+            if s >= len(vocab.h):
+                where[s - len(vocab.h)].append((int(w[i]), held, u << 16 | v, row.doc_id))
+    for kind, found in where.items():
+        found.sort(key=lambda x: x[:3])
+        n = collections.Counter(x[0] for x in found if not x[1])
+        own = {w: i + 1 for i, w in enumerate(sorted(w for w in n if n[w] >= lm.LEAST))}
+        rest = [k for w, k in n.items() if w not in own]
+        x = np.array([model.parts()[0][uv >> 16] * model.parts()[5][0] + model.parts()[0][uv & 65535] * model.parts()[5][1] for _, _, uv, _ in found])
+        vec = None
+        if own:
+            learn = [i for i, f in enumerate(found) if not f[1]]
+            vec = lm.fit_words(x[learn], np.array([own.get(found[i][0], 0) for i in learn]), np.array([sum(rest), *(n[w] for w in own)]), np.random.default_rng(kind)).astype(float)
+        for (w, _, _, doc), h in zip(found, x, strict=True):
+            if vec is not None:
+                y = vec[:, :-1] @ h + vec[:, -1]
+                seq[doc] += y[own.get(w, 0)] - np.log(np.exp(y).sum())
+            if w not in own:
+                seq[doc] += np.log((n[w] + 1) / (sum(rest) + len(rest) + 1))
+    got = {x.doc_id: x.score for x in lm.lm_scores(docs, head=100).collect()}
+    assert got.keys() == seq.keys()
+    for k, want in seq.items():
+        assert got[k] == pytest.approx(want / np.log(10), rel=1e-5)
+
+
+def test_lm_copies_are_dealt_evenly(spark):
+    rows = spark.range(1000).select(F.lit(-5).cast("bigint").alias("order"), F.lit(b"ab").alias("sym"))
+    rows = rows.union(spark.range(40).select("id", F.lit(b"cd")))
+    got = lm._grouped(rows, 7).collect()
+    assert sum(r.copies for r in got) == 1040
+    share = [r.copies for r in got if r.order == -5]
+    assert len(share) == 7 and max(share) - min(share) <= 1 and {r.g for r in got} == set(range(7))
 
 
 def test_lm_learns_rare_words_from_their_context():
@@ -251,3 +331,27 @@ def test_packing_odd_input(odd, none):
     assert all(n <= max(1, 3000 // max(1, b)) for (b, _), n in sizes.items())
     assert len({(r.bucket_len, r.batch, r.slot) for r in got}) == len(got)
     assert packing.pack(none).count() == 0
+
+
+# -- shipping ----------------------------------------------------------------------------
+
+def test_workers_need_no_copy_of_the_package(sf, tmp_path):
+    """Trained models reach workers that cannot import the package."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parents[2])!r})
+from kestrel.llm import langid, lm, pii
+from kestrel.session import get_spark
+spark = get_spark("local[2]", shuffle_partitions=2)
+docs = spark.read.parquet({sf + "/documents.parquet"!r})
+n = docs.count()
+assert langid.apply(langid.fit(docs), docs).where("score >= 0").count() == n
+field = pii.fit(docs)
+assert pii.find(docs, field).where("spans is not null").count() == n
+assert pii.mask(docs, field).where("text is null or length(text) >= 0").count() == n
+assert lm.lm_scores(docs).where("score < 0").count() == n
+print("whole")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0 and "whole" in run.stdout, run.stderr[-2000:]
