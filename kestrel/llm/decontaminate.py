@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import lists, map_batches
+from kestrel.llm.common import lists, map_batches, unused
 from kestrel.llm.text import ALNUM, buffers, mix, slices, word_hashes
 
 WINDOW = 12
@@ -90,7 +90,8 @@ def _seeds(text: pa.Array, ids: pa.Array, masks: dict[int, tuple], outside: int,
     }
 
 
-_SCHEMA = "id bigint, mask int, hash bigint, pos bigint, around array<bigint>"
+def _schema(df: DataFrame) -> str:
+    return f"id {df.schema['id'].dataType.simpleString()}, mask int, hash bigint, pos bigint, around array<bigint>"
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -99,8 +100,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     overlaps, with the fewest differing places of any of its windows (0 for an item
     shorter than the window) and the smallest word position of a hit."""
     spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text"))
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    items = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
     def item_words(b):
         data, off = buffers(b.column("text"))
@@ -111,7 +112,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     masks = dict(enumerate(MASKS)) | {100 + r.n: tuple(range(r.n)) for r in lengths.collect()}  # at most 7 more
 
     everything = lambda h: slice(None)
-    seeds = map_batches(items, lambda b: _seeds(b.column("text"), b.column("id"), masks, _OUT_ITEM, everything, True), _SCHEMA)
+    seeds = map_batches(items, lambda b: _seeds(b.column("text"), b.column("id"), masks, _OUT_ITEM, everything, True), _schema(items))
     seeds = seeds.groupBy("id", "mask", "hash", "around").agg(F.min("pos").alias("pos"))
     top = 64 - BITMAP_BITS
     words = seeds.select(F.shiftrightunsigned("hash", top).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
@@ -125,7 +126,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         bit = h >> np.uint64(top)
         return np.flatnonzero((shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
 
-    hits = map_batches(docs, lambda b: _seeds(b.column("text"), b.column("id"), masks, _OUT_DOC, known, False), _SCHEMA)
+    hits = map_batches(docs, lambda b: _seeds(b.column("text"), b.column("id"), masks, _OUT_DOC, known, False), _schema(docs))
     hits = hits.groupBy("id", "mask", "hash", "around").agg(F.min("pos").alias("pos"))  # a run of equal words is one hit
     hits = hits.withColumnsRenamed({"id": "doc_id", "around": "doc_around"})
     pairs = hits.join(seeds.select(F.col("id").alias("item_id"), "mask", "hash", "around"), ["mask", "hash"])
@@ -145,7 +146,8 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     judged by their own text, also where they share a doc_id."""
     key = F.xxhash64("doc_id", "text")
     bad = contaminated(docs.select(key.alias("__key"), "text"), items, doc_id="__key").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__own", key).join(bad, F.col("__own") == F.col("__key"), "left_anti").drop("__own")
+    own = unused(docs, "__own")
+    return docs.withColumn(own, key).join(bad, F.col(own) == bad["__key"], "left_anti").drop(own)
 
 
 #: the same rule by joining equal words: a window holds 10 of 12 places exactly where some

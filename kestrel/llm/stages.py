@@ -8,7 +8,7 @@ from kestrel.llm import decontaminate as decon
 from kestrel.llm import langid, neardup
 from kestrel.llm import packing as packs
 from kestrel.llm import pii as personal
-from kestrel.llm.common import table, written
+from kestrel.llm.common import table, unused, written
 
 #: a text whose best language value is lower is rejected
 MIN_LANGUAGE_SCORE = 0.3
@@ -17,8 +17,9 @@ MIN_LANGUAGE_SCORE = 0.3
 def language_id(spark, docs, sf_dir):
     """Keeps texts of a recognised language; the model learns from the labelled rows."""
     model = langid.fit(docs)
-    got = langid.apply(model, docs, label="__lang", score="__score")
-    return got.where((F.col("__lang") != langid.UNDECIDED) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).drop("__lang", "__score")
+    lang, score = unused(docs, "__lang"), unused(docs, "__score")
+    got = langid.apply(model, docs, label=lang, score=score)
+    return got.where((F.col(lang) != langid.UNDECIDED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -26,14 +27,15 @@ def near_dedup(spark, docs, sf_dir):
     smallest doc_id, null last.  The operator runs on written row ids, so rows that share a
     doc_id, or have none, are judged each by its own text.  Texts without words are copies of
     nothing, but rows of one doc_id without words are one."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")  # written: the ids stay
-    got = neardup.near_duplicates(rows, doc_id="__row", k=5).select(F.col("doc_id").alias("__row"), "component_id", "n_shingles")
-    got = got.join(rows.select("__row", "doc_id"), "__row")
+    row = unused(docs, "__row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")  # written: the ids stay
+    got = neardup.near_duplicates(rows, doc_id=row, k=5).select(F.col("doc_id").alias(row), "component_id", "n_shingles")
+    got = got.join(rows.select(row, "doc_id"), row)
     wordless = F.col("n_shingles") == 0
     group = [F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")), F.when(wordless, F.col("doc_id"))]
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = got.groupBy(*group).agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    kept = got.groupBy(*group).agg(first.alias("first")).select(F.col("first")[row].alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark, docs, sf_dir):

@@ -35,7 +35,8 @@ SPACE = "▁"
 VOCAB = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 INF = float("inf")
-CACHE_WORDS = 500_000
+#: cached words of a worker, and the characters of the longest one that is kept
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 
 
 def load_vocab(path: str = VOCAB) -> list[tuple[str, float]]:
@@ -108,18 +109,22 @@ class Counter:
             return self.solve(s)
         n, total, cache = 0, 0.0, self.cache
         for w in s.split(SPACE)[1:]:
+            if not w:  # a run of U+2581
+                return self.runs(s)
             got = cache.get(w)
             if got is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                # a word and the one U+2581 before it; longer runs are handled below
-                got = cache[w] = self.solve(SPACE + w) if w else None
-            if got is None:
-                return self.runs(s)
+                got = self.keep(w, self.solve(SPACE + w))
             n += got[0]
             total += got[1]
         return n, total
 
+    def keep(self, key, got):
+        if len(key if isinstance(key, str) else key[0]) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            self.cache[key] = got
+        return got
+
     def runs(self, s: str) -> tuple[int, float]:
         """Texts with runs of U+2581: each run belongs to the word after it."""
         n, total, i = 0, 0.0, 0
@@ -133,9 +138,7 @@ class Counter:
             key = (w,)
             got = self.cache.get(key)
             if got is None:
-                got = self.solve(w)
-                if len(w) < 64:
-                    self.cache[key] = got
+                got = self.keep(key, self.solve(w))
             n, total, i = n + got[0], total + got[1], k
         return n, total
 
