@@ -25,6 +25,7 @@ from kestrel.operators import bayes as B
 from kestrel.operators import crossval as CV
 from kestrel.operators import prep as P
 from kestrel.operators import structures as S
+from kestrel.operators import tree as TR
 from kestrel.operators.counts import collect_structure
 from kestrel.sources.nominal import NominalData, in_name_range, numbered_lines
 
@@ -44,6 +45,9 @@ MODELS: dict[str, Callable[[NominalData], B.BayesSpec]] = {
     "rbnc3": _rbnc(3), "rbnc2": _rbnc(2), "rbnc1": _rbnc(1), "nb": lambda d: B.ande_spec(d, n_dep=0),
     "aode": lambda d: B.ande_spec(d, n_dep=1), "a2de": lambda d: B.ande_spec(d, n_dep=2)}
 
+#: models that are no count models
+OTHERS = {"tree": TR.cv_summary}
+
 
 def dataset_names(spark: SparkSession, folder: str, begin: str | None = None, end: str | None = None) -> list[str]:
     """IO-11: names of the files and folders in ``folder`` that lie in [begin, end), in order."""
@@ -121,7 +125,8 @@ def _run(spark, folder, name, models, repeats, folds, seed, noise, id_col) -> st
         fv = CV.fold_vectors(prepared(spark, f"{folder.rstrip('/')}/{name}", id_col), repeats, folds, seed)
         cells = []
         for m in models:
-            r = CV.cv_summary(fv, MODELS[m], m, noise).select(F.round(F.col("acc_mean") * 100, 2), F.round(F.col("acc_std") * 100, 2)).first()
+            summary = OTHERS[m](fv, m, noise) if m in OTHERS else CV.cv_summary(fv, MODELS[m], m, noise)
+            r = summary.select(F.round(F.col("acc_mean") * 100, 2), F.round(F.col("acc_std") * 100, 2)).first()
             cells.append(f"{r[0]}:{r[1]}")
         return ", ".join([name, *cells, ""])
     except Exception as e:  # noqa: BLE001 - one dataset's failure is a line of the report
@@ -132,7 +137,7 @@ def evaluate_folder(spark: SparkSession, folder: str, report: str, models: list[
                     repeats: int = 10, folds: int = 10, seed: int = 1, noise: float = 0.0, id_col: str | None = None, side_by_side: int = 4) -> DataFrame:
     """Writes the report, one line ``dataset, mean:std, ..., `` (percent) or ``dataset, failed: why`` a dataset, as
     text under ``report``, and returns it read back: (dataset, report, failed)."""
-    unknown = [m for m in models if m not in MODELS]
+    unknown = [m for m in models if m not in MODELS and m not in OTHERS]
     if unknown:
         raise ValueError(f"unknown model: {unknown[0]}")
     names = dataset_names(spark, folder, begin, end)

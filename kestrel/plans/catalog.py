@@ -1354,3 +1354,34 @@ def _evaluation_noise_models(spark, sf):
     read_table(spark, sf, "customer").select("c_mktsegment", F.round("c_acctbal", 0).alias("c_acctbal"), (F.col("c_nationkey") % 5).alias("zone"),
                                              F.when(F.col("c_acctbal") > 4000, "high").otherwise("low").alias("level")).write.csv(f"{folder}/customer.csv", header=True)
     return EJ.evaluate_folder(spark, folder, MIO.scratch_path(spark, "report"), list(EJ.MODELS), repeats=2, folds=3, noise=0.1)
+
+
+# ------------------------------------------------------------------- C4.5-like tree (G-5)
+from kestrel.operators import tree as TR  # noqa: E402
+
+TREE_FOLDS = 5
+
+
+def _tree_ctes(view_name: str, src: str) -> list[str]:
+    return O.c45_ctes(O.meta(view_name)[0], src, TR.MIN_ROWS, TR.CONFIDENCE, TR.SLACK)
+
+
+@register("tree_model", O.with_view("linst", "whole AS (SELECT 0 AS g, * FROM linst)", *_tree_ctes("linst", "whole")) +
+          "\nSELECT node, depth, att, cls, n, errors FROM tree")
+def _tree_model(spark, sf):
+    """G-5: the pruned nodes of one tree over weighted tuples of the line items."""
+    data = view(spark, sf, "linst")
+    tree = TR.grow(data.df.withColumn("g", F.lit(0)), data.attrs, data.cls, data.weight)
+    return tree.nodes.select("node", "depth", "att", "cls", "n", "errors")
+
+
+@register("tree_score", O.with_view(
+    "ninst", *O.interleaved_folds_ctes("ninst", 1, TREE_FOLDS, CV_SEED, src="ninst"),
+    f"""tr AS (SELECT f.f AS g, {', '.join(O.meta('ninst')[0])}, cls, weight FROM fi
+  CROSS JOIN (SELECT CAST(range AS INTEGER) AS f FROM range({TREE_FOLDS})) f WHERE fi.fold <> f.f)""",
+    *_tree_ctes("ninst", "tr"), *O.c45_walk_ctes(O.meta("ninst")[0], "fi")) +
+    "\nSELECT rid, g AS fold, cls, prediction FROM tree_pred JOIN fi USING (rid, g)")
+def _tree_score(spark, sf):
+    """G-5 with E-4: every row scored by the tree grown without its fold."""
+    fv = CV.fold_vectors(view(spark, sf, "ninst"), 1, TREE_FOLDS, CV_SEED)
+    return TR.cv_predict(fv).select("rid", "fold", "cls", "prediction")

@@ -293,3 +293,57 @@ def cv_sql(view: str, spec, name: str, repeats: int, k: int, seed: int) -> str:
   FROM fi JOIN pred ON fi.rid = pred.rid AND fi.g = pred.g GROUP BY fi.g)"""]
     return with_view(view, *ctes) + \
         f"\nSELECT '{name}' AS model, round(avg(a), 6) AS acc_mean, round(stddev_samp(a), 6) AS acc_std FROM acc"
+
+
+def c45_ctes(attrs: tuple[str, ...], src: str, min_rows: int, cf: float, slack: float) -> list[str]:
+    """The C4.5-like trees of ``src`` (g, attributes, cls, weight), levels unrolled: ``tree`` holds
+    (g, node, depth, att, cls, n, errors) after pruning."""
+    from statistics import NormalDist
+
+    d, cols = len(attrs), ", ".join(attrs)
+    z = repr(NormalDist().inv_cdf(1 - cf))
+    xlogx = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END".format
+    out = [f"t0 AS MATERIALIZED (SELECT g, {cols}, cls, sum(weight) AS n, '' AS node FROM {src} GROUP BY ALL)"]
+    for i in range(d + 1):
+        out += [
+            f"""c{i} AS MATERIALIZED (SELECT g, node, att, val, cls, sum(n) AS n FROM (
+  SELECT g, node, cls, n, unnest({list(range(d))}) AS att, unnest([{cols}]) AS val FROM t{i}) u GROUP BY ALL)""",
+            f"k{i} AS MATERIALIZED (SELECT g, node, cls, sum(n) AS nc FROM t{i} GROUP BY ALL)",
+            f"w{i} AS MATERIALIZED (SELECT g, node, sum(nc) AS n, max(nc) AS top, sum({xlogx('nc')}) AS bc FROM k{i} GROUP BY ALL)",
+            f"m{i} AS (SELECT k.g, k.node, min(cls) AS cls FROM k{i} k JOIN w{i} w ON k.g = w.g AND k.node = w.node AND k.nc = w.top GROUP BY ALL)",
+            f"v{i} AS (SELECT g, node, att, val, sum(n) AS nv, sum({xlogx('n')}) AS vc FROM c{i} GROUP BY ALL)",
+            f"""p{i} AS (SELECT v.g, v.node, att, w.n, bc, sum({xlogx('nv')}) AS bv, sum(vc) AS bb FROM v{i} v
+  JOIN w{i} w ON v.g = w.g AND v.node = w.node GROUP BY ALL HAVING sum(CASE WHEN nv >= {min_rows} THEN 1 ELSE 0 END) >= 2)""",
+            f"q{i} AS (SELECT *, round(({xlogx('n')} - bc - bv + bb) / n, 9) AS gain, ({xlogx('n')} - bv) / n AS info FROM p{i})",
+            f"z{i} AS (SELECT *, avg(gain) OVER (PARTITION BY g, node) AS mean FROM q{i} WHERE gain > 0)",
+            f"""s{i} AS MATERIALIZED (SELECT g, node, att FROM (SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY round(gain / info, 9) DESC, att) AS r
+  FROM z{i} WHERE gain >= mean - 0.001) b WHERE r = 1)""",
+            f"""l{i} AS MATERIALIZED (SELECT w.g, w.node, s.att, m.cls, w.n, w.n - w.top AS errors FROM w{i} w JOIN m{i} m ON w.g = m.g AND w.node = m.node
+  LEFT JOIN s{i} s ON w.g = s.g AND w.node = s.node)""",
+            f"""t{i + 1} AS MATERIALIZED (SELECT t.g, {cols}, cls, n, t.node || '/' || s.att || '=' || [{cols}][s.att + 1] AS node FROM t{i} t
+  JOIN s{i} s ON t.g = s.g AND t.node = s.node)"""]
+    f = "((errors + 0.5) / n)"
+    upper = f"(({f} + {z} * {z} / (2 * n) + {z} * sqrt({f} / n - {f} * {f} / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n))"
+    own = f"errors + CASE WHEN errors < 1 THEN n * (1 - pow({cf}, 1 / n)) WHEN errors + 0.5 >= n THEN greatest(n - errors, 0) ELSE {upper} * n - errors END"
+    up = "regexp_replace({0}.node, '/[^/]*$', '')".format
+    for i in range(d, -1, -1):
+        if i == d:
+            out.append(f"e{i} AS MATERIALIZED (SELECT *, {own} AS estimate FROM l{i})")
+            continue
+        out += [f"y{i} AS (SELECT e.g, {up('e')} AS node, sum(estimate) AS parts FROM e{i + 1} e GROUP BY ALL)",
+                f"""e{i} AS MATERIALIZED (SELECT g, node, CASE WHEN stays THEN att END AS att, cls, n, errors, CASE WHEN stays THEN parts ELSE own END AS estimate
+  FROM (SELECT l.*, own, parts, coalesce(round(own, 9) > round(parts + {slack}, 9), false) AS stays
+        FROM (SELECT *, {own} AS own FROM l{i}) l LEFT JOIN y{i} y ON l.g = y.g AND l.node = y.node) j)"""]
+    out.append("r0 AS MATERIALIZED (SELECT * FROM e0)")
+    out += [f"r{i} AS MATERIALIZED (SELECT e.* FROM e{i} e JOIN r{i - 1} r ON e.g = r.g AND {up('e')} = r.node WHERE r.att IS NOT NULL)" for i in range(1, d + 1)]
+    return out + ["tree AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT g, node, {i} AS depth, att, cls, n, errors FROM r{i}" for i in range(d + 1)) + ")"]
+
+
+def c45_walk_ctes(attrs: tuple[str, ...], src: str) -> list[str]:
+    """``tree_pred`` (g, rid, prediction): rows of ``src`` walked down ``tree``."""
+    cols = ", ".join(attrs)
+    out = [f"x0 AS (SELECT g, rid, {cols}, '' AS node, CAST(NULL AS INTEGER) AS prediction FROM {src})"]
+    for i in range(len(attrs) + 1):
+        out.append(f"""x{i + 1} AS MATERIALIZED (SELECT x.g, x.rid, {cols}, x.node || '/' || tree.att || '=' || [{cols}][tree.att + 1] AS node,
+  coalesce(tree.cls, x.prediction) AS prediction FROM x{i} x LEFT JOIN tree ON x.g = tree.g AND x.node = tree.node)""")
+    return out + [f"tree_pred AS (SELECT g, rid, prediction FROM x{len(attrs) + 1})"]
