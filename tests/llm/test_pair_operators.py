@@ -382,6 +382,22 @@ def test_pipeline_stages(spark, sf, odd):
     assert sum(1 for _ in corpus_pipeline.run(spark, sf).collect()) > 0
 
 
+def test_stages_keep_user_columns_and_take_empty_tables(spark, sf):
+    from kestrel.llm import stages
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    named = ["__lang", "__score", "__row", "__own", "__key", "component_id", "lang_pred"]
+    more = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in named])
+    for stage in (stages.language_id, stages.near_dedup, stages.decontaminate, stages.pii):
+        left = stage(spark, more, sf)
+        assert left.columns == more.columns
+        kept = left.collect()
+        assert kept and all(r[c] == f"{c}{r.doc_id}" for r in kept for c in named)
+        assert {r.doc_id for r in kept} == {r.doc_id for r in stage(spark, docs, sf).collect()}
+        assert stage(spark, docs.limit(0), sf).collect() == []
+    assert stages.packing(spark, docs.limit(0), sf).collect() == []
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     """Repeated, shared and null doc_ids: every row is judged by its own text."""
     from kestrel.llm import stages

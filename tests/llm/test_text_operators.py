@@ -72,6 +72,13 @@ def test_decontamination_odd_input(spark, odd, none):
     assert left.columns == odd.columns and left.count() == odd.count() - 5  # rows 0 (three times), 1 and the text of no id
 
 
+def test_decontamination_of_string_ids(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([("x-1", f"before {words} after"), ("x-2", "other words")], "doc_id string, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([("item", words)], "item_id string, text string"))
+    assert rows(got, ["doc_id", "item_id", "substitutions"]) == [("x-1", "item", 0)]
+
+
 def test_decontamination_run_of_one_word(spark):
     docs = spark.createDataFrame([(1, "a " * 5000)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a " * 300)], "item_id long, text string")
@@ -115,6 +122,16 @@ def test_viterbi_ties_and_unknown_runs(byte_fallback):
             assert mine.count(s)[0] == ref(s), (vocab, s)
 
 
+def test_long_words_are_not_cached(monkeypatch):
+    monkeypatch.setattr(tokencount, "CACHE_WORDS", 3)
+    counter = tokencount.Counter([("<unk>", 0.0), ("a", -1.0), ("aa", -1.5), ("\u2581", -2.0)])
+    n, _ = counter.count("a" * 5000)
+    assert n == 2501 and not counter.cache
+    for i in range(10):
+        counter.count("a" * (i + 1) + "  aa")
+    assert 0 < len(counter.cache) <= 3 and all(len(k if isinstance(k, str) else k[0]) <= 64 for k in counter.cache)
+
+
 def test_token_counts_empty(none):
     assert tokencount.token_counts(none).collect() == []
 
@@ -144,6 +161,41 @@ def test_language_kernel_is_the_presence_kernel():
     assert [len(set(code[doc == i])) for i in range(4)] == [len(grams(t)) for t in texts]
 
 
+def test_language_predictions_equal_a_naive_kernel_ridge(spark):
+    """The dual form over sets of n-grams, on a table that the sample holds whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "substring(text, 1, 400) AS text", "lang", "xxhash64(doc_id, substring(text, 1, 400)) AS place")
+    marks = 40
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.apply(langid.fit(docs, landmarks=marks), docs).collect()}
+
+    def grams(t):
+        s = [c if c.isalpha() else "" for c in "\n" + t.lower() + "\n"]
+        return {tuple(s[i:i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1) if any(s[i:i + n])}
+
+    data = sorted(docs.where("lang IS NOT NULL AND text IS NOT NULL").collect(), key=lambda r: r.place)
+    sets = {r.doc_id: grams(r.text) for r in data}
+    data = [r for r in data if sets[r.doc_id]]
+    assert len({g for s in sets.values() for w in s for g in w}) < langid.ALPHABET - 1
+    labels = sorted({r.lang for r in data})
+    chosen = [sets[r.doc_id] for lab in labels for r in [x for x in data if x.lang == lab][: marks // len(labels)]]
+    known = set().union(*chosen)
+
+    def kernel(rows):
+        return np.array([[len(s & m) / np.sqrt(max(len(s & known), 1) * len(m)) for m in chosen] for s in rows])
+
+    k_nm = kernel([sets[r.doc_id] for r in data])
+    map_ = np.linalg.pinv(kernel(chosen), rcond=1e-6, hermitian=True) @ k_nm.T
+    y = np.array([[1.0 if r.lang == lab else -1.0 for lab in labels] for r in data])
+    alpha = np.linalg.solve(k_nm @ map_ + 1 + langid.RIDGE * np.eye(len(data)), y)
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        f = ((kernel([grams(r.text)]) @ map_ + 1) @ alpha)[0]
+        assert got[r.doc_id][1] == pytest.approx(min(max((f.max() + 1) / 2, 0), 1), abs=2e-3)
+        if np.sort(f)[-1] - np.sort(f)[-2] > 5e-3:
+            assert got[r.doc_id][0] == labels[f.argmax()]
+
+
 def test_language_odd_input(spark, odd, none):
     model = langid.fit(odd)
     got = langid.apply(model, odd.select("doc_id", "text")).collect()
