@@ -6,6 +6,11 @@ folds) are taken in runs of groups that fit; a single model that does not fit st
 Then every row becomes one record per family, records meet the model on (group, family, parent
 code), and the log terms are summed per row.
 
+Where the declared domains allow few different attribute tuples (``COLLAPSE_DOMAIN_LIMIT``), each tuple
+of a group is scored once by that join and the rows meet the tuples' scores, which are broadcast: what
+is shuffled then follows the domain, not the rows.  Rows with a code outside its domain, and
+wider domains, are scored row by row.
+
 Hot keys: a parent code that more than 1/``HOT`` of its family's rows share is dealt to ``HOT``
 salts on both sides.  At most ``HOT`` codes of a family can be hot, so the list of hot codes
 has a known bound.
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.arrays import MAX_LITERAL_CELLS, argmax_first, const_doubles, const_ints
 from kestrel.operators import bayes as B
-from kestrel.operators.counts import BROADCAST_MAP_LIMIT, EXPLICIT_FAMILY_LIMIT, _explicit_cells, _hof_cells, count_families
+from kestrel.operators.counts import BROADCAST_MAP_LIMIT, COLLAPSE_DOMAIN_LIMIT, EXPLICIT_FAMILY_LIMIT, _explicit_cells, _hof_cells, count_families
 from kestrel.sources.nominal import NominalData
 
 HOT = 32
@@ -40,14 +45,18 @@ def predict(df: DataFrame, data: NominalData, spec: B.BayesSpec, counts: DataFra
         return B.score(df, B.fit(data, spec, group_col=group_col, n_groups=n_groups, counts=counts), group_col=group_col, keep=keep)
     if size <= limit and group_col:
         step, parts = limit // size, []
-        for lo in range(0, n_groups, step):
-            n = min(step, n_groups - lo)
-            here = F.col(group_col).between(lo, lo + n - 1)
-            shifted = (F.col(group_col) - lo).cast("int")
-            model = B.fit(data, spec, group_col="_g", n_groups=n, counts=counts.where(here).withColumn("_g", shifted))
-            parts.append(B.score(df.where(here).withColumn("_g", shifted), model, group_col="_g", keep=keep))
+        counts = counts.persist()  # every run takes its groups from one counting pass
+        try:
+            for lo in range(0, n_groups, step):
+                n = min(step, n_groups - lo)
+                here = F.col(group_col).between(lo, lo + n - 1)
+                shifted = (F.col(group_col) - lo).cast("int")
+                model = B.fit(data, spec, group_col="_g", n_groups=n, counts=counts.where(here).withColumn("_g", shifted))
+                parts.append(B.score(df.where(here).withColumn("_g", shifted), model, group_col="_g", keep=keep))
+        finally:
+            counts.unpersist()
         return reduce(DataFrame.union, parts)
-    return score_by_join(df, spec, counts, group_col=group_col, keep=keep)
+    return score_by_join(df, spec, counts, group_col=group_col, n_groups=n_groups, keep=keep)
 
 
 def _log(num: Column, den: Column) -> Column:
@@ -112,8 +121,30 @@ def _salted(records: DataFrame, long: DataFrame, n_keys: int, rid: str) -> tuple
     return records, long.join(marked, ["g", "tid", "pidx"], "left").withColumn("salt", salt).drop("hot")
 
 
-def score_by_join(df: DataFrame, spec: B.BayesSpec, counts: DataFrame, *, group_col: str | None = None, keep: tuple[str, ...] = ("rid",)) -> DataFrame:
+def score_by_join(df: DataFrame, spec: B.BayesSpec, counts: DataFrame, *, group_col: str | None = None, n_groups: int = 1,
+                  keep: tuple[str, ...] = ("rid",)) -> DataFrame:
     """The scores of :func:`kestrel.operators.bayes.score`, model and rows both distributed."""
+    domain = n_groups
+    for card in spec.cards:
+        domain *= card
+    if domain > COLLAPSE_DOMAIN_LIMIT:
+        return _score_rows(df, spec, counts, group_col, keep)
+    inside = F.lit(True)
+    for name, card in [*zip(spec.attrs, spec.cards, strict=True), *([(group_col, n_groups)] if group_col else [])]:
+        inside = inside & F.coalesce(F.col(name).between(0, card - 1), F.lit(False))
+    by = [*([group_col] if group_col else []), *spec.attrs]
+    scored = _score_rows(df.where(inside).select(*by).distinct(), spec, counts, group_col, tuple(by))
+    scored = scored.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)], "probability", "prediction")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & (F.col(c) == F.col(f"_t{i}"))
+    # at most ``domain`` tuples
+    met = df.where(inside).join(F.broadcast(scored), same).select(*keep, "probability", "prediction")
+    return met.union(_score_rows(df.where(~inside), spec, counts, group_col, keep))
+
+
+def _score_rows(df: DataFrame, spec: B.BayesSpec, counts: DataFrame, group_col: str | None, keep: tuple[str, ...]) -> DataFrame:
+    """One record per row and family, ``keep`` names the row."""
     k = spec.n_classes
     g = F.col(group_col).cast("int") if group_col else F.lit(0)
     fams = [t.family for t in spec.tables]

@@ -96,3 +96,21 @@ def test_wide_models_join_through_higher_order_cells(spark, monkeypatch):
     monkeypatch.setattr(BJ, "EXPLICIT_FAMILY_LIMIT", 0)
     b = {r.rid: r.probability for r in BJ.predict(data.df, data, spec, counts, limit=1).collect()}
     assert all(np.allclose(a[i], b[i]) for i in a) and a.keys() == b.keys()
+
+
+def test_join_scores_every_tuple_once(spark, monkeypatch):
+    data = some(spark, 3000)
+    seen, cells = [], BJ._explicit_cells
+    monkeypatch.setattr(BJ, "_explicit_cells", lambda shape, *a: seen.append(shape.df) or cells(shape, *a))
+    spec = B.ande_spec(data, n_dep=1)
+    counts = BJ.family_counts(data, spec)
+    # two rows outside the domains are scored row by row
+    odd = spark.createDataFrame([(9001, 99, 1, 1, 0, 1.0), (9002, None, 1, 1, 0, 1.0)], data.df.schema)
+    got = {r.rid: r for r in BJ.predict(data.df.union(odd), data, spec, counts, limit=1).collect()}
+    assert sum(df.count() for df in seen) <= 36 + 2
+    assert len(got) == 3002
+    want = {r.rid: r for r in B.score(data.df, B.fit(data, spec)).collect()}
+    for rid, r in want.items():
+        assert got[rid].prediction == r.prediction and np.allclose(got[rid].probability, r.probability, atol=1e-9)
+    old = {r.rid: r for r in BJ._score_rows(odd, spec, counts, None, ("rid",)).collect()}
+    assert all(np.allclose(got[i].probability, old[i].probability, equal_nan=True) for i in (9001, 9002))
