@@ -5,6 +5,10 @@ A row is written once, with its fold of every repeat as an array; ranks are take
 task, where partial sums follow at once, so no copy of a row's attributes is ever
 shuffled or written.
 
+Where the declared domains allow few different tuples, the rows of a (repeat, fold) are added up by
+tuple first (:meth:`FoldedData.cells`): counting and scoring then see weighted tuples, at
+most domain x classes x repeats x folds of them, however many rows there are.
+
 Noise.  The training set of (repeat, fold) is every row outside the fold; its first int(n rate)
 rows by md5(seed + repeat | row id) get another class, as :func:`prep.label_noise` draws it.
 Where those rows end is one threshold key for each training set, found from a histogram of
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +32,7 @@ from kestrel.functions.arrays import MAX_LITERAL_CELLS, const_doubles
 from kestrel.functions.hashing import h, h_int
 from kestrel.operators import bayes as B
 from kestrel.operators.bayes_join import predict
-from kestrel.operators.counts import BROADCAST_MAP_LIMIT, complement_counts, count_families
+from kestrel.operators.counts import BROADCAST_MAP_LIMIT, _collapse_pays, collapse, complement_counts, count_families
 from kestrel.operators.evaluate import fold_accuracy, mean_std
 from kestrel.operators.folds import BUCKET_HEX_DIGITS, with_repeats
 from kestrel.operators.quantile import exact_quantiles
@@ -56,6 +61,17 @@ class FoldedData:
         df = self.data.df.select("*", F.posexplode("folds").alias("rep", "fold")).drop("folds")
         return df.withColumn("g", (F.col("rep") * self.folds + F.col("fold")).cast("int"))
 
+    @cached_property
+    def cells(self) -> NominalData | None:
+        """The exploded rows as weighted tuples (rep, fold, g, attributes, class, weight), written once; None
+        where the domain is too large for this to pay."""
+        if not _collapse_pays(self.data, ()):
+            return None
+        few = collapse(self.data.with_df(self.exploded()), ("rep", "fold", "g"))
+        path = scratch_path(few.df.sparkSession, "fold-cells")
+        few.df.write.parquet(path)
+        return few.with_df(few.df.sparkSession.read.schema(few.df.schema).parquet(path))
+
 
 def fold_vectors(data: NominalData, repeats: int = 10, folds: int = 10, seed: int = 1) -> FoldedData:
     """E-1 folds of every repeat as one array a row, written once to the shared folder.  ``rid`` names
@@ -70,7 +86,7 @@ def fold_vectors(data: NominalData, repeats: int = 10, folds: int = 10, seed: in
         offsets = F.broadcast(offsets)
     # the key is made again behind the shuffle, so records stay narrow
     dealt = narrow.repartition("rep", cls, "_b")
-    inner = Window.partitionBy("rep", cls, "_b").orderBy(key, rid)
+    inner = Window.partitionBy("_b", "rep", cls).orderBy(key, rid)
     ranked = dealt.withColumn("_r", F.row_number().over(inner) - 1).join(offsets, ["rep", cls, "_b"])
     fold = ((F.col("_off") + F.col("_r")) % folds).cast("bigint")
     # several repeats share one number, a digit each
@@ -122,7 +138,7 @@ def training_counts(fv: FoldedData, spec: B.BayesSpec, noise: float = 0.0) -> Da
     data, comp_fams = fv.data, [(tid, t.family) for tid, t in enumerate(spec.tables)]
     rows = fv.exploded()
     if noise <= 0:
-        part = count_families(data.with_df(rows), comp_fams, keys=("rep", "fold"))
+        part = count_families(fv.cells or data.with_df(rows), comp_fams, keys=("rep", "fold"))
         return _grouped(complement_counts(part, "fold", fv.folds, keys=("rep",)), fv)
     if data.n_classes < 2:
         raise ValueError("label noise needs at least two classes")
@@ -144,6 +160,8 @@ def training_counts(fv: FoldedData, spec: B.BayesSpec, noise: float = 0.0) -> Da
     emitted = emitted.withColumn("_e", F.when(some, F.concat(F.array(one), change)).otherwise(F.array(one)))
     emitted = emitted.select(*data.attrs, "rep", F.inline("_e")).withColumnRenamed("to", "fold")
     signed = NominalData(emitted, data.attrs, data.cards, data.n_classes, cls="_c", weight="_w")
+    if _collapse_pays(data, ()):
+        signed = collapse(signed, ("rep", "fold", "direct"))
     part = count_families(signed, comp_fams, keys=("rep", "fold", "direct")).persist()
     base = complement_counts(part.where("not direct").drop("direct"), "fold", fv.folds, keys=("rep",))
     cell = ["rep", "fold", "component", "att", "cls", "pidx", "v"]
@@ -160,9 +178,12 @@ def cv_accuracy(fv: FoldedData, spec_fn: Callable[[NominalData], B.BayesSpec], n
     without its fold (and with label noise in its training set); tested on its true class."""
     data, spec = fv.data, spec_fn(fv.data)
     counts = training_counts(fv, spec, noise)
-    keep = ("rep", "fold", data.rid, data.cls, *([data.weight] if data.weight else []))
-    scored = predict(fv.exploded(), data, spec, counts, group_col="g", n_groups=fv.n_groups, keep=keep, limit=limit)
-    scored = scored.withColumn("weight", F.col(data.weight).cast("double") if data.weight else F.lit(1.0))
+    few = fv.cells
+    tested = few or data.with_df(fv.exploded())
+    of_row = (*data.attrs,) if few else (data.rid,)
+    keep = ("rep", "fold", *of_row, data.cls, *([tested.weight] if tested.weight else []))
+    scored = predict(tested.df, tested, spec, counts, group_col="g", n_groups=fv.n_groups, keep=keep, limit=limit)
+    scored = scored.withColumn("weight", tested.w())
     return fold_accuracy(scored, data.cls)
 
 

@@ -30,8 +30,11 @@ def _bucketed(df: DataFrame, groups: list[str], key: Column, tiebreak: str, name
     whole = Window.partitionBy(*groups)
     offsets = sizes.select(*groups, "_b", F.coalesce(F.sum("_cnt").over(run), F.lit(0)).alias("_off"),
                            F.sum("_cnt").over(whole).alias("_n"))
-    inner = Window.partitionBy(*groups, "_b").orderBy("_key", tiebreak)
-    ranked = keyed.withColumn("_rn", F.row_number().over(inner) - 1)
+    # the bucket first: it tells most rows apart in the sort
+    inner = Window.partitionBy("_b", *groups).orderBy("_key", tiebreak)
+    # the key is made again behind the shuffle, so that records stay narrow
+    dealt = keyed.drop("_key").repartition(*groups, "_b").withColumn("_key", key)
+    ranked = dealt.withColumn("_rn", F.row_number().over(inner) - 1)
     # (group, bucket) table: at most groups x 16^digits rows
     out = ranked.join(F.broadcast(offsets), [*groups, "_b"])
     out = out.withColumn(name, (F.col("_off") + F.col("_rn")).cast("long")).drop("_key", "_b", "_rn", "_off")

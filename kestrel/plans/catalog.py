@@ -298,7 +298,7 @@ FROM (SELECT {cell} AS c FROM nb_s) a, (SELECT {cell} AS c FROM a1de_s) b""")
 @register("comparison_matrix", _comparison_sql())
 def _comparison_matrix(spark, sf):
     data = view(spark, sf, "ninst")
-    rows = E.cv_rows(data, CV_REPEATS, CV_FOLDS, CV_SEED)  # one set of folds for all models
+    rows = E.cv_rows(data, CV_REPEATS, CV_FOLDS, CV_SEED, tuples=True)  # one set of folds for all models
     sums = [E.cv_summary(data, lambda d, n=n: B.ande_spec(d, n_dep=n), name, rows=rows,
                          repeats=CV_REPEATS, folds=CV_FOLDS, seed=CV_SEED) for name, n in (("nb", 0), ("a1de", 1))]
     allm = sums[0].unionByName(sums[1]).select(

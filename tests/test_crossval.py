@@ -8,6 +8,7 @@ from kestrel.operators import bayes as B
 from kestrel.operators import bayes_join as BJ
 from kestrel.operators import crossval as CV
 from kestrel.operators import counts as C
+from kestrel.operators import evaluate as E
 from kestrel.operators import prep as P
 from kestrel.operators.folds import interleaved_folds, with_repeats
 from kestrel.sources.nominal import NominalData
@@ -114,3 +115,21 @@ def test_join_scores_every_tuple_once(spark, monkeypatch):
         assert got[rid].prediction == r.prediction and np.allclose(got[rid].probability, r.probability, atol=1e-9)
     old = {r.rid: r for r in BJ._score_rows(odd, spec, counts, None, ("rid",)).collect()}
     assert all(np.allclose(got[i].probability, old[i].probability, equal_nan=True) for i in (9001, 9002))
+
+
+def test_cross_validation_counts_and_scores_tuples(spark, monkeypatch):
+    """Thousands of rows are at most domain x classes x repeats x folds weighted tuples, with the same accuracies."""
+    data, seen = some(spark, 2000, weight=True), []
+    score = B.score
+    monkeypatch.setattr(B, "score", lambda df, *a, **kw: seen.append(df) or score(df, *a, **kw))
+    fv = CV.fold_vectors(data, 2, 3, 5)
+    by_tuple = {n: CV.cv_accuracy(fv, lambda d: B.ande_spec(d, n_dep=1), noise=n).collect() for n in (0.0, 0.1)}
+    summary = E.cv_summary(data, lambda d: B.ande_spec(d, n_dep=1), "m", repeats=2, folds=3, seed=5).first()
+    assert all(df.count() <= 36 * 3 * 2 * 3 for df in seen) and len(seen) == 3
+    monkeypatch.setattr(CV, "_collapse_pays", lambda *a: False)
+    fv = CV.fold_vectors(data, 2, 3, 5)
+    for n, rows in by_tuple.items():
+        want = {(r.rep, r.fold): r.accuracy for r in CV.cv_accuracy(fv, lambda d: B.ande_spec(d, n_dep=1), noise=n).collect()}
+        assert {(r.rep, r.fold) for r in rows} == set(want) and len(want) == 6
+        assert all(abs(r.accuracy - want[r.rep, r.fold]) < 1e-12 for r in rows)
+    assert abs(summary.acc_mean - np.mean([r.accuracy for r in by_tuple[0.0]])) < 1e-12
