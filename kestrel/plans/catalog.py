@@ -1293,7 +1293,7 @@ def _file_lines(spark, sf):
     path = MIO.scratch_path(spark, "line-text")
     read_table(spark, sf, "lineitem").select(F.concat_ws(",", "l_orderkey", "l_linenumber", "l_quantity").alias("value")).write.text(path)
     lines = N.numbered_lines(spark, path)
-    per_file = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("last"), F.countDistinct("rid").alias("ids"))
+    per_file = N.distinct_ids(lines, "file", "rid", "line_no")
     return per_file.agg(F.sum("n").alias("n_lines"), F.sum("ids").alias("n_ids"), F.bool_and(F.col("last") + 1 == F.col("n")).alias("without_gaps"))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -128,20 +129,37 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     def number(batches):
         place, at = None, 0
         for b in batches:
-            local = []
-            for here in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
-                if here != place:
-                    place, at = here, 0
-                local.append(at)
-                at += 1
+            n = b.num_rows
+            if not n:
+                continue
+            start = b.column("start").to_numpy()
+            file = b.column("file").dictionary_encode().indices.to_numpy()
+            # places where another split begins
+            new = np.flatnonzero(np.append(True, (start[1:] != start[:-1]) | (file[1:] != file[:-1])))
+            first = (b.column("file")[0].as_py(), int(start[0]))
+            local = np.arange(n) - np.repeat(new, np.diff(np.append(new, n)))
+            if first == place:
+                local[: new[1] if len(new) > 1 else n] += at
+            place, at = (b.column("file")[n - 1].as_py(), int(start[n - 1])), int(local[-1]) + 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local, pa.int64())], names=["line", "file", "start", "local"])
 
-    lines = text.mapInArrow(number, "line string, file string, start bigint, local bigint").join(offsets, ["file", "start"])
+    # one row a split, fewer than the tasks that the driver plans: lines are not shuffled
+    lines = text.mapInArrow(number, "line string, file string, start bigint, local bigint").join(F.broadcast(offsets), ["file", "start"])
     line_no = F.col("local") + F.col("before")
     rid = F.shiftleft(F.col("file_no").cast("bigint"), LINE_BITS).bitwiseOR(line_no)
     return lines.select("file", F.col("file_no").cast("bigint"), line_no.alias("line_no"), rid.alias("rid"), "line")
 
 
+def distinct_ids(df: DataFrame, group: str, id_col: str, largest: str) -> DataFrame:
+    """(group, n, ids, last): rows, different ids and the largest ``largest`` of each group, exact.  64
+    neighbouring ids share a word of bits, so partial sums hold a record for 64 ids that run on, not
+    one an id.  A null id is no id."""
+    rid = F.col(id_col)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), rid.bitwiseAND(F.lit(63)).cast("int"))
+    words = df.groupBy(group, F.shiftright(rid, 6).alias("_w")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("_bits"), F.max(largest).alias("last"))
+    return words.groupBy(group).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)).alias("ids"), F.max("last").alias("last"))
+
+
 def read_nominal_text(spark: SparkSession, path: str, cards: tuple[int, ...], n_classes: int,
                       pattern: str = DEFAULT_SPLIT_PATTERN) -> NominalData:
     """IO-1 on files: numbered lines -> parsed rows.  Blank lines are skipped but counted; the row

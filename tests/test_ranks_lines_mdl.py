@@ -91,3 +91,25 @@ def test_segment_descent_equals_the_recursion(spark, monkeypatch, levels):
     df = spark.createDataFrame([(float(a), float(b), float(d), int(k)) for a, b, d, k in zip(x, y, z, c)] + [(None, None, None, 1)], "x double, y double, z double, cls int")
     got = {r.att: list(r.cuts) for r in P.mdl_cuts(df, ["x", "y", "z"], "cls", 3).collect()}
     assert got == {0: recursive_cuts(x, c, 3), 1: recursive_cuts(y, c, 3), 2: []} and len(got[0]) >= 6
+
+
+def test_distinct_ids_keeps_a_word_for_64_ids(spark):
+    ids = [*range(-70, 3000), *range(2000, 2500), 2**60, 2**60 + 1, 2**60, None]
+    df = spark.createDataFrame([("a" if i is None or i % 3 else "b", i) for i in ids], "f string, rid long")
+    got = {r.f: tuple(r) for r in N.distinct_ids(df, "f", "rid", "rid").collect()}
+    want = {r.f: tuple(r) for r in df.groupBy("f").agg(F.count(F.lit(1)), F.countDistinct("rid"), F.max("rid")).collect()}
+    assert got == want and sum(v[2] for v in got.values()) < len(ids)
+
+
+def test_mdl_running_sums_use_no_python(spark):
+    """The sums of a range partition are taken by a window, not by a Python function over all of it."""
+    df = spark.range(2000).select((F.col("id") * 7 % 1000 / 8).alias("x"), (F.col("id") % 5 / 2).alias("y"), (F.col("id") % 3).cast("int").alias("cls"))
+    cum, totals = P._running_counts(df, ["x", "y"], "cls", 3)
+    assert {a: sum(n) for a, n in totals.items()} == {0: 2000, 1: 2000}
+    rows = sorted((r.att, r.x, r.next_x, list(r.upto)) for r in cum.collect())
+    data, want = df.collect(), []
+    for att, c in enumerate(("x", "y")):
+        values = sorted({r[c] for r in data})
+        for v, nxt in zip(values, values[1:]):
+            want.append((att, v, nxt, [sum(r[c] <= v and r.cls == k for r in data) for k in range(3)]))
+    assert rows == want and not hasattr(P, "pd")
