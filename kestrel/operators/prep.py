@@ -10,7 +10,6 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,25 +92,19 @@ def _running_counts(df: DataFrame, cols: list[str], cls: str, n_classes: int) ->
         F.spark_partition_id().alias("part"), "att", "x", "n").write.parquet(path)
     hist = spark.read.parquet(path)
     sums = hist.groupBy("part", "att").agg(F.min("x").alias("first"), F.array(*[F.sum(F.col("n")[k]) for k in range(n_classes)]).alias("n")).collect()
-    before, after, run = {}, {}, {}
+    starts, run = [], {}
     ordered = sorted(sums, key=lambda r: (r.att, r.first))  # a row per partition and attribute in it
     for r, later in zip(ordered, [*ordered[1:], None], strict=True):
-        before[r.part, r.att] = run.get(r.att, np.zeros(n_classes, np.int64))
-        run[r.att] = before[r.part, r.att] + np.array(r.n)
-        after[r.part, r.att] = later.first if later is not None and later.att == r.att else None
-    sent = spark.sparkContext.broadcast((before, after))
-
-    def run_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        before, after = sent.value
-        pdf = pdf.sort_values("x")
-        key = (int(pdf["part"].iloc[0]), int(pdf["att"].iloc[0]))
-        upto = np.cumsum(np.stack(pdf["n"].to_numpy()), axis=0) + before[key]
-        nxt = [*pdf["x"].to_numpy()[1:], after[key]]
-        out = pd.DataFrame({"att": pdf["att"].to_numpy(), "x": pdf["x"].to_numpy(), "next_x": pd.array(nxt, "Float64"), "upto": list(upto)})
-        return out[out["next_x"].notna()].astype({"next_x": float})
-
-    # a group is the part of one attribute in one range partition
-    cum = hist.groupBy("part", "att").applyInPandas(run_sums, "att int, x double, next_x double, upto array<bigint>")
+        before = run.get(r.att, np.zeros(n_classes, np.int64))
+        run[r.att] = before + np.array(r.n)
+        starts.append((r.part, r.att, before.tolist(), later.first if later is not None and later.att == r.att else None))
+    # a row per partition and attribute in it, as collected above
+    starts = F.broadcast(spark.createDataFrame(starts, "part int, att int, before array<bigint>, after double"))
+    # a window is the part of one attribute in one range partition; its sums stay in the JVM, which spills
+    order = Window.partitionBy("part", "att").orderBy("x")
+    upto = F.array(*[F.sum(F.col("n")[k]).over(order.rowsBetween(Window.unboundedPreceding, 0)) for k in range(n_classes)])
+    cum = hist.select("part", "att", "x", "n", F.lead("x").over(order).alias("_next"), upto.alias("_upto")).join(starts, ["part", "att"])
+    cum = cum.select("att", "x", F.coalesce("_next", "after").alias("next_x"), F.zip_with("_upto", "before", lambda a, b: a + b).alias("upto")).where("next_x is not null")
     path = scratch_path(spark, "mdl-running")
     cum.write.parquet(path)
     return spark.read.parquet(path), run
