@@ -27,6 +27,7 @@ from kestrel.operators import prep as P
 from kestrel.operators import structures as S
 from kestrel.operators import tree as TR
 from kestrel.operators.counts import collect_structure
+from kestrel.sources.model_io import scratch_path
 from kestrel.sources.nominal import NominalData, in_name_range, numbered_lines
 
 MAX_VALUES = 10_000
@@ -67,28 +68,33 @@ def read_dataset(spark: SparkSession, path: str, id_col: str | None = None) -> t
     names = [c.strip() for c in header[0].line.split(",")]
     if len(names) != len(set(names)) or len(names) < 2:
         raise ValueError("a header needs two or more different names")
-    schema = ", ".join(f"`{c}` string" for c in names)
-    rows = lines.where((F.col("line_no") > 0) & (F.trim("line") != "")).select("rid", F.size(F.split("line", ",")).alias("_n"), F.from_csv("line", schema, {"mode": "PERMISSIVE"}).alias("v"))
-    if rows.where(F.col("_n") != len(names)).limit(1).count():
-        raise ValueError("a row has another number of fields than the header")
-    if id_col in names and rows.where(F.col("v")[id_col].try_cast("bigint").isNull()).limit(1).count():
-        raise ValueError("a row has no id")
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = lines.where((F.col("line_no") > 0) & (F.trim("line") != "")).select("rid", F.size(F.split("line", ",")).alias("n"), F.from_csv("line", schema, {"mode": "PERMISSIVE"}).alias("v"))
 
-    def value(c: str) -> Column:
-        v = F.trim(F.col("v")[c])
+    def value(i: int) -> Column:
+        v = F.trim(F.col("v")[f"c{i}"])
         return F.when(v.isin(*MISSING), None).otherwise(v)
 
     # a try: filters may be evaluated on the header lines too
-    rid = F.col("v")[id_col].try_cast("bigint") if id_col in names else F.col("rid")
-    rows = rows.select(rid.alias("rid"), *[value(c).alias(c) for c in names if c != id_col])
-    cls = [c for c in names if c != id_col][-1]
-    attrs = [c for c in names if c not in (id_col, cls)]
+    rid = F.col("v")[f"c{names.index(id_col)}"].try_cast("bigint") if id_col in names else F.col("rid")
+    attrs = [i for i, c in enumerate(names) if c != id_col]
+    # lines are parsed once; what follows reads the columns that it needs
+    rows = rows.select(rid.alias("rid"), "n", *[value(i).alias(f"c{i}") for i in attrs])
+    path = scratch_path(spark, "dataset-rows")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    attrs, cls = attrs[:-1], attrs[-1]
     # numeric: every value there is a number, and one is there
-    kinds = rows.agg(*[(F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")) == F.count(c)).alias(c) for c in attrs],
-                     *[F.count(c).alias(f"n_{c}") for c in attrs]).first()
-    numeric = [c for c in attrs if kinds[c] and kinds[f"n_{c}"]]
-    rows = rows.select("rid", *[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c) for c in attrs], cls)
-    return rows, numeric, [c for c in attrs if c not in numeric], cls
+    seen = rows.agg(F.max(F.col("n") != len(names)).alias("ragged"), F.max(F.col("rid").isNull()).alias("nameless"),
+                    *[(F.count(F.col(f"c{i}").try_cast("double")) == F.count(f"c{i}")).alias(f"c{i}") for i in attrs],
+                    *[F.count(f"c{i}").alias(f"n{i}") for i in attrs]).first()
+    if seen.ragged:
+        raise ValueError("a row has another number of fields than the header")
+    if seen.nameless:
+        raise ValueError("a row has no id")
+    numeric = [i for i in attrs if seen[f"c{i}"] and seen[f"n{i}"]]
+    rows = rows.select("rid", *[(F.col(f"c{i}").try_cast("double") if i in numeric else F.col(f"c{i}")).alias(names[i]) for i in [*attrs, cls]])
+    return rows, [names[i] for i in numeric], [names[i] for i in attrs if i not in numeric], names[cls]
 
 
 def _coded(df: DataFrame, col: str) -> tuple[Column, int]:
@@ -117,7 +123,10 @@ def prepared(spark: SparkSession, path: str, id_col: str | None = None) -> Nomin
         cards.append(n)
         out.append(code.alias(f"a{i}"))
     attrs = tuple(f"a{i}" for i in range(len(kept)))
-    return NominalData(rows.select("rid", *out, F.col(cls).alias("cls")), attrs, tuple(cards), n_classes)
+    coded = rows.select("rid", *out, F.col(cls).alias("cls"))
+    path = scratch_path(spark, "dataset-codes")
+    coded.write.parquet(path)
+    return NominalData(spark.read.schema(coded.schema).parquet(path), attrs, tuple(cards), n_classes)
 
 
 def _run(spark, folder, name, models, repeats, folds, seed, noise, id_col) -> str:

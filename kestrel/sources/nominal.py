@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,39 +112,26 @@ LINE_BITS = 40
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, file_no, line_no, rid, line): every line with its place, whatever the input splits are.
 
-    A split of a file is read by one task in order, so a task numbers the lines of each split as
-    they pass; a first pass counts the lines of every split, and running sums of these counts (one row
-    a split) move the numbers on.  ``file_no`` numbers the files by name, ``rid`` holds file and line number."""
-    import pyarrow as pa
+    The lines are written once, with the split that they come from and their place in the task that read
+    it.  A split is read by one task in order, so its lines stand at consecutive places from the split's smallest
+    on; running sums of the splits' lines (one row a split) move the numbers on.  Every reader of the
+    result thus sees one set of splits.  ``file_no`` numbers the files by name, ``rid`` holds file and line number."""
+    from kestrel.sources.model_io import scratch_path
 
-    text = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     # a line that a split takes over from the one before still carries its own split's start
-    counts = text.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    text = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                        F.monotonically_increasing_id().alias("place"))
+    written = scratch_path(spark, "lines")
+    text.write.parquet(written)
+    text = spark.read.schema(text.schema).parquet(written)
+    counts = text.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     names = counts.select("file").distinct()
     files = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("file_no"))
-    offsets = counts.select("file", "start", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")).join(files, "file")
-
-    def number(batches):
-        place, at = None, 0
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            start = b.column("start").to_numpy()
-            file = b.column("file").dictionary_encode().indices.to_numpy()
-            # places where another split begins
-            new = np.flatnonzero(np.append(True, (start[1:] != start[:-1]) | (file[1:] != file[:-1])))
-            first = (b.column("file")[0].as_py(), int(start[0]))
-            local = np.arange(n) - np.repeat(new, np.diff(np.append(new, n)))
-            if first == place:
-                local[: new[1] if len(new) > 1 else n] += at
-            place, at = (b.column("file")[n - 1].as_py(), int(start[n - 1])), int(local[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local, pa.int64())], names=["line", "file", "start", "local"])
-
+    offsets = counts.select("file", "start", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first")).alias("before")).join(files, "file")
     # one row a split, fewer than the tasks that the driver plans: lines are not shuffled
-    lines = text.mapInArrow(number, "line string, file string, start bigint, local bigint").join(F.broadcast(offsets), ["file", "start"])
-    line_no = F.col("local") + F.col("before")
+    lines = text.join(F.broadcast(offsets), ["file", "start"])
+    line_no = F.col("place") + F.col("before")
     rid = F.shiftleft(F.col("file_no").cast("bigint"), LINE_BITS).bitwiseOR(line_no)
     return lines.select("file", F.col("file_no").cast("bigint"), line_no.alias("line_no"), rid.alias("rid"), "line")
 
