@@ -152,6 +152,61 @@ def _summed(data: DataFrame, fn: Callable, size: int, tasks: int) -> np.ndarray:
     return np.bincount(got["i"].to_numpy(), got["g"].to_numpy(), size)
 
 
+#: bytes of the vectors in a block
+BLOCK_BYTES = 1 << 18
+
+
+def packed(rows: DataFrame, others: dict[str, str], features: Callable | None = None) -> DataFrame:
+    """Rows (x array<double>, others...) as blocks (n, width, x, others...), a column of a block being the
+    bytes of its rows' values.  A pass over blocks reads NumPy arrays from them and makes no row anew; a block
+    holds at most ``BLOCK_BYTES`` of vectors (one row, if that is longer) and comes from one Arrow batch.
+    ``others`` gives NumPy types; ``features`` turns the column of vectors into an array."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from kestrel.operators.svm import dense_batch
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if features is None:
+                widest = pc.max(pc.list_value_length(b.column("x"))).as_py()
+                x, _, _ = dense_batch(b.column("x"), widest or 0)
+            else:
+                x = features(b.column("x"))
+            x = np.ascontiguousarray(x, float)
+            more = {c: b.column(c).to_numpy(zero_copy_only=False).astype(t) for c, t in others.items()}
+            size = max(1, BLOCK_BYTES // max(1, 8 * x.shape[1]))
+            cuts = [slice(i, i + size) for i in range(0, len(x), size)]
+            yield pa.RecordBatch.from_pydict({
+                "n": pa.array([len(x[i]) for i in cuts], pa.int32()), "width": pa.array([x.shape[1]] * len(cuts), pa.int32()),
+                "x": pa.array([x[i].tobytes() for i in cuts], pa.binary()), **{c: pa.array([v[i].tobytes() for i in cuts], pa.binary()) for c, v in more.items()}})
+
+    return rows.select("x", *others).mapInArrow(run, ", ".join(["n int, width int, x binary", *(f"{c} binary" for c in others)]))
+
+
+def read_blocks(batch, others: dict[str, str], d: int):
+    """(x padded to ``d``, others...) of every block of an Arrow batch of :func:`packed`."""
+    for i in range(batch.num_rows):
+        n, width = batch.column("n")[i].as_py(), batch.column("width")[i].as_py()
+        x = np.frombuffer(batch.column("x")[i].as_buffer(), float).reshape(n, width)
+        if width < d:
+            x = np.pad(x, ((0, 0), (0, d - width)))
+        yield (x, *(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in others.items()))
+
+
+def _summed_blocks(data: DataFrame, others: dict[str, str], d: int, fn: Callable, size: int, tasks: int) -> np.ndarray:
+    """:func:`_summed` over blocks: the sum of ``fn(x, others...)``."""
+    def part(batch):
+        total = np.zeros(size)
+        for block in read_blocks(batch, others, d):
+            total += fn(*block)
+        return total
+
+    return _summed(data, part, size, tasks)
+
+
 def csvc_fit_groups(df: DataFrame, labels: list[int], *, n_groups: int = 1, features: str = "features", label: str = "label",
                     group: str | None = None, C: float = 1.0, weights: dict[int, float] | None = None,
                     mus: tuple[float, ...] = (1.0, 0.1, 0.01), max_iter: int = 2000, tol: float = 1e-6) -> np.ndarray:
@@ -162,14 +217,14 @@ def csvc_fit_groups(df: DataFrame, labels: list[int], *, n_groups: int = 1, feat
     fitted on the rows whose group is *not* g (cross-validation), else on all rows.  Each
     problem is 1/2 |w|^2 + C sum_rows weight(label) max(0, 1 - y (w.x + b)), smoothed; the
     sum over problems falls apart into them, so one aggregation per evaluation serves all."""
-    from kestrel.operators.svm import dense_batch
-
     pairs = [(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels))]
     cost = np.array([C * (weights or {}).get(lb, 1.0) for lb in labels])
     index = F.array_position(F.array(*[F.lit(lb) for lb in labels]), F.col(label).cast("int")).cast("int") - 1
+    others = {"c": "i4", "g": "i4"}
     data = df.select(F.col(features).cast("array<double>").alias("x"), index.alias("c"),
-                     (F.col(group) if group else F.lit(-1)).cast("int").alias("g")).where("c >= 0").persist()
-    d = int(data.agg(F.max(F.size("x"))).first()[0] or 0)
+                     F.coalesce((F.col(group) if group else F.lit(-1)).cast("int"), F.lit(-1)).alias("g")).where("c >= 0")
+    data = packed(data, others).persist()
+    d = int(data.agg(F.max("width")).first()[0] or 0)
     tasks = _tasks(data)
     side = np.zeros((len(labels), len(pairs)))
     for p, (i, j) in enumerate(pairs):
@@ -179,16 +234,14 @@ def csvc_fit_groups(df: DataFrame, labels: list[int], *, n_groups: int = 1, feat
     def evaluate(theta, mu):
         w = theta.reshape(-1, d + 1)
 
-        def batch_sum(batch):
-            x, _, _ = dense_batch(batch.column("x"), d)
-            c, g = batch.column("c").to_numpy(), batch.column("g").to_numpy()
+        def block_sum(x, c, g):
             y = np.where(g[:, None, None] == np.arange(n_groups)[None, :, None], 0.0, side[c][:, None, :]).reshape(len(x), -1)
             v, dv = _smooth_hinge(1 - y * (x @ w[:, :-1].T + w[:, -1]), mu)
             share = np.abs(y) * cost[c][:, None]
             pull = -(share * dv * y)
             return np.concatenate([np.hstack([pull.T @ x, pull.sum(0)[:, None]]).ravel(), [(share * v).sum()]])
 
-        s = _summed(data, batch_sum, len(theta) + 1, tasks)
+        s = _summed_blocks(data, others, d, block_sum, len(theta) + 1, tasks)
         flat = w.copy()
         flat[:, -1] = 0.0
         return s[-1] + 0.5 * float((flat * flat).sum()), s[:-1] + flat.ravel()
@@ -372,11 +425,9 @@ def primal_fit(df: DataFrame, kind: str, *, features: str = "features", label: s
     relative to itself; raises if ``max_iter`` does not suffice.  Rows shorter than the
     longest are padded with 0.
     Returns θ: (w, ρ) one-class, (w, b, ρ) ν-SVC, (w, b) ε-SVR, (w, b, ε) ν-SVR."""
-    from kestrel.operators.svm import dense_batch
-
-    data = df.select(F.col(features).cast("array<double>").alias("x"),
-                     F.col(label).cast("double").alias("y")).persist()
-    size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
+    others = {"y": "f8"}
+    data = packed(df.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y")), others).persist()
+    size = data.agg(F.sum("n").alias("n"), F.max("width").alias("d")).first()
     if not size.n:
         raise ValueError("no rows to fit")
     n, d = float(size.n), int(size.d)
@@ -384,12 +435,11 @@ def primal_fit(df: DataFrame, kind: str, *, features: str = "features", label: s
     theta, tasks = np.zeros(d + extra), _tasks(data)
 
     def evaluate(th: np.ndarray, mu: float) -> tuple[float, np.ndarray]:
-        def batch_sum(batch):
-            x, _, _ = dense_batch(batch.column("x"), d)
-            v, g = _objective_parts(kind, x, batch.column("y").to_numpy(zero_copy_only=False), th, mu, C, nu, eps, n)
+        def block_sum(x, y):
+            v, g = _objective_parts(kind, x, y, th, mu, C, nu, eps, n)
             return np.append(g, v)
 
-        got = _summed(data, batch_sum, len(th) + 1, tasks)
+        got = _summed_blocks(data, others, d, block_sum, len(th) + 1, tasks)
         rv, rg = _regulariser(kind, th, d, C, nu, n)
         return got[-1] + rv, got[:-1] + rg
 

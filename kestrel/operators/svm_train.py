@@ -32,13 +32,17 @@ from kestrel.operators import evaluate
 from kestrel.operators.folds import interleaved_folds, plain_folds
 from kestrel.operators.quantile import exact_quantiles
 from kestrel.operators.svm import SvmModel, _predict_np, dense_batch, kernel_matrix_np, kernel_width
-from kestrel.operators.svm_fit import _lbfgs, _smooth_hinge, _summed, _tasks, check_parameter, laplace_sigma, linear_model, nu_feasibility
+from kestrel.operators.svm_fit import _lbfgs, _smooth_hinge, _summed, _summed_blocks, _tasks, check_parameter, laplace_sigma, linear_model, nu_feasibility, packed, read_blocks
 from kestrel.sources.model_io import scratch_path
 
 CLASSIFIERS = ("c_svc", "nu_svc")
 LANDMARKS = 256
 #: numbers of free offsets behind the weight vector of a problem
 EXTRA = {"c_svc": 1, "nu_svc": 2, "one_class": 1, "epsilon_svr": 1, "nu_svr": 2}
+#: what a block holds beside the vectors
+OTHERS = {"y": "f8", "c": "i4", "g": "i4"}
+#: sums a task makes at once to narrow thresholds
+MARGIN_SUMS = 1 << 16
 
 
 # ------------------------------------------------------------------ W-6 kernel maps
@@ -129,7 +133,7 @@ def kernel_map(df: DataFrame, kernel_type: str, *, features: str = "features", l
 # ------------------------------------------------------------------- the problems
 @dataclass
 class Job:
-    """Checked parameters and the persisted rows of a fit: (x, y, c, g)."""
+    """Checked parameters and the persisted rows of a fit, blocks of (x, y, c, g)."""
 
     svm_type: str
     labels: list[int]
@@ -192,19 +196,20 @@ def prepare(df: DataFrame, svm_type: str = "c_svc", kernel_type: str = "linear",
     y = F.lit(0.0) if svm_type == "one_class" or labels else F.col(label).cast("double")
     data = df.select(F.col(features).cast("array<double>").alias("x"), y.alias("y"), index.alias("c"), (F.col(group) if group else F.lit(-1)).cast("int").alias("g"))
     data = data.where("c >= 0 and y is not null and x is not null")
-    if kmap is not None:
-        data = kmap.transform(data, "x", "x").select("x", "y", "c", "g")
-    data = data.persist()
-    count = data.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).collect()
-    if not count:
+    data = packed(data, OTHERS, None if kmap is None else kmap.features).persist()
+    size = data.agg(F.max("width").alias("d")).first()
+    if size.d is None:
         data.unpersist()
         raise ValueError("no rows to fit")
-    rows = np.zeros((n_groups + 1, max(1, len(labels))))
-    for r in count:
-        rows[r.g, r.c] += r.n  # g = -1 is the last line
+    shape, tasks = (n_groups + 1, max(1, len(labels))), _tasks(data)
+
+    def count(x, y, c, g):  # g = -1 is the last line
+        return np.bincount(g % shape[0] * shape[1] + c, minlength=shape[0] * shape[1])
+
+    rows = _summed_blocks(data, OTHERS, size.d, count, shape[0] * shape[1], tasks).reshape(shape)
     cost = np.array([C * (weights or {}).get(lab, 1.0) for lab in labels] or [C])
     pairs = [(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels))]
-    job = Job(svm_type, labels, C, nu, p, cost, kmap, data, max(r.d for r in count), _tasks(data), n_groups, rows, pairs)
+    job = Job(svm_type, labels, C, nu, p, cost, kmap, data, size.d, tasks, n_groups, rows, pairs)
     if svm_type == "nu_svc":
         of_class = df.sparkSession.createDataFrame([(lab, int(job.rows.sum(0)[i])) for i, lab in enumerate(labels)], "label int, count long")
         if nu_feasibility(of_class, nu).where("not feasible").limit(1).count():
@@ -213,12 +218,11 @@ def prepare(df: DataFrame, svm_type: str = "c_svc", kernel_type: str = "linear",
     return job
 
 
-def _masks(job: Job, batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(y, c, which) of a batch; which is rows x (groups * pairs): +-1 where a row is trained on."""
-    c, g = batch.column("c").to_numpy(), batch.column("g").to_numpy()
+def _masks(job: Job, c: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Of a block's rows, rows x (groups * pairs): +-1 where a row is trained on."""
     kept = (g[:, None] != np.arange(job.n_groups)[None, :]).astype(float)
     sign = job.side[c] if job.pairs else np.ones((len(c), 1))
-    return batch.column("y").to_numpy(zero_copy_only=False), c, (kept[:, :, None] * sign[:, None, :]).reshape(len(c), -1)
+    return (kept[:, :, None] * sign[:, None, :]).reshape(len(c), -1)
 
 
 def _problem_rows(job: Job) -> np.ndarray:
@@ -236,9 +240,8 @@ def _evaluate(job: Job, theta: np.ndarray, mu: float) -> tuple[float, np.ndarray
     n = np.maximum(_problem_rows(job), 1.0)
     data, job = job.data, job.light
 
-    def part(batch):
-        x, _, _ = dense_batch(batch.column("x"), d)
-        y, c, which = _masks(job, batch)
+    def part(x, y, c, g):
+        which = _masks(job, c, g)
         f, on = x @ w.T, np.abs(which)
         if kind in ("c_svc", "nu_svc"):
             share = on * (job.cost[c][:, None] if kind == "c_svc" else 1 / n)
@@ -258,7 +261,7 @@ def _evaluate(job: Job, theta: np.ndarray, mu: float) -> tuple[float, np.ndarray
             more = [pull.sum(0)] + ([-(share * (d1 + d2)).sum(0)] if kind == "nu_svr" else [])
         return np.append(np.hstack([pull.T @ x, np.column_stack(more)]).ravel(), (share * v).sum())
 
-    got = _summed(data, part, len(theta) + 1, job.tasks)
+    got = _summed_blocks(data, OTHERS, d, part, len(theta) + 1, job.tasks)
     grad = got[:-1].reshape(t.shape)
     value = got[-1] + 0.5 * float((w * w).sum())
     grad[:, :d] += w
@@ -310,37 +313,76 @@ def offsets(job: Job, w: np.ndarray) -> Offsets:
     n, sides = _problem_rows(job), 2 if job.pairs else 1
     goal = np.repeat((job.nu * n / sides)[:, None], sides, 1)
     data, job = job.data, job.light
+    groups = len(n) * sides
+
+    def of_block(x, y, c, g):
+        """(group of a margin, margin): group = problem * sides + side."""
+        which = _masks(job, c, g)
+        row, problem = np.nonzero(which)
+        sign = which[row, problem]
+        return problem * sides + (sign < 0), sign * (x @ w.T)[row, problem]
+
+    # the range of every group's margins, then one histogram: only margins of the bucket that holds the goal
+    # (and of the next that is not empty) become rows
+    def ends(batches):
+        lo, hi = np.full(groups, np.inf), np.full(groups, -np.inf)
+        for b in batches:
+            for block in read_blocks(b, OTHERS, job.d):
+                k, m = of_block(*block)
+                np.minimum.at(lo, k, m)
+                np.maximum.at(hi, k, m)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(groups), pa.int32()), "lo": pa.array(lo), "hi": pa.array(hi)})
+
+    lo, hi = np.zeros(groups), np.zeros(groups)
+    for r in data.mapInArrow(ends, "k int, lo double, hi double").groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <= hi").collect():
+        lo[r.k], hi[r.k] = r.lo, r.hi
+    buckets = int(max(8, min(4096, MARGIN_SUMS // groups)))
+
+    def bucket(k, m):
+        width = np.where(hi > lo, hi / 2 - lo / 2, 1.0)
+        return np.minimum((m / 2 - lo[k] / 2) / width[k] * buckets, buckets - 1).astype(int)
+
+    def histogram(x, y, c, g):
+        k, m = of_block(x, y, c, g)
+        return np.bincount(k * buckets + bucket(k, m), minlength=groups * buckets)
+
+    hist = _summed_blocks(data, OTHERS, job.d, histogram, groups * buckets, job.tasks).reshape(groups, buckets)
+    run, aim = hist.cumsum(1), goal.ravel()
+    slack = 1e-12 * run[:, -1]
+    first = np.minimum((run < (aim - slack)[:, None]).sum(1), buckets - 1)
+    last = np.array([next((b for b in range(f + 1, buckets) if hist[k, b]), buckets - 1) for k, f in enumerate(first)])
+    before = np.where(first > 0, run[np.arange(groups), np.maximum(first - 1, 0)], 0.0)
+    left = aim - before
+    left = np.where(np.abs(left - np.round(left)) <= slack, np.round(left), left).reshape(-1, sides)
 
     def margins(batches):
         for b in batches:
-            x, _, _ = dense_batch(b.column("x"), job.d)
-            _, _, which = _masks(job, b)
-            row, problem = np.nonzero(which)
-            sign = which[row, problem]
-            m = sign * (x @ w.T)[row, problem]
-            yield pa.RecordBatch.from_pydict({"problem": pa.array(problem, pa.int32()), "side": pa.array((sign < 0).astype(np.int32)), "m": pa.array(m)})
+            for block in read_blocks(b, OTHERS, job.d):
+                k, m = of_block(*block)
+                at = bucket(k, m)
+                k, m = (v[(at >= first[k]) & (at <= last[k])] for v in (k, m))
+                yield pa.RecordBatch.from_pydict({"problem": pa.array(k // sides, pa.int32()), "side": pa.array(k % sides, pa.int32()), "m": pa.array(m)})
 
     long = data.mapInArrow(margins, "problem int, side int, m double").persist()
     try:
-        q = exact_quantiles(long, F.col("m"), lambda key, _: float(goal[key[0], key[1]]), ["problem", "side"]).collect()
+        q = exact_quantiles(long, F.col("m"), lambda key, _: float(left[key[0], key[1]]), ["problem", "side"]).collect()
     finally:
         long.unpersist()
     t, edge, part = np.zeros((len(n), sides)), np.full((len(n), sides), -np.inf), np.zeros((len(n), sides))
     for r in q:
         t[r.problem, r.side], edge[r.problem, r.side] = (r.lower + r.upper) / 2, r.lower
-        part[r.problem, r.side] = (goal[r.problem, r.side] - r.below) / r.at
+        part[r.problem, r.side] = (left[r.problem, r.side] - r.below) / r.at
     size = 1 / np.maximum(n if job.pairs else job.nu * n, 1.0)
 
-    def pull(batch):
+    def pull(x, y, c, g):
         """Rows below the threshold count whole, rows at it in the share that fills the goal."""
-        x, _, _ = dense_batch(batch.column("x"), job.d)
-        _, _, which = _masks(job, batch)
+        which = _masks(job, c, g)
         m, s = which * (x @ w.T), (which < 0).astype(int)
         at = np.arange(len(n))[None, :]
         alpha = np.where(m < edge[at, s], 1.0, np.where(m == edge[at, s], part[at, s], 0.0)) * np.abs(which) * size
         return ((alpha * which).T @ x).ravel()
 
-    return Offsets(t, _summed(data, pull, len(n) * job.d, job.tasks).reshape(len(n), job.d))
+    return Offsets(t, _summed_blocks(data, OTHERS, job.d, pull, len(n) * job.d, job.tasks).reshape(len(n), job.d))
 
 
 def nearest_point(points: np.ndarray, share: np.ndarray) -> np.ndarray:
