@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -77,10 +78,10 @@ def platt_fit(df: DataFrame, dec: str = "dec", label: str = "label", max_iter: i
 
     The state is the vector (A, B).  One aggregation over the persisted (f, t) gives
     gradient and Hessian, one more the loss at every step length 1, 1/2, 1/4, ..."""
-    positive = F.col(label) > 0
-    n = df.agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")).first()
-    target = F.when(positive, (n.pos + 1) / (n.pos + 2)).otherwise(1 / (n.neg + 2))
-    data = df.select(F.col(dec).cast("double").alias("f"), target.alias("t")).persist()
+    # kept before the labels are counted, so decisions are made once
+    kept = df.select(F.col(dec).cast("double").alias("f"), (F.col(label) > 0).alias("p")).persist()
+    n = kept.agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg")).first()
+    data = kept.select("f", F.when(F.col("p"), (n.pos + 1) / (n.pos + 2)).otherwise(1 / (n.neg + 2)).alias("t"))
     basis = (F.col("f"), F.lit(1.0))
 
     def z_at(theta):
@@ -109,7 +110,7 @@ def platt_fit(df: DataFrame, dec: str = "dec", label: str = "label", max_iter: i
                 break
             theta, loss = theta + lengths[better[0]] * step, losses[better[0]]
     finally:
-        data.unpersist()
+        kept.unpersist()
     return float(theta[0]), float(theta[1])
 
 
@@ -510,24 +511,29 @@ def out_of_fold_decisions(df: DataFrame, fit_fn, *, n_folds: int = 5, rid: str =
     from kestrel.operators import svm as V
     from kestrel.operators.folds import plain_folds
 
-    rows = plain_folds(df, n_folds, rid=rid, seed=seed)
-    parts = []
-    for f in range(n_folds):
-        train = rows.where(F.col("fold") != f)
+    from kestrel.sources.model_io import scratch_path
+
+    dealt = plain_folds(df.select(rid, label, features), n_folds, rid=rid, seed=seed)
+    path = scratch_path(df.sparkSession, "platt-folds")
+    dealt.write.parquet(path)
+    rows = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    positive = F.col(label) > 0
+    sides = {r.fold: (r.pos, r.neg) for r in rows.groupBy("fold").agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")).collect()}
+
+    def of_fold(f: int) -> DataFrame | None:
         test = rows.where(F.col("fold") == f)
-        have = {r[0] for r in train.select((F.col(label) > 0).alias("p")).distinct().collect()}
-        if have == {True}:
-            parts.append(test.select(rid, label, F.lit(1.0).alias("dec")))
-            continue
-        if have == {False}:
-            parts.append(test.select(rid, label, F.lit(-1.0).alias("dec")))
-            continue
-        if not have:
-            continue
-        model = fit_fn(train)
+        pos, neg = (sum(n[i] for g, n in sides.items() if g != f) for i in (0, 1))
+        if not pos and not neg:
+            return None
+        if not neg or not pos:
+            return test.select(rid, label, F.lit(1.0 if pos else -1.0).alias("dec"))
+        model = fit_fn(rows.where(F.col("fold") != f))
         sign = 1.0 if model.labels and model.labels[0] > 0 else -1.0
         scored = V.score_arrow(test, model, features=features, keep=(rid, label), with_decisions=True)
-        parts.append(scored.select(rid, label, (F.element_at("dec", 1) * sign).alias("dec")))
+        return scored.select(rid, label, (F.element_at("dec", 1) * sign).alias("dec"))
+
+    with ThreadPoolExecutor(n_folds) as pool:
+        parts = [p for p in pool.map(of_fold, range(n_folds)) if p is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
