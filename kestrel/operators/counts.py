@@ -256,15 +256,16 @@ def _check_radix(data: NominalData, fams: list[Family], class_digit: bool) -> No
         raise ValueError("parent codes exceed 64 bits")
 
 
-def collapse(data: NominalData, keys: tuple[str, ...] = ()) -> NominalData:
+def collapse(data: NominalData, keys: tuple[str, ...] = (), checked: bool = False) -> NominalData:
     """Rows of equal ``keys``, attributes and class as one row with the sum of their weights.  They are
     grouped by the mixed-radix code of the tuple, so a task's partial sums hold two or three
-    numbers a tuple.  The row id is lost."""
+    numbers a tuple.  The row id is lost.  ``checked`` rows had their codes checked before (a class that
+    is made from keys would be made again for the check)."""
     named = [*zip(data.attrs, data.cards, strict=True), (data.cls, data.n_classes)]
     code = F.lit(0).cast("bigint")
     for name, card in named:
         code = code * card + F.col(name)
-    few = data.df.where(valid_codes(data)).groupBy(*keys, code.alias("_t")).agg(F.sum(data.w()).cast("double").alias("weight"))
+    few = (data.df if checked else data.df.where(valid_codes(data))).groupBy(*keys, code.alias("_t")).agg(F.sum(data.w()).cast("double").alias("weight"))
     stride, cols = 1, []
     for name, card in reversed(named):
         cols.insert(0, F.expr(f"cast((_t div {stride}L) % {card}L as int)").alias(name))

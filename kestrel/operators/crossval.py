@@ -32,7 +32,7 @@ from kestrel.functions.arrays import MAX_LITERAL_CELLS, const_doubles
 from kestrel.functions.hashing import h, h_int
 from kestrel.operators import bayes as B
 from kestrel.operators.bayes_join import predict
-from kestrel.operators.counts import BROADCAST_MAP_LIMIT, _collapse_pays, collapse, complement_counts, count_families
+from kestrel.operators.counts import BROADCAST_MAP_LIMIT, _collapse_pays, collapse, complement_counts, count_families, valid_codes
 from kestrel.operators.evaluate import fold_accuracy, mean_std
 from kestrel.operators.folds import BUCKET_HEX_DIGITS, with_repeats
 from kestrel.operators.quantile import exact_quantiles
@@ -150,18 +150,20 @@ def training_counts(fv: FoldedData, spec: B.BayesSpec, noise: float = 0.0) -> Da
     all_cuts = const_doubles(cut.ravel())
     low, high = F.element_at(const_doubles(cut.min(1)), F.col("rep") + 1), F.element_at(const_doubles(cut.max(1)), F.col("rep") + 1)
     everywhere = F.col("_key") <= low
-    one = F.struct(F.col("fold").cast("int").alias("to"), F.when(everywhere, F.col("_new")).otherwise(old).alias("_c"), w.alias("_w"), F.lit(False).alias("direct"))
+    some = ~everywhere & (F.col("_key") <= high)
+    # a new class lies in the domain where the old one does
+    keyed = rows.where(valid_codes(data)).withColumn("_key", key)
+    once = keyed.select(*data.attrs, "rep", F.col("fold").cast("int").alias("fold"), F.when(everywhere, new).otherwise(old).alias("_c"), w.alias("_w"), F.lit(False).alias("direct"))
+    # only the few rows between thresholds go through arrays
     flips = F.filter(F.sequence(F.lit(0), F.lit(fv.folds - 1)), lambda f: (f != F.col("fold")) & (F.col("_key") <= F.element_at(all_cuts, (F.col("rep") * fv.folds + f + 1).cast("int"))))
     change = F.flatten(F.transform(flips, lambda f: F.array(
-        F.struct(f.alias("to"), old.alias("_c"), (-w).alias("_w"), F.lit(True).alias("direct")),
-        F.struct(f.alias("to"), F.col("_new").alias("_c"), w.alias("_w"), F.lit(True).alias("direct")))))
-    some = ~everywhere & (F.col("_key") <= high)
-    emitted = rows.withColumn("_key", key).withColumn("_new", new)
-    emitted = emitted.withColumn("_e", F.when(some, F.concat(F.array(one), change)).otherwise(F.array(one)))
-    emitted = emitted.select(*data.attrs, "rep", F.inline("_e")).withColumnRenamed("to", "fold")
+        F.struct(f.alias("fold"), old.alias("_c"), (-w).alias("_w"), F.lit(True).alias("direct")),
+        F.struct(f.alias("fold"), F.col("_new").alias("_c"), w.alias("_w"), F.lit(True).alias("direct")))))
+    between = keyed.where(some).withColumn("_new", new).withColumn("_e", change).select(*data.attrs, "rep", F.inline("_e"))
+    emitted = once.unionByName(between)
     signed = NominalData(emitted, data.attrs, data.cards, data.n_classes, cls="_c", weight="_w")
     if _collapse_pays(data, ()):
-        signed = collapse(signed, ("rep", "fold", "direct"))
+        signed = collapse(signed, ("rep", "fold", "direct"), checked=True)
     part = count_families(signed, comp_fams, keys=("rep", "fold", "direct")).persist()
     base = complement_counts(part.where("not direct").drop("direct"), "fold", fv.folds, keys=("rep",))
     cell = ["rep", "fold", "component", "att", "cls", "pidx", "v"]
