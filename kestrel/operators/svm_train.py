@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kestrel.operators import evaluate
 from kestrel.operators.folds import interleaved_folds, plain_folds
 from kestrel.operators.quantile import exact_quantiles
-from kestrel.operators.svm import SvmModel, _predict_np, dense_batch, kernel_matrix_np, kernel_width
+from kestrel.operators.svm import SvmModel, _predict_np, dense_batch, kernel_matrix_np, kernel_width, row_runs
 from kestrel.operators.svm_fit import _lbfgs, _smooth_hinge, _summed, _summed_blocks, _tasks, check_parameter, laplace_sigma, linear_model, nu_feasibility, packed, read_blocks
 from kestrel.sources.model_io import scratch_path
 
@@ -64,7 +64,10 @@ class KernelMap:
         x, norms, sizes = dense_batch(col, width)
         if self.base.kernel_type == "precomputed" and (sizes < width).any():
             raise ValueError(f"wrong input format: a precomputed row has fewer than {width} kernel values")
-        return kernel_matrix_np(self.base, x, norms) @ self.root
+        phi = np.empty((len(x), self.size))
+        for i in row_runs(len(x), len(self.base.sv)):
+            phi[i] = kernel_matrix_np(self.base, x[i], norms[i]) @ self.root
+        return phi
 
     def transform(self, df: DataFrame, features: str = "features", out: str = "features") -> DataFrame:
         """``df`` with ``out`` = phi(features); every other column passes."""
