@@ -76,6 +76,8 @@ WORD_NOISE = 5
 #: occurrences of one step within a tail class
 WORD_BATCH = 512
 BATCH = 4096
+#: rows of equal number that are added place by place
+RUN = 8
 #: cells of one product of contexts and targets; small enough for a core's cache
 CELLS = 1 << 17
 #: parameter rows of a record of changes
@@ -197,21 +199,67 @@ def classes_of(unigram: np.ndarray) -> np.ndarray:
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    if s.size and s.max() < 60:
-        z = np.exp(s).sum(1)
-        if z.min() > 1e-20:  # neither overflowed nor vanished
+    if s.size:
+        with np.errstate(over="ignore"):
+            z = np.exp(s) @ np.ones(s.shape[1], s.dtype)
+        if z.min() > 1e-20 and z.max() < np.inf:  # neither vanished nor overflowed
             return np.log(z)
     top = s.max(1, keepdims=True)
     s -= top
     return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
 
 
+def _rise(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place of ``x``."""
+    np.negative(x, out=x)
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _order(idx: np.ndarray) -> np.ndarray:
+    """Stable order; 16-bit numbers are sorted by their digits."""
+    return np.argsort(idx.astype(np.uint16) if len(idx) and idx.max() < 1 << 16 else idx, kind="stable")
+
+
+def _sums(idx: np.ndarray, val: np.ndarray, order: np.ndarray | None = None):
+    """Different ``idx``, which are sorted (by ``order``, if given), the sums of the rows of ``val`` over
+    each, their first places and their numbers.  Runs of at most ``RUN`` rows are added place by place, all
+    runs at once; longer ones each by itself."""
+    idx = idx if order is None else idx[order]
+    new = np.empty(len(idx), bool)
+    new[:1] = True
+    np.not_equal(idx[1:], idx[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    n = np.diff(at, append=len(idx))
+    out = val.take(at if order is None else order[at], 0)
+    some, place = np.flatnonzero((n > 1) & (n <= RUN)), 1
+    while len(some):
+        here = at[some] + place
+        out[some] = out.take(some, 0) + val.take(here if order is None else order[here], 0)
+        place += 1
+        some = some[n[some] > place]
+    for i in np.flatnonzero(n > RUN).tolist():
+        run = slice(at[i], at[i] + n[i])
+        np.add.reduce(val[run] if order is None else val.take(order[run], 0), 0, out=out[i])
+    return idx[at], out, at, n
+
+
+def _merged(one, two):
+    """The sums of two (different sorted rows, sums, numbers), those of ``two`` that ``one`` lacks at the end."""
+    at = np.minimum(np.searchsorted(one[0], two[0]), len(one[0]) - 1)
+    same = one[0][at] == two[0]
+    for x, y in zip(one[1:], two[1:], strict=True):
+        x[at[same]] += y[same]
+    return [np.concatenate([x, y[~same]]) for x, y in zip(one, two, strict=True)]
+
+
 def _row_sums(idx: np.ndarray, val: np.ndarray, *more):
-    """Different ``idx``, and the sums of ``val`` and of ``more`` over each."""
-    order = np.argsort(idx, kind="stable")
-    idx = idx[order]
-    at = np.flatnonzero(np.diff(idx, prepend=-1))
-    return idx[at], *(np.add.reduceat(x[order], at, axis=0) for x in (val, *more))
+    """Different ``idx``, and the sums of ``val`` and of ``more`` (one number a row) over each."""
+    order = _order(idx)
+    rows, out, at, _ = _sums(idx, val, order)
+    return rows, out, *(np.add.reduceat(x[order], at) for x in more)
 
 
 @dataclass
@@ -254,56 +302,80 @@ class LogBilinear:
         log_word = (np.log((unigram + 1) / mass[kinds]) + np.log(WORD_NOISE)).astype(np.float32)
         return cum, edge, mass, kinds, log_class, log_word
 
-    def _step(self, idx, val, tokens, g2, touched, rate) -> None:
-        """AdaGrad with one running square a row; ``val`` are gradients of rows ``idx``, each the
-        sum over ``tokens``."""
-        rows, g, times = _row_sums(idx, val, tokens)
-        g2[rows] += (g * g).mean(1)
-        touched[rows] += times.astype(np.int64)
-        self.m[rows] += (rate / np.sqrt(g2[rows] + SMOOTH))[:, None] * g
+    def _step(self, rows, g, times, g2, touched, rate) -> None:
+        """AdaGrad with one running square a row; ``g`` are gradients of different ``rows``, each the
+        sum over ``times`` tokens."""
+        g2[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        touched[rows] += times
+        g *= (rate / np.sqrt(g2[rows] + SMOOTH))[:, None]
+        g += self.m.take(rows, 0)
+        self.m[rows] = g
 
     def train(self, u, v, w, noise, rng, g2: np.ndarray, touched: np.ndarray, rate: float = RATE) -> None:
         """One pass of noise-contrastive estimation over tokens w with contexts (u, v);
-        ``noise`` as above, ``g2`` the running squares of the rows, ``touched`` how often each was used."""
-        k, first, size = self.k, self.first, np.diff(self.first)
-        r, q, b, d, a, c = self.parts()
+        ``noise`` as above, ``g2`` the running squares of the rows, ``touched`` how often each was used.
+        A batch stands in order of its words, so of classes too: gradients of targets are sums of runs."""
+        k, first, size, m = self.k, self.first, np.diff(self.first), self.m
+        words_of, kinds_of, c = m[k : 2 * k], m[2 * k : -2], m[-2:]
         cum, edge, mass, kinds, log_class, log_word = noise
-        rise = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        wide = lambda x, bias: np.concatenate([x, bias[:, None]], 1)
         for at in range(0, len(w), BATCH):
-            by_word = at + np.argsort(w[at : at + BATCH])  # so classes stand together as well
+            by_word = at + _order(w[at : at + BATCH])
             uu, vv, ww = u[by_word], v[by_word], w[by_word]
-            ru, rv, kk = r[uu], r[vv], kinds[ww]
-            ctx = ru * c[0] + rv * c[1]
+            kk, ru, rv = kinds[ww], m.take(uu, 0), m.take(vv, 0)
+            x = ru * c[0]
+            x += rv * c[1]
+            x[:, -1] = 1  # meets the biases
             # classes: noise shared by the batch
             neg = np.minimum(np.searchsorted(edge[1:], rng.random(NOISE) * edge[-1], "right"), len(mass) - 1)
-            dk, dn = d[kk], d[neg]
-            pos = 1 - rise(np.einsum("ij,ij->i", ctx, dk) + a[kk] - log_class[kk])
-            fake = -rise(ctx @ dn.T + a[neg] - log_class[neg])
-            g_ctx = pos[:, None] * dk + fake @ dn
-            rows = [(2 * k + np.concatenate([kk, neg]), np.concatenate([wide(pos[:, None] * ctx, pos), wide(fake.T @ ctx, fake.sum(0))]), np.repeat([1, len(ww)], [len(kk), NOISE]))]
+            dk, dn = kinds_of.take(kk, 0), kinds_of.take(neg, 0)
+            dn[:, -1] -= log_class[neg]
+            pos = 1 - _rise(np.einsum("ij,ij->i", x, dk) - log_class[kk])
+            fake = -_rise(x @ dn.T)
+            dk *= pos[:, None]
+            g = fake @ dn
+            g += dk
+            cut = np.flatnonzero(np.diff(kk, prepend=-1, append=-1))
+            own, runs = kk[cut[:-1]], list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            pulled = (own, np.stack([pos[lo:hi] @ x[lo:hi] for lo, hi in runs]), np.diff(cut))
+            rows = [(2 * k, _merged(pulled, _row_sums(neg, fake.T @ x, np.full(NOISE, len(ww)))))]
             # words: noise shared by the words of a class
             i = np.flatnonzero(size[kk] > 1)
             if len(i):
-                x, t = ctx[i], ww[i]
-                own, of = np.unique(kk[i], return_inverse=True)
+                x1, t = x.take(i, 0), ww[i]
+                cut = np.flatnonzero(np.diff(kk[i], prepend=-1, append=-1))
+                own, runs = kk[i[cut[:-1]]], list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                 place = edge[own][:, None] + rng.random((len(own), WORD_NOISE)) * mass[own][:, None]
                 no = np.clip(np.searchsorted(cum, place, "right"), first[own][:, None], first[own + 1][:, None] - 1)
-                qt, qn = q[t], q[no.ravel()].reshape(len(own), -1).take(of, 0).reshape(len(i), WORD_NOISE, -1)
-                p1 = 1 - rise(np.einsum("ij,ij->i", x, qt) + b[t] - log_word[t])
-                p0 = -rise(np.einsum("ijk,ik->ij", qn, x) + (b[no] - log_word[no])[of])
-                g_ctx[i] += p1[:, None] * qt + np.einsum("ij,ijk->ik", p0, qn)
-                x1 = wide(x, np.ones(len(i), np.float32))
-                cut = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
-                away = np.concatenate([p0[lo:hi].T @ x1[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)])
-                tokens = np.concatenate([np.ones(len(i)), np.repeat(np.bincount(of), WORD_NOISE)])
-                rows.append((k + np.concatenate([t, no.ravel()]), np.concatenate([wide(p1[:, None] * x, p1), away]), tokens))
-            zero = np.zeros(len(uu), np.float32)
-            rows.append((np.concatenate([uu, vv]), np.concatenate([wide(g_ctx * c[0], zero), wide(g_ctx * c[1], zero)]), np.ones(2 * len(uu))))
-            weights = np.stack([(g_ctx * ru).sum(0), (g_ctx * rv).sum(0)])
-            rows.append((np.arange(len(self.m) - 2, len(self.m)), wide(weights, np.zeros(2, np.float32)), np.full(2, len(uu))))
-            for idx, val, tokens in rows:
-                self._step(idx, val, tokens, g2, touched, rate)
+                qt, qn = words_of.take(t, 0), words_of.take(no, 0)
+                qn[:, :, -1] -= log_word[no]
+                p1 = 1 - _rise(np.einsum("ij,ij->i", x1, qt) - log_word[t])
+                p0, pull, away = np.empty((len(i), WORD_NOISE), np.float32), np.empty_like(x1), np.empty_like(qn)
+                for j, (lo, hi) in enumerate(runs):
+                    np.matmul(x1[lo:hi], qn[j].T, out=p0[lo:hi])
+                p0 = -_rise(p0)
+                for j, (lo, hi) in enumerate(runs):
+                    np.matmul(p0[lo:hi], qn[j], out=pull[lo:hi])
+                    np.matmul(p0[lo:hi].T, x1[lo:hi], out=away[j])
+                qt *= p1[:, None]
+                pull += qt
+                pull += g.take(i, 0)
+                g[i] = pull
+                x1 *= p1[:, None]
+                noisy = _row_sums(no.ravel(), away.reshape(no.size, -1), np.repeat(np.diff(cut), WORD_NOISE))
+                of, sums, _, times = _sums(t, x1)
+                rows.append((k, _merged((of, sums, times), noisy)))
+            g[:, -1] = 0
+            seen, weights = [], []
+            for context, vectors, weight in ((uu, ru, c[0]), (vv, rv, c[1])):
+                order = _order(context)
+                of, sums, first_of, times = _sums(context, g, order)
+                weights.append((sums * vectors.take(order[first_of], 0)).sum(0))
+                sums *= weight
+                seen.append((of, sums, times))
+            rows.append((0, _merged(*seen)))
+            rows.append((len(m) - 2, (np.arange(2), np.stack(weights), np.full(2, len(uu)))))
+            for base, (of, grad, times) in rows:
+                self._step(base + of, grad, times, g2, touched, rate)
 
     def tables(self, most: int = SYMBOLS):
         """(first, second, log normaliser) of the classes, natural logs, for the contexts of the
@@ -317,35 +389,34 @@ class LogBilinear:
 
     def log_probabilities(self, u, v, w, norm: np.ndarray) -> np.ndarray:
         """Natural logs of p(w | u, v); ``norm`` is the last of ``tables()``."""
-        r, _, _, _, _, c = self.parts()
         k, m = self.k, self.m
         words_of, kinds_of = m[k : 2 * k], m[2 * k : -2]
         kinds, size, out = self.class_of()[w], np.diff(self.first), np.empty(len(w))
         for at in range(0, len(w), 1 << 16):  # bounds the contexts held at once
-            uu, vv, ww, kk = (x[at : at + (1 << 16)] for x in (u, v, w, kinds))
-            ctx = np.ones((len(ww), m.shape[1]), np.float32)  # the last column meets the biases
-            ctx[:, :-1] = r[uu] * c[0] + r[vv] * c[1]
-            s = np.einsum("ij,ij->i", ctx, kinds_of[kk])
+            order = at + _order(kinds[at : at + (1 << 16)])  # a class is a run
+            uu, vv, ww, kk = (x[order] for x in (u, v, w, kinds))
+            ctx = m.take(uu, 0) * m[-2]
+            ctx += m.take(vv, 0) * m[-1]
+            ctx[:, -1] = 1  # meets the biases
+            s = np.einsum("ij,ij->i", ctx, kinds_of.take(kk, 0))
             known = (uu < len(norm)) & (vv < len(norm))
             s[known] -= norm[uu[known], vv[known]]
             far = np.flatnonzero(~known)
             step = max(1, CELLS // len(kinds_of))
             for i in range(0, len(far), step):
                 j = far[i : i + step]
-                s[j] -= _log_sum(ctx[j] @ kinds_of.T)
-            order = np.argsort(kk, kind="stable")
-            cut = np.flatnonzero(np.diff(kk[order], prepend=-1, append=-1))
+                s[j] -= _log_sum(ctx.take(j, 0) @ kinds_of.T)
+            cut = np.flatnonzero(np.diff(kk, prepend=-1, append=-1))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                kind = kk[order[lo]]
+                kind = kk[lo]
                 if size[kind] == 1:
                     continue
                 x, y = self.first[kind : kind + 2]
                 step = max(1, CELLS // (y - x))
                 for i in range(lo, hi, step):
-                    j = order[i : min(hi, i + step)]
-                    mine = ctx[j]
-                    s[j] += np.einsum("ij,ij->i", mine, words_of[ww[j]]) - _log_sum(mine @ words_of[x:y].T)
-            out[at : at + (1 << 16)] = s
+                    j = slice(i, min(hi, i + step))
+                    s[j] += np.einsum("ij,ij->i", ctx[j], words_of.take(ww[j], 0)) - _log_sum(ctx[j] @ words_of[x:y].T)
+            out[order] = s
         return out
 
 
