@@ -134,6 +134,42 @@ def test_top_k_odd_vectors(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 64, 2**20])
+def test_top_k_in_bounded_places(spark, monkeypatch, capsys, scale):
+    """One shuffle partition, yet neither side of a task grows with the table and no join holds a side."""
+    rng = np.random.default_rng(scale % 97)
+    v = rng.integers(-20, 21, (700, 40))
+    v[300:500] = v[:200]  # equal vectors under other ids
+    df = spark.createDataFrame([(int(i), [float(c) * scale / 256 for c in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    score = v.astype(object) * scale
+    score = score @ score.T
+    want = []
+    for q in range(0, 700, 7):
+        near = sorted((-score[q, i], i) for i in range(700) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+    for name, value in {"BLOCK": 32, "QUERY_BLOCK": 16, "SIDE_BYTES": 20_000, "LEAST_BYTES": 10_000}.items():
+        monkeypatch.setattr(topk, name, value)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = topk.top_k(df, every=7)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        got.explain()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    plan = capsys.readouterr().out
+    # 700 vectors of 41 x 8 bytes in 12 slots, 100 queries in 2 parts: 24 places
+    assert "Join" not in plan and "24), REPARTITION" in plan.replace("place", "")
+
+
+def test_top_k_packs_narrow_blocks_of_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 50 * 10)
+    df = spark.createDataFrame([(i, [float(i % 90) / 256] * 50) for i in range(100)], "vec_id long, embedding array<double>")
+    for dim, ids, m in topk._packed(topk.quantised(df, "vec_id", "embedding"), topk.BLOCK).collect():
+        ids = np.frombuffer(ids, np.int64)
+        assert len(ids) <= 10 and (np.frombuffer(m, np.int8).reshape(dim, -1) == ids % 90).all()
+
+
 # -- PII ---------------------------------------------------------------------------------
 
 def brute_base(t):
